@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, minhash, pii, simhash
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op5_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,5 +30,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_trie, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_weak_pii, op5_one_permutation_minhash, op9_simhash_trie, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
