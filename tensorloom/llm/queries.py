@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, pii, simhash
+from . import bpe, langid, minhash, pii, simhash, urlrank
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,10 +18,18 @@ def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op6_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_pii, op5_one_permutation_minhash, op9_simhash_trie, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_weak_pii, op2_string_kernel_language, op5_one_permutation_minhash, op6_link_graph_urls, op9_simhash_trie, op10_byte_bpe)
+}
 ORACLE_SQL: dict[str, str] = {}
