@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, pii, simhash, urlrank
+from . import bpe, langid, minhash, pii, simhash, suffix, urlrank
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_weak_pii, op2_string_kernel_language, op5_one_permutation_minhash, op6_link_graph_urls, op9_simhash_trie, op10_byte_bpe)
+    for f in (op1_weak_pii, op2_string_kernel_language, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op9_simhash_trie, op10_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}
