@@ -1,12 +1,49 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Each stage works on all that the one before kept. Language ID drops texts in
+no known language, line dedup deletes aligned common blocks from the later
+document, SimHash near-dedup keeps the least id of each group, decontamination
+drops documents that hold a benchmark passage, and the last stage codes what
+is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.llm import common
+from tensorloom.llm import bpe, common, decontam, langid, linedup, simhash
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_known(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linedup.clean(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digest(docs, public_tokenizers.path(RANKS))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("byte-level BPE", byte_bpe),
+]
 ORACLE_SQL = None
 
 
@@ -16,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = common.cut(docs, f"stage-{name.replace(' ', '-')}")
+            docs = common.cut(docs, f"stage-{k}-{stage.__name__}")
     return docs

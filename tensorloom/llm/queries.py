@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, pii, simhash, suffix, urlrank
+from . import bpe, decontam, htmlrender, langid, linedup, minhash, pii, simhash, suffix, urlrank
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +23,10 @@ def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_layout_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlrender.render(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,15 @@ def op6_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrank.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_rare_gram_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.remove_blocks(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +58,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_weak_pii, op2_string_kernel_language, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op9_simhash_trie, op10_byte_bpe)
+    for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}
