@@ -1,6 +1,517 @@
-"""Registry of the tensor queries and of their SQL."""
+"""Registry of the tensor queries and of their SQL.
+
+Results are flat rows: coordinates or row and rank as longs, values as doubles.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tensorloom.functions import bits
+from tensorloom.functions.ranks import row_numbers
+from tensorloom.operators import cpd, dense, layout, reorder, vectors
+from tensorloom.plans.inputs import M_SQL, T3_SQL, T3B_SQL, T4_SQL, m2, ramps, t3, t3b, t4, table
+from tensorloom.types import SparseTensor
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+RANK = 2
+RS = "(SELECT 0 AS r UNION ALL SELECT 1 AS r)"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(a) -> DataFrame:
+    return dense.long_form(a)
+
+
+def _rows(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _semi(y) -> DataFrame:
+    """A semi-sparse tensor as one row a cell."""
+    cells = y.df.select(*y.others, F.posexplode("fiber").alias("r", "val"))
+    return cells.select(*y.others, F.col("r").cast("long").alias("r"), "val")
+
+
+# --- element-wise and scalar --------------------------------------------------
+
+B = f"WITH t AS ({T3B_SQL}), x AS (SELECT * FROM t WHERE i2 < 5), y AS (SELECT i0, i1, i2, 2 * val AS val FROM t WHERE i2 >= 3) "
+
+
+def _two(spark, sf) -> tuple[SparseTensor, SparseTensor]:
+    t = t3b(spark, sf)
+    x = t.slice([0, 0, 0], [t.dims[0], t.dims[1], 5])
+    return x, t.slice([0, 0, 3], list(t.dims)).mul_scalar(2)
+
+
+@query(B + "SELECT i0, i1, i2, SUM(val) AS val FROM (SELECT * FROM x UNION ALL SELECT * FROM y) u GROUP BY 1, 2, 3 HAVING SUM(val) <> 0")
+def tensor_add(spark, sf):
+    x, y = _two(spark, sf)
+    return x.add(y).df
+
+
+@query(B + "SELECT i0, i1, i2, SUM(val) AS val FROM (SELECT * FROM x UNION ALL SELECT i0, i1, i2, -val FROM y) u GROUP BY 1, 2, 3 HAVING SUM(val) <> 0")
+def tensor_sub(spark, sf):
+    x, y = _two(spark, sf)
+    return x.sub(y).df
+
+
+@query(B + "SELECT x.i0, x.i1, x.i2, x.val * y.val AS val FROM x JOIN y ON x.i0 = y.i0 AND x.i1 = y.i1 AND x.i2 = y.i2 WHERE x.val * y.val <> 0")
+def tensor_dot_mul(spark, sf):
+    x, y = _two(spark, sf)
+    return x.dot_mul(y).df
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT i0, i1, i2, val * 3 * val AS val FROM t WHERE val <> 0")
+def tensor_dot_mul_eq(spark, sf):
+    t = t3b(spark, sf)
+    return t.dot_mul_eq(t.mul_scalar(3)).df
+
+
+@query(B + "SELECT x.i0, x.i1, x.i2, x.val / y.val AS val FROM x JOIN y ON x.i0 = y.i0 AND x.i1 = y.i1 AND x.i2 = y.i2")
+def tensor_dot_div(spark, sf):
+    x, y = _two(spark, sf)
+    return x.dot_div(y).df
+
+
+@query(f"WITH t AS ({T3_SQL}) SELECT i0, i1, i2, val * 3 AS val FROM t")
+def scalar_mul(spark, sf):
+    return t3(spark, sf).mul_scalar(3).df
+
+
+@query(f"WITH t AS ({T3_SQL}) SELECT i0, i1, i2, val FROM t WHERE 1 = 0")
+def scalar_mul_zero(spark, sf):
+    return t3(spark, sf).mul_scalar(0).df
+
+
+@query(f"WITH t AS ({T3_SQL}) SELECT i0, i1, i2, val / 4 AS val FROM t")
+def scalar_div(spark, sf):
+    return t3(spark, sf).div_scalar(4).df
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT i0, i1, i2, val - 25 AS val FROM t WHERE val <> 25")
+def collect_zeros(spark, sf):
+    t = t3b(spark, sf)
+    return t.with_df(t.df.withColumn("val", F.col("val") - 25)).collect_zeros().df
+
+
+# --- slices, bounds, modes ----------------------------------------------------
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT * FROM t WHERE i0 >= 10 AND i0 < 150 AND i1 >= 2 AND i1 < 60 AND i2 < 4")
+def slice_range(spark, sf):
+    return t3b(spark, sf).slice([10, 2, 0], [150, 60, 4]).df
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT p.p_partkey AS i, COUNT(t.i0) AS nnz FROM part p LEFT JOIN t ON t.i0 = p.p_partkey GROUP BY 1")
+def slice_sizes(spark, sf):
+    return t3b(spark, sf).slice_sizes(0)
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT MIN(i0) AS lo0, MAX(i0) + 1 AS hi0, MIN(i1) AS lo1, MAX(i1) + 1 AS hi1, MIN(i2) AS lo2, MAX(i2) + 1 AS hi2 FROM t")
+def index_bounds(spark, sf):
+    return t3b(spark, sf).index_bounds()
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT i2 AS i0, i0 AS i1, i1 AS i2, val FROM t")
+def shuffle_modes(spark, sf):
+    return t3b(spark, sf).shuffle_modes([2, 0, 1]).df
+
+
+@query(f"WITH t AS ({T3B_SQL}), g AS (SELECT i0, i1, COUNT(*) AS n FROM t GROUP BY 1, 2) SELECT i0, i1, n, CAST(SUM(n) OVER (ORDER BY i0, i1 ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS start FROM g")
+def fibers(spark, sf):
+    return layout.fibers(t3b(spark, sf), 2)
+
+
+# --- products -----------------------------------------------------------------
+
+
+@query(f"WITH t AS ({T3_SQL}) SELECT CAST(0 AS BIGINT) AS i0, i1, i2, SUM(val * (i0 % 7 + 1)) AS val FROM t GROUP BY i1, i2")
+def ttv(spark, sf):
+    t = t3(spark, sf)
+    v = vectors.Vector(spark.range(t.dims[0]).select(F.col("id").alias("i"), (F.col("id") % 7 + 1).cast("double").alias("val")), t.dims[0])
+    return t.ttv(v, 0).df
+
+
+TTM = f"WITH t AS ({T3B_SQL}) SELECT i0, i1, CAST(r AS BIGINT) AS r, SUM(val * (i2 + r + 1)) AS val FROM t, {RS} rs GROUP BY i0, i1, r"
+
+
+@query(TTM)
+def ttm(spark, sf):
+    t = t3b(spark, sf)
+    return _semi(t.ttm(dense.ramp(spark, t.dims[2], RANK), 2))
+
+
+@query(TTM)
+def ttm_hicoo(spark, sf):
+    t = t3b(spark, sf)
+    return _semi(t.to_hicoo(3, 6).ttm_hicoo(dense.ramp(spark, t.dims[2], RANK), 2))
+
+
+@query(f"WITH t AS ({T3B_SQL}), y AS (SELECT i0, i1, q.r AS q, SUM(val * (i2 + q.r + 1)) AS val FROM t, {RS} q GROUP BY 1, 2, 3) SELECT i0, i1, CAST(s.r AS BIGINT) AS r, SUM(val * (q + s.r + 1)) AS val FROM y, {RS} s GROUP BY i0, i1, s.r")
+def ttm_semisparse(spark, sf):
+    t = t3b(spark, sf)
+    return _semi(t.ttm(dense.ramp(spark, t.dims[2], RANK), 2).ttm_semi_sparse(dense.ramp(spark, RANK, RANK), 2))
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT i0, CAST(a.r AS BIGINT) AS i1, CAST(b.r AS BIGINT) AS i2, SUM(val * (i1 + a.r + 1) * (i2 + b.r + 1)) AS val FROM t, {RS} a, {RS} b GROUP BY i0, a.r, b.r")
+def ttm_chain(spark, sf):
+    t = t3b(spark, sf)
+    return t.ttm_chain({1: dense.ramp(spark, t.dims[1], RANK), 2: dense.ramp(spark, t.dims[2], RANK)}).df
+
+
+def _mttkrp_sql(base: str, mode: int, modes: int, domain: str) -> str:
+    weights = " * ".join(f"(t.i{k} + r + 1)" for k in range(modes) if k != mode)
+    return f"WITH t AS ({base}), d AS ({domain}) SELECT d.i, CAST(r AS BIGINT) AS r, COALESCE(SUM(t.val * {weights}), 0) AS val FROM d CROSS JOIN {RS} rs LEFT JOIN t ON t.i{mode} = d.i GROUP BY d.i, r"
+
+
+ORDERS, PARTS, SUPPLIERS = "SELECT o_orderkey AS i FROM orders", "SELECT p_partkey AS i FROM part", "SELECT s_suppkey AS i FROM supplier"
+
+
+@query(_mttkrp_sql(T3_SQL, 0, 3, ORDERS))
+def mttkrp_mode0(spark, sf):
+    t = t3(spark, sf)
+    return _long(t.mttkrp(ramps(spark, t.dims), 0))
+
+
+@query(_mttkrp_sql(T3_SQL, 1, 3, PARTS))
+def mttkrp_mode1(spark, sf):
+    t = t3(spark, sf)
+    return _long(t.mttkrp(ramps(spark, t.dims), 1))
+
+
+@query(_mttkrp_sql(T3_SQL, 2, 3, SUPPLIERS))
+def mttkrp_mode2(spark, sf):
+    t = t3(spark, sf)
+    return _long(t.mttkrp(ramps(spark, t.dims), 2))
+
+
+@query(_mttkrp_sql(T4_SQL, 1, 4, SUPPLIERS))
+def mttkrp_4d(spark, sf):
+    t = t4(spark, sf)
+    return _long(t.mttkrp(ramps(spark, t.dims), 1))
+
+
+@query(_mttkrp_sql(T3_SQL, 1, 3, PARTS))
+def mttkrp_hicoo(spark, sf):
+    t = t3(spark, sf)
+    return _long(t.to_hicoo(7, 10).mttkrp(ramps(spark, t.dims), 1))
+
+
+@query(f"WITH t AS ({T3B_SQL}), x AS (SELECT * FROM t WHERE i0 < 60), y AS ({M_SQL}) SELECT x.i0, x.i2 AS i1, y.i AS i2, SUM(x.val * y.val) AS val FROM x JOIN y ON x.i1 = y.j WHERE y.i < 60 GROUP BY 1, 2, 3")
+def contract(spark, sf):
+    t, m = t3b(spark, sf), m2(spark, sf).as_tensor()
+    x = t.slice([0, 0, 0], [60, t.dims[1], t.dims[2]])
+    return x.contract(m.slice([0, 0], [60, m.dims[1]]), [1], [1]).df
+
+
+PAIR = f"WITH t AS ({T3B_SQL}), a AS (SELECT * FROM t WHERE i0 < 12), b AS (SELECT * FROM t WHERE i0 >= 20 AND i0 < 30) "
+COUNTS = "(SELECT COUNT(*) FROM part) AS np, (SELECT COUNT(*) FROM supplier) AS ns"
+
+
+def _pair(spark, sf):
+    t = t3b(spark, sf)
+    return t.slice([0, 0, 0], [12, *t.dims[1:]]), t.slice([20, 0, 0], [30, *t.dims[1:]])
+
+
+@query(PAIR + f"SELECT a.i0 * np + b.i0 AS i0, a.i1 * ns + b.i1 AS i1, a.i2 * 7 + b.i2 AS i2, a.val * b.val AS val FROM a, b, (SELECT {COUNTS}) n")
+def kronecker(spark, sf):
+    a, b = _pair(spark, sf)
+    return a.kronecker(b).df
+
+
+@query(PAIR + f"SELECT a.i0 * np + b.i0 AS i0, a.i1 * ns + b.i1 AS i1, a.i2, a.val * b.val AS val FROM a JOIN b ON a.i2 = b.i2, (SELECT {COUNTS}) n")
+def khatri_rao(spark, sf):
+    a, b = _pair(spark, sf)
+    return a.khatri_rao(b).df
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT i1 AS i, i2 * np + i0 AS j, val FROM t, (SELECT COUNT(*) AS np FROM part) n")
+def matricize_row(spark, sf):
+    return t3b(spark, sf).matricize(1).df
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT i2 * np + i0 AS i, i1 AS j, val FROM t, (SELECT COUNT(*) AS np FROM part) n")
+def matricize_col(spark, sf):
+    return t3b(spark, sf).matricize(1, 0).df
+
+
+SPMV = f"WITH m AS ({M_SQL}) SELECT p.p_partkey AS i, COALESCE(SUM(m.val * (m.j + 1)), 0) AS val FROM part p LEFT JOIN m ON m.i = p.p_partkey GROUP BY 1"
+SPMM = f"WITH m AS ({M_SQL}) SELECT p.p_partkey AS i, CAST(r AS BIGINT) AS r, COALESCE(SUM(m.val * (m.j + r + 1)), 0) AS val FROM part p CROSS JOIN {RS} rs LEFT JOIN m ON m.i = p.p_partkey GROUP BY 1, r"
+
+
+def _spmv(spark, sf, kind):
+    a = m2(spark, sf)
+    x = vectors.Vector(spark.range(a.ncols).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("val")), a.ncols)
+    return a.convert(kind, sb_bits=5, sk_bits=8).multiply_vector(x).df
+
+
+def _spmm(spark, sf, kind):
+    a = m2(spark, sf)
+    return _long(a.convert(kind, sb_bits=5, sk_bits=8).multiply_matrix(dense.ramp(spark, a.ncols, RANK)))
+
+
+def _register(name: str, sql: str, make, kind: str) -> None:
+    QUERIES[name], ORACLE_SQL[name] = (lambda spark, sf: make(spark, sf, kind)), sql
+
+
+for _kind in ("coo", "csr", "hicoo"):
+    _register(f"spmv_{_kind}", SPMV, _spmv, _kind)
+    _register(f"spmm_{_kind}", SPMM, _spmm, _kind)
+
+
+# --- layouts ------------------------------------------------------------------
+
+
+@query(f"WITH m AS ({M_SQL}), n AS (SELECT p.p_partkey AS i, COUNT(m.i) AS n FROM part p LEFT JOIN m ON m.i = p.p_partkey GROUP BY 1) SELECT i, CAST(SUM(n) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS rowptr, n FROM n")
+def to_csr_rowptr(spark, sf):
+    return m2(spark, sf).to_csr().df.select("i", "rowptr", F.size("cols").cast("long").alias("n"))
+
+
+@query(f"WITH t AS ({T3B_SQL}), f AS (SELECT DISTINCT i0, i1 FROM t), k AS (SELECT DISTINCT CAST(l_linenumber - 1 AS BIGINT) AS r FROM lineitem) SELECT f.i0, f.i1, k.r, COALESCE(t.val, 0) AS val FROM f CROSS JOIN k LEFT JOIN t ON t.i0 = f.i0 AND t.i1 = f.i1 AND t.i2 = k.r")
+def to_semisparse(spark, sf):
+    return _semi(t3b(spark, sf).to_semi_sparse(2))
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT * FROM t WHERE val >= 30")
+def from_semisparse(spark, sf):
+    return t3b(spark, sf).to_semi_sparse(2).to_coo(30.0).df
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT * FROM t")
+def semisparse_set_mode(spark, sf):
+    return t3b(spark, sf).to_semi_sparse(2).set_mode(1).to_coo(0.0).df
+
+
+@query(f"WITH m AS ({M_SQL}) SELECT p.p_partkey AS i, s.s_suppkey AS r, COALESCE(m.val, 0) AS val FROM part p CROSS JOIN supplier s LEFT JOIN m ON m.i = p.p_partkey AND m.j = s.s_suppkey WHERE p.p_partkey < 200")
+def to_dense(spark, sf):
+    return _long(m2(spark, sf).convert("dense")).filter("i < 200")
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT i0 // 8 AS b0, i1 // 8 AS b1, i2 // 8 AS b2, i0 // 64 AS k0, i1 // 64 AS k1, i2 // 64 AS k2, COUNT(*) AS nnz, SUM(val) AS total FROM t GROUP BY 1, 2, 3, 4, 5, 6")
+def to_hicoo_blocks(spark, sf):
+    h = t3b(spark, sf).to_hicoo(3, 6)
+    total = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["val"])
+    return h.df.select(*[f"b{m}" for m in range(3)], *[f"k{m}" for m in range(3)], F.size("entries").cast("long").alias("nnz"), total.alias("total"))
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT * FROM t")
+def from_hicoo(spark, sf):
+    return t3b(spark, sf).to_hicoo(3, 6).to_coo().df
+
+
+@query(f"WITH m AS ({M_SQL}) SELECT i // 32 AS bi, j // 32 AS bj, COUNT(*) AS nnz FROM m GROUP BY 1, 2")
+def hicoo_matrix_blocks(spark, sf):
+    return m2(spark, sf).to_hicoo(5, 8).df.select("bi", "bj", F.size("entries").cast("long").alias("nnz"))
+
+
+@query(f"WITH t AS ({T3B_SQL}), b AS (SELECT i0 // 64 AS k0, i1 // 64 AS k1, i0 // 8 AS b0, i1 // 8 AS b1, COUNT(*) AS n FROM t GROUP BY 1, 2, 3, 4), k AS (SELECT k0, k1, SUM(n) AS kn FROM b GROUP BY 1, 2) SELECT (SELECT COUNT(*) FROM b) AS nb, (SELECT COUNT(*) FROM k) AS nk, CAST((SELECT SUM(n) FROM b) AS BIGINT) AS nnz, CAST((SELECT MAX(kn) FROM k) AS BIGINT) AS max_nnzk, CAST((SELECT MIN(kn) FROM k) AS BIGINT) AS min_nnzk, (SELECT MAX(n) FROM b) AS max_nnzb, (SELECT MIN(n) FROM b) AS min_nnzb")
+def hicoo_status(spark, sf):
+    found = t3b(spark, sf).to_hicoo(3, 6).hicoo_status()
+    return found.select(*[F.col(c).cast("long").alias(c) for c in ("nb", "nk", "nnz", "max_nnzk", "min_nnzk", "max_nnzb", "min_nnzb")])
+
+
+# --- keys and orders ----------------------------------------------------------
+
+Z = " + ".join(f"((i{m} >> {b}) & 1) * {1 << (3 * b + 2 - m)}" for m in range(3) for b in range(18))
+
+
+@query(f"WITH t AS ({T3_SQL}) SELECT i0, i1, i2, CAST({Z} AS BIGINT) AS z FROM t")
+def morton_key_3d(spark, sf):
+    return t3(spark, sf).df.select("i0", "i1", "i2", bits.morton_key([F.col(f"i{m}") for m in range(3)], 18).alias("z"))
+
+
+@query(f"WITH t AS ({T3_SQL}) SELECT i0, i1, i2, val, i0 // 128 AS k0, i1 // 128 AS k1, i2 // 128 AS k2 FROM t")
+def rowblock_key(spark, sf):
+    return t3(spark, sf).row_block_key(7)
+
+
+ZIN = " + ".join(f"((i{m} >> {b}) & 1) * {1 << (3 * b + 2 - m)}" for m in range(3) for b in range(6))
+
+
+@query(f"WITH t AS ({T3B_SQL}), z AS (SELECT *, {ZIN} AS z FROM t) SELECT i0, i1, i2, ROW_NUMBER() OVER (ORDER BY i0 // 64, i1 // 64, i2 // 64, z) - 1 AS rn FROM z")
+def mixed_order(spark, sf):
+    from tensorloom.operators.sorting import mixed_order_keys
+
+    t = t3b(spark, sf)
+    return row_numbers(t.df.select(*t.modes), mixed_order_keys(t, 3, 6))
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT i0, i1, i2, ROW_NUMBER() OVER (ORDER BY i1, i2, i0) - 1 AS rn FROM t")
+def sort_custom_order(spark, sf):
+    t = t3b(spark, sf)
+    return row_numbers(t.df.select(*t.modes), [F.col("i1"), F.col("i2"), F.col("i0")])
+
+
+# --- norms, statistics, dense algebra ------------------------------------------
+
+
+@query(f"WITH t AS ({T3_SQL}) SELECT SUM(val * val) AS norm_sq, SQRT(SUM(val * val)) AS norm FROM t")
+def frob_norm_sq(spark, sf):
+    t = t3(spark, sf)
+    return t.df.agg(F.sum(F.col("val") * F.col("val")).alias("norm_sq")).select("norm_sq", F.sqrt("norm_sq").alias("norm"))
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT COUNT(*) AS nnz, COUNT(*) * 32 AS bytes, (SELECT COUNT(*) FROM part) AS d0, (SELECT COUNT(*) FROM supplier) AS d1, CAST(7 AS BIGINT) AS d2 FROM t")
+def status_coo(spark, sf):
+    st = t3b(spark, sf).status()
+    return _rows(spark, [(st["nnz"], st["bytes"], *st["dims"])], "nnz long, bytes long, d0 long, d1 long, d2 long")
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT ROUND(COUNT(*) / ((SELECT COUNT(*) FROM part) * (SELECT COUNT(*) FROM supplier) * 7.0), 9) AS density FROM t")
+def density(spark, sf):
+    return _rows(spark, [(round(t3b(spark, sf).density(), 9),)], "density double")
+
+
+def _factor(spark, sf):
+    return dense.ramp(spark, table(spark, sf, "part").count(), RANK)
+
+
+@query(f"SELECT CAST(a.r AS BIGINT) AS p, CAST(b.r AS BIGINT) AS q, CAST(SUM((p_partkey + a.r + 1) * (p_partkey + b.r + 1)) AS DOUBLE) AS val FROM part, {RS} a, {RS} b GROUP BY a.r, b.r")
+def gram(spark, sf):
+    g = dense.gram(_factor(spark, sf))
+    return _rows(spark, [(p, q, float(g[p, q])) for p in range(RANK) for q in range(RANK)], "p long, q long, val double")
+
+
+@query(f"SELECT CAST(r AS BIGINT) AS r, ROUND(SQRT(CAST(SUM((p_partkey + r + 1) * (p_partkey + r + 1)) AS DOUBLE)), 6) AS norm FROM part, {RS} rs GROUP BY r")
+def col_norm2(spark, sf):
+    return _rows(spark, [(r, round(v, 6)) for r, v in enumerate(dense.normalize_2norm(_factor(spark, sf))[1])], "r long, norm double")
+
+
+@query(f"SELECT CAST(r AS BIGINT) AS r, CAST(GREATEST(1, MAX(p_partkey + r + 1)) AS DOUBLE) AS norm FROM part, {RS} rs GROUP BY r")
+def col_maxnorm(spark, sf):
+    return _rows(spark, list(enumerate(dense.normalize_maxnorm(_factor(spark, sf))[1])), "r long, norm double")
+
+
+@query(f"SELECT p_partkey AS i, CAST(r AS BIGINT) AS r, CAST((p_partkey + r + 1) * (p_partkey + r + 1) AS DOUBLE) AS val FROM part, {RS} rs")
+def matrix_hadamard(spark, sf):
+    a = _factor(spark, sf)
+    return _long(a.hadamard(a))
+
+
+@query(f"SELECT p_partkey AS i, CAST(r AS BIGINT) AS r, CAST(p_partkey + r + 1 AS DOUBLE) AS val FROM part, {RS} rs")
+def matrix_ramp(spark, sf):
+    return _long(_factor(spark, sf))
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT CAST(r AS BIGINT) AS r, SUM(val * (i0 + r + 1) * (i1 + r + 1) * (i2 + r + 1)) AS val FROM t, {RS} rs GROUP BY r")
+def kruskal_inner(spark, sf):
+    t = t3b(spark, sf)
+    factors = ramps(spark, t.dims)
+    product = t.mttkrp(factors, 2)
+    both = dense.hadamard(factors[2], product)
+    return _long(both).groupBy("r").agg(F.sum("val").alias("val"))
+
+
+@query(f"WITH g0 AS (SELECT a.r AS p, b.r AS q, CAST(SUM((p_partkey + a.r + 1) * (p_partkey + b.r + 1)) AS DOUBLE) AS v FROM part, {RS} a, {RS} b GROUP BY 1, 2), g1 AS (SELECT a.r AS p, b.r AS q, CAST(SUM((s_suppkey + a.r + 1) * (s_suppkey + b.r + 1)) AS DOUBLE) AS v FROM supplier, {RS} a, {RS} b GROUP BY 1, 2) SELECT SUM(g0.v * g1.v) AS norm_sq FROM g0 JOIN g1 ON g0.p = g1.p AND g0.q = g1.q")
+def kruskal_norm(spark, sf):
+    grams = [dense.gram(f) for f in ramps(spark, [table(spark, sf, n).count() for n in ("part", "supplier")])]
+    return _rows(spark, [(cpd.kruskal_norm_sq([1.0] * RANK, grams),)], "norm_sq double")
+
+
+@query("WITH c AS (SELECT vec_id, UNNEST(embedding) AS v FROM embeddings) SELECT vec_id, CAST(COUNT(*) AS BIGINT) AS n, ROUND(SUM(CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), 4) AS norm_sq FROM c GROUP BY 1")
+def dense_row_norms(spark, sf):
+    e = table(spark, sf, "embeddings")
+    a = dense.from_array_column(e, "vec_id", "embedding", 0, 64)
+    square = F.aggregate("row", F.lit(0.0), lambda s, v: s + v * v)
+    return a.df.select(F.col("i").alias("vec_id"), F.size("row").cast("long").alias("n"), F.round(square, 4).alias("norm_sq"))
+
+
+@query("SELECT user_id AS i0, CAST(DENSE_RANK() OVER (ORDER BY event_type) - 1 AS BIGINT) AS i1, val FROM (SELECT user_id, event_type, CAST(COUNT(*) AS DOUBLE) AS val FROM events GROUP BY 1, 2) e")
+def events_tensor(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type")
+    types = row_numbers(e.select("event_type").distinct(), [F.col("event_type")], "kind")
+    users = e.agg(F.max("user_id")).first()[0] + 1
+    own = e.join(F.broadcast(types), "event_type")  # a row an event type
+    return SparseTensor.from_table(own, ["user_id", "kind"], "1", (users, types.count())).df
+
+
+# --- relabelling ----------------------------------------------------------------
+
+
+def _affine(spark, dim, step):
+    return spark.range(dim).select(F.col("id").alias("old"), ((F.col("id") * step + 3) % dim).alias("new"))
+
+
+def _maps(spark, dims):
+    from math import gcd
+
+    return [_affine(spark, d, next(s for s in (7, 11, 13, 17, 19) if gcd(s, d) == 1)) for d in dims[:2]] + [reorder.identity_map(spark, d) for d in dims[2:]]
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT (i0 * 7 + 3) % np AS i0, (i1 * 7 + 3) % ns AS i1, i2, val FROM t, (SELECT {COUNTS}) n")
+def relabel(spark, sf):
+    t = t3b(spark, sf)
+    return t.relabel(_maps(spark, t.dims)).df
+
+
+@query(f"WITH t AS ({T3B_SQL}) SELECT * FROM t")
+def inverse_map(spark, sf):
+    t = t3b(spark, sf)
+    maps = _maps(spark, t.dims)
+    return t.relabel(maps).relabel(reorder.inverse_maps(maps)).df
+
+
+@query(
+    f"WITH t AS ({T3B_SQL}), r AS (SELECT i1, i2, ROW_NUMBER() OVER (ORDER BY i1, i2) - 1 AS rid FROM (SELECT DISTINCT i1, i2 FROM t) d), "
+    "l AS (SELECT t.i0, list_append(list(rid ORDER BY rid), 9223372036854775807) AS k FROM t JOIN r ON t.i1 = r.i1 AND t.i2 = r.i2 GROUP BY 1) "
+    "SELECT p.p_partkey AS old, ROW_NUMBER() OVER (ORDER BY COALESCE(l.k, [9223372036854775807]), p.p_partkey) - 1 AS new FROM part p LEFT JOIN l ON l.i0 = p.p_partkey"
+)
+def lexi_order(spark, sf):
+    return reorder.lexi_map(t3b(spark, sf), 0)
+
+
+# --- what SQL does not express ----------------------------------------------------
+
+
+@query()
+def random_shuffle(spark, sf):
+    return reorder.random_map(spark, table(spark, sf, "part").count(), 7)
+
+
+@query()
+def split(spark, sf):
+    t = t3b(spark, sf)
+    return t.split_bounds([5000, 0, 0])
+
+
+@query()
+def distribute(spark, sf):
+    return t3b(spark, sf).distribute(8)
+
+
+@query()
+def bfs_order(spark, sf):
+    t = t3b(spark, sf)
+    maps = t.slice([0, 0, 0], [200, *t.dims[1:]]).bfs_order()
+    return maps[0]
+
+
+@query()
+def cpd_als(spark, sf):
+    k = cpd.cp_als(t3b(spark, sf), 3, niters=3, seed=1)
+    return _rows(spark, [(i, float(f)) for i, f in enumerate(k.trace)], "iteration long, fit double")
+
+
+@query()
+def tucker(spark, sf):
+    t = t3b(spark, sf)
+    small = SparseTensor(t.slice([0, 0, 0], [60, *t.dims[1:]]).df, (60, *t.dims[1:]))
+    core, _, _ = cpd.tucker(small, (2, 2, 2), 1)
+    return core.df

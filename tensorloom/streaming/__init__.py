@@ -1,0 +1 @@
+"""Nothing here: the operators are batch operators, and none of them has a streaming form to match."""
