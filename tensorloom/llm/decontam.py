@@ -13,8 +13,8 @@
 
 Items are held by each task; they are taken in blocks of at most BLOCK bytes
 of text, one run of the passes each, so that what is sent stays bounded.
-Words are runs of letters and digits, A-Z as a-z; order and case of other
-characters count.
+Words are runs of letters and digits; case is ignored where UTF-8 takes one
+or two bytes a character (Latin, Greek, Cyrillic).
 
 Cases: null or wordless texts and items match nothing. An item of fewer words
 than an n-gram must occur whole. Repeated rows and repeated items each have

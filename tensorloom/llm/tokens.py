@@ -9,9 +9,34 @@ _BYTES = np.arange(256)
 WORD = (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122))
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
 VALUE = np.where(WORD, (LOWER + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+
+
+def _pairs() -> np.ndarray:
+    """Two-byte characters (first byte high) with their lower-case forms, where these have two bytes too."""
+    table = np.arange(1 << 16, dtype=np.uint16)
+    for c in range(0x80, 0x800):
+        small = chr(c).lower().encode()
+        if len(small) == 2:
+            table[int.from_bytes(chr(c).encode(), "big")] = int.from_bytes(small, "big")
+    return table
+
+
+PAIRS = _pairs()
 _powers = np.ones(1, np.uint64)
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Characters of two bytes in lower case; the others as they are."""
+    lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    lead = lead[lead < len(data) - 1]
+    if not len(lead):
+        return data
+    pair = PAIRS[data[lead].astype(np.uint16) << 8 | data[lead + 1]]
+    out = data.copy()
+    out[lead], out[lead + 1] = pair >> 8, pair & 0xFF
+    return out
+
+
 def powers(n: int) -> np.ndarray:
     """The first n powers of an odd factor modulo 2 ** 64."""
     global _powers
@@ -29,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def words(data: np.ndarray, at: np.ndarray):
-    """Hash, begin, end and text (index) of each word; ``at``: the texts' offsets. A-Z counts as a-z."""
+    """Hash, begin, end and text (index) of each word; ``at``: the texts' offsets. Case is ignored for characters of one or two bytes."""
     none = np.zeros(0, np.int64)
     if not len(data):
         return none.astype(np.uint64), none, none, none
@@ -50,7 +75,7 @@ def words(data: np.ndarray, at: np.ndarray):
     size = end - begin
     place = np.arange(len(data)) - np.repeat(np.r_[0, begin], np.diff(np.r_[0, begin, len(data)]))
     place[~inside] = 0
-    value = VALUE[data] * powers(int(size.max()))[place]
+    value = VALUE[folded(data)] * powers(int(size.max()))[place]
     return mix(np.add.reduceat(value, begin)), begin, end, np.searchsorted(at, begin, "right") - 1
 
 
