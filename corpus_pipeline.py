@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tensorloom.llm import bpe, common, decontam, langid, linedup, simhash
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Below this kernel score a text is in no known language.
+LEAST_SCORE = 0.15
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_known(docs)
+    return langid.keep_known(docs, LEAST_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
