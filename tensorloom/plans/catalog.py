@@ -144,7 +144,7 @@ def fibers(spark, sf):
 
 @query(f"WITH t AS ({T3_SQL}) SELECT CAST(0 AS BIGINT) AS i0, i1, i2, SUM(val * (i0 % 7 + 1)) AS val FROM t GROUP BY i1, i2")
 def ttv(spark, sf):
-    t = t3(spark, sf)
+    t = t3(spark, sf, coalesce=False)
     v = vectors.Vector(spark.range(t.dims[0]).select(F.col("id").alias("i"), (F.col("id") % 7 + 1).cast("double").alias("val")), t.dims[0])
     return t.ttv(v, 0).df
 
@@ -154,7 +154,7 @@ TTM = f"WITH t AS ({T3B_SQL}) SELECT i0, i1, CAST(r AS BIGINT) AS r, SUM(val * (
 
 @query(TTM)
 def ttm(spark, sf):
-    t = t3b(spark, sf)
+    t = t3b(spark, sf, coalesce=False)
     return _semi(t.ttm(dense.ramp(spark, t.dims[2], RANK), 2))
 
 
@@ -166,13 +166,13 @@ def ttm_hicoo(spark, sf):
 
 @query(f"WITH t AS ({T3B_SQL}), y AS (SELECT i0, i1, q.r AS q, SUM(val * (i2 + q.r + 1)) AS val FROM t, {RS} q GROUP BY 1, 2, 3) SELECT i0, i1, CAST(s.r AS BIGINT) AS r, SUM(val * (q + s.r + 1)) AS val FROM y, {RS} s GROUP BY i0, i1, s.r")
 def ttm_semisparse(spark, sf):
-    t = t3b(spark, sf)
+    t = t3b(spark, sf, coalesce=False)
     return _semi(t.ttm(dense.ramp(spark, t.dims[2], RANK), 2).ttm_semi_sparse(dense.ramp(spark, RANK, RANK), 2))
 
 
 @query(f"WITH t AS ({T3B_SQL}) SELECT i0, CAST(a.r AS BIGINT) AS i1, CAST(b.r AS BIGINT) AS i2, SUM(val * (i1 + a.r + 1) * (i2 + b.r + 1)) AS val FROM t, {RS} a, {RS} b GROUP BY i0, a.r, b.r")
 def ttm_chain(spark, sf):
-    t = t3b(spark, sf)
+    t = t3b(spark, sf, coalesce=False)
     return t.ttm_chain({1: dense.ramp(spark, t.dims[1], RANK), 2: dense.ramp(spark, t.dims[2], RANK)}).df
 
 
@@ -186,25 +186,25 @@ ORDERS, PARTS, SUPPLIERS = "SELECT o_orderkey AS i FROM orders", "SELECT p_partk
 
 @query(_mttkrp_sql(T3_SQL, 0, 3, ORDERS))
 def mttkrp_mode0(spark, sf):
-    t = t3(spark, sf)
+    t = t3(spark, sf, coalesce=False)
     return _long(t.mttkrp(ramps(spark, t.dims), 0))
 
 
 @query(_mttkrp_sql(T3_SQL, 1, 3, PARTS))
 def mttkrp_mode1(spark, sf):
-    t = t3(spark, sf)
+    t = t3(spark, sf, coalesce=False)
     return _long(t.mttkrp(ramps(spark, t.dims), 1))
 
 
 @query(_mttkrp_sql(T3_SQL, 2, 3, SUPPLIERS))
 def mttkrp_mode2(spark, sf):
-    t = t3(spark, sf)
+    t = t3(spark, sf, coalesce=False)
     return _long(t.mttkrp(ramps(spark, t.dims), 2))
 
 
 @query(_mttkrp_sql(T4_SQL, 1, 4, SUPPLIERS))
 def mttkrp_4d(spark, sf):
-    t = t4(spark, sf)
+    t = t4(spark, sf, coalesce=False)
     return _long(t.mttkrp(ramps(spark, t.dims), 1))
 
 
@@ -216,7 +216,7 @@ def mttkrp_hicoo(spark, sf):
 
 @query(f"WITH t AS ({T3B_SQL}), x AS (SELECT * FROM t WHERE i0 < 60), y AS ({M_SQL}) SELECT x.i0, x.i2 AS i1, y.i AS i2, SUM(x.val * y.val) AS val FROM x JOIN y ON x.i1 = y.j WHERE y.i < 60 GROUP BY 1, 2, 3")
 def contract(spark, sf):
-    t, m = t3b(spark, sf), m2(spark, sf).as_tensor()
+    t, m = t3b(spark, sf, coalesce=False), m2(spark, sf, coalesce=False).as_tensor()
     x = t.slice([0, 0, 0], [60, t.dims[1], t.dims[2]])
     return x.contract(m.slice([0, 0], [60, m.dims[1]]), [1], [1]).df
 
@@ -257,13 +257,13 @@ SPMM = f"WITH m AS ({M_SQL}) SELECT p.p_partkey AS i, CAST(r AS BIGINT) AS r, CO
 
 
 def _spmv(spark, sf, kind):
-    a = m2(spark, sf)
+    a = m2(spark, sf, coalesce=False)
     x = vectors.Vector(spark.range(a.ncols).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("val")), a.ncols)
     return a.convert(kind, sb_bits=5, sk_bits=8).multiply_vector(x).df
 
 
 def _spmm(spark, sf, kind):
-    a = m2(spark, sf)
+    a = m2(spark, sf, coalesce=False)
     return _long(a.convert(kind, sb_bits=5, sk_bits=8).multiply_matrix(dense.ramp(spark, a.ncols, RANK)))
 
 
@@ -412,7 +412,7 @@ def matrix_ramp(spark, sf):
 
 @query(f"WITH t AS ({T3B_SQL}) SELECT CAST(r AS BIGINT) AS r, SUM(val * (i0 + r + 1) * (i1 + r + 1) * (i2 + r + 1)) AS val FROM t, {RS} rs GROUP BY r")
 def kruskal_inner(spark, sf):
-    t = t3b(spark, sf)
+    t = t3b(spark, sf, coalesce=False)
     factors = ramps(spark, t.dims)
     product = t.mttkrp(factors, 2)
     both = dense.hadamard(factors[2], product)

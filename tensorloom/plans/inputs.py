@@ -2,7 +2,8 @@
 
 Coordinates are 0-based keys, values are summed quantities: whole numbers,
 whose sums and products are exact. Shapes come from the dimension tables' row
-counts.
+counts. Linear products sum equal coordinates anyway: they take the rows as
+they come (``coalesce=False``) and save a shuffle.
 """
 
 from __future__ import annotations
@@ -37,30 +38,30 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem")
 
 
-def t3(spark: SparkSession, sf_dir: str) -> SparseTensor:
+def t3(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseTensor:
     """order x part x supplier."""
     dims = [size(spark, sf_dir, n) for n in ("orders", "part", "supplier")]
-    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_orderkey", "l_partkey", "l_suppkey"], "l_quantity", dims)
+    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_orderkey", "l_partkey", "l_suppkey"], "l_quantity", dims, coalesce)
 
 
-def t3b(spark: SparkSession, sf_dir: str) -> SparseTensor:
+def t3b(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseTensor:
     """part x supplier x line."""
     dims = [size(spark, sf_dir, n) for n in ("part", "supplier")]
-    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", "l_linenumber - 1"], "l_quantity", (*dims, LINES))
+    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", "l_linenumber - 1"], "l_quantity", (*dims, LINES), coalesce)
 
 
-def t4(spark: SparkSession, sf_dir: str) -> SparseTensor:
+def t4(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseTensor:
     """part x supplier x line x return flag."""
     dims = [size(spark, sf_dir, n) for n in ("part", "supplier")]
     flag = F.array_position(F.array(*map(F.lit, FLAGS)), F.col("l_returnflag")) - 1
     flag = F.when(flag < 0, len(FLAGS) - 1).otherwise(flag)
-    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", "l_linenumber - 1", flag], "l_quantity", (*dims, LINES, len(FLAGS)))
+    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", "l_linenumber - 1", flag], "l_quantity", (*dims, LINES, len(FLAGS)), coalesce)
 
 
-def m2(spark: SparkSession, sf_dir: str) -> SparseMatrix:
+def m2(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseMatrix:
     """part x supplier."""
     dims = [size(spark, sf_dir, n) for n in ("part", "supplier")]
-    t = SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey"], "l_quantity", dims)
+    t = SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey"], "l_quantity", dims, coalesce)
     return SparseMatrix(t.df.select(F.col("i0").alias("i"), F.col("i1").alias("j"), "val"), *dims)
 
 
