@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -40,6 +41,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As cut, with the rows dealt by ``key`` once: later joins on it read the buckets without moving them."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{named}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(named)
+    return spark.table(named)
+
+
+#: A key with more than one in so many of all rows is hot: there are fewer hot keys than this.
+HOT_KEYS = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join on ``key`` with a side that has each key once and, in ``count``, its rows on the left.
+
+    Hot keys, fewer than HOT_KEYS by their definition, are broadcast; the rows
+    of the others, none of which holds much of the whole, are shuffled.
+    """
+    limit = max(1, total // HOT_KEYS)
+    hot = F.broadcast(right.filter(F.col(count) > limit))
+    cold = left.join(F.broadcast(right.filter(F.col(count) > limit).select(key)), key, "left_anti").join(right.filter(F.col(count) <= limit), key)
+    return left.join(hot, key).unionByName(cold)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
