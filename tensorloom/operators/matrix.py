@@ -73,13 +73,11 @@ def multiply_vector(a: AnyMatrix, x: Vector, y0: Vector | None = None) -> Vector
         raise ShapeMismatchError(f"{a.ncols} columns, vector of {x.size}")
     own = to_coo(a).df.join(x.small().select(F.col("i").alias("j"), F.col("val").alias("_x")), "j")
     sums = own.select("i", (F.col("val") * F.col("_x")).alias("val"))
-    if y0 is not None:
-        if y0.size != a.nrows:
-            raise ShapeMismatchError(f"{a.nrows} rows, addend of {y0.size}")
-        sums = sums.unionByName(y0.df)
-    sums = sums.groupBy("i").agg(F.sum("val").alias("val"))
-    full = a.df.sparkSession.range(a.nrows).select(F.col("id").alias("i")).join(sums, "i", "left")
-    return Vector(full.select("i", F.coalesce("val", F.lit(0.0)).alias("val")), a.nrows)
+    if y0 is not None and y0.size != a.nrows:
+        raise ShapeMismatchError(f"{a.nrows} rows, addend of {y0.size}")
+    # The addend, or zeros, join the aggregation: every row is there without a join.
+    rest = a.df.sparkSession.range(a.nrows).select(F.col("id").alias("i"), F.lit(0.0).alias("val")) if y0 is None else y0.df
+    return Vector(sums.unionByName(rest).groupBy("i").agg(F.sum("val").alias("val")), a.nrows)
 
 
 def multiply_matrix(a: AnyMatrix, b: DenseMatrix, c0: DenseMatrix | None = None) -> DenseMatrix:
@@ -91,9 +89,8 @@ def multiply_matrix(a: AnyMatrix, b: DenseMatrix, c0: DenseMatrix | None = None)
         if (c0.nrows, c0.ncols) != (a.nrows, b.ncols):
             raise ShapeMismatchError(f"addend of {c0.nrows} x {c0.ncols}")
         own = own.unionByName(c0.df.select("i", F.lit(1.0).alias("val"), "row"))
-    sums = rank_sums(own, ["i"], lambda r: F.col("val") * F.get("row", F.lit(r)), b.ncols, "row")
-    full = a.df.sparkSession.range(a.nrows).select(F.col("id").alias("i")).join(sums, "i", "left")
-    return DenseMatrix(full.select("i", F.coalesce("row", F.array(*[F.lit(0.0)] * b.ncols)).alias("row")), a.nrows, b.ncols)
+    every = a.df.sparkSession.range(a.nrows).select(F.col("id").alias("i"))
+    return DenseMatrix(rank_sums(own, ["i"], lambda r: F.col("val") * F.get("row", F.lit(r)), b.ncols, "row", every), a.nrows, b.ncols)
 
 
 def multiply_vector_buff(a: AnyMatrix, x: Vector, y0: Vector | None = None) -> Vector:

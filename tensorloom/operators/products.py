@@ -29,16 +29,20 @@ from tensorloom.types import (
 UNROLL = 64
 
 
-def rank_sums(df: DataFrame, keys: list[str], terms, rank: int, name: str) -> DataFrame:
-    """Sum ``terms(r)`` by the keys for each r into an array column."""
-    if rank <= UNROLL:
-        sums = df.groupBy(*keys).agg(*[F.sum(terms(r)).alias(f"_s{r}") for r in range(rank)])
-        return sums.select(*keys, F.array(*[F.col(f"_s{r}") for r in range(rank)]).alias(name))
-    parts = [list(range(a, min(a + UNROLL, rank))) for a in range(0, rank, UNROLL)]
+def rank_sums(df: DataFrame, keys: list[str], terms, rank: int, name: str, every: DataFrame | None = None) -> DataFrame:
+    """Sum ``terms(r)`` by the keys for each r into an array column.
+
+    ``every``: keys that must be there; they join the aggregation as zeros,
+    which takes no join and no sort.
+    """
     out = None
-    for part in parts:
-        sums = df.groupBy(*keys).agg(*[F.sum(terms(r)).alias(f"_s{r}") for r in part])
-        one = sums.select(*keys, F.array(*[F.col(f"_s{r}") for r in part]).alias(name))
+    for a in range(0, rank, UNROLL):
+        part = range(a, min(a + UNROLL, rank))
+        one = df.select(*keys, *[terms(r).alias(f"_s{r}") for r in part])
+        if every is not None:
+            one = one.unionByName(every.select(*keys, *[F.lit(0.0).alias(f"_s{r}") for r in part]))
+        one = one.groupBy(*keys).agg(*[F.sum(f"_s{r}").alias(f"_s{r}") for r in part])
+        one = one.select(*keys, F.array(*[F.col(f"_s{r}") for r in part]).alias(name))
         out = one if out is None else out.join(one.withColumnRenamed(name, "_more"), keys).select(*keys, F.concat(name, "_more").alias(name))
     return out
 
@@ -90,8 +94,8 @@ def ttm_hicoo(x: HiCOOTensor, u: DenseMatrix, mode: int) -> SemiSparseTensor:
     return ttm(x.to_coo(), u, mode)
 
 
-def mttkrp_rows(x: SparseTensor, factors: Sequence[DenseMatrix], mode: int) -> DataFrame:
-    """i and row of the rows that have a nonzero: matricised tensor times Khatri-Rao product."""
+def mttkrp_rows(x: SparseTensor, factors: Sequence[DenseMatrix], mode: int, every: DataFrame | None = None) -> DataFrame:
+    """i and row of the rows that have a nonzero (or are in ``every``): matricised tensor times Khatri-Rao product."""
     check_mode(mode, x.nmodes)
     if len(factors) != x.nmodes:
         raise ShapeMismatchError(f"{len(factors)} factors for {x.nmodes} modes")
@@ -113,17 +117,16 @@ def mttkrp_rows(x: SparseTensor, factors: Sequence[DenseMatrix], mode: int) -> D
                 out = out * F.get(f"_f{k}", F.lit(r))
         return out
 
-    return rank_sums(df, [f"i{mode}"], term, rank, "row").withColumnRenamed(f"i{mode}", "i")
+    return rank_sums(df, [f"i{mode}"], term, rank, "row", every).withColumnRenamed(f"i{mode}", "i")
 
 
 def mttkrp(x: SparseTensor | HiCOOTensor, factors: Sequence[DenseMatrix], mode: int) -> DenseMatrix:
     """All rows of the product; rows without a nonzero are zero."""
     if isinstance(x, HiCOOTensor):
         x = x.to_coo()
-    rows, rank = mttkrp_rows(x, factors, mode), factors[0].ncols
-    zero = F.array(*[F.lit(0.0)] * rank)
-    full = x.spark.range(x.dims[mode]).select(F.col("id").alias("i")).join(rows, "i", "left")
-    return DenseMatrix(full.select("i", F.coalesce("row", zero).alias("row")), x.dims[mode], rank)
+    check_mode(mode, x.nmodes)
+    every = x.spark.range(x.dims[mode]).select(F.col("id").alias(f"i{mode}"))
+    return DenseMatrix(mttkrp_rows(x, factors, mode, every), x.dims[mode], factors[0].ncols)
 
 
 def mttkrp_split(x: SparseTensor, factors: Sequence[DenseMatrix], mode: int, limits: Sequence[int]) -> DenseMatrix:

@@ -134,7 +134,10 @@ class SparseTensor(_Methods):
         """
         as_col = lambda c: F.expr(c) if isinstance(c, str) else c
         cols = [as_col(c).cast("long").alias(f"i{m}") for m, c in enumerate(mode_cols)]
-        own = df.select(*cols, as_col(value).cast("double").alias("val")).dropna()
+        known = as_col(value).isNotNull()
+        for c in mode_cols:
+            known = known & as_col(c).isNotNull()  # plain conditions, which scans can take
+        own = df.filter(known).select(*cols, as_col(value).cast("double").alias("val"))
         made = cls(own, check_dims(dims))
         return made.coalesce() if coalesce else made
 
