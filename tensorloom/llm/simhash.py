@@ -6,7 +6,8 @@ each task the fingerprints, rotated so that the block leads, form a binary
 trie (a sorted array; a node is a range). Pairs of nodes are traversed
 together; a pair's differing bits add up and it is dropped beyond the budget.
 Links are merged by union-find inside the task, so a dense group of n
-fingerprints leaves n - 1 rows, not n * n / 2. Components over all tasks come
+fingerprints leaves n - 1 rows, not n * n / 2. A fingerprint of very many
+documents reaches them by broadcast, the others by a shuffle. Components over all tasks come
 from alternating large-star and small-star rounds.
 
 Cases: null or wordless texts have fingerprint zero and link as any other.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column, cut
+from .common import column, cut, hot_join
 
 WIDTH = 3
 SEED = 42
@@ -201,10 +202,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable) of each document."""
     fps = cut(fingerprints(docs), "fingerprints")
-    nodes = fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(nodes, budget))
-    named = nodes.join(roots, F.col("rep") == F.col("u"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select(
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes.filter("rep IS NOT NULL"), budget))
+    named = nodes.join(roots, F.col("rep") == F.col("u"), "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
+    return hot_join(fps, named, "fp", "n", fps.count()).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
