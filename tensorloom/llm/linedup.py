@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import column, cut, slices
+from .common import column, cut, hot_join, slices
 
 RARE, RAREST, WORDS = 32, 8, 5
 
@@ -131,7 +131,9 @@ def deletions(lined: DataFrame, rare: int = RARE, rarest: int = RAREST) -> DataF
     known = lined.filter("doc_id IS NOT NULL")
     single = known.select("doc_id", "key", F.explode(F.array_distinct("lines")).alias("line")).filter("line <> 0")
     owned = single.groupBy("line").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "key")).alias("owner")).filter("df > 1")
-    shared = single.join(owned, "line").filter("owner.doc_id < doc_id")
+    owned = cut(owned, "owned")
+    total = owned.agg(F.sum("df")).first()[0] or 0
+    shared = hot_join(single, owned, "line", "df", total).filter("owner.doc_id < doc_id")
     ranked = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "owner"))).alias("found"))
     chosen = F.filter("found", lambda x, i: (x["df"] <= rare) | (i < rarest))
     pairs = ranked.select("key", F.explode(F.array_distinct(F.transform(chosen, lambda x: x["owner"]["key"]))).alias("owner"))
