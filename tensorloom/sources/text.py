@@ -20,15 +20,28 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[int, tuple[int, ...]]:
-    """Modes and sizes from the file's first two lines."""
-    head = spark.read.text(path).filter(F.trim("value") != "").head(2)
-    first = [r["value"].split() for r in head]
-    if len(first) < 2 or len(first[0]) != 1 or not first[0][0].isdigit() or len(first[1]) != int(first[0][0]):
+    """Modes and sizes: a file's first two lines.
+
+    A folder's parts have no fixed order; there the header is told by its
+    numbers of tokens, as rows have one more than there are modes.
+    """
+    head = [r["t"] for r in _lines(spark, path).head(2)]
+    if len(head) == 2 and len(head[0]) == 1 and head[0][0].isdigit() and len(head[1]) != int(head[0][0]):
         raise ValueRangeError(f"{path} has no header of modes and sizes")
+    if len(head) < 2 or len(head[0]) != 1:
+        single = [r["t"][0] for r in _lines(spark, path).filter(F.size("t") == 1).head(2)]
+        if not single or not single[0].isdigit():
+            raise ValueRangeError(f"{path} has no header of modes and sizes")
+        n = int(single[0])
+        sizes = single[1:] if n == 1 else [t for r in _lines(spark, path).filter(F.size("t") == n).head(1) for t in r["t"]]
+        head = [[single[0]], sizes]
     try:
-        return int(first[0][0]), check_dims(map(int, first[1]))
+        n, dims = int(head[0][0]), check_dims(map(int, head[1]))
     except ValueError as error:
         raise ValueRangeError(f"{path} has no header of modes and sizes") from error
+    if len(dims) != n:
+        raise ValueRangeError(f"{path} has no header of modes and sizes")
+    return n, dims
 
 
 def read_tensor(spark: SparkSession, path: str, start_index: int = 1, header: bool = True, dims: Sequence[int] | None = None, mode: str = "strict", coalesce: bool = True) -> SparseTensor:
