@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import bits
 from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators import cpd, dense, layout, reorder, vectors
-from tensorloom.plans.inputs import M_SQL, T3_SQL, T3B_SQL, T4_SQL, m2, ramps, t3, t3b, t4, table
+from tensorloom.plans.inputs import C2_SQL, M_SQL, N2_SQL, SHIFTED_SQL, T3_SQL, T3B_SQL, T4_SQL, c2, m2, n2, ramps, shifted, t3, t3b, t4, table
 from tensorloom.types import SparseTensor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,13 +51,11 @@ def _semi(y) -> DataFrame:
 
 # --- element-wise and scalar --------------------------------------------------
 
-B = f"WITH t AS ({T3B_SQL}), x AS (SELECT * FROM t WHERE i2 < 5), y AS (SELECT i0, i1, i2, 2 * val AS val FROM t WHERE i2 >= 3) "
+B = f"WITH x AS ({T3B_SQL}), y AS ({SHIFTED_SQL}) "
 
 
 def _two(spark, sf) -> tuple[SparseTensor, SparseTensor]:
-    t = t3b(spark, sf)
-    x = t.slice([0, 0, 0], [t.dims[0], t.dims[1], 5])
-    return x, t.slice([0, 0, 3], list(t.dims)).mul_scalar(2)
+    return t3b(spark, sf), shifted(spark, sf)
 
 
 @query(B + "SELECT i0, i1, i2, SUM(val) AS val FROM (SELECT * FROM x UNION ALL SELECT * FROM y) u GROUP BY 1, 2, 3 HAVING SUM(val) <> 0")
@@ -214,32 +212,23 @@ def mttkrp_hicoo(spark, sf):
     return _long(t.to_hicoo(7, 10).mttkrp(ramps(spark, t.dims), 1))
 
 
-@query(f"WITH t AS ({T3B_SQL}), x AS (SELECT * FROM t WHERE i0 < 60), y AS ({M_SQL}) SELECT x.i0, x.i2 AS i1, y.i AS i2, SUM(x.val * y.val) AS val FROM x JOIN y ON x.i1 = y.j WHERE y.i < 60 GROUP BY 1, 2, 3")
+@query(f"WITH x AS ({T3_SQL}), y AS ({M_SQL}) SELECT x.i0, SUM(x.val * y.val) AS val FROM x JOIN y ON x.i1 = y.i AND x.i2 = y.j GROUP BY 1")
 def contract(spark, sf):
-    t, m = t3b(spark, sf, coalesce=False), m2(spark, sf, coalesce=False).as_tensor()
-    x = t.slice([0, 0, 0], [60, t.dims[1], t.dims[2]])
-    return x.contract(m.slice([0, 0], [60, m.dims[1]]), [1], [1]).df
+    return t3(spark, sf, coalesce=False).contract(m2(spark, sf).as_tensor(), [1, 2], [0, 1]).df
 
 
-PAIR = f"WITH t AS ({T3B_SQL}), a AS (SELECT * FROM t WHERE i0 < 12), b AS (SELECT * FROM t WHERE i0 >= 20 AND i0 < 30) "
+PAIR = f"WITH a AS ({C2_SQL}), b AS ({N2_SQL}), n AS (SELECT (SELECT COUNT(*) FROM region) AS nr, (SELECT COUNT(*) FROM nation) AS nn) "
 COUNTS = "(SELECT COUNT(*) FROM part) AS np, (SELECT COUNT(*) FROM supplier) AS ns"
 
 
-def _pair(spark, sf):
-    t = t3b(spark, sf)
-    return t.slice([0, 0, 0], [12, *t.dims[1:]]), t.slice([20, 0, 0], [30, *t.dims[1:]])
-
-
-@query(PAIR + f"SELECT a.i0 * np + b.i0 AS i0, a.i1 * ns + b.i1 AS i1, a.i2 * 7 + b.i2 AS i2, a.val * b.val AS val FROM a, b, (SELECT {COUNTS}) n")
+@query(PAIR + "SELECT a.i0 * nr + b.i0 AS i0, a.i1 * nn + b.i1 AS i1, a.val * b.val AS val FROM a, b, n")
 def kronecker(spark, sf):
-    a, b = _pair(spark, sf)
-    return a.kronecker(b).df
+    return c2(spark, sf).kronecker(n2(spark, sf)).df
 
 
-@query(PAIR + f"SELECT a.i0 * np + b.i0 AS i0, a.i1 * ns + b.i1 AS i1, a.i2, a.val * b.val AS val FROM a JOIN b ON a.i2 = b.i2, (SELECT {COUNTS}) n")
+@query(PAIR + "SELECT a.i0 * nr + b.i0 AS i0, a.i1, a.val * b.val AS val FROM a JOIN b ON a.i1 = b.i1, n")
 def khatri_rao(spark, sf):
-    a, b = _pair(spark, sf)
-    return a.khatri_rao(b).df
+    return c2(spark, sf).khatri_rao(n2(spark, sf)).df
 
 
 @query(f"WITH t AS ({T3B_SQL}) SELECT i1 AS i, i2 * np + i0 AS j, val FROM t, (SELECT COUNT(*) AS np FROM part) n")
@@ -299,9 +288,9 @@ def semisparse_set_mode(spark, sf):
     return t3b(spark, sf).to_semi_sparse(2).set_mode(1).to_coo(0.0).df
 
 
-@query(f"WITH m AS ({M_SQL}) SELECT p.p_partkey AS i, s.s_suppkey AS r, COALESCE(m.val, 0) AS val FROM part p CROSS JOIN supplier s LEFT JOIN m ON m.i = p.p_partkey AND m.j = s.s_suppkey WHERE p.p_partkey < 200")
+@query(f"WITH c AS ({C2_SQL}), k AS (SELECT DISTINCT i0 FROM c) SELECT k.i0 AS i, CAST(n_nationkey AS BIGINT) AS r, COALESCE(c.val, 0) AS val FROM k CROSS JOIN nation LEFT JOIN c ON c.i0 = k.i0 AND c.i1 = n_nationkey")
 def to_dense(spark, sf):
-    return _long(m2(spark, sf).convert("dense")).filter("i < 200")
+    return _long(c2(spark, sf).to_dense())
 
 
 @query(f"WITH t AS ({T3B_SQL}) SELECT i0 // 8 AS b0, i1 // 8 AS b1, i2 // 8 AS b2, i0 // 64 AS k0, i1 // 64 AS k1, i2 // 64 AS k2, COUNT(*) AS nnz, SUM(val) AS total FROM t GROUP BY 1, 2, 3, 4, 5, 6")
@@ -498,9 +487,7 @@ def distribute(spark, sf):
 
 @query()
 def bfs_order(spark, sf):
-    t = t3b(spark, sf)
-    maps = t.slice([0, 0, 0], [200, *t.dims[1:]]).bfs_order()
-    return maps[0]
+    return c2(spark, sf).bfs_order()[1]
 
 
 @query()
@@ -511,7 +498,5 @@ def cpd_als(spark, sf):
 
 @query()
 def tucker(spark, sf):
-    t = t3b(spark, sf)
-    small = SparseTensor(t.slice([0, 0, 0], [60, *t.dims[1:]]).df, (60, *t.dims[1:]))
-    core, _, _ = cpd.tucker(small, (2, 2, 2), 1)
+    core, _, _ = cpd.tucker(c2(spark, sf).contract(n2(spark, sf), [1], [1]), (2, 2), 1)
     return core.df

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators.dense import ramp
-from tensorloom.types import DenseMatrix, SparseMatrix, SparseTensor
+from tensorloom.types import DenseMatrix, SparseMatrix, SparseTensor, maybe_broadcast
 
 LINES = 7
 FLAGS = ("A", "N", "R")
@@ -24,6 +25,9 @@ T4_SQL = (
     "CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS i3, SUM(l_quantity) AS val FROM lineitem GROUP BY 1, 2, 3, 4"
 )
 M_SQL = "SELECT l_partkey AS i, l_suppkey AS j, SUM(l_quantity) AS val FROM lineitem GROUP BY 1, 2"
+SHIFTED_SQL = "SELECT l_partkey AS i0, l_suppkey AS i1, CAST(l_linenumber % 7 AS BIGINT) AS i2, 2 * SUM(l_quantity) AS val FROM lineitem GROUP BY 1, 2, 3"
+C2_SQL = "SELECT CAST(DENSE_RANK() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS i0, CAST(c_nationkey AS BIGINT) AS i1, CAST(COUNT(*) AS DOUBLE) AS val FROM customer GROUP BY c_mktsegment, c_nationkey"
+N2_SQL = "SELECT CAST(n_regionkey AS BIGINT) AS i0, CAST(n_nationkey AS BIGINT) AS i1, CAST(1 AS DOUBLE) AS val FROM nation"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +54,26 @@ def t3b(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseTensor
     return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", "l_linenumber - 1"], "l_quantity", (*dims, LINES), coalesce)
 
 
+def shifted(spark: SparkSession, sf_dir: str) -> SparseTensor:
+    """part x supplier x next line, doubled: it meets t3b in a part of its entries."""
+    dims = [size(spark, sf_dir, n) for n in ("part", "supplier")]
+    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", f"l_linenumber % {LINES}"], "l_quantity", (*dims, LINES)).mul_scalar(2)
+
+
+def c2(spark: SparkSession, sf_dir: str) -> SparseTensor:
+    """market segment x nation: customers."""
+    own = table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey")
+    kinds = row_numbers(own.select("c_mktsegment").distinct(), [F.col("c_mktsegment")], "kind")
+    n = kinds.count()
+    return SparseTensor.from_table(own.join(maybe_broadcast(kinds, n, 64), "c_mktsegment"), ["kind", "c_nationkey"], "1", (n, size(spark, sf_dir, "nation")))
+
+
+def n2(spark: SparkSession, sf_dir: str) -> SparseTensor:
+    """region x nation: ones."""
+    dims = [size(spark, sf_dir, n) for n in ("region", "nation")]
+    return SparseTensor.from_table(table(spark, sf_dir, "nation"), ["n_regionkey", "n_nationkey"], "1", dims)
+
+
 def t4(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseTensor:
     """part x supplier x line x return flag."""
     dims = [size(spark, sf_dir, n) for n in ("part", "supplier")]
