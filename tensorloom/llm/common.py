@@ -69,6 +69,21 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     return left.join(hot, key).unionByName(cold)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, spread: str) -> DataFrame:
+    """As hot_join where the right side's rows have no size bound: hot keys are dealt over several tasks.
+
+    ``counts``: key and count of the left rows. The left rows of a hot key are
+    salted by column ``spread``, its right row is copied for each salt. What
+    is broadcast is one number for each of the fewer than HOT_KEYS hot keys.
+    """
+    limit = max(1, total // HOT_KEYS)
+    parts = F.broadcast(counts.filter(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).alias("_parts")))
+    n = F.coalesce("_parts", F.lit(1).cast("long"))
+    dealt = left.join(parts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), n)).drop("_parts")
+    copies = right.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -3,9 +3,10 @@
 1. Lines are hashed (white space at their ends aside) and counted by the
    documents that hold them; each repeated line has a first owner, the
    document of least id. So n documents with one line make n pairs, not n * n.
-2. A document is paired with the owners of its rare shared lines: those in at
-   most RARE documents, and its RAREST least frequent ones whatever their
-   frequency. So a document that shares any line is paired.
+2. A document is paired with the owners of its shared lines. Rarity is what
+   keeps pairs few in this method; pairing with owners does so for lines of any
+   frequency, so by default none is left out. ``rare`` restricts the seeds to
+   lines in at most so many documents.
 3. Patience diff aligns the two documents' line hashes: lines that both have
    once are matched along a longest increasing run, and matches spread to
    equal neighbours. Common blocks of WORDS words or more are deleted from
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import column, cut, hot_join, slices
+from .common import column, cut, hot_join, salted_join, slices
 
-RARE, RAREST, WORDS = 32, 8, 5
+#: Words that a common block has at least.
+WORDS = 5
 
 
 #: Names of helper columns, which tables should not have.
@@ -126,19 +128,21 @@ def _aligned(batches):
         yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"]).filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
 
-def deletions(lined: DataFrame, rare: int = RARE, rarest: int = RAREST) -> DataFrame:
+def deletions(lined: DataFrame, rare: int | None = None) -> DataFrame:
     """key and gone: positions of the lines to delete. ``lined``: doc_id, key, lines, words."""
     known = lined.filter("doc_id IS NOT NULL")
     single = known.select("doc_id", "key", F.explode(F.array_distinct("lines")).alias("line")).filter("line <> 0")
     owned = single.groupBy("line").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "key")).alias("owner")).filter("df > 1")
     owned = cut(owned, "owned")
     total = owned.agg(F.sum("df")).first()[0] or 0
-    shared = hot_join(single, owned, "line", "df", total).filter("owner.doc_id < doc_id")
-    ranked = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "owner"))).alias("found"))
-    chosen = F.filter("found", lambda x, i: (x["df"] <= rare) | (i < rarest))
-    pairs = ranked.select("key", F.explode(F.array_distinct(F.transform(chosen, lambda x: x["owner"]["key"]))).alias("owner"))
+    seeds = owned if rare is None else owned.filter(F.col("df") <= rare)
+    shared = hot_join(single, seeds, "line", "df", total).filter("owner.doc_id < doc_id")
+    pairs = shared.select("key", F.col("owner.key").alias("owner")).distinct()
+    pairs = cut(pairs, "pairs")
     arrays = known.dropDuplicates(["key"])
-    both = pairs.join(arrays.select("key", "lines", "words"), "key").join(arrays.select(F.col("key").alias("owner"), F.col("lines").alias("other")), "owner")
+    both = pairs.join(arrays.select("key", "lines", "words"), "key")
+    others = arrays.select(F.col("key").alias("owner"), F.col("lines").alias("other"))
+    both = salted_join(both, others, "owner", pairs.groupBy("owner").count(), pairs.count(), "key")
     gone = both.select("key", "lines", "words", "other").mapInArrow(_aligned, "key long, gone array<int>")
     return gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
@@ -167,21 +171,21 @@ def _applied(names: list[str], counts: bool):
     return run
 
 
-def _apply(docs: DataFrame, rare: int, rarest: int, counts: bool) -> DataFrame:
+def _apply(docs: DataFrame, rare: int | None, counts: bool) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
     lined = cut(own.mapInArrow(_lined, "doc_id long, key long, lines array<long>, words array<int>"), "lines")
-    gone = deletions(lined, rare, rarest).select(F.col("key").alias(KEY), F.col("gone").alias(GONE))
+    gone = deletions(lined, rare).select(F.col("key").alias(KEY), F.col("gone").alias(GONE))
     full = docs.withColumn(KEY, key).join(gone, KEY, "left").select(*docs.columns, GONE)
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())] if counts else []
     return full.mapInArrow(_applied(docs.columns, counts), T.StructType([*docs.schema.fields, *more]))
 
 
-def remove_blocks(docs: DataFrame, rare: int = RARE, rarest: int = RAREST) -> DataFrame:
+def remove_blocks(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """doc_id, text (what is left), n_lines (of the input) and n_deleted of each document."""
-    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rare, rarest, True)
+    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rare, True)
 
 
-def clean(docs: DataFrame, rare: int = RARE, rarest: int = RAREST) -> DataFrame:
+def clean(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """The documents with aligned blocks deleted; their columns stay, n_chars follows the text."""
-    return _apply(docs, rare, rarest, False)
+    return _apply(docs, rare, False)

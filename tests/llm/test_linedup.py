@@ -31,7 +31,7 @@ def test_longest_increasing_run():
         assert len(got) == best and all(x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
 
 
-def slow(rows, rare, rarest):
+def slow(rows):
     """Text left, by row."""
     lines = [[x.strip() for x in (t or "").split("\n")] for _, t in rows]
     holders = {}
@@ -47,12 +47,9 @@ def slow(rows, rare, rarest):
             for x in set(own) - {""}:
                 if min(h[0] for h in holders[x]) < d:
                     shared[x] = len(holders[x])
-        order = sorted(shared.values())
-        limit = order[min(rarest, len(order)) - 1] if order else 0
-        for x, df in shared.items():
-            if df <= rare or df <= limit:
-                other = min(holders[x], key=lambda h: h[0])[1]
-                gone |= set(linedup.common_blocks([hash(y) if y else 0 for y in own], [len(y.split()) for y in own], [hash(y.strip()) if y.strip() else 0 for y in other.split("\n")]))
+        for x in shared:
+            other = min(holders[x], key=lambda h: h[0])[1]
+            gone |= set(linedup.common_blocks([hash(y) if y else 0 for y in own], [len(y.split()) for y in own], [hash(y.strip()) if y.strip() else 0 for y in other.split("\n")]))
         out.append((d, "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone)))
     return out
 
@@ -71,9 +68,8 @@ def test_against_brute_force(spark, seed):
         rows.append((d * 2, "\n".join(own)))
     rows += [(500 + k, rows[4][1]) for k in range(30)] + [(900, None), (901, ""), (902, "\n\n"), (None, rows[4][1]), (903, "a b"), (904, "a b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("gone", F.lit(1)).withColumn("lines", F.lit(2)).repartition(4)
-    # All shared lines are seeds on one side, so that ties in rarity do not matter.
-    want = {d: t for d, t in slow(rows, 1000, 8)}
-    found = linedup.remove_blocks(docs, rare=1000).collect()
+    want = dict(slow(rows))
+    found = linedup.remove_blocks(docs).collect()
     assert len(found) == len(rows)
     for r in found:
         assert (r.text or "") == want[r.doc_id], r.doc_id
