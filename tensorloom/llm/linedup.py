@@ -6,7 +6,12 @@
 2. A document is paired with the owners of its shared lines. Rarity is what
    keeps pairs few in this method; pairing with owners does so for lines of any
    frequency, so by default none is left out. ``rare`` restricts the seeds to
-   lines in at most so many documents.
+   lines in at most so many documents. With ``every`` a document meets all
+   earlier ones instead, exactly: any block to delete holds a run of lines of
+   WORDS words, so runs, not lines, are what is looked up. A document is
+   aligned with the first owners of its runs; where lines of a shared run
+   stay, with the next holders of that run, round by round, until no such
+   line or no earlier holder is left. Holders of equal lines count as one.
 3. Patience diff aligns the two documents' line hashes: lines that both have
    once are matched along a longest increasing run, and matches spread to
    equal neighbours. Common blocks of WORDS words or more are deleted from
@@ -21,11 +26,12 @@ deletions. Other columns stay as they are.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -34,7 +40,8 @@ from .common import column, cut, hot_join, salted_join, slices
 
 #: Words that a common block has at least.
 WORDS = 5
-
+#: Further holders of a run that the first round after the owners takes; each round takes so many times more.
+NEXT = 8
 
 #: Names of helper columns, which tables should not have.
 KEY, GONE = "__line_key__", "__lines_gone__"
@@ -121,6 +128,64 @@ def common_blocks(a: list[int], words: list[int], b: list[int], least: int = WOR
     return out
 
 
+def runs(lines: list[int], words: list[int], least: int = WORDS) -> dict[int, list[tuple[int, int]]]:
+    """First and last positions of the shortest runs of so many words, by hash.
+
+    They are those that no line more at an end is needed for, from each line
+    on and up to each line, and two lines about blank ones. Any position of
+    a block of ``least`` words lies in one within that block.
+    """
+    at = [i for i, h in enumerate(lines) if h]
+    found = set()
+    a = total = 0
+    for z, i in enumerate(at):  # up to z
+        total += words[i]
+        while total - words[at[a]] >= least:
+            total -= words[at[a]]
+            a += 1
+        if total >= least:
+            found.add((at[a], i))
+    z, total = len(at) - 1, 0
+    for a in range(len(at) - 1, -1, -1):  # from a on
+        total += words[at[a]]
+        while total - words[at[z]] >= least:
+            total -= words[at[z]]
+            z -= 1
+        if total >= least:
+            found.add((at[a], at[z]))
+    found.update((i, j) for i, j in pairwise(at) if j > i + 1 and words[i] + words[j] >= least)
+    data = array("q", lines).tobytes()
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, j in found:
+        out.setdefault(xxh64_intdigest(data[8 * i : 8 * j + 8]) - (1 << 63), []).append((i, j))
+    return out
+
+
+def _keyed(batches):
+    for batch in batches:
+        ids, keys, lines, words = (column(batch, c).to_pylist() for c in ("doc_id", "key", "lines", "words"))
+        rows = []
+        for d, k, h, w in zip(ids, keys, lines, words, strict=True):
+            found = runs(h, w)
+            if found:
+                # The whole counts as a run, so that equal documents meet.
+                whole = xxh64_intdigest(array("q", h).tobytes(), 1) - (1 << 63)
+                rows += [(d, k, x, whole) for x in {*found, whole}]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "key", "run", "whole"])
+
+
+def _staying(batches):
+    for batch in batches:
+        ids, keys, lines, words, asked, gone = (column(batch, c).to_pylist() for c in ("doc_id", "key", "lines", "words", "asked", "gone"))
+        rows = []
+        for d, k, h, w, runs_, g in zip(ids, keys, lines, words, asked, gone, strict=True):
+            out, found = set(g or ()), runs(h, w)
+            rows += [(d, k, x) for x in runs_ if any(p not in out for i, j in found.get(x, ()) for p in range(i, j + 1))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "key", "run"])
+
+
 def _aligned(batches):
     for batch in batches:
         later, words, earlier = (column(batch, c).to_pylist() for c in ("lines", "words", "other"))
@@ -138,15 +203,60 @@ def deletions(lined: DataFrame, rare: int | None = None) -> DataFrame:
     seeds = owned if rare is None else owned.filter(F.col("df") <= rare)
     shared = hot_join(single, seeds, "line", "df", total).filter("owner.doc_id < doc_id")
     pairs = shared.select("key", F.col("owner.key").alias("owner")).distinct()
-    pairs = cut(pairs, "pairs")
-    arrays = known.dropDuplicates(["key"])
+    return _merged(_gone(cut(pairs, "pairs"), known.dropDuplicates(["key"])))
+
+
+def _gone(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """key and gone: positions of key's lines that its alignment with owner deletes, a row a pair that deletes any."""
     both = pairs.join(arrays.select("key", "lines", "words"), "key")
     others = arrays.select(F.col("key").alias("owner"), F.col("lines").alias("other"))
     both = salted_join(both, others, "owner", pairs.groupBy("owner").count(), pairs.count(), "key")
-    gone = both.select("key", "lines", "words", "other").mapInArrow(_aligned, "key long, gone array<int>")
+    return both.select("key", "lines", "words", "other").mapInArrow(_aligned, "key long, gone array<int>")
+
+
+def _merged(gone: DataFrame) -> DataFrame:
     return gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
+def every_deletion(lined: DataFrame) -> DataFrame:
+    """As deletions, of the alignments with all earlier documents."""
+    arrays = cut(lined.filter("doc_id IS NOT NULL").dropDuplicates(["key"]), "arrays")
+    keyed = cut(arrays.mapInArrow(_keyed, "doc_id long, key long, run long, whole long"), "runs")
+    single = keyed.select("doc_id", "key", "run")
+    owned = cut(single.groupBy("run").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "key")).alias("owner")).filter("df > 1"), "owned")
+    total = owned.agg(F.sum("df")).first()[0] or 0
+    shared = cut(hot_join(single, owned, "run", "df", total).filter("owner.doc_id < doc_id").select("doc_id", "key", "run", F.col("owner.key").alias("owner")), "shared")
+    pairs = cut(shared.select("key", "owner").distinct(), "pairs")
+    gone = cut(_merged(_gone(pairs, arrays)), "gone")
+
+    def staying(asked: DataFrame, gone: DataFrame) -> DataFrame:
+        """The documents' runs of which a line is not deleted."""
+        own = arrays.join(asked.groupBy("key").agg(F.collect_list("run").alias("asked")), "key").join(gone, "key", "left")
+        return own.mapInArrow(_staying, "doc_id long, key long, run long")
+
+    left = cut(staying(shared, gone), "left")
+    if left.isEmpty():
+        return gone
+    holders = keyed.join(left.groupBy("run").agg(F.max("doc_id").alias("last")), "run").filter("doc_id < last")
+    holders = holders.groupBy("run", "whole").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("first")) - 1
+    holders = cut(holders.select("run", F.col("first.doc_id").alias("before"), F.col("first.key").alias("owner"), place.alias("place")), "holders")
+    begin, size = 0, NEXT
+    while True:
+        # Holders are in order of their ids: if the next one is not earlier, no further one is.
+        more = holders.filter(F.col("place") == begin).select("run", "before")
+        left = cut(left.join(more, "run").filter("before < doc_id").select("doc_id", "key", "run"), "left")
+        if left.isEmpty():
+            return gone
+        some = holders.filter((F.col("place") >= begin) & (F.col("place") < begin + size))
+        new = left.join(some, "run").filter("before < doc_id").select("key", "owner").distinct().join(pairs, ["key", "owner"], "left_anti")
+        new = cut(new, "pairs")
+        pairs = pairs.unionByName(new)
+        gone = cut(_merged(gone.unionByName(_gone(new, arrays))), "gone")
+        left = staying(left, gone)
+        begin, size = begin + size, size * NEXT
+
+
 def _applied(names: list[str], counts: bool):
     at = names.index("text")
 
@@ -171,21 +281,22 @@ def _applied(names: list[str], counts: bool):
     return run
 
 
-def _apply(docs: DataFrame, rare: int | None, counts: bool) -> DataFrame:
+def _apply(docs: DataFrame, rare: int | None, counts: bool, every: bool) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
     lined = cut(own.mapInArrow(_lined, "doc_id long, key long, lines array<long>, words array<int>"), "lines")
-    gone = deletions(lined, rare).select(F.col("key").alias(KEY), F.col("gone").alias(GONE))
+    found = every_deletion(lined) if every else deletions(lined, rare)
+    gone = found.select(F.col("key").alias(KEY), F.col("gone").alias(GONE))
     full = docs.withColumn(KEY, key).join(gone, KEY, "left").select(*docs.columns, GONE)
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())] if counts else []
     return full.mapInArrow(_applied(docs.columns, counts), T.StructType([*docs.schema.fields, *more]))
 
 
-def remove_blocks(docs: DataFrame, rare: int | None = None) -> DataFrame:
+def remove_blocks(docs: DataFrame, rare: int | None = None, every: bool = False) -> DataFrame:
     """doc_id, text (what is left), n_lines (of the input) and n_deleted of each document."""
-    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rare, True)
+    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rare, True, every)
 
 
-def clean(docs: DataFrame, rare: int | None = None) -> DataFrame:
+def clean(docs: DataFrame, rare: int | None = None, every: bool = False) -> DataFrame:
     """The documents with aligned blocks deleted; their columns stay, n_chars follows the text."""
-    return _apply(docs, rare, False)
+    return _apply(docs, rare, False, every)

@@ -44,7 +44,7 @@ def op7_rare_gram_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linedup.remove_blocks(table(spark, sf_dir, "documents"))
+    found = linedup.remove_blocks(table(spark, sf_dir, "documents"), every=True)
     return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -89,3 +89,26 @@ def test_repeated_rows_and_empty_table(spark):
     found = sorted((r.doc_id, r.n_deleted) for r in linedup.remove_blocks(docs).collect())
     assert found == [(1, 0), (1, 0), (1, 0), (2, 2), (2, 2)]
     assert linedup.remove_blocks(docs.limit(0)).collect() == []
+
+
+def test_every_earlier_document(spark):
+    rnd = random.Random(5)
+    short = [f"s{i} t" for i in range(9)] + ["x", "", "five words are in this", "so are six in this one"]
+    rows = [(1, "Home page"), (2, "About us"), (3, "Contact now"), (10, "Home page\nAbout us\nContact now"), (11, "Home page\nAbout us\nContact now")]
+    rows += [(20, "one line of five words\nother line of five words"), (21, "other line of five words\nz\none line of five words"), (22, "y\nother line of five words\nx\none line of five words")]
+    rows += [(30, "twice a line of words\nq\ntwice a line of words"), (31, "v\ntwice a line of words"), (32, "u\ntwice a line of words\nw")]
+    rows += [(100 + d // 2, "\n".join(rnd.choice(short) for _ in range(rnd.randint(1, 12)))) for d in range(240)]
+    docs = spark.createDataFrame([*rows, (None, rows[3][1])], "doc_id long, text string").repartition(3)
+    want = set()
+    lines = [[hash(x) if x else 0 for x in t.split("\n")] for _, t in rows]
+    for (d, t), own in zip(rows, lines, strict=True):
+        words, gone = [len(x.split()) for x in t.split("\n")], set()
+        for (e, _), other in zip(rows, lines, strict=True):
+            if e < d:
+                gone |= set(linedup.common_blocks(own, words, other))
+        want.add((d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)))
+    found = linedup.remove_blocks(docs, every=True).collect()
+    assert {(r.doc_id, r.text or "", r.n_deleted) for r in found if r.doc_id is not None} == want and len(found) == len(rows) + 1
+    by = {r.doc_id: r.n_deleted for r in found if r.doc_id is not None and r.doc_id < 100}
+    assert by[11] == 3 and by[22] == 2 and by[32] == 1
+    assert linedup.clean(docs.limit(0), every=True).collect() == []
