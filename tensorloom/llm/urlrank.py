@@ -4,8 +4,11 @@ Pages without a fitting rule get their host's verdict. The share of a host's
 pages that rules allow (block) seeds trust (distrust). Trust is a personalised
 PageRank along host edges; distrust is one against them, from a blocked host
 to those that link to it. Links of all pages are counted by host pair before
-they move; a host without links to others keeps its score. A host is blocked
-if its distrust reaches ``threshold`` and exceeds its trust.
+they move; a host without links to others keeps its score. As a host
+with links keeps but 1 - DAMPING of what is its own, verdicts take its scores
+over 1 - DAMPING: then all hosts are measured alike, none below its own seed.
+A host is blocked if its distrust, so taken, reaches ``threshold`` and exceeds
+its trust.
 
 Cases: a null url or one without "://" has an empty host and path, fits no
 rule and is allowed. Null html has no links. Repeated rows stay. A null
@@ -70,14 +73,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """host and score from seeds (host, seed) along edges (src, dst, w). Score of a host without edges out stays with it."""
+    """host, score and whether it has edges out, from seeds (host, seed) along edges (src, dst, w). Score of a host without edges out stays with it."""
     total = edges.groupBy("src").agg(F.sum("w").alias("all"))
     share = cut(edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p")), "shares")
     inner = share.select("src").distinct().withColumn("leads", F.lit(True))
     hosts = seeds.select("host", "seed").unionByName(share.select(F.col("dst").alias("host"), F.lit(0.0).alias("seed"))).groupBy("host").agg(F.sum("seed").alias("seed"))
     rank = cut(hosts.join(inner, F.col("host") == F.col("src"), "left").select("host", "seed", F.coalesce("leads", F.lit(False)).alias("leads"), F.col("seed").alias("score")), "rank")
     if share.isEmpty():
-        return rank.select("host", "score")
+        return rank.select("host", "score", "leads")
     for k in range(1, rounds + 1):
         sent = share.join(rank, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         nxt = rank.join(sent, F.col("host") == F.col("dst"), "left").select(
@@ -92,7 +95,12 @@ def personalised_rank(seeds: DataFrame, edges: DataFrame, damping: float = DAMPI
         rank = nxt.drop("moved")
         if (nxt.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
-    return rank.select("host", "score")
+    return rank.select("host", "score", "leads")
+
+
+def comparable(score: Column, leads: Column, damping: float = DAMPING) -> Column:
+    """A host's own seed and what it gets, by one rule: seed + damping * sum of p * comparable score of the senders."""
+    return F.when(leads, score / (1 - damping)).otherwise(score)
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,11 +113,11 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     edges = cut(host_edges(own), "edges")
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     seeds = cut(ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "seeds")
-    trust = personalised_rank(seeds.select("host", F.col("allowed").alias("seed")), edges).withColumnRenamed("score", "trust")
+    trust = personalised_rank(seeds.select("host", F.col("allowed").alias("seed")), edges).withColumn("for", comparable(F.col("score"), F.col("leads"))).select("host", "for", F.col("score").alias("trust"))
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = personalised_rank(seeds.select("host", F.col("blocked").alias("seed")), against).withColumnRenamed("score", "distrust")
+    distrust = personalised_rank(seeds.select("host", F.col("blocked").alias("seed")), against).withColumn("against", comparable(F.col("score"), F.col("leads"))).select("host", "against", F.col("score").alias("distrust"))
     scores = trust.join(distrust, "host", "full")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    scored = ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", "ruled", zero("trust").alias("trust"), zero("distrust").alias("distrust"))
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    scored = ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", "ruled", zero("trust").alias("trust"), zero("distrust").alias("distrust"), zero("for").alias("for"), zero("against").alias("against"))
+    bad = (F.col("against") >= threshold) & (F.col("against") > F.col("for"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

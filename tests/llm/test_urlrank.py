@@ -67,3 +67,20 @@ def test_propagation_against_brute_force(spark):
         if r.rule is None:
             assert r.verdict == ("block" if distrust[h] >= 0.2 and distrust[h] > trust[h] else "allow")
     assert found["farm.test"].verdict == "block" and found["other.test"].verdict == "allow"
+
+
+def test_registered_threshold_on_a_linked_graph(spark):
+    rows = [
+        (1, "http://bad.net/", "<a href='https://bad2.net/'>x</a>"),
+        (2, "http://bad2.net/q", ""),
+        (3, "http://farm.test/", "<a href='https://bad.net/'>x</a><a href='https://bad2.net/z'>y</a>"),
+        (4, "http://far.test/", '<a href="http://farm.test/"><a href="http://b.test/"><a href="http://c.test/">'),
+        (5, "http://b.test/", ""),
+        (6, "http://linker.test/", "<a href='http://s.example.com/'>x</a>"),
+    ]
+    rows += [(10 + k, f"http://s.example.com/de/{k}", "") for k in range(9)] + [(20, "http://s.example.com/en/", "")]
+    rows += [(30 + k, f"http://t.example.com/de/{k}", "") for k in range(9)] + [(40, "http://t.example.com/en/", "")]
+    found = {r.page_id: r.verdict for r in urlrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "block" and found[5] == "allow"
+    # One link to a host that is blocked by nine pages in ten leaves its verdict.
+    assert found[20] == found[40] == "block"
