@@ -1,18 +1,14 @@
-"""Benchmark decontamination: rare word n-grams seed local alignments.
-
-1. A pass over all whole texts counts in how many documents each word n-gram
-   of the test items occurs.
-2. An item's seeds are its rarer n-grams: those no more frequent than its
-   median n-gram, or in at most RARE documents. As half of its n-grams remain
-   whatever their frequency, a passage that very many documents hold is found
-   as well as any other.
-3. A second pass joins texts to items on seeds. Hits of an item near one
-   another make a passage; Smith-Waterman aligns it with the item, word by
-   word. It counts if the score reaches SHARE of the item's perfect score, or
-   ENOUGH words' worth of it.
+"""Benchmark decontamination: word n-grams seed local alignments.
+
+1. All word n-grams of the test items are seeds, whatever their frequency: a
+   passage that very many documents hold is found as well as any other.
+2. A pass over all whole texts joins texts to items on seeds. Hits of an item
+   near one another make a passage; Smith-Waterman aligns it with the item,
+   word by word. It counts if the score reaches SHARE of the item's perfect
+   score, or ENOUGH words' worth of it.
 
 Items are held by each task; they are taken in blocks of at most BLOCK bytes
-of text, one run of the passes each, so that what is sent stays bounded.
+of text, one run of the pass each, so that what is sent stays bounded.
 Words are runs of letters and digits; case is ignored where UTF-8 takes one
 or two bytes a character (Latin, Greek, Cyrillic).
 
@@ -33,7 +29,6 @@ from . import tokens
 from .common import column, slices, utf8
 
 GRAM = 3
-RARE = 16
 MATCH, MISS, GAP = 2, -1, -1
 SHARE, ENOUGH = 0.5, 25
 BLOCK = 16 << 20
@@ -58,25 +53,10 @@ class Items:
         codes, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((codes, np.uint64), (item, np.int64), (place, np.int64)))
         order = np.argsort(codes, kind="stable")
         self.item, self.place = item[order], place[order]
-        self.codes, self.first, self.index = np.unique(codes[order], return_index=True, return_inverse=True)
+        self.codes, self.first = np.unique(codes[order], return_index=True)
         self.first = np.r_[self.first, len(order)]
         self.short = {len(h) for h in self.words if 0 < len(h) < GRAM}
 
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Leave of each item's n-grams the rarer ones. ``df``: documents that hold each code."""
-        own = df[self.index]
-        if not len(own):
-            return
-        order = np.lexsort((own, self.item))
-        start = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        middle = (start[:-1] + start[1:] - 1) // 2
-        median = own[order][np.clip(middle, 0, len(own) - 1)]
-        good = (own <= median[self.item]) | (own <= RARE)
-        codes = self.codes[self.index[good]]
-        self.item, self.place = self.item[good], self.place[good]
-        self.codes, self.first, self.index = np.unique(codes, return_index=True, return_inverse=True)
-        self.first = np.r_[self.first, len(codes)]
-
     def flags(self) -> np.ndarray:
         """A table by low bits that says of most other hashes that they are no code."""
         table = np.zeros(1 << TABLE_BITS, bool)
@@ -165,21 +145,6 @@ def passages(items: Items, flags: np.ndarray, h: np.ndarray, doc: np.ndarray, do
             yield t, k, score / (MATCH * len(own)), equal, lo + s, lo + e
 
 
-def _counted(items: Items):
-    def run(batches):
-        flags, df = items.flags(), np.zeros(len(items.codes), np.int64)
-        for batch in slices(batches, "text"):
-            data, at = utf8(column(batch, "text"))
-            h, _, _, doc = tokens.words(data, at)
-            where, code = items.hits(h, doc, flags)
-            pairs = np.unique(doc[where] * len(df) + code) if len(where) else np.zeros(0, np.int64)
-            np.add.at(df, pairs % max(1, len(df)), 1)
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(df[some])], ["code", "df"])
-
-    return run
-
-
 SCHEMA = "doc_id long, item_id long, score double, n_equal long, start long, end long"
 
 
@@ -216,7 +181,7 @@ def _clean(items: Items, names: list[str]):
     return run
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame):
+def _blocks(benchmark: DataFrame):
     """Items with their seeds, a bounded block at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -224,21 +189,15 @@ def _blocks(docs: DataFrame, benchmark: DataFrame):
     for k in range(count):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == k).collect()
         own = Items(sorted((tuple(r) for r in rows), key=str))
-        if not len(own.codes):
-            continue
-        counted = docs.mapInArrow(_counted(own), "code long, df long").groupBy("code").agg(F.sum("df").alias("df"))
-        df = np.zeros(len(own.codes), np.int64)
-        for r in counted.collect():  # a number for each n-gram of the block
-            df[r.code] = r.df
-        own.keep_rare(df)
-        yield own
+        if len(own.codes):
+            yield own
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score (0 to 1), n_equal words, start and end (code points) of each copied passage."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for items in _blocks(own.select("text"), benchmark):
+    for items in _blocks(benchmark):
         out = out.unionByName(own.mapInArrow(_found(items), SCHEMA))
     return out
 
@@ -246,6 +205,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no copied passage, with all their columns."""
     out = docs
-    for items in _blocks(docs.select(F.col("text").cast("string").alias("text")), benchmark):
+    for items in _blocks(benchmark):
         out = out.mapInArrow(_clean(items, docs.columns), docs.schema)
     return out

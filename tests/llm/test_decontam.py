@@ -88,3 +88,14 @@ def test_empty(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontam.contaminated(docs.limit(0), bench).collect() == []
     assert decontam.contaminated(docs, bench).count() == 1
+
+
+def test_part_of_an_item_in_very_many_documents(spark):
+    item = " ".join(f"i{k}" for k in range(59))
+    short = " ".join(f"s{k}" for k in range(15))
+    part, half = " ".join(item.split()[20:46]), " ".join(short.split()[:8])
+    rows = [(d, f"a{d} b{d} {part} c{d}") for d in range(40)] + [(100 + d, f"d{d} e{d} {half} f{d}") for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(d, 1 if d < 100 else 2) for d, _ in rows}
+    assert decontam.keep_clean(docs, bench).count() == 0
