@@ -1,8 +1,8 @@
 """Language identification by a string kernel.
 
 The kernel is a blended spectrum of presence: how many n-grams (n = 1 to 3,
-over an alphabet of the training texts' most frequent letters, everything
-else being a gap) two texts share, over the geometric mean of how many each
+over an alphabet of all letters of the training texts, everything else being
+a gap) two texts share, over the geometric mean of how many each
 has. Nyström landmarks are drawn from the training texts, the same number a
 language; a one-versus-rest kernel ridge regression is solved in the
 landmarks' space. A batch of texts is scored by products of its presence
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import column, slices
 
-ALPHABET = 63  # classes 1..63; 0 is a gap
+ALPHABET = 63  # classes 1..63; 0 is a gap. Up to so many letters, flags find distinct n-grams; more are sorted
 SPACE = (ALPHABET + 1) ** 3
 OFFSETS = (0, 64, 64 + 64**2)
 GRAMS = 64 + 64**2 + 64**3
@@ -41,13 +41,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def grams(text: str, table: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Distinct n-grams of ``text`` as sorted codes. ``seen``: GRAMS flags, all false before and after."""
+def grams(text: str, table: np.ndarray, seen: np.ndarray | None, base: int = ALPHABET + 1) -> np.ndarray:
+    """Distinct n-grams of ``text`` as sorted codes. ``seen``: GRAMS flags, all false before and after, or None for a ``base`` beyond 64."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
     c = table[points]
     # One gap between words is enough.
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+    if seen is None:
+        c = np.concatenate([[0], c[keep], [0]]).astype(np.int64)
+        two = c[:-1] * base + c[1:]
+        found = np.unique(np.concatenate([c, two + base, two[:-1] * base + c[2:] + base + base**2]))
+        return found[~np.isin(found, [0, base, base + base**2])]
     c = np.concatenate([[0], c[keep], [0]]).astype(np.int32)
     seen[c] = True
     two = c[:-1] * 64 + c[1:]
@@ -65,12 +70,17 @@ def has_letter(text: str) -> bool:
 
 
 def class_table(letters: str) -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.uint8 if len(letters) <= ALPHABET else np.int32)
     for i, c in enumerate(letters):
         table[ord(c)] = i + 1
     return table
 
 
+def flags_for(letters: str) -> tuple[np.ndarray | None, int]:
+    """Flags and base for grams."""
+    return (np.zeros(GRAMS, bool), ALPHABET + 1) if len(letters) <= ALPHABET else (None, len(letters) + 1)
+
+
 def _letters(batches):
     counts: dict[str, int] = {}
     for batch in slices(batches, "text"):
@@ -85,9 +95,9 @@ def _letters(batches):
 
 def _gram_lists(letters: str):
     def run(batches):
-        table, seen = class_table(letters), np.zeros(GRAMS, bool)
+        table, (seen, base) = class_table(letters), flags_for(letters)
         for batch in slices(batches, "text"):
-            lists = [grams(t or "", table, seen).astype(np.int32) for t in column(batch, "text").to_pylist()]
+            lists = [grams(t or "", table, seen, base).astype(np.int64) for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", "lang", "grams"])
 
     return run
@@ -142,9 +152,10 @@ class Model:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return labels, scores
-        table, seen = class_table(self.letters), np.zeros(GRAMS, bool)
-        where = np.full(GRAMS, -1, np.int32)
-        where[self.vocabulary] = np.arange(len(self.vocabulary))
+        table, (seen, base) = class_table(self.letters), flags_for(self.letters)
+        if seen is not None:
+            where = np.full(GRAMS, -1, np.int32)
+            where[self.vocabulary] = np.arange(len(self.vocabulary))
         todo = [i for i, t in enumerate(texts) if t and has_letter(t)]
         p = np.zeros((rows, len(self.vocabulary)), np.float32)
         for a in range(0, len(todo), rows):
@@ -152,9 +163,12 @@ class Model:
             norms = np.ones(len(part), np.float32)
             p[:] = 0
             for r, i in enumerate(part):
-                g = grams(texts[i], table, seen)
-                at = where[g]
-                p[r, at[at >= 0]] = 1
+                g = grams(texts[i], table, seen, base)
+                if seen is None:
+                    p[r] = self._presence(g, self.vocabulary)
+                else:
+                    at = where[g]
+                    p[r, at[at >= 0]] = 1
                 norms[r] = max(1, len(g))
             f = p[: len(part)] @ self.weights / np.sqrt(norms)[:, None]
             best = f.argmax(axis=1)
@@ -167,11 +181,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     """Fit on the labelled sample; its letter counts and gram lists are what the driver gets."""
     chosen = sample(docs, per_language)
     counted = chosen.mapInArrow(_letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "letter").limit(ALPHABET).collect()
+    top = counted.orderBy(F.desc("n"), "letter").collect()  # as many as there are letters, at most
     letters = "".join(r.letter for r in top)
     rows = chosen.mapInArrow(_gram_lists(letters), "doc_id long, lang string, grams binary").collect()
     lists = sorted(((r.lang, r.doc_id, bytes(r.grams)) for r in rows), key=lambda x: (x[0], x[1] * 0x9E3779B97F4A7C15 % (1 << 64), x[2]))
-    return Model.fit([(lang, np.frombuffer(g, np.int32).astype(np.int64)) for lang, _, g in lists], letters, landmarks)
+    return Model.fit([(lang, np.frombuffer(g, np.int64)) for lang, _, g in lists], letters, landmarks)
 
 
 def _predicted(parts: tuple):

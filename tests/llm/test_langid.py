@@ -59,3 +59,21 @@ def test_cases(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert langid.identify(docs.limit(0)).collect() == []
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_languages_beyond_the_most_frequent_letters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    scripts = {"la": (0x61, 26), "el": (0x3B1, 17), "ru": (0x430, 32), "hy": (0x561, 38), "zh": (0x4E00, 600), "ko": (0xAC00, 500)}
+    rows = []
+    for lang, (first, size) in scripts.items():
+        for k in range(40):
+            words = ["".join(chr(first + int(c)) for c in rng.integers(0, size, 5)) for _ in range(12 if size >= 500 else 40)]
+            rows.append((len(rows), " ".join(words), lang if k < 30 else None))
+    rows.append((9999, "กข ฃ", None))
+    truth = {d: lang for (d, _, _), lang in zip(rows, [x for x in scripts for _ in range(40)], strict=False)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert all(found[d].lang_pred == lang and found[d].score > 0 for d, lang in truth.items())
+    assert found[9999].score == 0
