@@ -5,20 +5,21 @@ what is visible: collapsed white space in lines, blank lines between blocks
 with margins, bullets and numbers of lists, indented nesting, preformatted
 text as it is, and table cells padded to common columns.
 
-Not visible: head, script, style, template, noscript, media and form
-internals, elements with ``hidden``, ``display: none`` or ``visibility:
-hidden``, and hidden inputs.
+Not visible: head, script, style, template, noscript, media, annotations of
+formulas, elements with ``hidden``, ``display: none`` or ``visibility:
+hidden``. Of svg its text elements show, of a select the chosen option (of a
+list box all), of inputs the values of buttons.
 
 Cases: null or empty html gives an empty text. Anything is accepted: stray
 ends are ignored, open elements end with their parents or the page. Elements
-nested deeper than DEPTH go to the element at that depth, so no page is too
-deep. Repeated rows and null ids stay. Other columns are ignored.
+nest as deep as the page has them. Repeated rows and null ids stay. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import column, slices
 
-DEPTH = 150
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe object embed audio video canvas svg math select datalist map noembed noframes param source track area".split())
+HIDDEN = frozenset("head script style template noscript title iframe object embed audio video canvas annotation annotation-xml datalist noembed noframes param source track area".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr thead tbody tfoot td th xmp".split())
 #: Blocks set off by an empty line.
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir fieldset xmp".split())
@@ -126,9 +126,9 @@ def parse(source: str) -> Node:
                 if stack[-1].tag == "table":
                     _open(stack, "tbody")
                 _open(stack, "tr")
-            node = Node(tag, _attributes(attrs) if attrs and "=" in attrs or "hidden" in (attrs or "") else None)
+            node = Node(tag, _attributes(attrs) if attrs.strip() else None)
             stack[-1].children.append(node)
-            if tag in VOID or attrs.endswith("/") and tag in ("svg", "math", "path"):
+            if tag in VOID or attrs.endswith("/") and (tag in ("svg", "math", "path") or _foreign(stack)):
                 continue
             if tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(source, at)
@@ -138,11 +138,16 @@ def parse(source: str) -> Node:
             elif tag == "plaintext":
                 node.children.append(source[at:])
                 at = size
-            elif len(stack) < DEPTH:
+            else:
                 stack.append(node)
     return root
 
 
+def _foreign(stack: list[Node]) -> bool:
+    """Whether the open element is one of svg or math, where a tag can end itself."""
+    return next((n.tag != "foreignobject" for n in reversed(stack) if n.tag in ("svg", "math", "foreignobject")), False)
+
+
 def _open(stack: list[Node], tag: str) -> None:
     node = Node(tag)
     stack[-1].children.append(node)
@@ -152,12 +157,45 @@ def _open(stack: list[Node], tag: str) -> None:
 def visible(node: Node) -> bool:
     if node.tag in HIDDEN or "hidden" in node.attrs:
         return False
-    if node.tag == "input":
-        return False
     style = node.attrs.get("style", "").lower().replace(" ", "")
     return "display:none" not in style and "visibility:hidden" not in style
 
 
+def _button(node: Node) -> str:
+    """What an input shows, if it is a button."""
+    kind = node.attrs.get("type", "").strip().lower()
+    return node.attrs.get("value", "") if kind in ("submit", "reset", "button") else node.attrs.get("alt", "") if kind == "image" else ""
+
+
+def _chosen(node: Node) -> list[Node]:
+    """The options that a select shows."""
+    options, todo = [], list(reversed(node.children))
+    while todo:
+        child = todo.pop()
+        if not isinstance(child, str) and visible(child):
+            if child.tag == "option":
+                options.append(child)
+            else:
+                todo += reversed(child.children)
+    if "multiple" in node.attrs or _number(node.attrs.get("size"), 1) > 1:
+        return options
+    return [x for x in options if "selected" in x.attrs][-1:] or [x for x in options if "disabled" not in x.attrs][:1]
+
+
+def _labels(node: Node) -> list[Node]:
+    """The elements of an svg whose text is drawn."""
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        child = todo.pop()
+        if isinstance(child, str) or not visible(child) or child.tag in ("defs", "symbol", "desc", "metadata"):
+            continue
+        if child.tag in ("text", "foreignobject"):
+            out.append(child)
+        else:
+            todo += reversed(child.children)
+    return out
+
+
 class Lines:
     """Lines of one block context: inline text flows into the last line."""
 
@@ -216,6 +254,16 @@ def _flow(node: Node, out: Lines, pre: bool) -> None:
         elif child.tag == "img":
             if child.attrs.get("alt"):
                 out.text(child.attrs["alt"])
+        elif child.tag == "input":
+            out.text(_button(child))
+        elif child.tag in ("select", "svg"):
+            for part in _chosen(child) if child.tag == "select" else _labels(child):
+                out.text(" ")
+                if part.attrs.get("label") and part.tag == "option":
+                    out.text(part.attrs["label"])
+                else:
+                    _flow(part, out, pre)
+                out.text(" ")
         elif child.tag == "hr":
             out.block(["---"], True)
         elif child.tag == "table":
@@ -333,7 +381,15 @@ def to_text(source: str | None) -> str:
     """The visible text of a page."""
     if not source:
         return ""
-    lines = _block(parse(source.replace("\r\n", "\n").replace("\r", "\n")))
+    tree = parse(source.replace("\r\n", "\n").replace("\r", "\n"))
+    depth, level = 0, [tree]
+    while level:
+        level = [x for n in level for x in n.children if not isinstance(x, str)]
+        depth += 1
+    # A level takes three calls at most; calls between Python functions take no C stack.
+    if sys.getrecursionlimit() < 4 * depth + 1000:
+        sys.setrecursionlimit(4 * depth + 1000)
+    lines = _block(tree)
     return "\n".join(x.rstrip(" ") for x in lines).strip("\n")
 
 

@@ -63,3 +63,14 @@ def test_rows(spark):
     assert by[100].split()[0] == "in" and by[100].endswith("x")
     assert by[None] == "n" and all(t is not None for t in by.values())
     assert htmlrender.render(pages.limit(0)).collect() == []
+
+
+def test_all_visible_text():
+    assert htmlrender.to_text("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b") == "a x=2 b"
+    assert htmlrender.to_text("<svg><title>t</title><defs/><rect/><text>one</text><text>two <tspan>three</tspan></text><desc>d</desc></svg>") == "one two three"
+    assert htmlrender.to_text("<map name=m><p>shown</p><area></map>") == "shown"
+    assert htmlrender.to_text("<select><option>a<option selected>b</select> <select><option>c<option>d</select>") == "b c"
+    assert htmlrender.to_text("<input value=v><input type=submit value='Send it'><input type=hidden value=h>") == "Send it"
+    deep = "<div>" * 400
+    assert htmlrender.to_text(deep + "<div hidden><div>no</div>no</div>yes") == "yes"
+    assert htmlrender.to_text("<div hidden>" + deep + "</div>" * 399 + "no</div></div>yes") == "yes"
