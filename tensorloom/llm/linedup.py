@@ -1,64 +1,52 @@
-"""Line dedup: documents that share rare lines are aligned; aligned common blocks go from the later one.
-
-1. Lines are hashed (white space at their ends aside) and counted by the
-   documents that hold them; each repeated line has a first owner, the
-   document of least id. So n documents with one line make n pairs, not n * n.
-2. A document is paired with the owners of its shared lines. Rarity is what
-   keeps pairs few in this method; pairing with owners does so for lines of any
-   frequency, so by default none is left out. ``rare`` restricts the seeds to
-   lines in at most so many documents. With ``every`` a document meets all
-   earlier ones instead, exactly: any block to delete holds a run of lines of
-   WORDS words, so runs, not lines, are what is looked up. A document is
-   aligned with the first owners of its runs; where lines of a shared run
-   stay, with the next holders of that run, round by round, until no such
-   line or no earlier holder is left. Holders of equal lines count as one.
-3. Patience diff aligns the two documents' line hashes: lines that both have
-   once are matched along a longest increasing run, and matches spread to
-   equal neighbours. Common blocks of WORDS words or more are deleted from
-   the document of greater id.
-Only hashes move until the end, when the deleted lines join the texts.
-
-Cases: null text counts as empty. Blank lines neither pair nor anchor.
-Documents of equal id are not later than each other; one without id is
-neither later nor earlier than any. Repeated rows stay, each with its own
-deletions. Other columns stay as they are.
+"""Line dedup: documents that share lines are aligned; aligned common blocks go from the later one.
+
+A block is a run of consecutive lines of WORDS words or more that begins and
+ends with lines that are not blank. Every line of a document goes that lies in
+a block which some document of smaller id holds as well; this is judged on the
+input, over all pairs.
+
+1. Lines are hashed (white space at their ends aside). A block is made of
+   shortest runs of WORDS words, so these are what documents are met by: each
+   run that several documents hold has an owner, the holder of least id.
+   Rarity keeps pairs few in this method; owners do so for runs of any
+   frequency: n holders make n pairs, not n * n.
+2. A document is paired with the owners of its runs. Of the two only the lines
+   of shared runs move, so a document that borrows from many costs no more
+   than its own lines.
+3. Patience diff aligns these lines: those that both have once are matched
+   along a longest increasing run, and matches spread to equal neighbours.
+   Runs that match as a whole are deleted from the later document. What
+   the diff must leave, as it crosses a match or stands there once more, is
+   aligned again, until each shared run is taken. As a run is thus taken
+   whoever holds it, owners stand for all earlier documents.
+
+Cases: null text counts as empty. Blank lines neither pair nor anchor; between
+lines of a block they go with it. Documents of equal id are not later than
+each other; one without id is neither later nor earlier than any. Repeated
+rows stay, each with its own deletions. Other columns stay as they are.
 """
 
 from __future__ import annotations
 
 from array import array
 from bisect import bisect_left
-from itertools import pairwise
+from itertools import groupby, pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import column, cut, hot_join, salted_join, slices
+from .common import column, cut, hot_join, slices
 
 #: Words that a common block has at least.
 WORDS = 5
-#: Further holders of a run that the first round after the owners takes; each round takes so many times more.
-NEXT = 8
 
 #: Names of helper columns, which tables should not have.
 KEY, GONE = "__line_key__", "__lines_gone__"
 
 
-def _lined(batches):
-    for batch in slices(batches, "text"):
-        hashes, words = [], []
-        for text in column(batch, "text").cast(pa.binary()).to_pylist():
-            lines = [x.strip() for x in (text or b"").split(b"\n")]
-            # Signed longs; a blank line is 0.
-            hashes.append([xxh64_intdigest(x) - (1 << 63) if x else 0 for x in lines])
-            words.append([len(x.split()) for x in lines])
-        arrays = [column(batch, "doc_id"), column(batch, "key"), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "lines", "words"])
-
-
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, ordered by the first, whose seconds increase."""
     tails: list[int] = []
@@ -108,26 +96,6 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], words: list[int], b: list[int], least: int = WORDS) -> list[int]:
-    """Positions of a in aligned common blocks of at least so many words; blank lines at a block's ends stay."""
-    matched = patience(a, b)
-    out: list[int] = []
-    k = 0
-    while k < len(matched):
-        z = k + 1
-        while z < len(matched) and matched[z][0] == matched[z - 1][0] + 1 and matched[z][1] == matched[z - 1][1] + 1:
-            z += 1
-        block = [i for i, _ in matched[k:z]]
-        while block and not a[block[0]]:
-            block.pop(0)
-        while block and not a[block[-1]]:
-            block.pop()
-        if sum(words[i] for i in block) >= least:
-            out += block
-        k = z
-    return out
-
-
 def runs(lines: list[int], words: list[int], least: int = WORDS) -> dict[int, list[tuple[int, int]]]:
     """First and last positions of the shortest runs of so many words, by hash.
 
@@ -156,105 +124,95 @@ def runs(lines: list[int], words: list[int], least: int = WORDS) -> dict[int, li
     found.update((i, j) for i, j in pairwise(at) if j > i + 1 and words[i] + words[j] >= least)
     data = array("q", lines).tobytes()
     out: dict[int, list[tuple[int, int]]] = {}
-    for i, j in found:
+    for i, j in sorted(found):
         out.setdefault(xxh64_intdigest(data[8 * i : 8 * j + 8]) - (1 << 63), []).append((i, j))
     return out
 
 
-def _keyed(batches):
-    for batch in batches:
-        ids, keys, lines, words = (column(batch, c).to_pylist() for c in ("doc_id", "key", "lines", "words"))
-        rows = []
-        for d, k, h, w in zip(ids, keys, lines, words, strict=True):
-            found = runs(h, w)
-            if found:
-                # The whole counts as a run, so that equal documents meet.
-                whole = xxh64_intdigest(array("q", h).tobytes(), 1) - (1 << 63)
-                rows += [(d, k, x, whole) for x in {*found, whole}]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "key", "run", "whole"])
-
-
-def _staying(batches):
-    for batch in batches:
-        ids, keys, lines, words, asked, gone = (column(batch, c).to_pylist() for c in ("doc_id", "key", "lines", "words", "asked", "gone"))
-        rows = []
-        for d, k, h, w, runs_, g in zip(ids, keys, lines, words, asked, gone, strict=True):
-            out, found = set(g or ()), runs(h, w)
-            rows += [(d, k, x) for x in runs_ if any(p not in out for i, j in found.get(x, ()) for p in range(i, j + 1))]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "key", "run"])
-
+def _sequence(lines: dict[int, int], free: int) -> tuple[list[int], list[int]]:
+    """Positions in order and what they hold, with something unequal to all (``free`` and on) where one is left out."""
+    places, held = [], []
+    for p in sorted(lines):
+        if places and p > places[-1] + 1:
+            places.append(-1)
+            held.append(free + len(held))
+        places.append(p)
+        held.append(lines[p])
+    return places, held
 
-def _aligned(batches):
-    for batch in batches:
-        later, words, earlier = (column(batch, c).to_pylist() for c in ("lines", "words", "other"))
-        gone = [common_blocks(a, w, b) for a, w, b in zip(later, words, earlier, strict=True)]
-        yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"]).filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
+def _pass(left: list[tuple[int, int, list[int]]]) -> set[tuple[int, int]]:
+    """Places (later, earlier) that a patience diff over the lines of some run occurrences matches."""
+    mine, other = {}, {}
+    for i, at, held in left:
+        mine.update(zip(range(i, i + len(held)), held, strict=True))
+        other.update(zip(range(at, at + len(held)), held, strict=True))
+    # Line hashes are signed 64-bit numbers; fillers lie beyond them, apart for either side.
+    (a, x), (b, y) = _sequence(mine, 1 << 64), _sequence(other, 1 << 65)
+    return {(a[i], b[j]) for i, j in patience(x, y)}
 
-def deletions(lined: DataFrame, rare: int | None = None) -> DataFrame:
-    """key and gone: positions of the lines to delete. ``lined``: doc_id, key, lines, words."""
-    known = lined.filter("doc_id IS NOT NULL")
-    single = known.select("doc_id", "key", F.explode(F.array_distinct("lines")).alias("line")).filter("line <> 0")
-    owned = single.groupBy("line").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "key")).alias("owner")).filter("df > 1")
-    owned = cut(owned, "owned")
-    total = owned.agg(F.sum("df")).first()[0] or 0
-    seeds = owned if rare is None else owned.filter(F.col("df") <= rare)
-    shared = hot_join(single, seeds, "line", "df", total).filter("owner.doc_id < doc_id")
-    pairs = shared.select("key", F.col("owner.key").alias("owner")).distinct()
-    return _merged(_gone(cut(pairs, "pairs"), known.dropDuplicates(["key"])))
 
+def aligned(shared: list[tuple[list[int], int, list[int]]]) -> set[int]:
+    """Lines of the later document in blocks aligned with the earlier one.
 
-def _gone(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """key and gone: positions of key's lines that its alignment with owner deletes, a row a pair that deletes any."""
-    both = pairs.join(arrays.select("key", "lines", "words"), "key")
-    others = arrays.select(F.col("key").alias("owner"), F.col("lines").alias("other"))
-    both = salted_join(both, others, "owner", pairs.groupBy("owner").count(), pairs.count(), "key")
-    return both.select("key", "lines", "words", "other").mapInArrow(_aligned, "key long, gone array<int>")
+    ``shared``: of each run that both hold, where it begins in the later
+    document, where it first begins in the earlier one, and its lines.
+    """
+    gone: set[int] = set()
+    left = [(i, at, held) for begins, at, held in shared for i in begins]
+    while left:
+        matched = _pass(left)
+        stay = []
+        for i, at, held in left:
+            if all((i + k, at + k) in matched for k in range(len(held))):
+                gone.update(range(i, i + len(held)))
+            else:
+                stay.append((i, at, held))
+        if len(stay) > len(left) // 2:
+            # Mostly moved or repeated blocks: each is aligned by itself, as further diffs would take few at a time.
+            for one in stay:
+                gone.update(i for i, _ in _pass([one]))
+            return gone
+        left = [x for x in stay if not gone.issuperset(range(x[0], x[0] + len(x[2])))]
+    return gone
 
 
-def _merged(gone: DataFrame) -> DataFrame:
-    return gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+def _runs_of(batches):
+    for batch in slices(batches, "text"):
+        rows = []
+        for d, k, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "key")), column(batch, "text").cast(pa.binary()).to_pylist(), strict=True):
+            lines = [x.strip() for x in (text or b"").split(b"\n")]
+            # Signed longs; a blank line is 0.
+            hashes = [xxh64_intdigest(x) - (1 << 63) if x else 0 for x in lines]
+            for run, places in runs(hashes, [len(x.split()) for x in lines]).items():
+                i, j = places[0]
+                rows.append((d, k, run, [p for p, _ in places], hashes[i : j + 1]))
+        if rows:
+            columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["doc_id", "key", "run", "begins", "held"])
 
 
-def every_deletion(lined: DataFrame) -> DataFrame:
-    """As deletions, of the alignments with all earlier documents."""
-    arrays = cut(lined.filter("doc_id IS NOT NULL").dropDuplicates(["key"]), "arrays")
-    keyed = cut(arrays.mapInArrow(_keyed, "doc_id long, key long, run long, whole long"), "runs")
-    single = keyed.select("doc_id", "key", "run")
-    owned = cut(single.groupBy("run").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "key")).alias("owner")).filter("df > 1"), "owned")
+def _gone(batches):
+    for batch in batches:
+        gone = []
+        for shared in column(batch, "shared").to_pylist():
+            out: set[int] = set()
+            for _, of in groupby(sorted(shared, key=lambda x: (x["owner"], x["at"], x["begins"])), key=lambda x: x["owner"]):
+                out |= aligned([(x["begins"], x["at"], x["held"]) for x in of])
+            gone.append(sorted(out))
+        yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
+
+
+def deletions(own: DataFrame) -> DataFrame:
+    """key and gone: positions of the lines to delete. ``own``: doc_id, key, text."""
+    found = cut(own.filter("doc_id IS NOT NULL").mapInArrow(_runs_of, "doc_id long, key long, run long, begins array<int>, held array<long>"), "runs")
+    first = F.min(F.struct("doc_id", "key", F.col("begins")[0].alias("at")))
+    owned = cut(found.groupBy("run").agg(F.count("*").alias("df"), first.alias("owner")).filter("df > 1"), "owned")
     total = owned.agg(F.sum("df")).first()[0] or 0
-    shared = cut(hot_join(single, owned, "run", "df", total).filter("owner.doc_id < doc_id").select("doc_id", "key", "run", F.col("owner.key").alias("owner")), "shared")
-    pairs = cut(shared.select("key", "owner").distinct(), "pairs")
-    gone = cut(_merged(_gone(pairs, arrays)), "gone")
-
-    def staying(asked: DataFrame, gone: DataFrame) -> DataFrame:
-        """The documents' runs of which a line is not deleted."""
-        own = arrays.join(asked.groupBy("key").agg(F.collect_list("run").alias("asked")), "key").join(gone, "key", "left")
-        return own.mapInArrow(_staying, "doc_id long, key long, run long")
-
-    left = cut(staying(shared, gone), "left")
-    if left.isEmpty():
-        return gone
-    holders = keyed.join(left.groupBy("run").agg(F.max("doc_id").alias("last")), "run").filter("doc_id < last")
-    holders = holders.groupBy("run", "whole").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("run").orderBy("first")) - 1
-    holders = cut(holders.select("run", F.col("first.doc_id").alias("before"), F.col("first.key").alias("owner"), place.alias("place")), "holders")
-    begin, size = 0, NEXT
-    while True:
-        # Holders are in order of their ids: if the next one is not earlier, no further one is.
-        more = holders.filter(F.col("place") == begin).select("run", "before")
-        left = cut(left.join(more, "run").filter("before < doc_id").select("doc_id", "key", "run"), "left")
-        if left.isEmpty():
-            return gone
-        some = holders.filter((F.col("place") >= begin) & (F.col("place") < begin + size))
-        new = left.join(some, "run").filter("before < doc_id").select("key", "owner").distinct().join(pairs, ["key", "owner"], "left_anti")
-        new = cut(new, "pairs")
-        pairs = pairs.unionByName(new)
-        gone = cut(_merged(gone.unionByName(_gone(new, arrays))), "gone")
-        left = staying(left, gone)
-        begin, size = begin + size, size * NEXT
+    shared = hot_join(found, owned, "run", "df", total).filter("owner.doc_id < doc_id")
+    # A set, so that a row repeated very often brings its runs once.
+    pairs = shared.select("key", F.struct(F.col("owner.key").alias("owner"), F.col("owner.at").alias("at"), "begins", "held").alias("one"))
+    return pairs.groupBy("key").agg(F.collect_set("one").alias("shared")).mapInArrow(_gone, "key long, gone array<int>")
 
 
 def _applied(names: list[str], counts: bool):
@@ -281,22 +239,20 @@ def _applied(names: list[str], counts: bool):
     return run
 
 
-def _apply(docs: DataFrame, rare: int | None, counts: bool, every: bool) -> DataFrame:
+def _apply(docs: DataFrame, counts: bool) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
-    lined = cut(own.mapInArrow(_lined, "doc_id long, key long, lines array<long>, words array<int>"), "lines")
-    found = every_deletion(lined) if every else deletions(lined, rare)
-    gone = found.select(F.col("key").alias(KEY), F.col("gone").alias(GONE))
+    gone = cut(deletions(own), "gone").select(F.col("key").alias(KEY), F.col("gone").alias(GONE))
     full = docs.withColumn(KEY, key).join(gone, KEY, "left").select(*docs.columns, GONE)
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())] if counts else []
     return full.mapInArrow(_applied(docs.columns, counts), T.StructType([*docs.schema.fields, *more]))
 
 
-def remove_blocks(docs: DataFrame, rare: int | None = None, every: bool = False) -> DataFrame:
+def remove_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, text (what is left), n_lines (of the input) and n_deleted of each document."""
-    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rare, True, every)
+    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), True)
 
 
-def clean(docs: DataFrame, rare: int | None = None, every: bool = False) -> DataFrame:
+def clean(docs: DataFrame) -> DataFrame:
     """The documents with aligned blocks deleted; their columns stay, n_chars follows the text."""
-    return _apply(docs, rare, False, every)
+    return _apply(docs, False)

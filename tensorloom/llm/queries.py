@@ -44,7 +44,7 @@ def op7_rare_gram_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linedup.remove_blocks(table(spark, sf_dir, "documents"), every=True)
+    found = linedup.remove_blocks(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -60,4 +60,38 @@ QUERIES = {
     f.__name__: f
     for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: A line goes if it lies in a block of five words or more that a document of smaller id holds too.
+OP8_SQL = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS p
+  FROM documents WHERE text <> ''
+), lines AS (
+  SELECT doc_id, p, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
+         len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS w
+  FROM split
+), solid AS (
+  SELECT doc_id, p, w, row_number() OVER d AS k, sum(w) OVER d AS upto FROM lines WHERE line <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY p)
+), near AS (
+  SELECT a.doc_id, a.p AS i, b.p AS j, b.k - a.k AS apart, b.upto - a.upto + a.w AS words
+  FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 4
+), runs AS (
+  SELECT doc_id, i, min(j) AS j FROM near WHERE words >= 5 GROUP BY doc_id, i
+  UNION SELECT doc_id, max(i), j FROM near WHERE words >= 5 GROUP BY doc_id, j
+  UNION SELECT doc_id, i, j FROM near WHERE words >= 5 AND apart = 1 AND j > i + 1
+), held AS (
+  SELECT r.doc_id, r.i, r.j, string_agg(l.line, chr(10) ORDER BY l.p) AS run
+  FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.p BETWEEN r.i AND r.j GROUP BY r.doc_id, r.i, r.j
+), gone AS (
+  SELECT DISTINCT h.doc_id, l.p
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY run) AS owner FROM held) h
+  JOIN lines l ON l.doc_id = h.doc_id AND l.p BETWEEN h.i AND h.j WHERE h.owner < h.doc_id
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_deleted,
+         coalesce(string_agg(l.raw, chr(10) ORDER BY l.p) FILTER (WHERE g.p IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_deleted, 0) AS n_deleted, sha256(coalesce(k.text, d.text)) AS text_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_patience_lines": OP8_SQL}

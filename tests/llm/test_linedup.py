@@ -32,30 +32,42 @@ def test_longest_increasing_run():
 
 
 def slow(rows):
-    """Text left, by row."""
+    """Text left and lines deleted, by row: all pairs of documents, all their common blocks."""
     lines = [[x.strip() for x in (t or "").split("\n")] for _, t in rows]
-    holders = {}
-    for (d, t), own in zip(rows, lines, strict=True):
-        if d is not None:
-            for x in set(own) - {""}:
-                holders.setdefault(x, []).append((d, t))
     out = []
     for (d, t), own in zip(rows, lines, strict=True):
         gone = set()
-        shared = {}
-        if d is not None:
-            for x in set(own) - {""}:
-                if min(h[0] for h in holders[x]) < d:
-                    shared[x] = len(holders[x])
-        for x in shared:
-            other = min(holders[x], key=lambda h: h[0])[1]
-            gone |= set(linedup.common_blocks([hash(y) if y else 0 for y in own], [len(y.split()) for y in own], [hash(y.strip()) if y.strip() else 0 for y in other.split("\n")]))
-        out.append((d, "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone)))
+        for (e, _), other in zip(rows, lines, strict=True):
+            if d is None or e is None or e >= d:
+                continue
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    # Only where no longer block begins before both.
+                    if own[i] != other[j] or (i and j and own[i - 1] == other[j - 1]):
+                        continue
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    block = list(range(i, i + n))
+                    while block and not own[block[0]]:
+                        block.pop(0)
+                    while block and not own[block[-1]]:
+                        block.pop()
+                    if sum(len(own[k].split()) for k in block) >= linedup.WORDS:
+                        gone.update(block)
+        out.append((d, "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone), len(gone)))
     return out
 
 
+def compare(docs, rows):
+    found = linedup.remove_blocks(docs).collect()
+    assert sorted((str(r.doc_id), r.text or "", r.n_deleted) for r in found) == sorted((str(d), t, n) for d, t, n in slow(rows))
+    assert all(r.n_lines == (len(t.split("\n")) if t else 0) for r in found for t in [dict(rows)[r.doc_id]] if [d for d, _ in rows].count(r.doc_id) == 1)
+    return found
+
+
 @pytest.mark.parametrize("seed", [0, 1])
-def test_against_brute_force(spark, seed):
+def test_against_all_pairs(spark, seed):
     rnd = random.Random(seed)
     rows = []
     for d in range(120):
@@ -67,13 +79,8 @@ def test_against_brute_force(spark, seed):
         own += ["common footer line that all of these have"] * (rnd.random() < 0.5)
         rows.append((d * 2, "\n".join(own)))
     rows += [(500 + k, rows[4][1]) for k in range(30)] + [(900, None), (901, ""), (902, "\n\n"), (None, rows[4][1]), (903, "a b"), (904, "a b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("gone", F.lit(1)).withColumn("lines", F.lit(2)).repartition(4)
-    want = dict(slow(rows))
-    found = linedup.remove_blocks(docs).collect()
-    assert len(found) == len(rows)
-    for r in found:
-        assert (r.text or "") == want[r.doc_id], r.doc_id
-    by = {r.doc_id: r for r in found}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("key", "gone", "lines", "run", "shared")}).repartition(4)
+    by = {r.doc_id: r for r in compare(docs, rows)}
     assert all(by[500 + k].text == "" and by[500 + k].n_deleted for k in range(30))
     assert by[904].text == "a b" and by[None].n_deleted == 0
     full = linedup.clean(docs.withColumn("n_chars", F.length("text").cast("long")))
@@ -89,26 +96,41 @@ def test_repeated_rows_and_empty_table(spark):
     found = sorted((r.doc_id, r.n_deleted) for r in linedup.remove_blocks(docs).collect())
     assert found == [(1, 0), (1, 0), (1, 0), (2, 2), (2, 2)]
     assert linedup.remove_blocks(docs.limit(0)).collect() == []
+    assert linedup.clean(docs.limit(0)).collect() == []
 
 
-def test_every_earlier_document(spark):
-    rnd = random.Random(5)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_short_moved_and_repeated_lines(spark, seed):
+    """Blocks of short lines that no single owner holds whole, blocks in other order, and lines that stand twice."""
+    rnd = random.Random(seed)
     short = [f"s{i} t" for i in range(9)] + ["x", "", "five words are in this", "so are six in this one"]
     rows = [(1, "Home page"), (2, "About us"), (3, "Contact now"), (10, "Home page\nAbout us\nContact now"), (11, "Home page\nAbout us\nContact now")]
+    rows += [(12, "Home page\nz"), (13, "y\nAbout us"), (14, "q q q\nHome page\nAbout us\nq"), (15, "v\nq q q\nHome page\nw"), (16, "k\nq q q\nHome page\nu")]
     rows += [(20, "one line of five words\nother line of five words"), (21, "other line of five words\nz\none line of five words"), (22, "y\nother line of five words\nx\none line of five words")]
-    rows += [(30, "twice a line of words\nq\ntwice a line of words"), (31, "v\ntwice a line of words"), (32, "u\ntwice a line of words\nw")]
+    rows += [(30, "twice a line of words\nq\ntwice a line of words"), (31, "v\ntwice a line of words"), (32, "u\ntwice a line of words\nw\ntwice a line of words")]
     rows += [(100 + d // 2, "\n".join(rnd.choice(short) for _ in range(rnd.randint(1, 12)))) for d in range(240)]
     docs = spark.createDataFrame([*rows, (None, rows[3][1])], "doc_id long, text string").repartition(3)
-    want = set()
-    lines = [[hash(x) if x else 0 for x in t.split("\n")] for _, t in rows]
-    for (d, t), own in zip(rows, lines, strict=True):
-        words, gone = [len(x.split()) for x in t.split("\n")], set()
-        for (e, _), other in zip(rows, lines, strict=True):
-            if e < d:
-                gone |= set(linedup.common_blocks(own, words, other))
-        want.add((d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)))
-    found = linedup.remove_blocks(docs, every=True).collect()
-    assert {(r.doc_id, r.text or "", r.n_deleted) for r in found if r.doc_id is not None} == want and len(found) == len(rows) + 1
-    by = {r.doc_id: r.n_deleted for r in found if r.doc_id is not None and r.doc_id < 100}
-    assert by[11] == 3 and by[22] == 2 and by[32] == 1
-    assert linedup.clean(docs.limit(0), every=True).collect() == []
+    by = {r.doc_id: r.n_deleted for r in compare(docs, [*rows, (None, rows[3][1])]) if r.doc_id is not None and r.doc_id < 100}
+    assert by[11] == 3 and by[22] == 2 and by[32] == 2 and by[16] == 2
+
+
+def test_reversed_and_repetitive_documents_end_soon():
+    n = 20_000
+    lines = [k + 1 for k in range(n)]
+    assert linedup.aligned([([n - 1 - k], k, [h]) for k, h in enumerate(lines)]) == set(range(n))
+    assert linedup.aligned([(list(range(n)), 0, [7, 7, 7])]) == set(range(n + 2))
+    assert linedup.aligned([]) == set()
+
+
+def test_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    from tensorloom.llm import queries
+
+    rows = [(1, " a b c d e \nq\n"), (2, "x\na b c d e\n\nz z z z z"), (3, None), (4, ""), (5, "\n"), (6, "a b c d e\n\t\nz z z z z"), (7, "k\na b c d e\n\nz z z z z\nk")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op8_patience_lines"]).fetchall()
+    got = [tuple(r) for r in queries.op8_patience_lines(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(rows)
