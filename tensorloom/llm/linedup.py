@@ -243,7 +243,8 @@ def _apply(docs: DataFrame, counts: bool) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
     gone = cut(deletions(own), "gone").select(F.col("key").alias(KEY), F.col("gone").alias(GONE))
-    full = docs.withColumn(KEY, key).join(gone, KEY, "left").select(*docs.columns, GONE)
+    # One plan at every size: what is deleted grows with the documents.
+    full = docs.withColumn(KEY, key).join(gone.hint("merge"), KEY, "left").select(*docs.columns, GONE)
     more = [T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())] if counts else []
     return full.mapInArrow(_applied(docs.columns, counts), T.StructType([*docs.schema.fields, *more]))
 
