@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -48,25 +49,58 @@ def test_rules_against_brute_force(spark):
     assert urlrank.judge(pages.limit(0)).collect() == []
 
 
-def test_propagation_against_brute_force(spark):
-    rows = [
-        (1, "http://good.org/fr/", '<p><a href="http://friend.test/x">a</a> <a HREF=//other.test/>b</a> <a href="/own">c</a>'),
-        (2, "http://bad.net/", "<a href='https://bad2.net/'>x</a>"),
-        (3, "http://farm.test/", "<a href='https://bad.net/'>x</a><a href='https://bad2.net/z'>y</a>"),
-        (4, "http://friend.test/", '<a href="http://farm.test/">'),
-        (5, "http://other.test/", None),
-        (6, "http://bad2.net/q", ""),
-    ]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = {r.host: r for r in urlrank.judge(pages, threshold=0.2).collect()}
-    edges = {("good.org", "friend.test"): 1.0, ("good.org", "other.test"): 1.0, ("bad.net", "bad2.net"): 1.0, ("farm.test", "bad.net"): 1.0, ("farm.test", "bad2.net"): 1.0, ("friend.test", "farm.test"): 1.0}
-    trust = slow_rank({"good.org": 1.0}, edges)
-    distrust = slow_rank({"bad.net": 1.0, "bad2.net": 1.0}, {(b, a): w for (a, b), w in edges.items()})
-    for h, r in found.items():
-        assert r.trust == pytest.approx(trust[h], abs=1e-4) and r.distrust == pytest.approx(distrust[h], abs=1e-4)
-        if r.rule is None:
-            assert r.verdict == ("block" if distrust[h] >= 0.2 and distrust[h] > trust[h] else "allow")
-    assert found["farm.test"].verdict == "block" and found["other.test"].verdict == "allow"
+def slow_shares(pages, rules=urlrank.RULES):
+    """Trust and distrust shares by host, and the edges, from rows (page_id, url, html)."""
+    allowed, blocked, of, edges = {}, {}, {}, {}
+    for _, url, html in pages:
+        host, path = slow_parts(url)
+        rule = slow_rule(host, path)
+        if host:
+            of[host] = of.get(host, 0) + 1
+            allowed[host] = allowed.get(host, 0) + (rule is not None and rule.verdict == "allow")
+            blocked[host] = blocked.get(host, 0) + (rule is not None and rule.verdict == "block")
+            for link in re.findall(r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)""", html or ""):
+                if link.lower() != host:
+                    edges[host, link.lower()] = edges.get((host, link.lower()), 0) + 1
+    hosts = set(of) | {h for e in edges for h in e}
+    out = []
+    for seeds, way in ((allowed, edges), (blocked, {(b, a): w for (a, b), w in edges.items()})):
+        own = {h: seeds.get(h, 0) / of.get(h, 1) for h in hosts}
+        score, every = slow_rank(own, way), slow_rank(dict.fromkeys(hosts, 1.0), way)
+        out.append({h: max(own[h], score[h] / every[h]) for h in hosts})
+    return out
+
+
+def generated(seed, hosts=40, pages=300):
+    """Pages of few very large and many small hosts, linked across."""
+    rng = random.Random(seed)
+    names = [f"h{k}.{rng.choice(['test', 'test', 'net', 'org', 'example.com'])}" for k in range(hosts)]
+    pick = lambda: names[min(int(rng.expovariate(0.12)), hosts - 1)]
+    return [(i, f"http://{pick()}/{rng.choice(['fr', 'de', 'en'])}/{i}", " ".join(f'<a href="https://{pick()}/x">y</a>' for _ in range(rng.randint(0, 4)))) for i in range(pages)]
+
+
+CHAIN = [(k, f"http://c{k}.test/", f"<a href='//c{k + 1}.test/'>x</a>" + f"<a href='//c{max(0, k - 1)}.test/'>x</a>" * (k % 3 == 0)) for k in range(25)] + [(25, "http://c25.test/", "<a href='http://bad.net/'>"), (26, "http://bad.net/", "<a href='//c25.test'>")]
+
+
+@pytest.mark.parametrize("rows", [generated(1), CHAIN], ids=["linked", "chain"])
+def test_propagation_against_brute_force(spark, rows):
+    found = urlrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), tolerance=1e-4).collect()
+    assert len(found) == len(rows)
+    trust, distrust = slow_shares(rows)
+    for r in found:
+        assert r.trust_share == pytest.approx(trust[r.host], abs=5e-3) and r.distrust_share == pytest.approx(distrust[r.host], abs=5e-3)
+        assert 0 <= r.distrust_share <= 1 + 1e-9
+        if r.rule is None and abs(distrust[r.host] - 0.5) > 0.01 and abs(distrust[r.host] - trust[r.host]) > 0.01:
+            assert r.verdict == ("block" if distrust[r.host] >= 0.5 and distrust[r.host] > trust[r.host] else "allow")
+    # Links reach further than the hosts that rules name.
+    assert any(r.distrust_share > 0.01 for r in found if r.rule is None)
+
+
+def test_a_link_to_a_bad_host_does_not_clear_it(spark):
+    rows = [(k, f"http://s.example.com/de/{k}", "") for k in range(9)] + [(20, "http://s.example.com/en/", "")]
+    rows += [(30 + k, f"http://clean{k}.test/", '<a href="http://s.example.com/">x</a>' + "".join(f'<a href="http://ok{j}.test/">' for j in range(9))) for k in range(5)]
+    found = {r.page_id: r.verdict for r in urlrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), tolerance=1e-4).collect()}
+    assert found[20] == "block" and all(found[30 + k] == "allow" for k in range(5))
 
 
 def test_registered_threshold_on_a_linked_graph(spark):
@@ -80,7 +114,7 @@ def test_registered_threshold_on_a_linked_graph(spark):
     ]
     rows += [(10 + k, f"http://s.example.com/de/{k}", "") for k in range(9)] + [(20, "http://s.example.com/en/", "")]
     rows += [(30 + k, f"http://t.example.com/de/{k}", "") for k in range(9)] + [(40, "http://t.example.com/en/", "")]
-    found = {r.page_id: r.verdict for r in urlrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found = {r.page_id: r.verdict for r in urlrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), tolerance=1e-4).collect()}
     assert found[3] == "block" and found[5] == "allow"
     # One link to a host that is blocked by nine pages in ten leaves its verdict.
     assert found[20] == found[40] == "block"
