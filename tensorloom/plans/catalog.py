@@ -500,3 +500,6 @@ def cpd_als(spark, sf):
 def tucker(spark, sf):
     core, _, _ = cpd.tucker(c2(spark, sf).contract(n2(spark, sf), [1], [1]), (2, 2), 1)
     return core.df
+
+
+from tensorloom.plans import catalog_more  # noqa: E402, F401  registers further queries here
