@@ -3,14 +3,16 @@
 1. All word n-grams of the test items are seeds, whatever their frequency: a
    passage that very many documents hold is found as well as any other.
 2. A pass over all whole texts joins texts to items on seeds. Hits of an item
-   near one another make a passage; Smith-Waterman aligns it with the item,
-   word by word. It counts if the score reaches SHARE of the item's perfect
-   score, or ENOUGH words' worth of it.
+   near one another make a stretch; Smith-Waterman aligns it with the item,
+   word by word, in overlapping windows. A passage counts if its score reaches
+   SHARE of the item's perfect score, or ENOUGH words' worth of it; what is on
+   either side of it is aligned again, so each copy is reported.
 
 Items are held by each task; they are taken in blocks of at most BLOCK bytes
 of text, one run of the pass each, so that what is sent stays bounded.
-Words are runs of letters and digits; case is ignored where UTF-8 takes one
-or two bytes a character (Latin, Greek, Cyrillic).
+Words are runs of letters, digits and marks of any script, whatever marks of
+punctuation part them; ideographs and kana are words each. Case is ignored
+where UTF-8 takes one or two bytes a character (Latin, Greek, Cyrillic).
 
 Cases: null or wordless texts and items match nothing. An item of fewer words
 than an n-gram must occur whole. Repeated rows and repeated items each have
@@ -81,27 +83,32 @@ class Items:
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman over words: best score, its begin and end in ``text``, and how many words are equal."""
-    n, m = len(item), len(text)
-    steps = np.arange(m + 1) * -GAP
-    rows = np.zeros((n + 1, m + 1), np.int64)
-    for i in range(1, n + 1):
-        to = np.where(text == item[i - 1], MATCH, MISS)
-        best = np.maximum(rows[i - 1, 1:] + GAP, rows[i - 1, :-1] + to)
-        row = np.r_[0, np.maximum(best, 0)]
-        rows[i] = np.maximum.accumulate(row + steps) - steps
-    i, j = map(int, np.unravel_index(rows.argmax(), rows.shape))
-    score, end, equal = int(rows[i, j]), j, 0
-    while rows[i, j] > 0:
-        same = item[i - 1] == text[j - 1]
-        if rows[i, j] == rows[i - 1, j - 1] + (MATCH if same else MISS):
-            equal += same
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, j, end, int(equal)
+    """Smith-Waterman over words: best score, its begin and end in ``text``, and how many words are equal.
+
+    A row at a time: each cell carries where its alignment began and how many
+    words are equal, so no matrix is held and nothing is traced back.
+    """
+    m = len(text)
+    steps, at = np.arange(m + 1) * -GAP, np.arange(m + 1)
+    row, start, equal = np.zeros(m + 1, np.int64), at.copy(), np.zeros(m + 1, np.int64)
+    best = (0, 0, 0, 0)
+    for word in item:
+        same = np.r_[False, text == word]
+        up = row + GAP
+        slant = np.r_[0, row[:-1] + np.where(same[1:], MATCH, MISS)]
+        new = np.maximum(np.maximum(up, slant), 0)
+        from_slant = (slant == new) & (new > 0)
+        begun = np.where(new == 0, at, np.where(from_slant, np.r_[0, start[:-1]], start))
+        kept = np.where(new == 0, 0, np.where(from_slant, np.r_[0, equal[:-1]] + same, equal))
+        # Gaps in the item: the cell to the left that is best after what the steps between cost.
+        level = new + steps
+        top = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == top, at, 0))
+        row, start, equal = top - steps, begun[source], kept[source]
+        k = int(row.argmax())
+        if row[k] > best[0]:
+            best = (int(row[k]), int(start[k]), k, int(equal[k]))
+    return best
 
 
 def needed(words: int) -> int:
@@ -111,8 +118,18 @@ def needed(words: int) -> int:
     return MATCH * min(int(np.ceil(SHARE * words)), ENOUGH)
 
 
+def _windows(low: int, high: int, size: int):
+    """Overlapping windows over a stretch of words. No alignment is longer than 3 items: each match of at most ``size`` pays for at most MATCH words of gap."""
+    wide = 8 * size + 16
+    while True:
+        yield low, min(high, low + wide)
+        if low + wide >= high:
+            return
+        low += wide // 2
+
+
 def passages(items: Items, flags: np.ndarray, h: np.ndarray, doc: np.ndarray, docs: int):
-    """Yield (text, item, score, equal, first word, end word) of each contaminated passage."""
+    """Yield (text, item, score, equal, first word, end word) of each contaminated passage; passages of an item do not overlap."""
     at, code = items.hits(h, doc, flags)
     if not len(at):
         return
@@ -125,24 +142,31 @@ def passages(items: Items, flags: np.ndarray, h: np.ndarray, doc: np.ndarray, do
     order = np.lexsort((at, item, doc[at]))
     at, item, place = at[order], item[order], place[order]
     d = doc[at]
+    # A gap longer than the item costs more than what is beyond it brings.
     far = np.r_[True, (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (at[1:] - at[:-1] > size[item[1:]])]
     edges = np.flatnonzero(np.r_[far, True])
     known: dict = {}
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         k, t = int(item[a]), int(d[a])
         slack = size[k] // 4 + 2
-        lo = max(int(begin[t]), int((at[a:z] - place[a:z]).min()) - slack)
-        hi = min(int(begin[t + 1]), int((at[a:z] - place[a:z]).max()) + int(size[k]) + slack)
-        own, text = items.words[k], h[lo:hi]
-        least = needed(len(own))
-        if MATCH * int(np.isin(own, text).sum()) < least:
-            continue
-        key = (k, text.tobytes())
-        if key not in known:
-            known[key] = align(own, text)
-        score, s, e, equal = known[key]
-        if score >= least:
-            yield t, k, score / (MATCH * len(own)), equal, lo + s, lo + e
+        low = max(int(begin[t]), int((at[a:z] - place[a:z]).min()) - slack)
+        high = min(int(begin[t + 1]), int((at[a:z] - place[a:z]).max()) + int(size[k]) + slack)
+        own, least, done = items.words[k], needed(int(size[k])), low
+        for lo, hi in _windows(low, high, int(size[k])):
+            todo = [(max(lo, done), hi)]
+            while todo:
+                lo, hi = todo.pop()
+                text = h[lo:hi]
+                if hi <= lo or MATCH * int(np.isin(own, text).sum()) < least:
+                    continue
+                key = (k, text.tobytes())
+                if key not in known:
+                    known[key] = align(own, text)
+                score, s, e, equal = known[key]
+                if score >= least:
+                    yield t, k, score / (MATCH * len(own)), equal, lo + s, lo + e
+                    done = max(done, lo + e)
+                    todo += [(lo + e, hi), (lo, lo + s)]
 
 
 SCHEMA = "doc_id long, item_id long, score double, n_equal long, start long, end long"

@@ -20,6 +20,7 @@ def test_alignment_score():
         a, b = rng.integers(0, 4, int(rng.integers(1, 25))).astype(np.uint64), rng.integers(0, 4, int(rng.integers(1, 40))).astype(np.uint64)
         score, s, e, equal = decontam.align(a, b)
         assert score == slow_align(a, b) and 0 <= s <= e <= len(b) and equal * decontam.MATCH >= score
+        assert equal <= min(len(a), e - s)
         assert slow_align(a, b[s:e]) == score
 
 
@@ -33,6 +34,47 @@ def test_words():
     assert h[0] == h[7] and h[1] == h[8] and h[5] == h[6] and len(set(h.tolist())) == 6
 
 
+def words_of(text):
+    data = text.encode()
+    h, b, e, _ = tokens.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return [data[x:y].decode() for x, y in zip(b, e, strict=True)]
+
+
+def test_words_of_other_scripts():
+    assert words_of("“Don’t—stop”, she said…") == ["Don", "t", "stop", "she", "said"]
+    assert words_of("日本、語。カナ abc漢x") == ["日", "本", "語", "カ", "ナ", "abc", "漢", "x"]
+    assert words_of("हिन्दी भाषा\u00a0привет «мир»") == ["हिन्दी", "भाषा", "привет", "мир"]
+    assert words_of("a𝔘b 😀 c") == ["a𝔘b", "c"]
+
+
+def test_punctuation_does_not_hide_a_copy_and_copies_are_told_apart(spark):
+    item = " ".join(f"word{k}" for k in range(30))
+    cjk = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"
+    rows = [(1, "“" + item.replace(" ", "”—“") + "”"), (2, f"{item} {item}"), (3, f"{item} filler {item}, and {item}"), (4, "。".join(cjk[i : i + 5] for i in range(0, 20, 5))), (5, "x " * 300 + item)]
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, cjk)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 7), (2, 7), (2, 7), (3, 7), (3, 7), (3, 7), (4, 8), (5, 7)]
+    text = dict(rows)
+    assert all(text[r.doc_id][r.start : r.end] == item and r.score == 1 for r in found if r.doc_id in (2, 3, 5))
+
+
+def test_long_repetitive_text_and_long_item_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    item = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    items = decontam.Items([(1, " ".join(f"w{k % 97}" for k in range(400)))])
+    h = np.tile(items.words[0], 60)
+    tracemalloc.start()
+    found = list(decontam.passages(items, items.flags(), h, np.zeros(len(h), np.int64), 1))
+    big = rng.integers(1, 1 << 60, 3000).astype(np.uint64)
+    score, s, e, equal = decontam.align(big, np.r_[item, big, item])
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (score, s, e, equal) == (2 * 3000, 400, 3400, 3000) and top < 100 << 20
+    spans = sorted((a, z) for *_, a, z in found)
+    assert len(found) >= 58 and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
 def corpus(seed):
     rng = np.random.default_rng(seed)
     vocabulary = [f"w{i}" for i in range(500)]
