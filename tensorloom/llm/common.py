@@ -41,10 +41,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def parts_for(spark: SparkSession, size: int, each: int) -> int:
+    """Partitions for ``size`` bytes of about ``each``, the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def bucketed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
     """As cut, with the rows dealt by ``key`` once: later joins on it read the buckets without moving them."""
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{named}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

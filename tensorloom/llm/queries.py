@@ -60,6 +60,28 @@ QUERIES = {
     f.__name__: f
     for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe)
 }
+#: A byte goes if a 50-byte string that covers it also starts in a document of smaller id. Texts are hexadecimal here.
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), starts AS (
+  SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS k FROM docs)
+), hits AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS owner FROM starts) WHERE owner < doc_id
+), marked AS (
+  SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS fresh FROM hits
+), runs AS (
+  SELECT doc_id, min(k) AS b, max(k) + 50 AS e FROM (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM marked) GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, b, e FROM runs UNION ALL SELECT doc_id, n, n FROM docs
+), kept AS (
+  SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b, e), 0) AS a FROM cuts
+)
+SELECT d.doc_id, d.n AS n_bytes, CAST(sum(k.e - k.b) AS BIGINT) AS n_removed, count(*) FILTER (WHERE k.e > k.b) AS n_spans,
+       sha256(unhex(string_agg(substr(d.h, 2 * k.a + 1, 2 * (k.b - k.a)), '' ORDER BY k.b, k.e))) AS kept_sha256
+FROM docs d JOIN kept k USING (doc_id) GROUP BY d.doc_id, d.n
+"""
+
 #: A line goes if it lies in a block of five words or more that a document of smaller id holds too.
 OP8_SQL = r"""
 WITH split AS (
@@ -94,4 +116,4 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_deleted, 0) AS
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_patience_lines": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_array": OP4_SQL, "op8_patience_lines": OP8_SQL}
