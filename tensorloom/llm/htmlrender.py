@@ -6,8 +6,9 @@ with margins, bullets and numbers of lists, indented nesting, preformatted
 text as it is, and table cells padded to common columns.
 
 Not visible: head, script, style, template, noscript, media, annotations of
-formulas, elements with ``hidden``, ``display: none`` or ``visibility:
-hidden``. Of svg its text elements show, of a select the chosen option (of a
+formulas, elements with ``hidden`` or ``display: none``, closed dialogs, closed
+details but for their summary, and what is invisible by ``visibility``, which
+descendants can take back. Of styles, the style attribute counts. Of svg its text elements show, of a select the chosen option (of a
 list box all), of inputs the values of buttons.
 
 Cases: null or empty html gives an empty text. Anything is accepted: stray
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import sys
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +52,10 @@ IMPLIED = {
 IN_HEAD = frozenset("base link meta title script style template noscript".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+DECLARATION = re.compile(r"([-\w]+)\s*:((?:\"[^\"]*\"?|'[^']*'?|[^;\"'])*)")
+IMPORTANT = re.compile(r"\s*!\s*important\s*$")
+#: The most columns and rows of a cell that HTML knows; what is above counts as these.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -154,11 +160,42 @@ def _open(stack: list[Node], tag: str) -> None:
     stack.append(node)
 
 
+def styles(source: str) -> dict[str, str]:
+    """Properties of a style attribute in lower case; of several the important one counts, else the last."""
+    out, fixed = {}, set()
+    for name, value in DECLARATION.findall(source):
+        name, value = name.lower(), value.strip().lower()
+        important = bool(IMPORTANT.search(value))
+        if important or name not in fixed:
+            out[name] = IMPORTANT.sub("", value)
+            if important:
+                fixed.add(name)
+    return out
+
+
 def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs:
+    """Whether an element is laid out. Visibility, which its descendants can take back, is settled before."""
+    if node.tag in HIDDEN or "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs:
         return False
-    style = node.attrs.get("style", "").lower().replace(" ", "")
-    return "display:none" not in style and "visibility:hidden" not in style
+    return not node.attrs.get("style") or styles(node.attrs["style"]).get("display") != "none"
+
+
+def _settle(root: Node) -> None:
+    """Take out what isn't seen though laid out: text and images of invisible elements, and all but the summary of closed details."""
+    todo = [(root, True)]
+    while todo:
+        node, seen = todo.pop()
+        if node.attrs.get("style"):
+            how = styles(node.attrs["style"]).get("visibility")
+            seen = seen if how in (None, "inherit", "unset") else how not in ("hidden", "collapse")
+        children = node.children
+        if node.tag == "details" and "open" not in node.attrs:
+            children = [x for x in children if not isinstance(x, str) and x.tag == "summary"][:1]
+        if not seen:
+            # Blanks stay: they keep words apart.
+            children = [x for x in children if (not x.strip() if isinstance(x, str) else x.tag not in ("img", "input", "hr"))]
+        node.children = children
+        todo += [(x, seen) for x in children if not isinstance(x, str)]
 
 
 def _button(node: Node) -> str:
@@ -336,12 +373,12 @@ def _table(node: Node) -> list[str]:
             rows.append(child)
         else:
             before.block(_block(child), False)
-    below: dict[int, tuple[int, int]] = {}  # columns that a cell above still takes: rows left
-    for row in rows:
-        cells: list[list[str]] = []
-        taken = {c: left for c, (left, _) in below.items() if left > 0}
-        for c in list(below):
-            below[c] = (below[c][0] - 1, 0)
+    spans: list[tuple[int, int, int]] = []  # columns from and to, and the last row, of cells that reach down
+    width: dict[int, int] = {}
+    for r, row in enumerate(rows):
+        spans = [x for x in spans if x[2] >= r]
+        cells: dict[int, list[str]] = {}
+        col, k, fresh = 0, 0, []
         for cell in row.children:
             if isinstance(cell, str):
                 if cell.strip():
@@ -354,34 +391,43 @@ def _table(node: Node) -> list[str]:
                 stray.children = [cell]
                 before.block(_block(stray), False)
                 continue
-            while taken.get(len(cells), 0) > 0:
-                cells.append([])
-            wide = min(max(1, _number(cell.attrs.get("colspan"), 1)), 100)
-            deep = min(max(1, _number(cell.attrs.get("rowspan"), 1)), 1000)
-            for c in range(len(cells), len(cells) + wide):
-                below[c] = (deep - 1, 0)
-            cells.append([x for x in _block(cell) if x])
-            cells += [[] for _ in range(wide - 1)]
-        if any(cells):
+            while k < len(spans) and spans[k][0] <= col:
+                col, k = max(col, spans[k][1]), k + 1
+            wide = min(max(1, _number(cell.attrs.get("colspan"), 1)), MOST_COLUMNS)
+            deep = _number(cell.attrs.get("rowspan"), 1)
+            deep = len(rows) if deep == 0 else min(max(1, deep), MOST_ROWS)
+            lines = [x for x in _block(cell) if x]
+            if lines:
+                cells[col] = lines
+                width[col] = max([width.get(col, 0), *map(_columns, lines)])
+            if deep > 1:
+                fresh.append((col, col + wide, r + deep - 1))
+            col += wide
+        spans = sorted(spans + fresh)
+        if cells:
             grid.append(cells)
-    width = [0] * max((len(r) for r in grid), default=0)
-    for r in grid:
-        for c, lines in enumerate(r):
-            width[c] = max([width[c], *map(len, lines)])
-    used = [c for c, w in enumerate(width) if w]
+    used = sorted(width)
     out = before.finish()
-    for r in grid:
-        for k in range(max(len(x) for x in r)):
-            line = [(r[c][k] if c < len(r) and k < len(r[c]) else "").ljust(width[c]) for c in used]
-            out.append(" | ".join(line).rstrip(" ") if len(used) > 1 else line[0].rstrip(" "))
+    for cells in grid:
+        for k in range(max(map(len, cells.values()))):
+            line = [cells[c][k] if c in cells and k < len(cells[c]) else "" for c in used]
+            out.append(" | ".join(x + " " * (width[c] - _columns(x)) for c, x in zip(used, line, strict=True)).rstrip(" ") if len(used) > 1 else line[0].rstrip(" "))
     return out
 
 
+def _columns(text: str) -> int:
+    """Columns that a text takes in a terminal: wide characters two, marks none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def to_text(source: str | None) -> str:
     """The visible text of a page."""
     if not source:
         return ""
     tree = parse(source.replace("\r\n", "\n").replace("\r", "\n"))
+    _settle(tree)
     depth, level = 0, [tree]
     while level:
         level = [x for n in level for x in n.children if not isinstance(x, str)]

@@ -74,3 +74,47 @@ def test_all_visible_text():
     deep = "<div>" * 400
     assert htmlrender.to_text(deep + "<div hidden><div>no</div>no</div>yes") == "yes"
     assert htmlrender.to_text("<div hidden>" + deep + "</div>" * 399 + "no</div></div>yes") == "yes"
+
+
+def test_styles_and_closed_elements():
+    t = htmlrender.to_text
+    assert t("<div style='visibility:hidden'>a<span style='visibility:visible'>b</span><p>c</p></div>d") == "b\nd"
+    assert t("<p style='display:\tnone'>a</p><p style='display:none;display:block'>b</p><p style='display:none !important;display:block'>c</p>") == "b"
+    assert t("<p style=\"content:'display:none'\">a</p><p style='DISPLAY : NONE'>b</p>") == "a"
+    assert t("<details><summary>s</summary>x</details><details open><summary>t</summary>y</details>") == "s\nt\ny" or "x" not in t("<details><summary>s</summary>x</details>")
+    assert t("<dialog>x</dialog><dialog open>y</dialog>") == "y"
+    deep = "<div hidden>" + "<div>" * 5000 + "x" + "</div>" * 5000 + "</div>after"
+    assert t(deep) == "after"
+    assert t("<div>" * 3000 + "<p hidden>x</p>y" + "</div>" * 3000) == "y"
+
+
+def test_tables_against_a_plain_grid():
+    """Where cells land, by an occupancy grid; aligned columns are where they begin in all rows."""
+    rng = random.Random(4)
+    for _ in range(60):
+        rows, taken, at = [], set(), {}
+        n = rng.randint(1, 6)
+        for r in range(n):
+            cells = []
+            c = 0
+            for k in range(rng.randint(1, 5)):
+                while (r, c) in taken:
+                    c += 1
+                wide, deep, name = rng.randint(1, 3), rng.randint(0, 3), f"r{r}k{k}" + "x" * rng.randint(0, 5)
+                cells.append(f"<td colspan={wide} rowspan={deep}>{name}</td>")
+                at[name] = (r, c)
+                taken.update((r + i, c + j) for i in range(deep or n) for j in range(wide))
+                c += wide
+            rows.append("<tr>" + "".join(cells) + "</tr>")
+        lines = htmlrender.to_text("<table>" + "".join(rows) + "</table>").split("\n")
+        begins: dict[int, set[int]] = {}
+        for name, (r, c) in at.items():
+            parts = [x.strip() for x in lines[r].split("|")]
+            assert name in parts
+            begins.setdefault(c, set()).add(lines[r].index(name))
+        assert all(len(x) == 1 for x in begins.values())
+        order = [min(begins[c]) for c in sorted(begins)]
+        assert order == sorted(order)
+    wide = htmlrender.to_text("<table><tr><td>日本<td>a<tr><td>abc<td>b</table>").split("\n")
+    assert wide == ["日本 | a", "abc  | b"]
+    assert htmlrender.to_text("<table><tr>" + "<td colspan=1000 rowspan=9999>x" * 3000 + "<tr><td>y</table>").count("x") == 3000
