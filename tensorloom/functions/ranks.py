@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,3 +25,15 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "rn") -> DataFra
     offsets = F.broadcast(df.sparkSession.createDataFrame(starts, schema))
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return parts.join(offsets, "_part").select(*names, (F.col("_before") + place).alias(name))
+
+
+def running_totals(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """With the sum of ``value`` over the rows up to each, in the given order (of keys without ties): ranges of keys first, then the ranges' totals."""
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    totals = sorted(tuple(r) for r in parts.groupBy("_part").agg(F.sum(value)).collect())
+    before = [0, *accumulate(n for _, n in totals)]
+    starts = [(p, b) for (p, _), b in zip(totals, before, strict=False)]
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, schema))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn(name, own).join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col(name)).alias(name))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tensorloom.functions import bits as B
 from tensorloom.operators.products import rank_sums
-from tensorloom.types import CSRMatrix, DenseMatrix, HiCOOMatrix, ShapeMismatchError, SparseMatrix, ValueRangeError, Vector
+from tensorloom.types import CSRMatrix, DenseMatrix, HiCOOMatrix, ShapeMismatchError, SparseMatrix, ValueRangeError, Vector, fits_broadcast
 
+#: A dense operand of declared size up to this is one array in one row.
+WHOLE_BYTES = 8 << 20
 AnyMatrix = SparseMatrix | CSRMatrix | HiCOOMatrix
 
 
@@ -67,10 +69,30 @@ def convert(a: AnyMatrix, kind: str, **bits):
     return made[kind]()
 
 
+def _whole(df: DataFrame, cell: str) -> DataFrame:
+    """All rows (i and ``cell``) as one array in one row, for a broadcast: of shapes that are known to be small."""
+    ordered = F.array_sort(F.collect_list(F.struct("i", cell)))
+    return F.broadcast(df.agg(F.transform(ordered, lambda c: c[cell]).alias("_all")))
+
+
+def _by_rows(term) -> Column:
+    """Sum of ``term`` (value, what is at its column) over a row's entries: rows stay where they are."""
+    return F.aggregate(F.zip_with("cols", "vals", lambda j, v: term(v, F.get("_all", j.cast("int")))), F.lit(0.0), lambda s, t: s + t)
+
+
 def multiply_vector(a: AnyMatrix, x: Vector, y0: Vector | None = None) -> Vector:
-    """a x, plus y0 if given; every row is there."""
+    """a x, plus y0 if given; every row is there.
+
+    Compressed rows are summed in place if the vector's size allows to send it whole.
+    """
     if a.ncols != x.size:
         raise ShapeMismatchError(f"{a.ncols} columns, vector of {x.size}")
+    if isinstance(a, CSRMatrix) and fits_broadcast(x.size, 8, WHOLE_BYTES):
+        if y0 is not None and y0.size != a.nrows:
+            raise ShapeMismatchError(f"{a.nrows} rows, addend of {y0.size}")
+        whole = _whole(x.df, "val")
+        sums = a.df.crossJoin(whole).select("i", _by_rows(lambda v, u: v * u).alias("val"))
+        return Vector(sums if y0 is None else sums.unionByName(y0.df.select("i", "val")).groupBy("i").agg(F.sum("val").alias("val")), a.nrows)
     own = to_coo(a).df.join(x.small().select(F.col("i").alias("j"), F.col("val").alias("_x")), "j")
     sums = own.select("i", (F.col("val") * F.col("_x")).alias("val"))
     if y0 is not None and y0.size != a.nrows:
@@ -84,6 +106,10 @@ def multiply_matrix(a: AnyMatrix, b: DenseMatrix, c0: DenseMatrix | None = None)
     """a b with dense b, plus c0 if given; every row is there."""
     if a.ncols != b.nrows:
         raise ShapeMismatchError(f"{a.ncols} columns, {b.nrows} rows")
+    if isinstance(a, CSRMatrix) and c0 is None and fits_broadcast(b.nrows, b.row_bytes, WHOLE_BYTES):
+        whole = _whole(b.df, "row")
+        cells = [_by_rows(lambda v, u, r=r: v * F.get(u, F.lit(r))) for r in range(b.ncols)]
+        return DenseMatrix(a.df.crossJoin(whole).select("i", F.array(*cells).alias("row")), a.nrows, b.ncols)
     own = to_coo(a).df.join(b.small().select(F.col("i").alias("j"), "row"), "j").select("i", "val", "row")
     if c0 is not None:
         if (c0.nrows, c0.ncols) != (a.nrows, b.ncols):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.ranks import running_totals
 from tensorloom.types import ShapeMismatchError, SparseTensor, check_mode
 
 
@@ -79,19 +80,15 @@ def distribute(x: SparseTensor, parts: int, mode: int = 0) -> DataFrame:
     """part, nnz and rows: whole slices of a mode dealt to parts, each closed once it holds nnz / parts."""
     check_mode(mode, x.nmodes)
     counts = x.df.groupBy(f"i{mode}").agg(F.count("*").alias("n"))
-    total = x.nnz()
-
-    def deal(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(f"i{mode}")
-        part, held, rows = 0, 0, []
-        for n in pdf["n"]:
-            rows.append(part)
-            held += n
-            if held * parts >= total and part < parts - 1:
-                part, held = part + 1, 0
-        return pd.DataFrame({"part": rows, "n": pdf["n"].to_numpy()})
-
-    dealt = counts.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(deal, "part long, n long")
-    return dealt.groupBy("part").agg(F.sum("n").alias("nnz"), F.count("*").alias("rows"))
+    upto = running_totals(counts, [F.col(f"i{mode}")], "n", "upto").persist()
+    total = upto.agg(F.max("upto")).first()[0] or 0
+    # A part ends with the first slice that brings it to its share: one look-up a part, whatever the slices' number.
+    ends: list[int] = []
+    while len(ends) < parts - 1:
+        least = (ends[-1] if ends else 0) + -(-total // parts)
+        end = upto.filter(F.col("upto") >= least).agg(F.min("upto")).first()[0]
+        if end is None or end == total:
+            break
+        ends.append(end)
+    part = F.size(F.filter(F.array(*map(F.lit, ends)).cast("array<bigint>"), lambda e: e < F.col("upto"))).cast("long")
+    return upto.select(part.alias("part"), "n").groupBy("part").agg(F.sum("n").alias("nnz"), F.count("*").alias("rows"))

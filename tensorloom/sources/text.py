@@ -72,7 +72,10 @@ def read_tensor(spark: SparkSession, path: str, start_index: int = 1, header: bo
         parsed = parsed.filter(~bad)
     else:
         odd = (F.size("t") != n + 1) & ~((F.size("t") == 1) | (F.size("t") == n)) if header else F.size("t") != n + 1
-        if not parsed.filter(bad).isEmpty() or not tokens.filter(odd).isEmpty():
+        # One scan counts both; the rows are read once more by what uses them.
+        values = {f"i{m}": c for m, c in enumerate(index)} | {"val": F.col("t")[n].try_cast("double")}
+        wrong = tokens.withColumns({"_odd": odd, "_row": F.size("t") == n + 1} | values).filter(F.col("_odd") | (F.col("_row") & bad))
+        if not wrong.isEmpty():
             raise ValueRangeError(f"{path} has rows that are no entries of {dims}")
     made = SparseTensor(parsed, dims)
     return made.coalesce() if coalesce else made
