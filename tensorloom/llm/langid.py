@@ -224,7 +224,7 @@ def _kept(parts: tuple, names: list[str], least: float):
 
 
 def keep_known(docs: DataFrame, least: float = 0.0, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> DataFrame:
-    """The documents in a known language: not "und", and of a score of ``least`` or more. Columns stay."""
+    """The documents in a known language: not "und", and of a score of ``least`` or more. Columns stay. Where no language was learned, nothing can be rejected and all stay."""
     model = train(_typed(docs), per_language, landmarks)
     parts = (model.languages, model.letters, model.vocabulary, model.weights)
     if not model.languages:

@@ -1,6 +1,9 @@
+import math
 import os
+import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +80,37 @@ def test_languages_beyond_the_most_frequent_letters(spark):
     found = {r.doc_id: r for r in langid.identify(docs).collect()}
     assert all(found[d].lang_pred == lang and found[d].score > 0 for d, lang in truth.items())
     assert found[9999].score == 0
+
+
+def slow_grams(text, letters):
+    chain = "".join(c if c in letters else " " for c in text.lower())
+    chain = f" {re.sub(' +', ' ', chain)} "
+    return {chain[i : i + n] for n in (1, 2, 3) for i in range(len(chain) - n + 1)} - {" ", "  ", "   "}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_predictions_against_a_plain_kernel(wide):
+    """Labels and scores against kernel ridge regression over sets of n-grams, written out."""
+    rng = np.random.default_rng(6)
+    pools = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "αβγδεζηθ" if not wide else "".join(chr(0x4E00 + k) for k in range(90)), "dd": "абвгдежз"}
+    word = lambda pool: "".join(pool[i] for i in rng.integers(0, len(pool), int(rng.integers(1, 7))))
+    made = lambda lang, n: " ".join(word(pools[lang]) for _ in range(n)) + rng.choice(["", ".", " 42 "])
+    train = [(lang, made(lang, int(rng.integers(5, 40)))) for lang in pools for _ in range(20)]
+    letters = "".join(sorted({c for _, t in train for c in t.lower() if c.isalpha()}))
+    table, (seen, base) = langid.class_table(letters), langid.flags_for(letters)
+    model = langid.Model.fit([(lang, langid.grams(t, table, seen, base)) for lang, t in train], letters, landmarks=7)
+    sets = [(lang, slow_grams(t, letters)) for lang, t in train]
+    languages = sorted(pools)
+    marks = [g for lang in languages for g in [g for k, g in sets if k == lang][:7]]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k = np.array([[kernel(g, m) for m in marks] for _, g in sets])
+    kmm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    y = np.array([[float(lang == x) for x in languages] for lang, _ in sets])
+    w = np.linalg.solve(k.T @ k + langid.RIDGE * len(y) * (kmm / len(marks) + 1e-3 * np.eye(len(marks))), k.T @ y)
+    asked = [made(lang, int(rng.integers(1, 30))) for lang in pools for _ in range(25)]
+    labels, scores = model.predict(asked)
+    for t, label, score in zip(asked, labels, scores, strict=True):
+        g = slow_grams(t, letters)
+        f = np.array([kernel(g, m) for m in marks]) @ w
+        assert score == pytest.approx(float(np.clip(f.max(), 0, 1)), abs=1e-3)
+        assert label == languages[int(f.argmax())] or sorted(f)[-1] - sorted(f)[-2] < 1e-3
