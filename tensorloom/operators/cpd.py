@@ -33,14 +33,26 @@ def fit_of(norm_sq: float, model_sq: float, cross: float) -> float:
     return 1 - (residual**0.5 if residual > 0 else residual) / norm_sq**0.5
 
 
+#: A factor of a declared size up to this is settled on the driver.
+SMALL_FACTOR = 8 << 20
+
+
 def _settle(a: DenseMatrix, checkpoint: bool) -> DenseMatrix:
-    """Cut a factor's lineage: rows to the driver if the shape bounds them, else a reliable checkpoint."""
-    if fits_broadcast(a.nrows, a.row_bytes, 8 << 20):
-        rows = [(r["i"], r["row"]) for r in a.df.collect()]
-        return DenseMatrix(a.spark.createDataFrame(rows, "i long, row array<double>"), a.nrows, a.ncols)
+    """Cut a large factor's lineage by a reliable checkpoint, where the session has a folder for it."""
     return DenseMatrix(a.df.checkpoint() if checkpoint else a.df.persist(), a.nrows, a.ncols)
 
 
+def _small_step(product: DenseMatrix, inverse: np.ndarray, first: bool) -> tuple[DenseMatrix, list[float], np.ndarray, np.ndarray]:
+    """Factor, divisors, Gram matrix and column-wise products with ``product``: one job brings the rows, the rest is R-wide algebra."""
+    p = np.array([r["row"] for r in sorted(product.df.collect(), key=lambda r: r["i"])], float).reshape(product.nrows, product.ncols)
+    a = p @ inverse
+    norms = np.sqrt((a * a).sum(axis=0)) if first else np.maximum(1.0, a.max(axis=0, initial=1.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = a / norms
+    made = product.spark.createDataFrame(list(enumerate(a.tolist())), "i long, row array<double>")
+    return DenseMatrix(made, product.nrows, product.ncols), norms.tolist(), a.T @ a, (a * p).sum(axis=0)
+
+
 def cp_als(x: SparseTensor | HiCOOTensor, rank: int, niters: int = 50, tol: float = 1e-5, init: str | Sequence[DenseMatrix] = "random", seed: int = 0) -> KruskalTensor:
     """CP decomposition. ``init``: "random", "ramp" (i + r + 1) or factor matrices.
 
@@ -67,12 +79,19 @@ def cp_als(x: SparseTensor | HiCOOTensor, rank: int, niters: int = 50, tol: floa
         norm_sq, weights, trace = own.frob_norm_sq(), [1.0] * rank, []
         for it in range(niters):
             for m in range(x.nmodes):
-                product = _settle(mttkrp(own, factors, m), checkpoint)
+                product = mttkrp(own, factors, m)
+                if fits_broadcast(product.nrows, product.row_bytes, SMALL_FACTOR):
+                    inverse = dense.inverse_normals(dense.hadamard_except(grams, m))
+                    factors[m], weights, grams[m], sums = _small_step(product, inverse, it == 0)
+                    cross = float(np.dot(weights, sums))
+                    continue
+                product = _settle(product, checkpoint)
                 solved = dense.solve_normals(product, grams, m)
                 a, weights = dense.normalize_maxnorm(solved) if it else dense.normalize_2norm(solved)
                 factors[m] = _settle(a, checkpoint)
                 grams[m] = dense.gram(factors[m])
-            trace.append(fit_of(norm_sq, kruskal_norm_sq(weights, grams), kruskal_inner(weights, factors[-1], product)))
+                cross = kruskal_inner(weights, factors[m], product) if m == x.nmodes - 1 else 0.0
+            trace.append(fit_of(norm_sq, kruskal_norm_sq(weights, grams), cross))
             if it and abs(trace[-1] - trace[-2]) < tol:
                 break
         for m, a in enumerate(factors):

@@ -276,3 +276,13 @@ def test_tucker(spark, x):
     assert np.allclose(full, as_array(x), atol=1e-8)
     _, _, less = cpd.tucker(x, (2, 2, 2), 3)
     assert 0.3 < less < 1
+
+
+def test_cp_takes_one_course_for_small_and_large_factors(spark, monkeypatch):
+    from tensorloom.operators import cpd
+
+    x = SparseTensor.from_rows(spark, [(0, 0, 0, 1), (0, 1, 0, 2), (0, 3, 0, 10), (1, 0, 1, 7), (1, 1, 0, 8), (1, 2, 0, 6), (2, 0, 2, 3), (2, 2, 0, 4), (3, 0, 1, 5)], (4, 4, 3))
+    small = cpd.cp_als(x, 2, niters=2, init="ramp")
+    monkeypatch.setattr(cpd, "SMALL_FACTOR", 0)
+    large = cpd.cp_als(x, 2, niters=2, init="ramp")
+    assert large.trace == pytest.approx(small.trace, abs=1e-9) and large.weights == pytest.approx(small.weights, rel=1e-9)
