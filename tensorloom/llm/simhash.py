@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column, cut, hot_join
+from .common import column, cut, hot_join, parts_for
 
 WIDTH = 3
 SEED = 42
@@ -165,13 +165,21 @@ def _trie_join(budget: int):
     return run
 
 
+#: Bytes of a rotated fingerprint, and of those that a task should hold.
+ROW_BYTES, PART_BYTES = 24, 32 << 20
+
+
 def links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Edges (u, v), v < u, whose components are those of all links. ``nodes``: distinct fp, and rep."""
     width = BITS // (budget + 1)
     turns = nodes.select("fp", "rep", F.explode(F.array(*[F.lit(k) for k in range(budget + 1)])).alias("turn"))
     rotated = F.expr(f"shiftleft(fp, turn * {width}) | CASE WHEN turn = 0 THEN 0L ELSE shiftrightunsigned(fp, {BITS} - turn * {width}) END")
     dealt = turns.select("turn", rotated.alias("value"), "rep").withColumn("block", F.expr(f"shiftrightunsigned(value, {BITS - width})"))
-    return dealt.repartition("turn", "block").select("turn", "value", "rep").mapInArrow(_trie_join(budget), "u long, v long").distinct()
+    # A task holds its rows at once: their number follows the nodes'.
+    spark, size = nodes.sparkSession, nodes.count() * (budget + 1) * ROW_BYTES
+    parts = parts_for(spark, size, PART_BYTES)
+    spread = dealt.repartition("turn", "block") if size <= PART_BYTES else dealt.repartition(parts, "turn", "block")
+    return spread.select("turn", "value", "rep").mapInArrow(_trie_join(budget), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
