@@ -35,6 +35,8 @@ MATCH, MISS, GAP = 2, -1, -1
 SHARE, ENOUGH = 0.5, 25
 BLOCK = 16 << 20
 TABLE_BITS = 22
+#: Bytes of text whose words are held at once.
+SLICE = 1 << 20
 
 
 class Items:
@@ -175,7 +177,7 @@ SCHEMA = "doc_id long, item_id long, score double, n_equal long, start long, end
 def _found(items: Items):
     def run(batches):
         flags = items.flags()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, at = utf8(column(batch, "text"))
             h, begin, end, doc = tokens.words(data, at)
             ids = column(batch, "doc_id").to_pylist()
@@ -194,7 +196,7 @@ def _clean(items: Items, names: list[str]):
     def run(batches):
         flags = items.flags()
         at_text = names.index("text")
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, at = utf8(batch.column(at_text))
             h, _, _, doc = tokens.words(data, at)
             bad = np.zeros(batch.num_rows, bool)
