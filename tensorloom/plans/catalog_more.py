@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions import bits
 from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators import cpd, dense, layout, matrix, reorder, sorting, split, stats, vectors
 from tensorloom.plans.catalog import RANK, RS, Z, ZIN, _long, _maps, _rows, query
@@ -231,6 +232,27 @@ def range_predicate(spark, sf):
     return t.df.select("i0", "i1", "i2", split.in_range(t, [3, 1, 0], [90, 8, 5]).alias("inside"))
 
 
+@query(f"{T}SELECT i0 - 5 AS i0, i1, i2, val FROM t WHERE i0 < 5")
+def out_of_range(spark, sf):
+    t = t3b(spark, sf)
+    return t.with_df(t.df.withColumn("i0", F.col("i0") - 5)).out_of_range()
+
+
+@query(f"{T}SELECT CAST(0 AS BIGINT) AS empty_nnz, FALSE AS empty_doubled, FALSE AS once_doubled, TRUE AS twice_doubled FROM t LIMIT 1")
+def duplicates(spark, sf):
+    """Whether coordinates repeat: of an empty tensor, of one, and of one laid on itself."""
+    t = t3b(spark, sf)
+    empty = SparseTensor.empty(spark, t.dims)
+    found = (empty.nnz(), empty.has_duplicates(), t.has_duplicates(), t.with_df(t.df.unionByName(t.df)).has_duplicates())
+    return _rows(spark, [found], "empty_nnz long, empty_doubled boolean, once_doubled boolean, twice_doubled boolean")
+
+
+@query(f"{T}SELECT i0, i1, i0 // 8 AS block, i0 % 8 AS inside, i1 // 64 AS kernel FROM t")
+def block_arithmetic(spark, sf):
+    t = t3b(spark, sf)
+    return t.df.select("i0", "i1", bits.block(F.col("i0"), 3).alias("block"), bits.offset(F.col("i0"), 3).cast("long").alias("inside"), bits.block(F.col("i1"), 6).alias("kernel"))
+
+
 SPLIT = 5000
 
 
@@ -445,6 +467,15 @@ def parquet_there_and_back(spark, sf):
     return text.load_parquet(spark, path, t.dims).df
 
 
+@query("SELECT CAST(m AS BIGINT) AS m, CAST(n_nationkey AS BIGINT) AS old, CASE WHEN m = 0 THEN n - 1 - n_nationkey ELSE (n_nationkey + 1) % n END AS new FROM nation, (SELECT COUNT(*) AS n FROM nation) c, (SELECT 0 AS m UNION ALL SELECT 1) k")
+def permutation_file(spark, sf):
+    n, path = size(spark, sf, "nation"), _folder(spark)
+    lines = [" ".join(str(k + 1) for k in p) for p in (reversed(range(n)), [(k + 1) % n for k in range(n)])]
+    spark.createDataFrame([("\n".join(lines),)], "value string").write.text(path)
+    made = [x.withColumn("m", F.lit(m).cast("long")) for m, x in enumerate(text.read_maps(spark, path, [n, n]))]
+    return made[0].unionByName(made[1])
+
+
 # --- decompositions ------------------------------------------------------------------------
 
 
