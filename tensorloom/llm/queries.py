@@ -36,7 +36,8 @@ def op5_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrank.judge(table(spark, sf_dir, "pages"))
+    found = urlrank.judge(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust_share", 4).alias("trust_share"), F.round("distrust_share", 4).alias("distrust_share"))
 
 
 def op7_rare_gram_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,51 @@ SELECT d.doc_id, d.n AS n_bytes, CAST(sum(k.e - k.b) AS BIGINT) AS n_removed, co
 FROM docs d JOIN kept k USING (doc_id) GROUP BY d.doc_id, d.n
 """
 
+#: Rules, then personalised PageRank in 120 rounds (damping 0.85) along links and against them, from ruled and from uniform seeds.
+OP6_SQL = r"""
+WITH RECURSIVE rests AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), pages_of AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rests
+), rules(h, p, v) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), best AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled
+  FROM (SELECT DISTINCT host, path FROM pages_of) x JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path
+), ruled AS (
+  SELECT page_id, html, x.host, x.path, rule, ruled FROM pages_of x LEFT JOIN best b ON b.host = x.host AND b.path = x.path
+), links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)\shref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM ruled
+), edges AS (
+  SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+), ways AS (
+  SELECT 'trust' AS way, src, dst, w FROM edges UNION ALL SELECT 'distrust', dst, src, w FROM edges
+), seeds AS (
+  SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS blocked FROM ruled WHERE host <> '' GROUP BY host
+), hosts AS (
+  SELECT way, host, max(seed) AS seed FROM (
+    SELECT 'trust' AS way, host, allowed AS seed FROM seeds UNION ALL SELECT 'distrust', host, blocked FROM seeds
+    UNION ALL SELECT way, src, 0.0 FROM ways UNION ALL SELECT way, dst, 0.0 FROM ways) x GROUP BY way, host
+), moves AS (
+  SELECT way, src, dst, w / sum(w) OVER (PARTITION BY way, src) AS p FROM ways
+  UNION ALL SELECT way, host, host, CASE WHEN (way, host) IN (SELECT (way, src) FROM ways) THEN 0.0 ELSE 1.0 END FROM hosts
+), ranks AS (
+  SELECT 0 AS k, way, host, seed AS own, CAST(1 AS DOUBLE) AS every FROM hosts
+  UNION ALL
+  SELECT r.k + 1, r.way, m.dst, 0.15 * max(h.seed) + 0.85 * sum(m.p * r.own), 0.15 + 0.85 * sum(m.p * r.every)
+  FROM ranks r JOIN moves m ON m.way = r.way AND m.src = r.host JOIN hosts h ON h.way = m.way AND h.host = m.dst
+  WHERE r.k < 120 GROUP BY r.k, r.way, m.dst
+), shares AS (
+  SELECT r.host, max(CASE WHEN r.way = 'trust' THEN greatest(own / every, seed) END) AS t, max(CASE WHEN r.way = 'distrust' THEN greatest(own / every, seed) END) AS d
+  FROM ranks r JOIN hosts h ON h.way = r.way AND h.host = r.host WHERE k = 120 GROUP BY r.host
+)
+SELECT page_id, x.host, x.path, x.rule,
+       coalesce(x.ruled, CASE WHEN round(coalesce(d, 0), 6) >= 0.5 AND round(coalesce(d, 0), 6) > round(coalesce(t, 0), 6) THEN 'block' ELSE 'allow' END) AS verdict,
+       round(coalesce(t, 0), 4) AS trust_share, round(coalesce(d, 0), 4) AS distrust_share
+FROM ruled x LEFT JOIN shares s ON s.host = x.host
+"""
+
 #: A line goes if it lies in a block of five words or more that a document of smaller id holds too.
 OP8_SQL = r"""
 WITH split AS (
@@ -116,4 +162,4 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_deleted, 0) AS
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_array": OP4_SQL, "op8_patience_lines": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_array": OP4_SQL, "op6_link_graph_urls": OP6_SQL, "op8_patience_lines": OP8_SQL}

@@ -118,3 +118,19 @@ def test_registered_threshold_on_a_linked_graph(spark):
     assert found[3] == "block" and found[5] == "allow"
     # One link to a host that is blocked by nine pages in ten leaves its verdict.
     assert found[20] == found[40] == "block"
+
+
+@pytest.mark.parametrize("rows", [generated(1), generated(4), CHAIN], ids=["linked", "linked4", "chain"])
+def test_sql_of_the_query_propagates_alike(rows):
+    import duckdb
+
+    from tensorloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    trust, distrust = slow_shares(rows)
+    found = con.execute(queries.ORACLE_SQL["op6_link_graph_urls"]).fetchall()
+    assert len(found) == len(rows)
+    for _, host, _, _, _, t, d in found:
+        assert t == pytest.approx(trust[host], abs=1e-4) and d == pytest.approx(distrust[host], abs=1e-4)
