@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmlrender, langid, linedup, minhash, pii, simhash, suffix, urlrank
+from . import bpe, decontam, htmlrender, langid, linedup, minhash, pii, runs, simhash, suffix, urlrank
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,9 +57,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op12_block_name_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe)
+    for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe, op12_block_name_runs)
 }
 #: A byte goes if a 50-byte string that covers it also starts in a document of smaller id. Texts are hexadecimal here.
 OP4_SQL = r"""
@@ -162,4 +166,44 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_deleted, 0) AS
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_array": OP4_SQL, "op6_link_graph_urls": OP6_SQL, "op8_patience_lines": OP8_SQL}
+#: Runs by their definition: for each period, islands of words that equal the one a period further. Eight-word strings at a grid of points tell which periods to look at.
+OP12_SQL = r"""
+WITH crcs AS (
+  SELECT doc_id, text, xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) AS h FROM documents
+), texts AS (
+  SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM crcs
+), plans AS (
+  SELECT doc_id, ws, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a, (h // 10) % 8 + 3 AS parts FROM texts
+), words AS (
+  SELECT doc_id, n, i, CASE WHEN i >= a THEN ws[1 + a + (i - a) % (1 + (n - a) // parts)] ELSE ws[1 + i] END AS w
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM plans)
+), grams AS (
+  SELECT doc_id, n, i, w, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM words
+), periods AS (
+  SELECT doc_id, n, q, greatest(24, 3 * q) - q AS need FROM (SELECT doc_id, n, unnest(range(1, n // 3 + 1)) AS q FROM plans)
+), points AS (
+  SELECT doc_id, q, unnest(range(0, n - q - 7, need - 7)) AS j FROM periods
+), hits AS (
+  SELECT DISTINCT p.doc_id, p.q FROM points p JOIN grams x ON x.doc_id = p.doc_id AND x.i = p.j JOIN grams y ON y.doc_id = p.doc_id AND y.i = p.j + p.q WHERE x.g = y.g
+), same AS (
+  SELECT h.doc_id, h.q, x.i, x.i - row_number() OVER (PARTITION BY h.doc_id, h.q ORDER BY x.i) AS island
+  FROM hits h JOIN words x ON x.doc_id = h.doc_id JOIN words y ON y.doc_id = x.doc_id AND y.i = x.i + h.q AND y.w = x.w
+), runs AS (
+  SELECT doc_id, s, l, min(q) AS q FROM (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM same GROUP BY doc_id, q, island) WHERE l >= greatest(24, 3 * q) GROUP BY doc_id, s, l
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(l AS HUGEINT) * 1000000000000 // q DESC, s, q) AS k FROM runs
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, max(s) FILTER (WHERE k = 1) AS start, max(l) FILTER (WHERE k = 1) AS length, max(q) FILTER (WHERE k = 1) AS period,
+         string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM ranked GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT w.doc_id, w.i FROM words w JOIN runs r ON r.doc_id = w.doc_id AND w.i >= r.s + r.q AND w.i < r.s + r.l
+), collapsed AS (
+  SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN dropped d ON d.doc_id = w.doc_id AND d.i = w.i GROUP BY w.doc_id
+)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM plans p LEFT JOIN listed l ON l.doc_id = p.doc_id LEFT JOIN collapsed c ON c.doc_id = p.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_suffix_array": OP4_SQL, "op6_link_graph_urls": OP6_SQL, "op8_patience_lines": OP8_SQL, "op12_block_name_runs": OP12_SQL}
