@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmlrender, langid, linedup, minhash, pii, runs, simhash, suffix, urlrank
+from . import bpe, decontam, divergence, htmlrender, langid, linedup, minhash, pii, runs, simhash, suffix, urlrank
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,9 +61,13 @@ def op12_block_name_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_support_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe, op12_block_name_runs)
+    for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe, op12_block_name_runs, op13_support_divergence)
 }
 #: A byte goes if a 50-byte string that covers it also starts in a document of smaller id. Texts are hexadecimal here.
 OP4_SQL = r"""
@@ -206,4 +210,39 @@ SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000
 FROM plans p LEFT JOIN listed l ON l.doc_id = p.doc_id LEFT JOIN collapsed c ON c.doc_id = p.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_array": OP4_SQL, "op6_link_graph_urls": OP6_SQL, "op8_patience_lines": OP8_SQL, "op12_block_name_runs": OP12_SQL}
+#: Divergence by its definition: each pair of sources over all kept terms of their language.
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), counts AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term
+), totals AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM groups g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+), ps AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * CAST(coalesce(c.n, 0) + 1 AS HUGEINT)) // (t.total + s.v) AS BIGINT) AS p,
+         CAST(1 + (1000000000 * CAST(k.n + 1 AS HUGEINT)) // (s.total + s.v) AS BIGINT) AS q
+  FROM totals t JOIN sizes s ON s.lang = t.lang JOIN kept k ON k.lang = t.lang LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), gaps AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM ps a JOIN ps b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN gaps x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM ps WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_suffix_array": OP4_SQL, "op6_link_graph_urls": OP6_SQL, "op8_patience_lines": OP8_SQL, "op12_block_name_runs": OP12_SQL, "op13_support_divergence": OP13_SQL}
