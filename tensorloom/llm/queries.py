@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, htmlrender, langid, linedup, minhash, pii, runs, simhash, suffix, urlrank
+from . import bpe, decontam, divergence, htmlrender, langid, linedup, minhash, pii, runs, simhash, suffix, suffixlm, urlrank
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,6 +57,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op11_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixlm.learn_and_score(table(spark, sf_dir, "documents"))
+
+
 def op12_block_name_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op13_support_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe, op12_block_name_runs, op13_support_divergence)
+    for f in (op1_weak_pii, op2_string_kernel_language, op3_layout_html, op4_suffix_array, op5_one_permutation_minhash, op6_link_graph_urls, op7_rare_gram_alignment, op8_patience_lines, op9_simhash_trie, op10_byte_bpe, op11_suffix_tree_scores, op12_block_name_runs, op13_support_divergence)
 }
 #: A byte goes if a 50-byte string that covers it also starts in a document of smaller id. Texts are hexadecimal here.
 OP4_SQL = r"""
