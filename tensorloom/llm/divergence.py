@@ -32,21 +32,23 @@ and source is read. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, salted_join
+from .common import column, cut, salted_join, slices
 
 SCALE = 1_000_000_000
 MIN_DOCS, TOP = 3, 200
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def small(text: Column) -> Column:
-    """A-Z in lower case, nothing else changed; pure ASCII takes the short way."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+#: What parts terms becomes a blank and A-Z small; bytes of characters beyond ASCII stay.
+TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes of text whose terms are counted together.
+SLICE = 16 << 20
 
 
 def probability(count: Column, total: Column) -> Column:
@@ -59,12 +61,32 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _term_counts(batches):
+    for batch in slices(batches, "text", SLICE):
+        number = defaultdict(count().__next__)
+        groups = {g: k for k, g in enumerate(dict.fromkeys(zip(column(batch, "lang").to_pylist(), column(batch, "source").to_pylist(), strict=True)))}
+        keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for text, *group in zip(*(column(batch, c).to_pylist() for c in ("text", "lang", "source")), strict=True):
+            words = text.encode().translate(TERMS).split()
+            term, n = np.unique(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), return_counts=True)
+            keys.append(term * len(groups) + groups[tuple(group)])
+            times.append(n)
+        keys, times = np.concatenate(keys), np.concatenate(times)
+        if not len(keys):
+            continue
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        terms, (langs, sources) = pa.array(list(number), pa.binary()).cast(pa.string()), (pa.array(x, pa.string()) for x in zip(*groups, strict=True))
+        term, group = (pa.array(x) for x in np.divmod(keys[first], len(groups)))
+        sums = [pa.array(np.add.reduceat(times, first)), pa.array(np.diff(np.r_[first, len(keys)]))]
+        yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), terms.take(term), *sums], ["lang", "source", "term", "n", "docs"])
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n occurrences and docs, the documents that hold it."""
-    terms = F.sort_array(F.regexp_extract_all(small(F.col("text")), F.lit(TERM), F.lit(0)))
-    one = docs.select("lang", "source", terms.alias("terms")).select("lang", "source", "terms", F.posexplode("terms").alias("at", "term"))
-    fresh = F.when((F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term")), 1).otherwise(0)
-    return one.select("lang", "source", "term", fresh.alias("fresh")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("fresh").alias("docs"))
+    """lang, source, term, n occurrences and docs, the documents that hold it; counted by slices of the texts first."""
+    own = docs.select("text", "lang", "source").mapInArrow(_term_counts, "lang string, source string, term string, n long, docs long")
+    return own.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 class Postings:
