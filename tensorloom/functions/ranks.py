@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorloom.functions.lineage import settle
+
 
 def row_numbers(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """Number rows from 0 in the given order.
@@ -36,4 +38,6 @@ def running_totals(df: DataFrame, order: list[Column], value: str, name: str) ->
     schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
     offsets = F.broadcast(df.sparkSession.createDataFrame(starts, schema))
     own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn(name, own).join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col(name)).alias(name))
+    out = settle(parts.withColumn(name, own).join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col(name)).alias(name)), "totals")
+    parts.unpersist()
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.operators import dense
 from tensorloom.operators.products import mttkrp, ttm_chain
+from tensorloom.operators.stats import frob_norm_sq
 from tensorloom.types import DenseMatrix, HiCOOTensor, KruskalTensor, ShapeMismatchError, SparseTensor, ValueRangeError, fits_broadcast
 
 
@@ -57,14 +59,14 @@ def cp_als(x: SparseTensor | HiCOOTensor, rank: int, niters: int = 50, tol: floa
     """CP decomposition. ``init``: "random", "ramp" (i + r + 1) or factor matrices.
 
     Stops once the fit moves by less than ``tol``. Columns are normalised by
-    their length in the first round, by their maximum after.
+    their length in the first round, by their maximum after. A blocked tensor
+    stays in its blocks.
     """
     if rank < 1 or niters < 1:
         raise ValueRangeError(f"rank {rank}, {niters} rounds")
-    x = x.to_coo() if isinstance(x, HiCOOTensor) else x
-    spark = x.spark
+    spark = x.df.sparkSession
     checkpoint = spark.sparkContext.getCheckpointDir() is not None
-    own = SparseTensor(x.df.persist(), x.dims)
+    own = replace(x, df=x.df.persist())
     try:
         if isinstance(init, str):
             made = {"ramp": lambda m, d: dense.ramp(spark, d, rank), "random": lambda m, d: dense.random(spark, d, rank, seed + m)}
@@ -76,7 +78,7 @@ def cp_als(x: SparseTensor | HiCOOTensor, rank: int, niters: int = 50, tol: floa
             if len(factors) != x.nmodes or any((f.nrows, f.ncols) != (d, rank) for f, d in zip(factors, x.dims, strict=True)):
                 raise ShapeMismatchError("start factors")
         grams = [dense.gram(f) for f in factors]
-        norm_sq, weights, trace = own.frob_norm_sq(), [1.0] * rank, []
+        norm_sq, weights, trace = frob_norm_sq(own), [1.0] * rank, []
         for it in range(niters):
             for m in range(x.nmodes):
                 product = mttkrp(own, factors, m)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tensorloom.functions import bits as B
+from tensorloom.operators.blocked import matrix_blocks_product, vector_blocks_product
 from tensorloom.operators.products import rank_sums
 from tensorloom.types import CSRMatrix, DenseMatrix, HiCOOMatrix, ShapeMismatchError, SparseMatrix, ValueRangeError, Vector, fits_broadcast
 
@@ -83,10 +84,15 @@ def _by_rows(term) -> Column:
 def multiply_vector(a: AnyMatrix, x: Vector, y0: Vector | None = None) -> Vector:
     """a x, plus y0 if given; every row is there.
 
-    Compressed rows are summed in place if the vector's size allows to send it whole.
+    Compressed rows are summed in place if the vector's size allows to send it
+    whole, blocked matrices block by block.
     """
     if a.ncols != x.size:
         raise ShapeMismatchError(f"{a.ncols} columns, vector of {x.size}")
+    if isinstance(a, HiCOOMatrix):
+        if y0 is not None and y0.size != a.nrows:
+            raise ShapeMismatchError(f"{a.nrows} rows, addend of {y0.size}")
+        return vector_blocks_product(a, x, y0)
     if isinstance(a, CSRMatrix) and fits_broadcast(x.size, 8, WHOLE_BYTES):
         if y0 is not None and y0.size != a.nrows:
             raise ShapeMismatchError(f"{a.nrows} rows, addend of {y0.size}")
@@ -106,6 +112,10 @@ def multiply_matrix(a: AnyMatrix, b: DenseMatrix, c0: DenseMatrix | None = None)
     """a b with dense b, plus c0 if given; every row is there."""
     if a.ncols != b.nrows:
         raise ShapeMismatchError(f"{a.ncols} columns, {b.nrows} rows")
+    if isinstance(a, HiCOOMatrix):
+        if c0 is not None and (c0.nrows, c0.ncols) != (a.nrows, b.ncols):
+            raise ShapeMismatchError(f"addend of {c0.nrows} x {c0.ncols}")
+        return matrix_blocks_product(a, b, c0)
     if isinstance(a, CSRMatrix) and c0 is None and fits_broadcast(b.nrows, b.row_bytes, WHOLE_BYTES):
         whole = _whole(b.df, "row")
         cells = [_by_rows(lambda v, u, r=r: v * F.get(u, F.lit(r))) for r in range(b.ncols)]

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.operators.blocked import mttkrp_blocks
 from tensorloom.types import (
     DenseMatrix,
     HiCOOTensor,
@@ -121,9 +122,9 @@ def mttkrp_rows(x: SparseTensor, factors: Sequence[DenseMatrix], mode: int, ever
 
 
 def mttkrp(x: SparseTensor | HiCOOTensor, factors: Sequence[DenseMatrix], mode: int) -> DenseMatrix:
-    """All rows of the product; rows without a nonzero are zero."""
+    """All rows of the product; rows without a nonzero are zero. Blocked tensors are summed block by block."""
     if isinstance(x, HiCOOTensor):
-        x = x.to_coo()
+        return mttkrp_blocks(x, factors, mode)
     check_mode(mode, x.nmodes)
     every = x.spark.range(x.dims[mode]).select(F.col("id").alias(f"i{mode}"))
     return DenseMatrix(mttkrp_rows(x, factors, mode, every), x.dims[mode], factors[0].ncols)
