@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.lineage import Tables, settle
 from tensorloom.functions.ranks import row_numbers
 from tensorloom.types import LONG_MAX, ShapeMismatchError, SparseTensor, ValueRangeError, check_mode, fits_broadcast, maybe_broadcast
 
@@ -49,30 +50,73 @@ def inverse_maps(maps: Sequence[DataFrame]) -> list[DataFrame]:
     return [inverse_map(m) for m in maps]
 
 
+#: Entries of an index that are compared as one array.
+CHUNK = 1024
+
+
+def _ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """With the rank of the keys among the distinct ones."""
+    return df.join(row_numbers(df.select(*keys).distinct(), [F.col(k) for k in keys], name), keys)
+
+
+def _list_ranks(numbered: DataFrame) -> DataFrame:
+    """(old, rank): indices by their ascending lists of row numbers (old, rid), however long.
+
+    Lists are cut into arrays of CHUNK entries, which are ranked; then ranks
+    of 1, 2, 4 … arrays are pairs of the ranks before, until no two indices
+    share a rank or all arrays are compared. A row is never longer than CHUNK.
+    """
+    tables = Tables(numbered.sparkSession, "lists")
+    placed = row_numbers(numbered, [F.col("old"), F.col("rid")], "at")
+    spans = placed.groupBy("old").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    part = F.floor((F.col("at") - F.col("first")) / CHUNK).alias("part")
+    arrays = placed.join(spans, "old").select("old", part, "rid", "n").groupBy("old", "part").agg(F.sort_array(F.collect_list("rid")).alias("rids"), F.first("n").alias("n"))
+    last = (F.col("part") + 1) * CHUNK >= F.col("n")
+    keyed = arrays.select("old", "part", F.when(last, F.concat("rids", F.array(F.lit(LONG_MAX)))).otherwise(F.col("rids")).alias("key"))
+    ranks = tables.write(_ranked(tables.write(keyed), ["key"], "rank").select("old", "part", "rank"))
+    span = 1
+    while True:
+        heads = ranks.filter("part = 0").select("old", "rank")
+        parts, indices, told = (*ranks.agg(F.max("part") + 1).first(), *heads.agg(F.count("*"), F.countDistinct("rank")).first())
+        if span >= (parts or 0) or told == indices:
+            return heads
+        onward = ranks.select("old", (F.col("part") - span).alias("part"), F.col("rank").alias("onward"))
+        pairs = ranks.join(onward, ["old", "part"], "left").withColumn("onward", F.coalesce("onward", F.lit(-1)))
+        ranks = tables.write(_ranked(tables.write(pairs.withColumnRenamed("rank", "own")), ["own", "onward"], "rank").select("old", "part", "rank"))
+        span *= 2
+        tables.drop(1)
+
+
 def lexi_map(x: SparseTensor, mode: int) -> DataFrame:
     """Doubly lexical order of one mode: indices by their ascending lists of row numbers.
 
     Rows are the distinct coordinates of the other modes, in order. A list
     ends with a number above all, so longer lists precede their prefixes, and
-    indices without an entry come last; ties keep the old order.
+    indices without an entry come last; ties keep the old order. Where an
+    index has more than CHUNK entries, lists are ranked piece by piece.
     """
     check_mode(mode, x.nmodes)
     others = [c for c in x.modes if c != f"i{mode}"]
     rows = row_numbers(x.df.select(*others).distinct(), [F.col(c) for c in others], "rid")
     numbered = x.df.join(rows, others).select(F.col(f"i{mode}").alias("old"), "rid").distinct()
-    lists = numbered.groupBy("old").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
-    end = F.array(F.lit(LONG_MAX))
-    full = x.spark.range(x.dims[mode]).select(F.col("id").alias("old")).join(lists, "old", "left")
-    keyed = full.select("old", F.when(F.col("rids").isNull(), end).otherwise(F.concat("rids", end)).alias("key"))
-    return row_numbers(keyed, [F.col("key"), F.col("old")], "new").select("old", "new")
+    every = x.spark.range(x.dims[mode]).select(F.col("id").alias("old"))
+    longest = x.df.groupBy(f"i{mode}").count().agg(F.max("count")).first()[0] or 0
+    if longest > CHUNK:
+        ranks = _list_ranks(settle(numbered, "numbered"))
+        keyed = every.join(ranks, "old", "left").withColumn("key", F.coalesce("rank", F.lit(LONG_MAX)))
+    else:
+        lists = numbered.groupBy("old").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
+        end = F.array(F.lit(LONG_MAX))
+        keyed = every.join(lists, "old", "left").withColumn("key", F.when(F.col("rids").isNull(), end).otherwise(F.concat("rids", end)))
+    return row_numbers(keyed.select("old", "key"), [F.col("key"), F.col("old")], "new").select("old", "new")
 
 
 def settle_map(own: DataFrame, dim: int) -> DataFrame:
-    """A map without its lineage: through the driver if the mode's size bounds it, else by a checkpoint."""
+    """A map without its lineage: through the driver if the mode's size bounds it, else as a table."""
     if fits_broadcast(dim, 16, 8 << 20):
         rows = [tuple(r) for r in own.select("old", "new").collect()]
         return own.sparkSession.createDataFrame(rows, "old long, new long")
-    return own.checkpoint() if own.sparkSession.sparkContext.getCheckpointDir() else own.persist()
+    return settle(own, "map")
 
 
 def lexi_order(x: SparseTensor, iterations: int = 1) -> list[DataFrame]:
@@ -89,45 +133,55 @@ def lexi_order(x: SparseTensor, iterations: int = 1) -> list[DataFrame]:
     return maps
 
 
-def bfs_order(x: SparseTensor, limit: int = 5_000_000) -> list[DataFrame]:
-    """Maps of a breadth-first kind: per mode, the index with most neighbours already placed comes next.
+def _levels(cells: DataFrame) -> DataFrame:
+    """(index, start, level): of each index of the incidences (index, row) the least index it is connected with, and the steps from there.
 
-    A sequential search over the nonzeros' hypergraph: it runs on the driver
-    and refuses tensors above ``limit`` nonzeros.
+    Rounds of (start, level) minima over rows; only rows of indices that
+    changed in the round before are looked at.
     """
-    import heapq
-
-    if x.nnz() > limit:
-        raise ValueRangeError(f"more than {limit} nonzeros")
-    cells = x.collect()
-    out = []
-    for mode in range(x.nmodes):
-        rows: dict[tuple, list[int]] = {}
-        of: dict[int, list[tuple]] = {}
-        for cell in cells:
-            key = (*cell[:mode], *cell[mode + 1 : x.nmodes])
-            rows.setdefault(key, []).append(cell[mode])
-            of.setdefault(cell[mode], []).append(key)
-        score, placed, order = dict.fromkeys(of, 0), set(), []
-        heap = [(0, i) for i in sorted(of)]
-        heapq.heapify(heap)
-        seen: set[tuple] = set()
-        while heap:
-            s, i = heapq.heappop(heap)
-            if i in placed or -s != score[i]:
-                continue
-            placed.add(i)
-            order.append(i)
-            for key in of[i]:
-                if key not in seen:
-                    seen.add(key)
-                    for j in rows[key]:
-                        if j not in placed:
-                            score[j] += 1
-                            heapq.heappush(heap, (-score[j], j))
-        order += [i for i in range(x.dims[mode]) if i not in placed]
-        out.append(x.spark.createDataFrame([(old, new) for new, old in enumerate(order)], "old long, new long"))
-    return out
+    tables = Tables(cells.sparkSession, "levels")
+    state = tables.write(cells.select("index").distinct().select("index", F.col("index").alias("start"), F.lit(0).cast("long").alias("level")))
+    changed = state
+    while not changed.isEmpty():
+        place = F.struct("start", "level")
+        rows = cells.join(changed, "index").groupBy("row").agg(F.min(place).alias("_of_row"))
+        offered = cells.join(rows, "row").groupBy("index").agg(F.min("_of_row").alias("_least"))
+        both = state.join(offered, "index", "left")
+        better = F.struct(F.col("_least.start").alias("start"), (F.col("_least.level") + 1).alias("level"))
+        moved = F.col("_least").isNotNull() & (better < place)
+        new = F.when(moved, better).otherwise(place)
+        state = tables.write(both.select("index", new["start"].alias("start"), new["level"].alias("level"), F.coalesce(moved, F.lit(False)).alias("_moved")))
+        changed = state.filter("_moved").drop("_moved")
+        state = state.drop("_moved")
+        tables.drop(1)
+    return state
+
+
+def bfs_map(x: SparseTensor, mode: int) -> DataFrame:
+    """Breadth-first order of one mode over the hypergraph of its entries.
+
+    Indices that have an entry in one row (coordinates of the other modes)
+    are neighbours. Connected indices lie together, the groups by their least
+    index; a group is ordered by the steps from its least index, then by the
+    number of rows shared with the step before (most first), then by index.
+    Indices without an entry come last.
+    """
+    check_mode(mode, x.nmodes)
+    others = [c for c in x.modes if c != f"i{mode}"]
+    cells = settle(x.df.select(F.col(f"i{mode}").alias("index"), F.struct(*others).alias("row")).distinct(), "cells")
+    levels = _levels(cells)
+    placed = cells.join(levels, "index")
+    first = placed.groupBy("row").agg(F.min("level").alias("_first"))
+    links = placed.join(first, "row").filter(F.col("_first") == F.col("level") - 1).groupBy("index").agg(F.count("*").alias("links"))
+    every = x.spark.range(x.dims[mode]).select(F.col("id").alias("old"))
+    known = levels.join(links, "index", "left").select(F.col("index").alias("old"), "start", "level", F.coalesce("links", F.lit(0)).alias("links"))
+    order = [F.asc_nulls_last("start"), F.col("level"), F.desc("links"), F.col("old")]
+    return row_numbers(every.join(known, "old", "left"), order, "new").select("old", "new")
+
+
+def bfs_order(x: SparseTensor) -> list[DataFrame]:
+    """Breadth-first maps of all modes, in rounds over the whole tensor."""
+    return [bfs_map(x, m) for m in range(x.nmodes)]
 
 
 def reorder_by(x: SparseTensor, kind: str = "lexi", iterations: int = 1, seed: int = 0) -> tuple[SparseTensor, list[DataFrame]]:

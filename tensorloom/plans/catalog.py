@@ -466,28 +466,64 @@ def lexi_order(spark, sf):
     return reorder.lexi_map(t3b(spark, sf), 0)
 
 
-# --- what SQL does not express ----------------------------------------------------
-
-
-@query()
-def random_shuffle(spark, sf):
-    return reorder.random_map(spark, table(spark, sf, "part").count(), 7)
+def _lexi_sql(rounds: int) -> str:
+    """Map of mode 0 after rounds over all modes: each step relabels the tensor of the one before."""
+    steps, k = [f"t0 AS ({T3B_SQL})", "m0 AS (SELECT p_partkey AS old, p_partkey AS new FROM part)"], 0
+    every = ("SELECT p_partkey AS i FROM part", "SELECT s_suppkey AS i FROM supplier", "SELECT unnest(range(7)) AS i")
+    for _ in range(rounds):
+        for m in range(3):
+            a, b = (c for c in ("i0", "i1", "i2") if c != f"i{m}")
+            moved = ", ".join("s.new AS " + c if c == f"i{m}" else "t." + c for c in ("i0", "i1", "i2"))
+            steps += [
+                f"r{k} AS (SELECT {a}, {b}, ROW_NUMBER() OVER (ORDER BY {a}, {b}) - 1 AS rid FROM (SELECT DISTINCT {a}, {b} FROM t{k}) d)",
+                f"l{k} AS (SELECT t.i{m} AS i, list_append(list(rid ORDER BY rid), 9223372036854775807) AS key FROM t{k} t JOIN r{k} r ON t.{a} = r.{a} AND t.{b} = r.{b} GROUP BY 1)",
+                f"s{k} AS (SELECT e.i AS old, CAST(ROW_NUMBER() OVER (ORDER BY COALESCE(l.key, [9223372036854775807]), e.i) - 1 AS BIGINT) AS new FROM ({every[m]}) e LEFT JOIN l{k} l ON l.i = e.i)",
+                f"t{k + 1} AS (SELECT {moved}, t.val FROM t{k} t JOIN s{k} s ON s.old = t.i{m})",
+                f"m{k + 1} AS (SELECT x.old, s.new FROM m{k} x JOIN s{k} s ON s.old = x.new)" if m == 0 else f"m{k + 1} AS (SELECT * FROM m{k})",
+            ]
+            k += 1
+    return f"WITH {', '.join(steps)} SELECT old, new FROM m{k}"
+
+
+@query(_lexi_sql(2))
+def lexi_order_two_rounds(spark, sf):
+    return reorder.lexi_order(t3b(spark, sf), 2)[0]
+
+
+#: Least (start, steps) over neighbours in one order, round by round; twelve rounds are more than parts of common orders need.
+BFS_SQL = """
+WITH RECURSIVE cells AS (
+  SELECT DISTINCT l_partkey AS i, l_orderkey AS r FROM lineitem
+), near AS (
+  SELECT DISTINCT x.i AS i, y.i AS j, CASE WHEN x.i = y.i THEN 0 ELSE 1 END AS step FROM cells x JOIN cells y ON x.r = y.r
+), places AS (
+  SELECT 0 AS k, i, i * 1048576 AS place FROM (SELECT DISTINCT i FROM cells) c
+  UNION ALL
+  SELECT p.k + 1, n.j, min(p.place + n.step) FROM places p JOIN near n ON n.i = p.i WHERE p.k < 12 GROUP BY p.k + 1, n.j
+), levels AS (
+  SELECT i, place // 1048576 AS start, place % 1048576 AS level FROM places WHERE k = 12
+), firsts AS (
+  SELECT r, min(level) AS level FROM cells JOIN levels USING (i) GROUP BY r
+), links AS (
+  SELECT c.i, count(*) AS n FROM cells c JOIN levels l ON l.i = c.i JOIN firsts f ON f.r = c.r WHERE f.level = l.level - 1 GROUP BY c.i
+)
+SELECT p_partkey AS old, CAST(ROW_NUMBER() OVER (ORDER BY l.start NULLS LAST, l.level, COALESCE(n.n, 0) DESC, p_partkey) - 1 AS BIGINT) AS new
+FROM part LEFT JOIN levels l ON l.i = p_partkey LEFT JOIN links n ON n.i = p_partkey
+"""
 
 
-@query()
-def split(spark, sf):
-    t = t3b(spark, sf)
-    return t.split_bounds([5000, 0, 0])
+@query(BFS_SQL)
+def bfs_order(spark, sf):
+    dims = [table(spark, sf, n).count() for n in ("part", "orders")]
+    return reorder.bfs_map(SparseTensor.from_table(table(spark, sf, "lineitem"), ["l_partkey", "l_orderkey"], "l_quantity", dims, coalesce=False), 0)
 
 
-@query()
-def distribute(spark, sf):
-    return t3b(spark, sf).distribute(8)
+# --- what SQL does not express ----------------------------------------------------
 
 
 @query()
-def bfs_order(spark, sf):
-    return c2(spark, sf).bfs_order()[1]
+def random_shuffle(spark, sf):
+    return reorder.random_map(spark, table(spark, sf, "part").count(), 7)
 
 
 @query()

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions import bits
+from tensorloom.functions.lineage import shared_dir
 from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators import cpd, dense, layout, matrix, reorder, sorting, split, stats, vectors
-from tensorloom.plans.catalog import RANK, RS, Z, ZIN, _long, _maps, _rows, query
+from tensorloom.plans.catalog import ORACLE_SQL, QUERIES, RANK, RS, Z, ZIN, _long, _maps, _rows, query
 from tensorloom.plans.inputs import M_SQL, T3B_SQL, m2, ramps, size, t3b
 from tensorloom.sources import text
 from tensorloom.types import KruskalTensor, SparseTensor
@@ -274,6 +275,10 @@ def distribute_parts(spark, sf):
     return split.distribute(t3b(spark, sf), 8)
 
 
+for _plain in ("split", "distribute"):  # the same under their plain names
+    QUERIES[_plain], ORACLE_SQL[_plain] = QUERIES[f"{_plain}_parts"], ORACLE_SQL[f"{_plain}_parts"]
+
+
 # --- vectors ------------------------------------------------------------------------
 
 
@@ -449,8 +454,8 @@ def kernel_statistics(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new name in the folder that the session shares; an own one only where it names none, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tensorloom-')}/{uuid.uuid4().hex}"
+    """A new name in the folder that the session shares."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query(f"{T}SELECT * FROM t")
