@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from itertools import product as cartesian
+from math import prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.lineage import settle
 from tensorloom.operators import dense
-from tensorloom.operators.products import mttkrp, ttm_chain
+from tensorloom.operators.products import mttkrp, mttkrp_rows, rank_sums
 from tensorloom.operators.stats import frob_norm_sq
-from tensorloom.types import DenseMatrix, HiCOOTensor, KruskalTensor, ShapeMismatchError, SparseTensor, ValueRangeError, fits_broadcast
+from tensorloom.types import DenseMatrix, HiCOOTensor, KruskalTensor, ShapeMismatchError, SparseTensor, ValueRangeError, fits_broadcast, maybe_broadcast
 
 
 def kruskal_norm_sq(weights: Sequence[float], grams: Sequence[np.ndarray]) -> float:
@@ -123,42 +127,97 @@ def values_at(k: KruskalTensor, x: SparseTensor) -> DataFrame:
     return df.select(*x.modes, total.alias("val"))
 
 
-def tucker(x: SparseTensor, ranks: Sequence[int], niters: int = 10, tol: float = 1e-6) -> tuple[SparseTensor, list[DenseMatrix], float]:
-    """Core, orthonormal factors and fit. Each mode's basis is the leading eigenvectors of a Gram matrix.
-
-    The Gram matrix of a mode is dims[m] x dims[m] on the driver, so modes are
-    limited to a few thousand indices.
+def _triangle(cols: int):
+    """Batches of rows (i, row) or of triangles (row) to one triangle R of their stack's QR decomposition, flattened."""
+
+    def run(batches):
+        r = np.zeros((0, cols))
+        for batch in batches:
+            flat = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
+            r = np.linalg.qr(np.vstack([r, flat.reshape(-1, cols)]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], ["row"])
+
+    return run
+
+
+#: Triangles that one task, or the driver, stacks.
+STACK = 32
+
+
+def tall_skinny_r(rows: DataFrame, cols: int) -> np.ndarray:
+    """R of the QR decomposition of a matrix (i, row) of any number of rows: triangles of parts, then of STACK triangles at a time."""
+    parts = rows.select("i", "row").mapInArrow(_triangle(cols), "row array<double>")
+    found = settle(parts, "triangles")
+    while (n := found.count()) > STACK:
+        n = -(-n // STACK)
+        found = settle(found.repartition(n).mapInArrow(_triangle(cols), "row array<double>"), "triangles")
+    stack = [np.array(r["row"]).reshape(-1, cols) for r in found.collect()]
+    return np.linalg.qr(np.vstack([np.zeros((0, cols)), *stack]), mode="r")
+
+
+def _projected(x: SparseTensor, factors: Sequence[DenseMatrix], mode: int) -> DataFrame:
+    """(i, row): the unfolding along ``mode`` of x times all other factors, the last mode fastest; rows with an entry only."""
+    df, others = x.df, [k for k in range(x.nmodes) if k != mode]
+    for k in others:
+        f = factors[k]
+        df = df.join(maybe_broadcast(f.df.select(F.col("i").alias(f"i{k}"), F.col("row").alias(f"_f{k}")), f.nrows, f.row_bytes), f"i{k}")
+    places = list(cartesian(*[range(factors[k].ncols) for k in others]))
+
+    def term(c: int):
+        out = F.col("val")
+        for k, r in zip(others, places[c], strict=True):
+            out = out * F.get(f"_f{k}", F.lit(r))
+        return out
+
+    return rank_sums(df, [f"i{mode}"], term, len(places), "row").select(F.col(f"i{mode}").alias("i"), "row")
+
+
+def _leading(rows: DataFrame, cols: int, rank: int, nrows: int) -> tuple[DenseMatrix, np.ndarray]:
+    """The leading left singular vectors of a tall matrix, and its part of the small side: singular values times right vectors."""
+    rows = settle(rows, "unfolding")
+    s, v = np.linalg.svd(tall_skinny_r(rows, cols), full_matrices=False)[1:]
+    rank = min(rank, len(s))
+    v = v[:rank] * np.sign(v[np.arange(rank), np.abs(v[:rank]).argmax(axis=1)])[:, None]
+    keep = s[:rank] > s[:1] * 1e-12
+    inverse = np.where(keep, 1 / np.where(keep, s[:rank], 1.0), 0.0)
+    found = dense.times_small(DenseMatrix(rows, nrows, cols), v.T * inverse)
+    zero = F.array_repeat(F.lit(0.0), rank)
+    full = rows.sparkSession.range(nrows).select(F.col("id").alias("i")).join(found.df, "i", "left").select("i", F.coalesce("row", zero).alias("row"))
+    if fits_broadcast(nrows, 8 * (rank + 4), SMALL_FACTOR):
+        return dense.from_rows(rows.sparkSession, [list(r["row"]) for r in full.orderBy("i").collect()]), s[:rank, None] * v
+    return DenseMatrix(settle(full, "factor"), nrows, rank), s[:rank, None] * v
+
+
+def tucker(x: SparseTensor, ranks: Sequence[int], niters: int = 10, tol: float = 1e-6, seed: int = 0, more: int = 4) -> tuple[SparseTensor, list[DenseMatrix], float]:
+    """Core, orthonormal factors and fit, by higher-order orthogonal iteration; modes may be of any size.
+
+    Starts are ranges of random sketches: the tensor's unfolding times a
+    Khatri-Rao product of random factors, ``more`` columns wider than the rank.
+    A basis is then the leading left singular vectors of the tensor
+    times all other factors, a matrix of as many rows as the mode and as many
+    columns as the other ranks' product: QR decompositions of parts of rows
+    are stacked until one small triangle is left, whose singular
+    vectors the driver finds. Where the tensor's own rank is lower, columns
+    beyond it are zero.
     """
     if len(ranks) != x.nmodes or any(not 0 < r <= d for r, d in zip(ranks, x.dims, strict=True)):
         raise ShapeMismatchError(f"ranks {ranks} of {x.dims}")
-    if max(x.dims) > 4000:
-        raise ValueRangeError("modes above 4000 indices")
-    spark, norm_sq = x.spark, x.frob_norm_sq()
-    own = SparseTensor(x.df.persist(), x.dims)
-
-    def basis(t: SparseTensor, m: int) -> DenseMatrix:
-        others = [c for c in t.modes if c != f"i{m}"]
-        right = t.df.select(*others, F.col(f"i{m}").alias("q"), F.col("val").alias("w"))
-        cells = t.df.select(*others, F.col(f"i{m}").alias("p"), "val").join(right, others).filter("p <= q").groupBy("p", "q").agg(F.sum(F.col("val") * F.col("w")).alias("v")).collect()
-        g = np.zeros((x.dims[m], x.dims[m]))
-        for p, q, v in cells:
-            g[p, q] = g[q, p] = v
-        vectors = np.linalg.eigh(g)[1][:, ::-1][:, : ranks[m]]
-        signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), range(ranks[m])])
-        return dense.from_rows(spark, (vectors * signs).tolist())
-
+    spark, norm_sq = x.spark, frob_norm_sq(x)
+    own, fit, last = SparseTensor(x.df.persist(), x.dims), 0.0, x.nmodes - 1
     try:
-        factors, fit = [basis(own, m) for m in range(x.nmodes)], 0.0
+        wide = max(ranks) + more
+        sketch = [dense.random(spark, d, wide, seed + m) for m, d in enumerate(x.dims)]
+        factors = [_leading(mttkrp_rows(own, sketch, m), wide, ranks[m], x.dims[m])[0] for m in range(x.nmodes)]
         for it in range(niters):
             for m in range(x.nmodes):
-                factors[m] = basis(ttm_chain(own, {k: f for k, f in enumerate(factors) if k != m}), m)
-            core = ttm_chain(own, dict(enumerate(factors)))
-            new = 1 - max(0.0, norm_sq - core.frob_norm_sq()) ** 0.5 / norm_sq**0.5 if norm_sq else 0.0
-            if it and abs(new - fit) < tol:
-                fit = new
+                factors[m], core = _leading(_projected(own, factors, m), prod(f.ncols for k, f in enumerate(factors) if k != m), ranks[m], x.dims[m])
+            new = 1 - max(0.0, norm_sq - float((core * core).sum())) ** 0.5 / norm_sq**0.5 if norm_sq else 0.0
+            done, fit = it > 0 and abs(new - fit) < tol, new
+            if done:
                 break
-            fit = new
-        rows = core.collect()
+        cells = core.reshape(core.shape[0], *[f.ncols for f in factors[:last]])
+        rows = [(*at[1:], at[0], float(v)) for at, v in np.ndenumerate(cells)]
         return SparseTensor.from_rows(spark, rows, tuple(ranks)), factors, fit
     finally:
         own.df.unpersist()

@@ -532,10 +532,37 @@ def cpd_als(spark, sf):
     return _rows(spark, [(i, float(f)) for i, f in enumerate(k.trace)], "iteration long, fit double")
 
 
-@query()
+def _tucker_sql(rounds: int) -> str:
+    """The best product of three unit vectors: each in turn becomes the tensor times the two others, at its length."""
+    return f"""
+WITH RECURSIVE t AS ({T3B_SQL}), starts AS (
+  SELECT 0 AS m, i0 AS i FROM t UNION SELECT 1, i1 FROM t UNION SELECT 2, i2 FROM t
+), turned AS (
+  SELECT 0 AS m, i0 AS i, 1 AS ma, i1 AS a, 2 AS mb, i2 AS b, val FROM t UNION ALL SELECT 1, i1, 2, i2, 0, i0, val FROM t UNION ALL SELECT 2, i2, 0, i0, 1, i1, val FROM t
+), places AS (
+  SELECT 0 AS k, m, i, CAST(1 AS DOUBLE) / sqrt(count(*) OVER (PARTITION BY m)) AS v, CAST(0 AS DOUBLE) AS size FROM starts
+  UNION ALL
+  SELECT k, m, i, CASE WHEN fresh THEN v / sqrt(sum(v * v) OVER (PARTITION BY m)) ELSE v END, sqrt(sum(CASE WHEN fresh THEN v * v ELSE 0 END) OVER ()) FROM (
+    SELECT n.k + 1 AS k, t.m, t.i, sum(t.val * n.v * o.v) AS v, TRUE AS fresh
+    FROM turned t JOIN places n ON n.m = t.ma AND n.i = t.a JOIN places o ON o.m = t.mb AND o.i = t.b
+    WHERE n.k < {rounds} AND t.m = n.k % 3 GROUP BY 1, 2, 3
+    UNION ALL SELECT k + 1, m, i, v, FALSE FROM places WHERE k < {rounds} AND m <> k % 3
+  ) x
+)
+SELECT CAST(m AS BIGINT) AS m, i, round(v, 5) AS val FROM places WHERE k = {rounds} UNION ALL SELECT 3, 0, round(max(size), 4) FROM places WHERE k = {rounds}
+"""
+
+
+@query(_tucker_sql(18))
 def tucker(spark, sf):
-    core, _, _ = cpd.tucker(c2(spark, sf).contract(n2(spark, sf), [1], [1]), (2, 2), 1)
-    return core.df
+    """Vectors of the modes and, as mode 3, the core of part x supplier x line at ranks of one."""
+    t = t3b(spark, sf)
+    core, factors, _ = cpd.tucker(t, (1, 1, 1), 6, 0.0)
+    out = core.df.select(F.lit(3).cast("long").alias("m"), F.col("i0").alias("i"), F.round(F.abs("val"), 4).alias("val"))
+    for m, f in enumerate(factors):
+        cells = f.df.select(F.lit(m).cast("long").alias("m"), "i", F.round(F.abs(F.get("row", F.lit(0))), 5).alias("val"))
+        out = out.unionByName(cells.filter("val <> 0"))
+    return out
 
 
 from tensorloom.plans import catalog_more  # noqa: E402, F401  registers further queries here
