@@ -6,6 +6,7 @@ Results are flat rows: coordinates or row and rank as longs, values as doubles.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import bits
 from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators import cpd, dense, layout, reorder, vectors
-from tensorloom.plans.inputs import C2_SQL, M_SQL, N2_SQL, SHIFTED_SQL, T3_SQL, T3B_SQL, T4_SQL, c2, m2, n2, ramps, shifted, t3, t3b, t4, table
+from tensorloom.plans.inputs import C2_SQL, M_SQL, N2_SQL, PART_SQL, SHIFTED_SQL, SUPPLIER_SQL, T3_SQL, T3B_SQL, T4_SQL, c2, m2, n2, ramps, shifted, t3, t3b, t4, table, totals
 from tensorloom.types import SparseTensor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,35 +369,36 @@ def density(spark, sf):
     return _rows(spark, [(round(t3b(spark, sf).density(), 9),)], "density double")
 
 
-def _factor(spark, sf):
-    return dense.ramp(spark, table(spark, sf, "part").count(), RANK)
+#: Quantity (r = 0) and number of lines (r = 1) of each part, one row a cell.
+PARTS_LONG = f"c AS (SELECT i, CAST(r AS BIGINT) AS r, CASE r WHEN 0 THEN x ELSE y END AS val FROM ({PART_SQL}) f, {RS} rs)"
 
 
-@query(f"SELECT CAST(a.r AS BIGINT) AS p, CAST(b.r AS BIGINT) AS q, CAST(SUM((p_partkey + a.r + 1) * (p_partkey + b.r + 1)) AS DOUBLE) AS val FROM part, {RS} a, {RS} b GROUP BY a.r, b.r")
+@query(f"WITH {PARTS_LONG} SELECT a.r AS p, b.r AS q, SUM(a.val * b.val) AS val FROM c a JOIN c b ON a.i = b.i GROUP BY 1, 2")
 def gram(spark, sf):
-    g = dense.gram(_factor(spark, sf))
+    g = dense.gram(totals(spark, sf, "part"))
     return _rows(spark, [(p, q, float(g[p, q])) for p in range(RANK) for q in range(RANK)], "p long, q long, val double")
 
 
-@query(f"SELECT CAST(r AS BIGINT) AS r, ROUND(SQRT(CAST(SUM((p_partkey + r + 1) * (p_partkey + r + 1)) AS DOUBLE)), 6) AS norm FROM part, {RS} rs GROUP BY r")
+@query(f"WITH {PARTS_LONG}, n AS (SELECT r, SQRT(SUM(val * val)) AS norm FROM c GROUP BY r) SELECT i, r, ROUND(val / norm, 9) AS val FROM c JOIN n USING (r)")
 def col_norm2(spark, sf):
-    return _rows(spark, [(r, round(v, 6)) for r, v in enumerate(dense.normalize_2norm(_factor(spark, sf))[1])], "r long, norm double")
+    return _long(dense.normalize_2norm(totals(spark, sf, "part"))[0]).withColumn("val", F.round("val", 9))
 
 
-@query(f"SELECT CAST(r AS BIGINT) AS r, CAST(GREATEST(1, MAX(p_partkey + r + 1)) AS DOUBLE) AS norm FROM part, {RS} rs GROUP BY r")
+@query(f"WITH {PARTS_LONG}, n AS (SELECT r, GREATEST(1, MAX(val)) AS norm FROM c GROUP BY r) SELECT i, r, ROUND(val / norm, 9) AS val FROM c JOIN n USING (r)")
 def col_maxnorm(spark, sf):
-    return _rows(spark, list(enumerate(dense.normalize_maxnorm(_factor(spark, sf))[1])), "r long, norm double")
+    return _long(dense.normalize_maxnorm(totals(spark, sf, "part"))[0]).withColumn("val", F.round("val", 9))
 
 
-@query(f"SELECT p_partkey AS i, CAST(r AS BIGINT) AS r, CAST((p_partkey + r + 1) * (p_partkey + r + 1) AS DOUBLE) AS val FROM part, {RS} rs")
+@query(f"WITH {PARTS_LONG} SELECT i, r, val * val AS val FROM c")
 def matrix_hadamard(spark, sf):
-    a = _factor(spark, sf)
+    a = totals(spark, sf, "part")
     return _long(a.hadamard(a))
 
 
-@query(f"SELECT p_partkey AS i, CAST(r AS BIGINT) AS r, CAST(p_partkey + r + 1 AS DOUBLE) AS val FROM part, {RS} rs")
+@query(f"WITH {PARTS_LONG} SELECT i, r, val * (i + r + 1) AS val FROM c")
 def matrix_ramp(spark, sf):
-    return _long(_factor(spark, sf))
+    a = totals(spark, sf, "part")
+    return _long(a.hadamard(dense.ramp(spark, a.nrows, RANK)))
 
 
 @query(f"WITH t AS ({T3B_SQL}) SELECT CAST(r AS BIGINT) AS r, SUM(val * (i0 + r + 1) * (i1 + r + 1) * (i2 + r + 1)) AS val FROM t, {RS} rs GROUP BY r")
@@ -408,10 +410,14 @@ def kruskal_inner(spark, sf):
     return _long(both).groupBy("r").agg(F.sum("val").alias("val"))
 
 
-@query(f"WITH g0 AS (SELECT a.r AS p, b.r AS q, CAST(SUM((p_partkey + a.r + 1) * (p_partkey + b.r + 1)) AS DOUBLE) AS v FROM part, {RS} a, {RS} b GROUP BY 1, 2), g1 AS (SELECT a.r AS p, b.r AS q, CAST(SUM((s_suppkey + a.r + 1) * (s_suppkey + b.r + 1)) AS DOUBLE) AS v FROM supplier, {RS} a, {RS} b GROUP BY 1, 2) SELECT SUM(g0.v * g1.v) AS norm_sq FROM g0 JOIN g1 ON g0.p = g1.p AND g0.q = g1.q")
+@query(
+    f"WITH a AS ({PART_SQL}), b AS ({SUPPLIER_SQL}), g AS (SELECT 4 * SUM(x * x) AS xx, 2 * 3 * SUM(x * y) AS xy, 9 * SUM(y * y) AS yy FROM a), h AS (SELECT SUM(x * x) AS xx, SUM(x * y) AS xy, SUM(y * y) AS yy FROM b) "
+    "SELECT ROUND(LN(g.xx * h.xx + 2 * g.xy * h.xy + g.yy * h.yy), 9) AS log_norm_sq FROM g, h"
+)
 def kruskal_norm(spark, sf):
-    grams = [dense.gram(f) for f in ramps(spark, [table(spark, sf, n).count() for n in ("part", "supplier")])]
-    return _rows(spark, [(cpd.kruskal_norm_sq([1.0] * RANK, grams),)], "norm_sq double")
+    """With weights 2 and 3, as a logarithm: the sums leave the doubles' whole numbers."""
+    grams = [dense.gram(totals(spark, sf, n)) for n in ("part", "supplier")]
+    return _rows(spark, [(round(log(cpd.kruskal_norm_sq([2.0, 3.0], grams)), 9),)], "log_norm_sq double")
 
 
 @query("WITH c AS (SELECT vec_id, UNNEST(embedding) AS v FROM embeddings) SELECT vec_id, CAST(COUNT(*) AS BIGINT) AS n, ROUND(SUM(CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), 4) AS norm_sq FROM c GROUP BY 1")

@@ -14,9 +14,9 @@ from tensorloom.functions.lineage import shared_dir
 from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators import cpd, dense, layout, matrix, reorder, sorting, split, stats, vectors
 from tensorloom.plans.catalog import ORACLE_SQL, QUERIES, RANK, RS, Z, ZIN, _long, _maps, _rows, query
-from tensorloom.plans.inputs import M_SQL, T3B_SQL, m2, ramps, size, t3b
+from tensorloom.plans.inputs import M_SQL, PART_SQL, SUPPLIER_SQL, T3B_SQL, m2, ramps, size, t3b, totals
 from tensorloom.sources import text
-from tensorloom.types import KruskalTensor, SparseTensor
+from tensorloom.types import DenseMatrix, KruskalTensor, SparseMatrix, SparseTensor
 
 T, M = f"WITH t AS ({T3B_SQL}) ", f"WITH m AS ({M_SQL}) "
 NP, NS = "(SELECT COUNT(*) FROM part)", "(SELECT COUNT(*) FROM supplier)"
@@ -132,16 +132,17 @@ def shuffle_elements(spark, sf):
     return reorder.shuffle_elements(t3b(spark, sf), 5).df
 
 
-@query(f"SELECT CAST(m AS BIGINT) AS m, d AS n, d AS olds, d AS news, CAST(0 AS BIGINT) AS low, d - 1 AS high FROM (SELECT 0 AS m, {NP} AS d UNION ALL SELECT 1, {NS} UNION ALL SELECT 2, CAST(7 AS BIGINT)) x")
+@query(f"{T}SELECT * FROM t")
 def random_maps_are_permutations(spark, sf):
-    made = [x.withColumn("m", F.lit(m).cast("long")) for m, x in enumerate(reorder.random_maps(t3b(spark, sf), 3))]
-    both = made[0].unionByName(made[1]).unionByName(made[2])
-    return both.groupBy("m").agg(F.count("*").alias("n"), F.countDistinct("old").alias("olds"), F.countDistinct("new").alias("news"), F.min("new").alias("low"), F.max("new").alias("high"))
+    """A tensor under random maps, and back under their inverses: whole only if each map is a permutation."""
+    t = t3b(spark, sf)
+    maps = reorder.random_maps(t, 3)
+    return reorder.relabel(reorder.relabel(t, maps), reorder.inverse_maps(maps)).df
 
 
-@query(f"SELECT (p_partkey * 7 + 3) % {NP} AS old, p_partkey AS new FROM part")
+@query(f"SELECT new AS old, old AS new FROM ({ORACLE_SQL['lexi_order']}) m")
 def inverse_of_a_map(spark, sf):
-    return reorder.inverse_maps(_maps(spark, [size(spark, sf, "part")]))[0]
+    return reorder.inverse_maps([reorder.lexi_map(t3b(spark, sf), 0)])[0]
 
 
 @query(f"{M}SELECT (i * 7 + 3) % {NP} AS i, (j * 7 + 3) % {NS} AS j, val FROM m")
@@ -282,63 +283,72 @@ for _plain in ("split", "distribute"):  # the same under their plain names
 # --- vectors ------------------------------------------------------------------------
 
 
-def _keys(spark: SparkSession, sf: str) -> vectors.Vector:
-    """13 (i + 1) modulo 31 for each supplier i."""
-    n = size(spark, sf, "supplier")
-    return vectors.Vector(spark.range(n).select(F.col("id").alias("i"), ((F.col("id") + 1) * 13 % 31).cast("double").alias("val")), n)
+def _quantities(spark: SparkSession, sf: str) -> vectors.Vector:
+    """Quantity of each supplier's lines."""
+    own = totals(spark, sf, "supplier")
+    return vectors.Vector(own.df.select("i", F.get("row", F.lit(0)).alias("val")), own.nrows)
 
 
-V = "WITH v AS (SELECT s_suppkey AS i, CAST((s_suppkey + 1) * 13 % 31 AS DOUBLE) AS val FROM supplier) "
+V = f"WITH v AS (SELECT i, x AS val FROM ({SUPPLIER_SQL}) s) "
+#: The suppliers' quantities and numbers of lines, one row a cell.
+C = f"WITH s AS ({SUPPLIER_SQL}), c AS (SELECT i, CAST(r AS BIGINT) AS r, CASE r WHEN 0 THEN x ELSE y END AS val FROM s, {RS} rs) "
 
 
-@query("SELECT s_suppkey AS i, CAST(2.5 AS DOUBLE) AS val FROM supplier")
+@query(f"{V}SELECT i, (SELECT MAX(val) FROM v) AS val FROM v")
 def vector_constant(spark, sf):
-    return vectors.constant_vector(spark, size(spark, sf, "supplier"), 2.5).df
+    """As many of the largest quantity as there are suppliers."""
+    v = _quantities(spark, sf)
+    return vectors.constant_vector(spark, v.size, vectors.largest(v)).df
 
 
-@query(f"{V}SELECT i, val FROM v UNION ALL SELECT {NS}, -1.0")
+@query(f"{V}SELECT i, val FROM v UNION ALL SELECT {NS}, (SELECT MAX(val) FROM v)")
 def vector_append(spark, sf):
-    return vectors.append(_keys(spark, sf), -1.0).df
+    v = _quantities(spark, sf)
+    return vectors.append(v, vectors.largest(v)).df
 
 
 @query(f"{V}SELECT i, val FROM v UNION ALL SELECT i + {NS}, val FROM v")
 def vector_append_vector(spark, sf):
-    v = _keys(spark, sf)
+    v = _quantities(spark, sf)
     return vectors.append_vector(v, v).df
 
 
 @query(f"{V}SELECT i, val FROM v UNION ALL SELECT {NS} + i, 0.0 FROM v WHERE i < 5")
 def vector_resize_longer(spark, sf):
-    v = _keys(spark, sf)
+    v = _quantities(spark, sf)
     return vectors.resize(v, v.size + 5).df
 
 
 @query(f"{V}SELECT i, val FROM v WHERE i < 4")
 def vector_resize_shorter(spark, sf):
-    return vectors.resize(_keys(spark, sf), 4).df
+    return vectors.resize(_quantities(spark, sf), 4).df
 
 
-@query(f"{V}SELECT i, val + 2.5 AS val FROM v")
+@query(f"{V}SELECT i, val + (SELECT MAX(val) FROM v) AS val FROM v")
 def vector_add(spark, sf):
-    v = _keys(spark, sf)
-    return vectors.add(v, vectors.constant_vector(spark, v.size, 2.5)).df
+    v = _quantities(spark, sf)
+    return vectors.add(v, vectors.constant_vector(spark, v.size, vectors.largest(v))).df
 
 
-@query(f"{V}SELECT MAX(val) AS largest, (SELECT MIN(i) FROM v WHERE val = 13) AS found, CAST(-1 AS BIGINT) AS missing FROM v")
+@query(f"{V}SELECT MAX(val) AS largest, (SELECT MIN(i) FROM v WHERE val = (SELECT MAX(val) FROM v)) AS found, CAST(-1 AS BIGINT) AS missing FROM v")
 def vector_search(spark, sf):
-    v = _keys(spark, sf)
-    return _rows(spark, [(vectors.largest(v), vectors.find(v, 13.0), vectors.find(v, 0.5))], "largest double, found long, missing long")
+    v = _quantities(spark, sf)
+    top = vectors.largest(v)
+    return _rows(spark, [(top, vectors.find(v, top), vectors.find(v, 0.5))], "largest double, found long, missing long")
 
 
 @query(f"{V}SELECT ROW_NUMBER() OVER (ORDER BY val) - 1 AS i, val FROM v")
 def vector_sorted(spark, sf):
-    return vectors.sorted_values(_keys(spark, sf)).df
+    return vectors.sorted_values(_quantities(spark, sf)).df
 
 
-@query(f"SELECT {NS} AS n, TRUE AS whole, TRUE AS within")
+@query(f"{V}SELECT i, val, TRUE AS within FROM v")
 def vector_random(spark, sf):
-    v = vectors.random_vector(spark, size(spark, sf, "supplier"), 4)
-    return v.df.agg(F.count("*").alias("n"), F.min(F.floor("val") == F.col("val")).alias("whole"), F.min(F.col("val").between(1, 10)).alias("within"))
+    """Quantities, and whether a random vector on top of each adds a whole number from 1 to 10."""
+    v = _quantities(spark, sf)
+    more = vectors.add(v, vectors.random_vector(spark, v.size, 4)).df.select("i", F.col("val").alias("more"))
+    extra = F.col("more") - F.col("val")
+    return v.df.join(more, "i").select("i", "val", (extra.between(1, 10) & (F.floor(extra) == extra)).alias("within"))
 
 
 @query("SELECT ROW_NUMBER() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS place, CAST(n_nationkey AS BIGINT) AS key FROM nation")
@@ -351,51 +361,61 @@ def pair_sort(spark, sf):
 # --- dense matrices --------------------------------------------------------------------
 
 
-@query(f"SELECT s_suppkey AS i, CAST(r AS BIGINT) AS r, CAST(1.5 AS DOUBLE) AS val FROM supplier, {RS} rs")
+@query(f"{C}SELECT i, r, val + (SELECT MAX(val) FROM c) AS val FROM c")
 def matrix_constant(spark, sf):
-    return _long(dense.constant(spark, size(spark, sf, "supplier"), RANK, 1.5))
+    """The suppliers' matrix plus a constant one of its largest cell."""
+    a = totals(spark, sf, "supplier")
+    top = max(dense.normalize_maxnorm(a)[1])
+    same = dense.constant(spark, a.nrows, RANK, top)
+    both = a.df.join(same.df.withColumnRenamed("row", "more"), "i").select("i", F.zip_with("row", "more", lambda x, y: x + y).alias("row"))
+    return _long(DenseMatrix(both, a.nrows, RANK))
 
 
-@query("SELECT a.n_nationkey AS i, CAST(b.n_nationkey AS BIGINT) AS r, CAST(CASE WHEN a.n_nationkey = b.n_nationkey THEN 1 ELSE 0 END AS DOUBLE) AS val FROM nation a, nation b")
+@query("SELECT c_custkey AS i, CAST(n_nationkey AS BIGINT) AS r, CASE WHEN c_nationkey = n_nationkey THEN CAST(c_acctbal AS DOUBLE) ELSE 0 END AS val FROM customer, nation")
 def matrix_identity(spark, sf):
-    return _long(dense.identity(spark, size(spark, sf, "nation")))
+    """Customers x nations (balances) times the identity."""
+    own = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("i"), F.col("c_nationkey").cast("long").alias("j"), F.col("c_acctbal").cast("double").alias("val"))
+    n = size(spark, sf, "nation")
+    return _long(matrix.multiply_matrix(SparseMatrix(own, size(spark, sf, "customer"), n), dense.identity(spark, n)))
 
 
-@query(f"SELECT s_suppkey AS i, CAST(r AS BIGINT) AS r, CAST(s_suppkey + r + 1 AS DOUBLE) AS val FROM supplier, {RS} rs UNION ALL SELECT {NS}, r, -r FROM {RS} rs")
+@query(f"{C}SELECT i, r, val FROM c UNION ALL SELECT {NS}, CAST(r AS BIGINT), -r FROM {RS} rs")
 def matrix_append_row(spark, sf):
-    return _long(dense.append_row(dense.ramp(spark, size(spark, sf, "supplier"), RANK), [0.0, -1.0]))
+    return _long(dense.append_row(totals(spark, sf, "supplier"), [0.0, -1.0]))
 
 
-@query(f"SELECT i, CAST(r AS BIGINT) AS r, CAST(CASE WHEN r < 2 AND i < {NS} THEN i + r + 1 ELSE 0 END AS DOUBLE) AS val FROM (SELECT s_suppkey AS i FROM supplier UNION ALL SELECT s_suppkey + {NS} FROM supplier WHERE s_suppkey < 3) n, (SELECT UNNEST([0, 1, 2]) AS r) rs")
+@query(f"{C}SELECT n.i, CAST(n.r AS BIGINT) AS r, COALESCE(c.val, 0) AS val FROM (SELECT i, r FROM (SELECT i FROM s UNION ALL SELECT i + {NS} FROM s WHERE i < 3) a, (SELECT UNNEST([0, 1, 2]) AS r) rs) n LEFT JOIN c ON c.i = n.i AND c.r = n.r")
 def matrix_resize(spark, sf):
-    n = size(spark, sf, "supplier")
-    return _long(dense.resize(dense.ramp(spark, n, RANK), n + 3, 3))
+    a = totals(spark, sf, "supplier")
+    return _long(dense.resize(a, a.nrows + 3, 3))
 
 
-@query(f"SELECT CAST(a.r AS BIGINT) AS p, CAST(b.r AS BIGINT) AS q, g0 * g1 AS val FROM {RS} a, {RS} b, LATERAL (SELECT CAST(SUM((p_partkey + a.r + 1) * (p_partkey + b.r + 1)) AS DOUBLE) AS g0 FROM part) x, LATERAL (SELECT CAST(SUM((s_suppkey + a.r + 1) * (s_suppkey + b.r + 1)) AS DOUBLE) AS g1 FROM supplier) y")
+@query(
+    f"WITH a AS ({PART_SQL}), b AS ({SUPPLIER_SQL}), g AS (SELECT [[SUM(x * x), SUM(x * y)], [SUM(x * y), SUM(y * y)]] AS g FROM a), h AS (SELECT [[SUM(x * x), SUM(x * y)], [SUM(x * y), SUM(y * y)]] AS h FROM b) "
+    f"SELECT CAST(p.r AS BIGINT) AS p, CAST(q.r AS BIGINT) AS q, ROUND(LN(g[p.r + 1][q.r + 1] * h[p.r + 1][q.r + 1]), 9) AS log_val FROM g, h, {RS} p, {RS} q"
+)
 def gram_products(spark, sf):
-    grams = [dense.gram(f) for f in ramps(spark, [size(spark, sf, n) for n in ("part", "supplier", "nation")])]
-    g = dense.hadamard_except(grams, 2)
-    return _rows(spark, [(p, q, float(g[p, q])) for p in range(RANK) for q in range(RANK)], "p long, q long, val double")
+    grams = [dense.gram(totals(spark, sf, n)) for n in ("part", "supplier")]
+    g = np.log(dense.hadamard_except([*grams, grams[0]], 2))
+    return _rows(spark, [(p, q, round(float(g[p, q]), 9)) for p in range(RANK) for q in range(RANK)], "p long, q long, log_val double")
 
 
-@query(f"SELECT p_partkey AS i, CAST(r AS BIGINT) AS r, CAST((p_partkey + 1) * (1 + 2 * r) + (p_partkey + 2) * (3 - r) AS DOUBLE) AS val FROM part, {RS} rs")
+@query(f"WITH a AS ({PART_SQL}) SELECT i, CAST(r AS BIGINT) AS r, x * (1 + 2 * r) + y * (3 - r) AS val FROM a, {RS} rs")
 def matrix_times_small(spark, sf):
-    return _long(dense.times_small(dense.ramp(spark, size(spark, sf, "part"), RANK), np.array([[1.0, 3.0], [3.0, 2.0]])))
+    return _long(dense.times_small(totals(spark, sf, "part"), np.array([[1.0, 3.0], [3.0, 2.0]])))
 
 
-@query(f"SELECT s_suppkey AS i, CAST(r AS BIGINT) AS r, ROUND(CASE WHEN r = 0 THEN (x * 3 - y) / 5 ELSE (2 * y - x) / 5 END, 6) AS val FROM (SELECT s_suppkey, CAST(s_suppkey + 1 AS DOUBLE) AS x, CAST(s_suppkey + 2 AS DOUBLE) AS y FROM supplier) s, {RS} rs")
+@query(f"WITH a AS ({SUPPLIER_SQL}) SELECT i, CAST(r AS BIGINT) AS r, ROUND(CASE WHEN r = 0 THEN (x * 3 - y) / 5 ELSE (2 * y - x) / 5 END, 6) AS val FROM a, {RS} rs")
 def solve_normal_equations(spark, sf):
     """A V = M with V = [[2, 1], [1, 3]], as a product of two Gram matrices."""
-    a = dense.ramp(spark, size(spark, sf, "supplier"), RANK)
-    solved = dense.solve_normals(a, [np.array([[2.0, 1.0], [0.5, 1.5]]), np.array([[1.0, 1.0], [2.0, 2.0]]), np.ones((2, 2))], 2)
+    solved = dense.solve_normals(totals(spark, sf, "supplier"), [np.array([[2.0, 1.0], [0.5, 1.5]]), np.array([[1.0, 1.0], [2.0, 2.0]]), np.ones((2, 2))], 2)
     return _long(solved).withColumn("val", F.round("val", 6))
 
 
-@query(f"SELECT p_partkey AS i, CAST(r AS BIGINT) AS r, CAST((p_partkey * 7 + 3) % {NP} + r + 1 AS DOUBLE) AS val FROM part, {RS} rs")
+@query(f"WITH a AS ({PART_SQL}) SELECT p_partkey AS i, CAST(r AS BIGINT) AS r, CASE r WHEN 0 THEN a.x ELSE a.y END AS val FROM part JOIN a ON a.i = (p_partkey * 7 + 3) % {NP}, {RS} rs")
 def kruskal_inverse_shuffle(spark, sf):
-    n = size(spark, sf, "part")
-    k = cpd.inverse_shuffle(KruskalTensor([dense.ramp(spark, n, RANK)], [1.0] * RANK), _maps(spark, [n]))
+    a = totals(spark, sf, "part")
+    k = cpd.inverse_shuffle(KruskalTensor([a], [1.0] * RANK), _maps(spark, [a.nrows]))
     return _long(k.factors[0])
 
 

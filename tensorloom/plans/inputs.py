@@ -91,3 +91,19 @@ def m2(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseMatrix:
 
 def ramps(spark: SparkSession, dims, rank: int = 2) -> list[DenseMatrix]:
     return [ramp(spark, d, rank) for d in dims]
+
+
+def _totals_sql(name: str, key: str, line: str) -> str:
+    return f"SELECT {key} AS i, CAST(COALESCE(SUM(l_quantity), 0) AS DOUBLE) AS x, CAST(COUNT(l_quantity) AS DOUBLE) AS y FROM {name} LEFT JOIN lineitem ON {line} = {key} GROUP BY 1"
+
+
+PART_SQL, SUPPLIER_SQL = _totals_sql("part", "p_partkey", "l_partkey"), _totals_sql("supplier", "s_suppkey", "l_suppkey")
+
+
+def totals(spark: SparkSession, sf_dir: str, name: str) -> DenseMatrix:
+    """Quantity and number of lines of each part or supplier."""
+    line = {"part": "l_partkey", "supplier": "l_suppkey"}[name]
+    n = size(spark, sf_dir, name)
+    sums = lineitem(spark, sf_dir).groupBy(F.col(line).cast("long").alias("i")).agg(F.sum("l_quantity").cast("double").alias("x"), F.count("l_quantity").cast("double").alias("y"))
+    full = spark.range(n).select(F.col("id").alias("i")).join(maybe_broadcast(sums, n, 40), "i", "left")
+    return DenseMatrix(full.select("i", F.array(*[F.coalesce(c, F.lit(0.0)) for c in ("x", "y")]).alias("row")), n, 2)
