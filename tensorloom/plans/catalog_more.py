@@ -524,29 +524,50 @@ def kruskal_empty(spark, sf):
     return sums[0].unionByName(sums[1])
 
 
-def _sweep_sql() -> str:
-    """One round of alternating least squares with two columns from the ramp start, mode after mode."""
+def _sweep_sql(rounds: int) -> str:
+    """Rounds of alternating least squares with two columns from the ramp start, mode after mode: columns by their length in the first round, by their maximum after."""
     out = [f"t AS ({T3B_SQL})"]
-    dims = [f"(SELECT p_partkey AS i FROM part)", f"(SELECT s_suppkey AS i FROM supplier)", "(SELECT UNNEST(range(7)) AS i)"]
+    dims = ["(SELECT p_partkey AS i FROM part)", "(SELECT s_suppkey AS i FROM supplier)", "(SELECT UNNEST(range(7)) AS i)"]
     for m, d in enumerate(dims):
         out.append(f"a{m} AS (SELECT i, CAST(i + 1 AS DOUBLE) AS x, CAST(i + 2 AS DOUBLE) AS y FROM {d} d)")
-    now = ["a0", "a1", "a2"]
-    for m in range(3):
-        p, q = [k for k in range(3) if k != m]
-        join = f"t JOIN {now[p]} f ON f.i = t.i{p} JOIN {now[q]} g ON g.i = t.i{q}"
-        out.append(f"m{m} AS (SELECT a.i, COALESCE(s.x, 0) AS x, COALESCE(s.y, 0) AS y FROM a{m} a LEFT JOIN (SELECT t.i{m} AS i, SUM(val * f.x * g.x) AS x, SUM(val * f.y * g.y) AS y FROM {join} GROUP BY 1) s ON s.i = a.i)")
-        out.append(f"v{m} AS (SELECT f.xx * g.xx AS a, f.xy * g.xy AS b, f.yy * g.yy AS c FROM (SELECT SUM(x * x) AS xx, SUM(x * y) AS xy, SUM(y * y) AS yy FROM {now[p]}) f, (SELECT SUM(x * x) AS xx, SUM(x * y) AS xy, SUM(y * y) AS yy FROM {now[q]}) g)")
-        out.append(f"s{m} AS (SELECT i, (x * c - y * b) / (a * c - b * b) AS x, (y * a - x * b) / (a * c - b * b) AS y FROM m{m}, v{m})")
-        out.append(f"l{m} AS (SELECT SQRT(SUM(x * x)) AS x, SQRT(SUM(y * y)) AS y FROM s{m})")
-        out.append(f"n{m} AS (SELECT s.i, s.x / l.x AS x, s.y / l.y AS y FROM s{m} s, l{m} l)")
-        now[m] = f"n{m}"
-    out.append("g AS (" + " UNION ALL ".join(f"SELECT SUM(x * x) AS xx, SUM(x * y) AS xy, SUM(y * y) AS yy FROM {n}" for n in now) + ")")
-    out.append("p AS (SELECT PRODUCT(xx) AS xx, PRODUCT(xy) AS xy, PRODUCT(yy) AS yy FROM g)")
-    out.append("r AS (SELECT (SELECT SUM(val * val) FROM t) AS total, l.x * l.x * p.xx + 2 * l.x * l.y * p.xy + l.y * l.y * p.yy AS model, (SELECT SUM(m2.x * n2.x) FROM m2 JOIN n2 ON m2.i = n2.i) * l.x + (SELECT SUM(m2.y * n2.y) FROM m2 JOIN n2 ON m2.i = n2.i) * l.y AS cross_sum FROM p, l2 l)")
-    return "WITH " + ", ".join(out) + " SELECT CAST(0 AS BIGINT) AS iteration, ROUND(1 - SQRT(total + model - 2 * cross_sum) / SQRT(total), 5) AS fit, (SELECT ROUND(LN(x), 5) FROM l2) AS log_weight0, (SELECT ROUND(LN(y), 5) FROM l2) AS log_weight1 FROM r"
-
-
-@query(_sweep_sql())
+    now, fits = ["a0", "a1", "a2"], []
+    squares = "SELECT SUM(x * x) AS xx, SUM(x * y) AS xy, SUM(y * y) AS yy FROM"
+    for it in range(rounds):
+        for m in range(3):
+            k = f"{it}_{m}"
+            p, q = [n for n in range(3) if n != m]
+            join = f"t JOIN {now[p]} f ON f.i = t.i{p} JOIN {now[q]} g ON g.i = t.i{q}"
+            out.append(f"m{k} AS (SELECT a.i, COALESCE(s.x, 0) AS x, COALESCE(s.y, 0) AS y FROM a{m} a LEFT JOIN (SELECT t.i{m} AS i, SUM(val * f.x * g.x) AS x, SUM(val * f.y * g.y) AS y FROM {join} GROUP BY 1) s ON s.i = a.i)")
+            out.append(f"v{k} AS (SELECT f.xx * g.xx AS a, f.xy * g.xy AS b, f.yy * g.yy AS c FROM ({squares} {now[p]}) f, ({squares} {now[q]}) g)")
+            out.append(f"s{k} AS (SELECT i, (x * c - y * b) / (a * c - b * b) AS x, (y * a - x * b) / (a * c - b * b) AS y FROM m{k}, v{k})")
+            size = "GREATEST(1, MAX({0}))" if it else "SQRT(SUM({0} * {0}))"
+            out.append(f"l{k} AS (SELECT {size.format('x')} AS x, {size.format('y')} AS y FROM s{k})")
+            out.append(f"n{k} AS (SELECT s.i, s.x / l.x AS x, s.y / l.y AS y FROM s{k} s, l{k} l)")
+            now[m] = f"n{k}"
+        out.append(f"g{it} AS (" + " UNION ALL ".join(f"{squares} {n}" for n in now) + ")")
+        out.append(f"p{it} AS (SELECT PRODUCT(xx) AS xx, PRODUCT(xy) AS xy, PRODUCT(yy) AS yy FROM g{it})")
+        cross = " + ".join(f"(SELECT SUM(m.{c} * n.{c}) FROM m{it}_2 m JOIN n{it}_2 n ON m.i = n.i) * l.{c}" for c in "xy")
+        out.append(f"r{it} AS (SELECT (SELECT SUM(val * val) FROM t) AS total, l.x * l.x * p.xx + 2 * l.x * l.y * p.xy + l.y * l.y * p.yy AS model, {cross} AS cross_sum FROM p{it} p, l{it}_2 l)")
+        fits.append(f"SELECT CAST({it} AS BIGINT) AS iteration, ROUND(1 - SQRT(total + model - 2 * cross_sum) / SQRT(total), 5) AS fit FROM r{it}")
+    return "WITH " + ", ".join(out) + " " + (" UNION ALL ".join(fits) if rounds > 1 else fits[0].replace(" FROM r0", ", (SELECT ROUND(LN(x), 5) FROM l0_2) AS log_weight0, (SELECT ROUND(LN(y), 5) FROM l0_2) AS log_weight1 FROM r0"))
+
+
+def _trace(spark, k: KruskalTensor) -> DataFrame:
+    return _rows(spark, [(i, round(float(f), 5)) for i, f in enumerate(k.trace)], "iteration long, fit double")
+
+
+@query(_sweep_sql(3))
+def cpd_three_rounds(spark, sf):
+    return _trace(spark, cpd.cp_als(t3b(spark, sf), RANK, 3, 0.0, "ramp"))
+
+
+@query(_sweep_sql(3))
+def cpd_three_rounds_hicoo(spark, sf):
+    """On the blocked layout, block by block."""
+    return _trace(spark, cpd.cp_als(t3b(spark, sf).to_hicoo(4, 7), RANK, 3, 0.0, "ramp"))
+
+
+@query(_sweep_sql(1))
 def cpd_one_round(spark, sf):
     k = cpd.cp_als(t3b(spark, sf), RANK, niters=1, init="ramp")
     return _rows(spark, [(0, round(k.trace[0], 5), *(round(float(np.log(w)), 5) for w in k.weights))], "iteration long, fit double, log_weight0 double, log_weight1 double")
