@@ -492,11 +492,38 @@ def parquet_there_and_back(spark, sf):
     return text.load_parquet(spark, path, t.dims).df
 
 
-@query("SELECT CAST(m AS BIGINT) AS m, CAST(n_nationkey AS BIGINT) AS old, CASE WHEN m = 0 THEN n - 1 - n_nationkey ELSE (n_nationkey + 1) % n END AS new FROM nation, (SELECT COUNT(*) AS n FROM nation) c, (SELECT 0 AS m UNION ALL SELECT 1) k")
+def _write_tokens(spark: SparkSession, cells: DataFrame, path: str, each: int) -> None:
+    """Tokens (n, token) as lines of ``each``, in order over the parts of a folder."""
+    lines = cells.groupBy(F.floor(F.col("n") / each).alias("line")).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
+    lines.orderBy("line").select(F.array_join(F.transform("all", lambda c: c["token"]), " ").alias("value")).write.text(path)
+
+
+@query(f"{T}SELECT * FROM t")
+def token_file(spark, sf):
+    """A file whose lines break inside rows and whose last row is not whole, read as one stream of numbers."""
+    t, path = t3b(spark, sf), _folder(spark)
+    width, skip = t.nmodes + 1, t.nmodes + 1
+    rows = row_numbers(t.df, [F.col(c) for c in t.modes], "row")
+    cells = rows.select("row", F.posexplode(F.array(*[(F.col(c) + 1).cast("string") for c in t.modes], F.col("val").cast("string"))).alias("k", "token"))
+    cells = cells.select((F.col("row") * width + F.col("k") + skip).alias("n"), "token")
+    head = spark.createDataFrame([(k, str(v)) for k, v in enumerate((t.nmodes, *t.dims))], "n long, token string")
+    tail = rows.agg((F.count("*") * width + skip).alias("n")).select("n", F.lit("1").alias("token"))
+    _write_tokens(spark, head.unionByName(cells).unionByName(tail), path, 7)
+    return text.read_tokens(spark, path).df
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS old, ROW_NUMBER() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS new FROM orders) "
+    "SELECT CAST(0 AS BIGINT) AS m, old, CAST(new AS BIGINT) AS new FROM o UNION ALL SELECT 1, old, (SELECT COUNT(*) FROM o) - 1 - new FROM o"
+)
 def permutation_file(spark, sf):
-    n, path = size(spark, sf, "nation"), _folder(spark)
-    lines = [" ".join(str(k + 1) for k in p) for p in (reversed(range(n)), [(k + 1) % n for k in range(n)])]
-    spark.createDataFrame([("\n".join(lines),)], "value string").write.text(path)
+    """Orders by their price, up and down, written as one list of numbers and read again."""
+    orders, path = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("old"), "o_totalprice"), _folder(spark)
+    n = orders.count()
+    up = row_numbers(orders, [F.col("o_totalprice"), F.col("old")], "new")
+    cells = up.select(F.col("old").alias("n"), (F.col("new") + 1).cast("string").alias("token"))
+    down = up.select((F.col("old") + n).alias("n"), (n - F.col("new")).cast("string").alias("token"))
+    _write_tokens(spark, cells.unionByName(down), path, 10)
     made = [x.withColumn("m", F.lit(m).cast("long")) for m, x in enumerate(text.read_maps(spark, path, [n, n]))]
     return made[0].unionByName(made[1])
 

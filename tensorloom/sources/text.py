@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tensorloom.functions.lineage import settle
 from tensorloom.types import SparseTensor, ValueRangeError, check_dims
 
 
@@ -81,6 +84,64 @@ def read_tensor(spark: SparkSession, path: str, start_index: int = 1, header: bo
     return made.coalesce() if coalesce else made
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as tokens (t), with the number in the whole file of the first of them; files of a folder follow by name.
+
+    Each range of a file that a task reads counts its own tokens; one count a
+    range meets on the driver.
+    """
+    place = ["file", "start"]
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.split(F.trim("value"), r"\s+").alias("t"))
+    lines = raw.filter("t[0] <> ''").withColumn("n", F.size("t").cast("long"))
+    counts = sorted((*r[:2], r[2]) for r in lines.groupBy(*place).agg(F.sum("n")).collect())
+    bases = [(f, start, base) for (f, start, _), base in zip(counts, accumulate((n for *_, n in counts), initial=0), strict=False)]
+    ranges = F.broadcast(spark.createDataFrame(bases, "file string, start long, base long"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy(*place).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.withColumn("own", own).join(ranges, place).select((F.col("base") + F.col("own")).alias("first"), "t")
+
+
+def read_tokens(spark: SparkSession, path: str, start_index: int = 1, header: bool = True, dims: Sequence[int] | None = None, coalesce: bool = True) -> SparseTensor:
+    """Load a text tensor as one stream of numbers, whatever its lines: rows may run over line ends, lines may hold several.
+
+    Reading stops at the first token that is no number, and a row that is not
+    whole then, or at the end, is left out; an index outside the shape is an
+    error. Lines of whole rows are cut where they are; only tokens of
+    other lines are gathered by row.
+    """
+    lines = numbered_lines(spark, path)
+    if header:
+        head = [t for r in lines.orderBy("first").head(1) for t in r["t"]]
+        n = int(head[0]) if head and head[0].isdigit() else 0
+        found = {r["first"] + k: t for r in lines.filter(F.col("first") <= n).collect() for k, t in enumerate(r["t"])}
+        sizes = [found.get(k, "") for k in range(1, n + 1)]
+        if not n or not all(t.isdigit() for t in sizes):
+            raise ValueRangeError(f"{path} has no header of modes and sizes")
+        dims = check_dims(map(int, sizes))
+    elif dims is None:
+        raise ValueRangeError("a file without header needs dims")
+    dims = check_dims(dims)
+    n, skip = len(dims), len(dims) + 1 if header else 0
+    width, at = n + 1, F.col("first") - skip
+    whole = (at >= 0) & (at % width == 0) & (F.size("t") % width == 0)
+    many = F.explode(F.sequence(F.lit(0), F.floor(F.size("t") / width).cast("int") - 1)).alias("q")
+    cut = lines.filter(whole).select("t", F.floor(at / width).alias("row"), many)
+    cut = cut.select((F.col("row") + F.col("q")).alias("row"), *[F.get("t", F.col("q") * width + c).alias(f"c{c}") for c in range(width)])
+    loose = lines.filter(~whole).select(at.alias("at"), F.posexplode("t").alias("pos", "token")).withColumn("at", F.col("at") + F.col("pos")).filter("at >= 0")
+    gathered = loose.groupBy(F.floor(F.col("at") / width).alias("row")).agg(*[F.max(F.when(F.col("at") % width == c, F.col("token"))).alias(f"c{c}") for c in range(width)])
+    rows = cut.unionByName(gathered)
+    values = [(F.col(f"c{m}").try_cast("long") - start_index).alias(f"i{m}") for m in range(n)] + [F.col(f"c{n}").try_cast("double").alias("val")]
+    parsed = rows.select("row", *values)
+    bad, outside = F.col("val").isNull(), F.lit(False)
+    for m, d in enumerate(dims):
+        bad = bad | F.col(f"i{m}").isNull()
+        outside = outside | (F.col(f"i{m}") < 0) | (F.col(f"i{m}") >= d)
+    stop, wrong = parsed.agg(F.min(F.when(bad, F.col("row"))), F.min(F.when(~bad & outside, F.col("row")))).first()
+    if wrong is not None and (stop is None or wrong < stop):
+        raise ValueRangeError(f"{path} has rows that are no entries of {dims}")
+    made = SparseTensor((parsed if stop is None else parsed.filter(F.col("row") < stop)).drop("row"), dims)
+    return made.coalesce() if coalesce else made
+
+
 def tensor_lines(x: SparseTensor, start_index: int = 1) -> DataFrame:
     """Row lines: indices by tabs, then the value with six decimals."""
     form = "%d\t" * x.nmodes + "%f"
@@ -104,16 +165,19 @@ def write_tensor(x: SparseTensor, path: str, start_index: int = 1) -> None:
 
 
 def read_maps(spark: SparkSession, path: str, dims: Sequence[int]) -> list[DataFrame]:
-    """A file of 1-based permutations, one a mode, concatenated: maps (old, new)."""
-    tokens = [int(t) for r in spark.read.text(path).toLocalIterator() for t in r["value"].split()]
-    if len(tokens) != sum(dims):
-        raise ValueRangeError(f"{len(tokens)} numbers for modes of {dims}")
+    """A file of 1-based permutations, one a mode, concatenated: maps (old, new). Lines may break anywhere."""
+    cells = numbered_lines(spark, path).select("first", F.posexplode("t").alias("pos", "token"))
+    cells = settle(cells.select((F.col("first") + F.col("pos")).alias("n"), (F.col("token").try_cast("long") - 1).alias("new")), "maps")
+    count = cells.count()
+    if count != sum(dims):
+        raise ValueRangeError(f"{count} numbers for modes of {dims}")
     out, at = [], 0
     for d in dims:
-        own = [t - 1 for t in tokens[at : at + d]]
-        if sorted(own) != list(range(d)):
+        own = cells.filter((F.col("n") >= at) & (F.col("n") < at + d)).select((F.col("n") - at).alias("old"), "new")
+        found = own.filter(F.col("new").between(0, d - 1)).agg(F.countDistinct("new")).first()[0]
+        if found != d:
             raise ValueRangeError(f"{path} has no permutation of {d}")
-        out.append(spark.createDataFrame(list(enumerate(own)), "old long, new long"))
+        out.append(own)
         at += d
     return out
 
