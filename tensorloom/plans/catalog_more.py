@@ -15,7 +15,7 @@ from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators import cpd, dense, layout, matrix, reorder, sorting, split, stats, vectors
 from tensorloom.plans.catalog import ORACLE_SQL, QUERIES, RANK, RS, Z, ZIN, _long, _maps, _rows, query
 from tensorloom.plans.inputs import M_SQL, PART_SQL, SUPPLIER_SQL, T3B_SQL, m2, ramps, size, t3b, totals
-from tensorloom.sources import text
+from tensorloom.sources import binary, text
 from tensorloom.types import DenseMatrix, KruskalTensor, SparseMatrix, SparseTensor
 
 T, M = f"WITH t AS ({T3B_SQL}) ", f"WITH m AS ({M_SQL}) "
@@ -492,6 +492,14 @@ def parquet_there_and_back(spark, sf):
     return text.load_parquet(spark, path, t.dims).df
 
 
+@query(f"{T}SELECT * FROM t")
+def binary_there_and_back(spark, sf):
+    """A folder of binary files, read again in ranges of entries."""
+    t, path = t3b(spark, sf), _folder(spark)
+    binary.write_binary_parts(t, path)
+    return binary.read_binary(spark, path, 5000).df
+
+
 def _write_tokens(spark: SparkSession, cells: DataFrame, path: str, each: int) -> None:
     """Tokens (n, token) as lines of ``each``, in order over the parts of a folder."""
     lines = cells.groupBy(F.floor(F.col("n") / each).alias("line")).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))

@@ -53,3 +53,22 @@ def test_maps_over_line_ends(spark, tmp_path):
     for content in ("1 1 2 1 2", "1 2 3 1"):
         with pytest.raises(ValueRangeError):
             text.read_maps(spark, file(tmp_path, content), [3, 2])
+
+
+def test_binary_file_in_ranges(spark, tmp_path):
+    from tensorloom.sources.binary import read_binary, write_binary, write_binary_parts
+
+    path = str(tmp_path / "x.bin")
+    for widths in ((8, 8), (4, 4), (4, 8)):
+        write_binary(path, (50, 7), [[k for k in range(50)], [k % 7 for k in range(50)]], [k / 2 for k in range(50)], *widths)
+        for step in (1, 7, 50, 1 << 20):
+            found = read_binary(spark, path, step)
+            assert found.dims == (50, 7) and found.collect() == [(k, k % 7, k / 2) for k in range(50)]
+    write_binary_parts(found, str(tmp_path / "parts"))
+    assert read_binary(spark, str(tmp_path / "parts"), 9).collect() == found.collect()
+    assert read_binary(spark, f"file://{tmp_path}/parts").collect() == found.collect()
+    write_binary(path, (3, 3), [[], []], [])
+    assert read_binary(spark, path).collect() == []
+    (tmp_path / "x.bin").write_bytes((tmp_path / "x.bin").read_bytes()[:-9])
+    with pytest.raises(ValueRangeError):
+        read_binary(spark, path)
