@@ -15,7 +15,7 @@ from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators import cpd, dense, layout, matrix, reorder, sorting, split, stats, vectors
 from tensorloom.plans.catalog import ORACLE_SQL, QUERIES, RANK, RS, Z, ZIN, _long, _maps, _rows, query
 from tensorloom.plans.inputs import M_SQL, PART_SQL, SUPPLIER_SQL, T3B_SQL, m2, ramps, size, t3b, totals
-from tensorloom.sources import binary, text
+from tensorloom.sources import binary, market, text
 from tensorloom.types import DenseMatrix, KruskalTensor, SparseMatrix, SparseTensor
 
 T, M = f"WITH t AS ({T3B_SQL}) ", f"WITH m AS ({M_SQL}) "
@@ -500,6 +500,33 @@ def binary_there_and_back(spark, sf):
     return binary.read_binary(spark, path, 5000).df
 
 
+@query(f"{M}SELECT * FROM m")
+def market_there_and_back(spark, sf):
+    a, path = m2(spark, sf), _folder(spark)
+    market.write_matrix(a, path)
+    return market.read_matrix(spark, path).df
+
+
+@query(f"{M}SELECT i, j, val FROM m WHERE i >= j UNION ALL SELECT j, i, val FROM m WHERE i > j")
+def market_symmetric(spark, sf):
+    """The cells on and below the diagonal as a symmetric file."""
+    a, path = m2(spark, sf), _folder(spark)
+    n = max(a.nrows, a.ncols)
+    market.write_matrix(SparseMatrix(a.df, n, n), path, "symmetric")
+    return market.read_matrix(spark, path).df
+
+
+@query(f"WITH a AS ({PART_SQL}) SELECT i, CAST(r AS BIGINT) AS j, CASE r WHEN 0 THEN x ELSE y END AS val FROM a, {RS} rs WHERE CASE r WHEN 0 THEN x ELSE y END <> 0")
+def market_array(spark, sf):
+    """A dense matrix as an array file, column after column, four values a line."""
+    a, path = totals(spark, sf, "part"), _folder(spark)
+    cells = _long(a).select((F.col("r") * a.nrows + F.col("i") + 8).alias("n"), F.col("val").cast("string").alias("token"))
+    head = ("%%MatrixMarket", "matrix", "array", "real", "general"), (str(a.nrows), str(a.ncols))
+    lines = spark.createDataFrame([(4 * k, line) for k, line in enumerate((" ".join(head[0]), " ".join(head[1])))], "n long, token string")
+    _write_tokens(spark, lines.unionByName(cells), path, 4)
+    return market.read_matrix(spark, path).df
+
+
 def _write_tokens(spark: SparkSession, cells: DataFrame, path: str, each: int) -> None:
     """Tokens (n, token) as lines of ``each``, in order over the parts of a folder."""
     lines = cells.groupBy(F.floor(F.col("n") / each).alias("line")).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))

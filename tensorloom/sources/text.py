@@ -84,14 +84,15 @@ def read_tensor(spark: SparkSession, path: str, start_index: int = 1, header: bo
     return made.coalesce() if coalesce else made
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as tokens (t), with the number in the whole file of the first of them; files of a folder follow by name.
+def numbered_lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
+    """Lines as tokens (t), with the number in the whole file of the first of them; files of a folder follow by name. Lines that begin with ``comment`` are left out.
 
     Each range of a file that a task reads counts its own tokens; one count a
     range meets on the driver.
     """
     place = ["file", "start"]
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.split(F.trim("value"), r"\s+").alias("t"))
+    source = spark.read.text(path) if comment is None else spark.read.text(path).filter(~F.col("value").startswith(comment))
+    raw = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.split(F.trim("value"), r"\s+").alias("t"))
     lines = raw.filter("t[0] <> ''").withColumn("n", F.size("t").cast("long"))
     counts = sorted((*r[:2], r[2]) for r in lines.groupBy(*place).agg(F.sum("n")).collect())
     bases = [(f, start, base) for (f, start, _), base in zip(counts, accumulate((n for *_, n in counts), initial=0), strict=False)]

@@ -72,3 +72,19 @@ def test_binary_file_in_ranges(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes((tmp_path / "x.bin").read_bytes()[:-9])
     with pytest.raises(ValueRangeError):
         read_binary(spark, path)
+
+
+@pytest.mark.parametrize("symmetry", ["general", "symmetric", "skew-symmetric"])
+def test_matrix_array_files(spark, tmp_path, symmetry):
+    import numpy as np
+
+    from tensorloom.sources.market import read_matrix
+
+    n = 23
+    a = np.arange(1.0, n * n + 1).reshape(n, n) % 7
+    a = {"general": a, "symmetric": a + a.T, "skew-symmetric": a - a.T}[symmetry]
+    low = {"general": 0, "symmetric": None, "skew-symmetric": 1}[symmetry]
+    values = [a[i, j] for j in range(n) for i in range(0 if symmetry == "general" else j + (low or 0), n)]
+    lines = [" ".join(map(str, values[k : k + 5])) for k in range(0, len(values), 5)]
+    path = file(tmp_path, f"%%MatrixMarket matrix array real {symmetry}\n% a comment 1 2\n{n} {n}\n" + "\n".join(lines))
+    assert read_matrix(spark, path).collect() == sorted((i, j, v) for (i, j), v in np.ndenumerate(a) if v)
