@@ -15,7 +15,7 @@ from tensorloom.functions.ranks import row_numbers
 from tensorloom.operators import cpd, dense, layout, matrix, reorder, sorting, split, stats, vectors
 from tensorloom.plans.catalog import ORACLE_SQL, QUERIES, RANK, RS, Z, ZIN, _long, _maps, _rows, query
 from tensorloom.plans.inputs import M_SQL, PART_SQL, SUPPLIER_SQL, T3B_SQL, m2, ramps, size, t3b, totals
-from tensorloom.sources import binary, market, text
+from tensorloom.sources import binary, dump, market, text
 from tensorloom.types import DenseMatrix, KruskalTensor, SparseMatrix, SparseTensor
 
 T, M = f"WITH t AS ({T3B_SQL}) ", f"WITH m AS ({M_SQL}) "
@@ -527,6 +527,29 @@ def market_array(spark, sf):
     return market.read_matrix(spark, path).df
 
 
+def _z_sql(columns: list[str], levels: int) -> str:
+    """Z-order key of the columns' low bits, the first column's bit highest."""
+    n = len(columns)
+    return " + ".join(f"((({c} >> {k}) & 1) << {k * n + n - 1 - m})" for k in range(levels) for m, c in enumerate(columns))
+
+
+@query(
+    f"{T[:-1]}, b AS (SELECT i0 // 64 AS k0, i1 // 64 AS k1, i2 // 64 AS k2, {_z_sql(['(i0 // 8)', '(i1 // 8)', '(i2 // 8)'], 3)} AS z, COUNT(*) AS nnz FROM t GROUP BY 1, 2, 3, 4), "
+    "n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY k0, k1, k2, z) - 1 AS block, COALESCE(SUM(nnz) OVER (PARTITION BY k0, k1, k2 ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 64 AS chunk, "
+    "SUM(nnz) OVER (ORDER BY k0, k1, k2, z) - nnz AS entry FROM b), "
+    "k AS (SELECT MIN(block) AS place FROM n GROUP BY k0, k1, k2), c AS (SELECT MIN(block) AS place FROM n GROUP BY k0, k1, k2, chunk), "
+    "p AS (SELECT 0 AS level, ROW_NUMBER() OVER (ORDER BY place) - 1 AS n, place FROM k UNION ALL SELECT 1, ROW_NUMBER() OVER (ORDER BY place) - 1, place FROM c UNION ALL SELECT 2, block, entry FROM n "
+    "UNION ALL SELECT 0, (SELECT COUNT(*) FROM k), (SELECT COUNT(*) FROM n) UNION ALL SELECT 1, (SELECT COUNT(*) FROM c), (SELECT COUNT(*) FROM n) UNION ALL SELECT 2, (SELECT COUNT(*) FROM n), (SELECT SUM(nnz) FROM n)) "
+    "SELECT CAST(level AS BIGINT) AS level, CAST(n AS BIGINT) AS n, CAST(place AS BIGINT) AS place FROM p"
+)
+def hicoo_pointers_file(spark, sf):
+    """Pointers of kernels, chunks and blocks, written with the blocks and read again."""
+    path = _folder(spark)
+    dump.write_hicoo(t3b(spark, sf).to_hicoo(3, 6, 6), path)
+    fields = F.split("value", " ")
+    return spark.read.text(f"{path}/pointers").select(*[fields[k].cast("long").alias(c) for k, c in enumerate(("level", "n", "place"))])
+
+
 def _write_tokens(spark: SparkSession, cells: DataFrame, path: str, each: int) -> None:
     """Tokens (n, token) as lines of ``each``, in order over the parts of a folder."""
     lines = cells.groupBy(F.floor(F.col("n") / each).alias("line")).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))

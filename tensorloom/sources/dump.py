@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions import bits as B
+from tensorloom.functions.lineage import settle
+from tensorloom.functions.ranks import row_numbers, running_totals
 from tensorloom.types import CSRMatrix, DenseMatrix, HiCOOMatrix, HiCOOTensor, KruskalTensor, SparseTensor, Vector
 
 
@@ -33,6 +37,43 @@ def hicoo_text(x: HiCOOTensor | HiCOOMatrix) -> str:
     return "\n".join([" ".join(map(str, shape)), f"{x.sb_bits} {x.sk_bits}", *lines]) + "\n"
 
 
+def hicoo_pointers(x: HiCOOTensor) -> DataFrame:
+    """level, n and place of a blocked tensor's pointers: first block of each kernel (0) and chunk (1), first entry of each block (2).
+
+    Kernels follow one another by their coordinates, blocks of a kernel in
+    Z-order. Each level ends with what comes after its last: numbers of blocks,
+    blocks and entries.
+    """
+    m = range(x.nmodes)
+    levels = max(1, x.sk_bits - x.sb_bits)
+    inside = B.morton_words([B.offset(F.col(f"b{k}"), levels) for k in m], levels)
+    kernel = [f"k{k}" for k in m]
+    blocks = x.df.select(*kernel, *[z.alias(f"z{k}") for k, z in enumerate(inside)], "chunk", F.size("entries").cast("long").alias("nnz"))
+    placed = settle(row_numbers(blocks, [F.col(c) for c in blocks.columns[: -2]], "block").select(*kernel, "chunk", "nnz", "block"), "blocks")
+    entries = running_totals(placed, [F.col("block")], "nnz", "upto").select(F.lit(2).alias("level"), F.col("block").alias("n"), (F.col("upto") - F.col("nnz")).alias("place"))
+
+    def firsts(keys: list[str], level: int) -> DataFrame:
+        own = placed.groupBy(*keys).agg(F.min("block").alias("place"))
+        return row_numbers(own, [F.col("place")], "n").select(F.lit(level).alias("level"), "n", "place")
+
+    rows = firsts(kernel, 0).unionByName(firsts([*kernel, "chunk"], 1)).unionByName(entries)
+    whole = placed.agg(F.count("*"), F.coalesce(F.sum("nnz"), F.lit(0))).first()
+    counts = {r.level: r.n for r in rows.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    ends = [(level, counts.get(level, 0), whole[1] if level == 2 else whole[0]) for level in range(3)]
+    return rows.unionByName(x.df.sparkSession.createDataFrame(ends, "level int, n long, place long"))
+
+
+def write_hicoo(x: HiCOOTensor, path: str) -> None:
+    """A folder: shape and bits, pointers as lines of level, number and place, and blocks as JSON lines in the pointers' order, each in parts."""
+    spark = x.df.sparkSession
+    spark.createDataFrame([(" ".join(map(str, x.dims)),), (f"{x.sb_bits} {x.sk_bits} {x.sc_bits}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+    hicoo_pointers(x).orderBy("level", "n").select(F.concat_ws(" ", "level", "n", "place").alias("value")).write.mode("overwrite").text(f"{path}/pointers")
+    m = range(x.nmodes)
+    levels = max(1, x.sk_bits - x.sb_bits)
+    order = [*[F.col(f"k{k}") for k in m], *B.morton_words([B.offset(F.col(f"b{k}"), levels) for k in m], levels)]
+    x.df.orderBy(*order).select(F.to_json(F.struct(*x.df.columns)).alias("value")).write.mode("overwrite").text(f"{path}/blocks")
+
+
 def kruskal_text(k: KruskalTensor) -> str:
     head = [str(len(k.factors)), str(k.rank), " ".join(map(str, k.dims)), f"{k.fit:.6f}", "\t".join(f"{w:.6f}" for w in k.weights)]
     return "\n".join(head) + "\n" + "".join(dense_text(f) for f in k.factors)
