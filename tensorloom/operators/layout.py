@@ -140,13 +140,13 @@ def shuffle_modes(x: SparseTensor, order: list[int]) -> SparseTensor:
 
 def fibers(x: SparseTensor, mode: int):
     """Distinct coordinates of the other modes with their number of entries and the entries before them."""
-    from tensorloom.functions.ranks import row_numbers
+    from tensorloom.functions.ranks import row_numbers, running_totals
 
     others = [c for c in x.modes if c != f"i{mode}"]
     counted = row_numbers(x.df.groupBy(*others).agg(F.count("*").alias("n")), [F.col(c) for c in others], "fiber")
     step = 4096  # running sums are taken by runs of fibers, then the runs' totals are added
     runs = counted.withColumn("run", F.floor(F.col("fiber") / step))
     totals = runs.groupBy("run").agg(F.sum("n").alias("total"))
-    before = totals.select("run", (F.sum("total").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
+    before = running_totals(totals, [F.col("run")], "total", "upto").select("run", (F.col("upto") - F.col("total")).alias("base"))
     own = F.sum("n").over(Window.partitionBy("run").orderBy("fiber").rowsBetween(Window.unboundedPreceding, -1))
     return runs.withColumn("own", F.coalesce(own, F.lit(0))).join(before, "run").select(*others, "n", (F.coalesce("base", F.lit(0)) + F.col("own")).alias("start"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tensorloom.functions import bits as B
+from tensorloom.functions.ranks import running_totals
 from tensorloom.operators.blocked import matrix_blocks_product, vector_blocks_product
 from tensorloom.operators.products import rank_sums
 from tensorloom.types import CSRMatrix, DenseMatrix, HiCOOMatrix, ShapeMismatchError, SparseMatrix, ValueRangeError, Vector, fits_broadcast
@@ -39,8 +40,8 @@ def to_csr(a: SparseMatrix) -> CSRMatrix:
     sized = full.withColumns({"n": F.size("cells").cast("long"), "run": F.floor(F.col("i") / 4096)})
     own = F.coalesce(F.sum("n").over(Window.partitionBy("run").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = rows.select(F.floor(F.col("i") / 4096).alias("run"), F.size("cells").alias("n")).groupBy("run").agg(F.sum("n").alias("total"))
-    runs = a.spark.range(a.nrows // 4096 + 1).select(F.col("id").alias("run")).join(totals, "run", "left")
-    base = runs.select("run", F.coalesce(F.sum("total").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    runs = a.spark.range(a.nrows // 4096 + 1).select(F.col("id").alias("run")).join(totals, "run", "left").fillna(0, ["total"])
+    base = running_totals(runs, [F.col("run")], "total", "upto").select("run", (F.col("upto") - F.col("total")).alias("base"))
     out = sized.withColumn("own", own).join(base, "run")
     return CSRMatrix(out.select("i", (F.col("base") + F.col("own")).alias("rowptr"), F.col("cells.j").alias("cols"), F.col("cells.val").alias("vals")), a.nrows, a.ncols)
 
