@@ -550,6 +550,43 @@ def hicoo_pointers_file(spark, sf):
     return spark.read.text(f"{path}/pointers").select(*[fields[k].cast("long").alias(c) for k, c in enumerate(("level", "n", "place"))])
 
 
+@query(f"{T}SELECT * FROM t")
+def text_start_index(spark, sf):
+    """Written and read with indices from zero."""
+    t, path = t3b(spark, sf), _folder(spark)
+    text.write_tensor(t, path, 0)
+    return text.load(spark, path, 0).df
+
+
+def _fields(spark: SparkSession, path: str, least: int) -> DataFrame:
+    """Lines of at least so many fields by tabs."""
+    return spark.read.text(path).select(F.split("value", "\t").alias("t")).filter(F.size("t") >= least)
+
+
+@query(f"{M}SELECT i, ROW_NUMBER() OVER (ORDER BY i, j) - 1 AS place, j, val FROM m")
+def csr_file(spark, sf):
+    """Compressed rows as a dump, read again cell by cell with the place of each."""
+    path = _folder(spark)
+    dump.write_csr(m2(spark, sf).to_csr(), path)
+    rows = _fields(spark, path, 4).filter("t[2] <> ''").select(F.col("t")[0].cast("long").alias("i"), F.col("t")[1].cast("long").alias("first"), F.split(F.col("t")[2], " ").alias("cols"), F.split(F.col("t")[3], " ").alias("vals"))
+    cells = rows.select("i", "first", "vals", F.posexplode("cols").alias("k", "j"))
+    return cells.select("i", (F.col("first") + F.col("k")).alias("place"), F.col("j").cast("long").alias("j"), F.get("vals", F.col("k")).cast("double").alias("val"))
+
+
+@query(f"WITH a AS ({PART_SQL}) SELECT i, CAST(r AS BIGINT) AS r, CASE r WHEN 0 THEN x ELSE y END AS val FROM a, {RS} rs")
+def dense_file(spark, sf):
+    path = _folder(spark)
+    dump.write_dense(totals(spark, sf, "part"), path)
+    return _fields(spark, path, 3).select(F.col("t")[0].cast("long").alias("i"), F.posexplode(F.slice("t", 2, RANK)).alias("r", "val")).select("i", F.col("r").cast("long").alias("r"), F.col("val").cast("double").alias("val"))
+
+
+@query(f"WITH v AS (SELECT i, x AS val FROM ({SUPPLIER_SQL}) s) SELECT i, val FROM v")
+def vector_file(spark, sf):
+    path = _folder(spark)
+    dump.write_vector(_quantities(spark, sf), path)
+    return _fields(spark, path, 2).select(F.col("t")[0].cast("long").alias("i"), F.col("t")[1].cast("double").alias("val"))
+
+
 def _write_tokens(spark: SparkSession, cells: DataFrame, path: str, each: int) -> None:
     """Tokens (n, token) as lines of ``each``, in order over the parts of a folder."""
     lines = cells.groupBy(F.floor(F.col("n") / each).alias("line")).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions import bits as B
@@ -37,6 +37,28 @@ def hicoo_text(x: HiCOOTensor | HiCOOMatrix) -> str:
     return "\n".join([" ".join(map(str, shape)), f"{x.sb_bits} {x.sk_bits}", *lines]) + "\n"
 
 
+def _write(df: DataFrame, path: str, head: str, order: list[str], line: Column) -> None:
+    """A folder of text parts in order, ``head`` in the first."""
+    first = df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1)
+    first.unionByName(df.orderBy(*order).select(line.alias("value"))).write.mode("overwrite").text(path)
+
+
+def write_csr(a: CSRMatrix, path: str) -> None:
+    """Sizes, then a line for each row: its number, the entries before it, columns and values, by tabs; columns and values by blanks."""
+    lists = [F.array_join(F.transform(c, lambda v: v.cast("string")), " ") for c in ("cols", "vals")]
+    _write(a.df, path, f"{a.nrows} {a.ncols}", ["i"], F.concat_ws("\t", F.col("i").cast("string"), F.col("rowptr").cast("string"), *lists))
+
+
+def write_dense(a: DenseMatrix, path: str) -> None:
+    """Sizes, then a line for each row: its number and its values by tabs."""
+    _write(a.df, path, f"{a.nrows} {a.ncols}", ["i"], F.concat_ws("\t", F.col("i").cast("string"), F.transform("row", lambda v: v.cast("string"))))
+
+
+def write_vector(v: Vector, path: str) -> None:
+    """Length, then a line for each value: its number and itself."""
+    _write(v.df, path, str(v.size), ["i"], F.concat_ws("\t", F.col("i").cast("string"), F.col("val").cast("string")))
+
+
 def hicoo_pointers(x: HiCOOTensor) -> DataFrame:
     """level, n and place of a blocked tensor's pointers: first block of each kernel (0) and chunk (1), first entry of each block (2).
 
