@@ -22,6 +22,7 @@ import html
 import re
 import sys
 import unicodedata
+from bisect import bisect
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,68 +74,103 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
+class Stack:
+    """Open elements, with the places of each tag, so that no look-up walks them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def open(self, tag: str) -> None:
+        node = Node(tag)
+        self.top.children.append(node)
+        self.push(node)
+
+    def cut(self, place: int) -> None:
+        """Close the elements from a place on."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """Place of the highest open element of the tags, 0 if there is none."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def close(self, tags, fence) -> None:
+        """End the elements above ``fence`` from the lowest of ``tags`` on."""
+        low, found = self.last(fence), []
+        for t in tags:
+            own = self.places.get(t)
+            if own and own[-1] > low:
+                found.append(own[bisect(own, low)])
+        if found:
+            self.cut(min(found))
+
+    def end(self, tag: str, fence) -> None:
+        """End the highest element of a tag, unless a fence is above it."""
+        at = self.last((tag,))
+        if at and at >= self.last(fence):
+            self.cut(at)
+
+    def foreign(self) -> bool:
+        """Whether the open element is one of svg or math, where a tag can end itself."""
+        at = self.last(("svg", "math", "foreignobject"))
+        return at > 0 and self.nodes[at].tag != "foreignobject"
+
+
 def parse(source: str) -> Node:
     """The page's tree under a root node."""
     root = Node("")
-    stack = [root]
-
-    def close(tags: frozenset, fence: frozenset) -> None:
-        """End the highest open element of ``tags`` this side of ``fence``."""
-        found = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in fence:
-                break
-            if stack[k].tag in tags:
-                found = k
-        if found:
-            del stack[found:]
-
+    stack = Stack(root)
     at, size = 0, len(source)
     while at < size:
         m = TOKEN.match(source, at)
         if m is None:  # a lone "<"
-            stack[-1].children.append(source[at])
+            stack.top.children.append(source[at])
             at += 1
             continue
         at = m.end()
         end, tag, attrs, text = m.groups()
         if text is not None:
-            if stack[-1].tag == "head" and text.strip():
-                stack.pop()
-            stack[-1].children.append(html.unescape(text))
+            if stack.top.tag == "head" and text.strip():
+                stack.cut(len(stack.nodes) - 1)
+            stack.top.children.append(html.unescape(text))
         elif end is not None:
             end = end.lower()
-            if end == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+            if end == "p" and not stack.has("p"):
+                stack.top.children.append(Node("p"))
             elif end == "br":
-                stack[-1].children.append(Node("br"))
+                stack.top.children.append(Node("br"))
             elif end not in ("html", "body"):
-                fence = frozenset(["table"]) if end not in ("table", "div", "section", "article", "main", "nav", "footer", "header") else frozenset()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == end:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in fence:
-                        break
+                stack.end(end, () if end in ("table", "div", "section", "article", "main", "nav", "footer", "header") else ("table",))
         elif tag is not None:
             tag = tag.lower()
-            if stack[-1].tag == "head" and tag not in IN_HEAD:
-                stack.pop()
-            if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            if stack.top.tag == "head" and tag not in IN_HEAD:
+                stack.cut(len(stack.nodes) - 1)
+            if tag in ("html", "body") and stack.has(tag):
                 continue
             if tag in ENDS_P:
-                close(frozenset(["p"]), frozenset(["button", "td", "th", "table", "caption", "object"]))
+                stack.close(("p",), ("button", "td", "th", "table", "caption", "object"))
             if tag in IMPLIED:
-                close(*IMPLIED[tag])
-            if tag == "tr" and stack[-1].tag == "table":
-                _open(stack, "tbody")
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                if stack[-1].tag == "table":
-                    _open(stack, "tbody")
-                _open(stack, "tr")
+                stack.close(*IMPLIED[tag])
+            if tag == "tr" and stack.top.tag == "table":
+                stack.open("tbody")
+            if tag in ("td", "th") and stack.top.tag in ("table", "tbody", "thead", "tfoot"):
+                if stack.top.tag == "table":
+                    stack.open("tbody")
+                stack.open("tr")
             node = Node(tag, _attributes(attrs) if attrs.strip() else None)
-            stack[-1].children.append(node)
-            if tag in VOID or attrs.endswith("/") and (tag in ("svg", "math", "path") or _foreign(stack)):
+            stack.top.children.append(node)
+            if tag in VOID or attrs.endswith("/") and (tag in ("svg", "math", "path") or stack.foreign()):
                 continue
             if tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(source, at)
@@ -145,21 +181,10 @@ def parse(source: str) -> Node:
                 node.children.append(source[at:])
                 at = size
             else:
-                stack.append(node)
+                stack.push(node)
     return root
 
 
-def _foreign(stack: list[Node]) -> bool:
-    """Whether the open element is one of svg or math, where a tag can end itself."""
-    return next((n.tag != "foreignobject" for n in reversed(stack) if n.tag in ("svg", "math", "foreignobject")), False)
-
-
-def _open(stack: list[Node], tag: str) -> None:
-    node = Node(tag)
-    stack[-1].children.append(node)
-    stack.append(node)
-
-
 def styles(source: str) -> dict[str, str]:
     """Properties of a style attribute in lower case; of several the important one counts, else the last."""
     out, fixed = {}, set()
@@ -233,11 +258,19 @@ def _labels(node: Node) -> list[Node]:
     return out
 
 
+#: A line: its pieces from the last to the first, so that a margin or mark is put before it in one step; none if it is empty.
+Line = list[str]
+
+
+def _joined(line: Line) -> str:
+    return "".join(reversed(line))
+
+
 class Lines:
     """Lines of one block context: inline text flows into the last line."""
 
     def __init__(self):
-        self.done: list[str] = []
+        self.done: list[Line] = []
         self.now: list[str] = []
         self.gap = False  # an empty line is due before the next
 
@@ -252,15 +285,18 @@ class Lines:
         line = "".join(self.now).rstrip(" ")
         self.now = []
         if line or force:
-            self.put([line])
+            self.put([[line] if line else []])
 
-    def put(self, lines: list[str]) -> None:
+    def put(self, lines: list[Line]) -> None:
         if self.gap and self.done:
-            self.done.append("")
+            self.done.append([])
         self.gap = False
-        self.done += lines
+        if self.done:
+            self.done += lines
+        else:
+            self.done = lines  # a nested block's lines are not copied level by level
 
-    def block(self, lines: list[str], spaced: bool) -> None:
+    def block(self, lines: list[Line], spaced: bool) -> None:
         self.end_line()
         if not lines:
             return
@@ -268,7 +304,7 @@ class Lines:
         self.put(lines)
         self.gap = spaced
 
-    def finish(self) -> list[str]:
+    def finish(self) -> list[Line]:
         self.end_line()
         return self.done
 
@@ -302,7 +338,7 @@ def _flow(node: Node, out: Lines, pre: bool) -> None:
                     _flow(part, out, pre)
                 out.text(" ")
         elif child.tag == "hr":
-            out.block(["---"], True)
+            out.block([["---"]], True)
         elif child.tag == "table":
             out.block(_table(child), True)
         elif child.tag in LISTS:
@@ -313,17 +349,22 @@ def _flow(node: Node, out: Lines, pre: bool) -> None:
             _flow(child, out, pre)
 
 
-def _block(node: Node) -> list[str]:
+def _indented(lines: list[Line], margin: str) -> list[Line]:
+    for x in lines:
+        if x:
+            x.append(margin)
+    return lines
+
+
+def _block(node: Node) -> list[Line]:
     out = Lines()
     _flow(node, out, node.tag in ("pre", "xmp"))
     lines = out.finish()
     if node.tag in ("blockquote", "dd"):
-        lines = [f"  {x}" if x else x for x in lines]
+        lines = _indented(lines, "  ")
     if node.tag in ("pre", "xmp"):
-        while lines and not lines[0].strip():
-            lines.pop(0)
-        while lines and not lines[-1].strip():
-            lines.pop()
+        full = [k for k, x in enumerate(lines) if _joined(x).strip()]
+        lines = lines[full[0] : full[-1] + 1] if full else []
     return lines
 
 
@@ -331,7 +372,7 @@ def _number(text: str | None, default: int) -> int:
     return int(text) if text and re.fullmatch(r"[+-]?[0-9]{1,9}", text.strip()) else default
 
 
-def _list(node: Node) -> list[str]:
+def _list(node: Node) -> list[Line]:
     out = Lines()
     count = _number(node.attrs.get("start"), 1)
     for child in node.children:
@@ -345,34 +386,44 @@ def _list(node: Node) -> list[str]:
                     count += 1
                 else:
                     mark = "- "
-                body = _block(child) or [""]
-                pad = " " * len(mark)
-                out.block([(mark + body[0]).rstrip(" "), *[pad + x if x else x for x in body[1:]]], False)
+                body = _block(child) or [[]]
+                first = body[0]
+                body[0] = []
+                _indented(body, " " * len(mark))
+                first.append(mark if first else mark.rstrip(" "))
+                body[0] = first
+                out.block(body, False)
             else:
                 shell = Node(node.tag)
                 shell.children = [child]
                 inner = Lines()
                 _flow(shell, inner, False)
-                out.block([f"  {x}" if x else x for x in inner.finish()], False)
+                out.block(_indented(inner.finish(), "  "), False)
     return out.finish()
 
 
-def _table(node: Node) -> list[str]:
-    before, rows, grid = Lines(), [], []
-    todo = list(reversed(node.children))
+def _table(node: Node) -> list[Line]:
+    before, grid = Lines(), []
+    # The first thead is shown first and the first tfoot last, wherever they are written.
+    groups: dict[str, list[Node]] = {"thead": [], "": [], "tfoot": []}
+    taken: set[str] = set()
+    todo = [(x, "") for x in reversed(node.children)]
     while todo:
-        child = todo.pop()
+        child, group = todo.pop()
         if isinstance(child, str):
             if child.strip():
                 before.text(child)
         elif not visible(child):
             continue
         elif child.tag in ("thead", "tbody", "tfoot"):
-            todo += reversed(child.children)
+            own = child.tag if child.tag in groups and child.tag not in taken else ""
+            taken.add(child.tag)
+            todo += [(x, own) for x in reversed(child.children)]
         elif child.tag == "tr":
-            rows.append(child)
+            groups[group].append(child)
         else:
             before.block(_block(child), False)
+    rows = [*groups["thead"], *groups[""], *groups["tfoot"]]
     spans: list[tuple[int, int, int]] = []  # columns from and to, and the last row, of cells that reach down
     width: dict[int, int] = {}
     for r, row in enumerate(rows):
@@ -396,7 +447,7 @@ def _table(node: Node) -> list[str]:
             wide = min(max(1, _number(cell.attrs.get("colspan"), 1)), MOST_COLUMNS)
             deep = _number(cell.attrs.get("rowspan"), 1)
             deep = len(rows) if deep == 0 else min(max(1, deep), MOST_ROWS)
-            lines = [x for x in _block(cell) if x]
+            lines = [_joined(x) for x in _block(cell) if x]
             if lines:
                 cells[col] = lines
                 width[col] = max([width.get(col, 0), *map(_columns, lines)])
@@ -411,7 +462,8 @@ def _table(node: Node) -> list[str]:
     for cells in grid:
         for k in range(max(map(len, cells.values()))):
             line = [cells[c][k] if c in cells and k < len(cells[c]) else "" for c in used]
-            out.append(" | ".join(x + " " * (width[c] - _columns(x)) for c, x in zip(used, line, strict=True)).rstrip(" ") if len(used) > 1 else line[0].rstrip(" "))
+            shown = " | ".join(x + " " * (width[c] - _columns(x)) for c, x in zip(used, line, strict=True)).rstrip(" ") if len(used) > 1 else line[0].rstrip(" ")
+            out.append([shown] if shown else [])
     return out
 
 
@@ -436,7 +488,7 @@ def to_text(source: str | None) -> str:
     if sys.getrecursionlimit() < 4 * depth + 1000:
         sys.setrecursionlimit(4 * depth + 1000)
     lines = _block(tree)
-    return "\n".join(x.rstrip(" ") for x in lines).strip("\n")
+    return "\n".join(_joined(x).rstrip(" ") for x in lines).strip("\n")
 
 
 def _rendered(batches):

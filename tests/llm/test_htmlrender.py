@@ -118,3 +118,47 @@ def test_tables_against_a_plain_grid():
     wide = htmlrender.to_text("<table><tr><td>日本<td>a<tr><td>abc<td>b</table>").split("\n")
     assert wide == ["日本 | a", "abc  | b"]
     assert htmlrender.to_text("<table><tr>" + "<td colspan=1000 rowspan=9999>x" * 3000 + "<tr><td>y</table>").count("x") == 3000
+
+
+@pytest.mark.parametrize("tags", ["<div>", "<ul><li>", "<blockquote>", "<p><b>", "<table><tr><td>"])
+def test_deep_nesting_takes_time_in_proportion(tags):
+    import time
+
+    depth = 2_000 if "table" in tags else 100_000
+    start = time.time()
+    assert htmlrender.to_text(tags * depth + "x").lstrip(" -") == "x"
+    assert time.time() - start < 60
+
+
+def test_foot_of_a_table_is_last_and_head_first():
+    page = "<table><tfoot><tr><td>foot</td></tr></tfoot><tbody><tr><td>body</td></tr></tbody><thead><tr><td>head</td></tr></thead><tfoot><tr><td>more</table>"
+    assert htmlrender.to_text(page) == "head\nbody\nmore\nfoot"
+
+
+def _end_by_walk(stack, tags, fence):
+    """What an opening tag closes, by a walk over all open elements."""
+    found = 0
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k] in fence:
+            break
+        if stack[k] in tags:
+            found = k
+    return stack[:found] if found else stack
+
+
+def test_open_elements_against_a_walk():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        stack, plain = htmlrender.Stack(htmlrender.Node("")), [""]
+        for _ in range(60):
+            tag = rng.choice("li ul p td table b".split())
+            if rng.random() < 0.6:
+                stack.push(htmlrender.Node(tag))
+                plain.append(tag)
+            else:
+                tags, fence = frozenset(rng.sample("li p td b".split(), 2)), frozenset(rng.sample(["ul", "table"], 1))
+                stack.close(tags, fence)
+                plain = _end_by_walk(plain, tags, fence)
+            assert [n.tag for n in stack.nodes] == plain
