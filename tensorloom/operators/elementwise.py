@@ -70,6 +70,11 @@ def div_scalar(x: SparseTensor, a: float) -> SparseTensor:
     return x.with_df(x.df.withColumn("val", F.col("val") / F.lit(float(a))), x.sort_order)
 
 
+def left_div_scalar(x: SparseTensor, a: float) -> SparseTensor:
+    r"""a \ x: the tensor that a times gives x, for a number other than zero."""
+    return div_scalar(x, a)
+
+
 def collect_zeros(x: SparseTensor) -> SparseTensor:
     """Without explicit zeros; NaN stays."""
     return x.with_df(nonzero(x.df), x.sort_order)

@@ -55,19 +55,19 @@ def _semi(y) -> DataFrame:
 B = f"WITH x AS ({T3B_SQL}), y AS ({SHIFTED_SQL}) "
 
 
-def _two(spark, sf) -> tuple[SparseTensor, SparseTensor]:
-    return t3b(spark, sf), shifted(spark, sf)
+def _two(spark, sf, coalesce: bool = True) -> tuple[SparseTensor, SparseTensor]:
+    return t3b(spark, sf, coalesce), shifted(spark, sf, coalesce)
 
 
 @query(B + "SELECT i0, i1, i2, SUM(val) AS val FROM (SELECT * FROM x UNION ALL SELECT * FROM y) u GROUP BY 1, 2, 3 HAVING SUM(val) <> 0")
 def tensor_add(spark, sf):
-    x, y = _two(spark, sf)
+    x, y = _two(spark, sf, coalesce=False)
     return x.add(y).df
 
 
 @query(B + "SELECT i0, i1, i2, SUM(val) AS val FROM (SELECT * FROM x UNION ALL SELECT i0, i1, i2, -val FROM y) u GROUP BY 1, 2, 3 HAVING SUM(val) <> 0")
 def tensor_sub(spark, sf):
-    x, y = _two(spark, sf)
+    x, y = _two(spark, sf, coalesce=False)
     return x.sub(y).df
 
 

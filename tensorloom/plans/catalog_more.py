@@ -255,6 +255,11 @@ def block_arithmetic(spark, sf):
     return t.df.select("i0", "i1", bits.block(F.col("i0"), 3).alias("block"), bits.offset(F.col("i0"), 3).cast("long").alias("inside"), bits.block(F.col("i1"), 6).alias("kernel"))
 
 
+@query(f"{T}SELECT i0, i1, i2, val / 4 AS val FROM t")
+def tensor_left_division(spark, sf):
+    return t3b(spark, sf).left_div_scalar(4.0).df
+
+
 SPLIT = 5000
 
 

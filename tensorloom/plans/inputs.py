@@ -54,10 +54,10 @@ def t3b(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseTensor
     return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", "l_linenumber - 1"], "l_quantity", (*dims, LINES), coalesce)
 
 
-def shifted(spark: SparkSession, sf_dir: str) -> SparseTensor:
+def shifted(spark: SparkSession, sf_dir: str, coalesce: bool = True) -> SparseTensor:
     """part x supplier x next line, doubled: it meets t3b in a part of its entries."""
     dims = [size(spark, sf_dir, n) for n in ("part", "supplier")]
-    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", f"l_linenumber % {LINES}"], "l_quantity", (*dims, LINES)).mul_scalar(2)
+    return SparseTensor.from_table(lineitem(spark, sf_dir), ["l_partkey", "l_suppkey", f"l_linenumber % {LINES}"], "l_quantity", (*dims, LINES), coalesce).mul_scalar(2)
 
 
 def c2(spark: SparkSession, sf_dir: str) -> SparseTensor:

@@ -53,8 +53,11 @@ def read_tensor(spark: SparkSession, path: str, start_index: int = 1, header: bo
     Without a header, ``dims`` are given. Only lines of one more token than
     modes are rows, which leaves out both header lines. ``mode``: "strict"
     fails on a row that does not parse or lies outside the shape, "drop"
-    leaves such rows out. Rows are split and cast in the scan.
+    leaves such rows out, "tokens" reads the numbers as one stream
+    (read_tokens). Rows are split and cast in the scan.
     """
+    if mode == "tokens":
+        return read_tokens(spark, path, start_index, header, dims, coalesce)
     if mode not in ("strict", "drop"):
         raise ValueRangeError(f"mode {mode}")
     if header:
