@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tensorloom.functions.lineage import Tables
+
 from .common import column, cut, hot_join, parts_for
 
 WIDTH = 3
@@ -186,13 +188,14 @@ def components(edges: DataFrame) -> DataFrame:
     """u and root, the least node it reaches, for each node that has a smaller one in reach.
 
     Alternating large-star and small-star rounds; each round's edges go to the
-    shared folder. A node's edges are pre-aggregated to their minimum before they move.
+    shared folder in place of those before. A node's edges are pre-aggregated to their minimum before they move.
     """
 
     def state(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
-    edges = cut(edges.filter("v < u").distinct(), "edges")
+    rounds = Tables(edges.sparkSession, "edges")
+    edges = rounds.write(edges.filter("v < u").distinct())
     seen = None
     while True:
         now = state(edges)
@@ -204,7 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("v < u").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("v < u").distinct()
-        edges = cut(small, "edges")
+        edges = rounds.write(small)
+        rounds.drop(1)
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -30,6 +30,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.lineage import Tables
+
 from .common import cut, salted_join
 
 DAMPING, THRESHOLD, TOLERANCE = 0.85, 0.5, 1e-6
@@ -91,7 +93,8 @@ def personalised_rank(seeds: DataFrame, edges: DataFrame, names: tuple[str, ...]
     ends = share.select("way", F.col("src").alias("host"), F.lit(True).alias("leads")).unionByName(share.select("way", F.col("dst").alias("host"), F.lit(False).alias("leads")))
     hosts = seeds.select("way", "host", *names, F.lit(False).alias("leads")).unionByName(ends.select("way", "host", *[F.lit(0.0).alias(n) for n in names], "leads"))
     hosts = hosts.groupBy("way", "host").agg(*[F.sum(n).alias(n) for n in names], F.max("leads").alias("leads"))
-    rank = cut(hosts.select("way", "host", "leads", *[F.struct(F.col(n).alias("seed"), F.col(n).alias("score")).alias(n) for n in names]), "rank")
+    ranks = Tables(edges.sparkSession, "rank")
+    rank = ranks.write(hosts.select("way", "host", "leads", *[F.struct(F.col(n).alias("seed"), F.col(n).alias("score")).alias(n) for n in names]))
     final = lambda: rank.select("way", "host", *[F.col(n)["score"].alias(n) for n in names])
     if share.isEmpty():
         return final()
@@ -108,8 +111,9 @@ def personalised_rank(seeds: DataFrame, edges: DataFrame, names: tuple[str, ...]
         k += 1
         sent = share.withColumnRenamed("src", "host").join(rank, ["way", "host"])
         sent = sent.groupBy("way", F.col("dst").alias("host")).agg(*[F.sum(F.col("p") * F.col(n)["score"]).alias(f"got_{n}") for n in names])
-        # A table a round: the plan of the next one does not hold this one's.
-        now = cut(rank.join(sent, ["way", "host"], "left").select("way", "host", "leads", *[c for c, _ in columns], step), "rank")
+        # A table a round: the plan of the next one does not hold this one's, and takes its place on disk.
+        now = ranks.write(rank.join(sent, ["way", "host"], "left").select("way", "host", "leads", *[c for c, _ in columns], step))
+        ranks.drop(1)
         rank = now.drop("moved")
         if k % EVERY == 0 and (now.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             return final()

@@ -29,3 +29,17 @@ def test_stages_take_effect(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     whole = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, last)) == sorted(map(tuple, whole)) and {r.doc_id for r in last} == ids
+
+
+def test_nulls_ties_and_other_columns(spark, tmp_path):
+    text = " ".join(f"the word number{i} of this text" for i in range(30))
+    rows = [(k, f"{text} {k} " + "and so on " * (k % 3), "en", "s") for k in range(40)]
+    rows += [(50, None, "en", "s"), (51, "", None, "s"), (None, text, "en", None), (3, rows[3][1], "en", "s"), (52, "12 34", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS score", "'x' AS fp", "2 AS item_id", "3 AS ids", "4 AS key")
+    spark.createDataFrame([(1, None), (2, ""), (3, " ".join(f"item{i}" for i in range(40)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= some.count(), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, str(tmp_path)).count() == len(rows) and last(spark, docs.limit(0), str(tmp_path)).count() == 0
