@@ -14,6 +14,8 @@ from tensorloom.types import CSRMatrix, DenseMatrix, HiCOOMatrix, ShapeMismatchE
 
 #: A dense operand of declared size up to this is one array in one row.
 WHOLE_BYTES = 8 << 20
+#: Fewer runs of rows than this, by the declared shape, are summed in one task.
+FEW_RUNS = 100_000
 AnyMatrix = SparseMatrix | CSRMatrix | HiCOOMatrix
 
 
@@ -41,7 +43,11 @@ def to_csr(a: SparseMatrix) -> CSRMatrix:
     own = F.coalesce(F.sum("n").over(Window.partitionBy("run").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = rows.select(F.floor(F.col("i") / 4096).alias("run"), F.size("cells").alias("n")).groupBy("run").agg(F.sum("n").alias("total"))
     runs = a.spark.range(a.nrows // 4096 + 1).select(F.col("id").alias("run")).join(totals, "run", "left").fillna(0, ["total"])
-    base = running_totals(runs, [F.col("run")], "total", "upto").select("run", (F.col("upto") - F.col("total")).alias("base"))
+    if a.nrows // 4096 < FEW_RUNS:
+        runs = runs.withColumn("upto", F.sum("total").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        runs = running_totals(runs, [F.col("run")], "total", "upto")
+    base = runs.select("run", (F.col("upto") - F.col("total")).alias("base"))
     out = sized.withColumn("own", own).join(base, "run")
     return CSRMatrix(out.select("i", (F.col("base") + F.col("own")).alias("rowptr"), F.col("cells.j").alias("cols"), F.col("cells.val").alias("vals")), a.nrows, a.ncols)
 
