@@ -13,12 +13,14 @@ input, over all pairs.
 2. A document is paired with the owners of its runs. Of the two only the lines
    of shared runs move, so a document that borrows from many costs no more
    than its own lines.
-3. Patience diff aligns these lines: those that both have once are matched
-   along a longest increasing run, and matches spread to equal neighbours.
-   Runs that match as a whole are deleted from the later document. What
-   the diff must leave, as it crosses a match or stands there once more, is
-   aligned again, until each shared run is taken. As a run is thus taken
-   whoever holds it, owners stand for all earlier documents.
+3. Patience diff aligns the later document's lines with the owner's: those
+   that both have once are matched along a longest increasing run, and matches
+   spread to equal neighbours. Runs that match line by line as a whole are
+   deleted from the later document; runs that only met by their hash match
+   nothing. What the diff must leave, as it crosses a match or stands there
+   once more, is parted into chains that run in order in both documents; each
+   is aligned again, then each run that is still left by itself. As equal runs
+   are thus taken whoever holds them, owners stand for all earlier documents.
 
 Cases: null text counts as empty. Blank lines neither pair nor anchor; between
 lines of a block they go with it. Documents of equal id are not later than
@@ -33,10 +35,10 @@ from bisect import bisect_left
 from itertools import groupby, pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import column, cut, hot_join, slices
 
@@ -96,7 +98,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def runs(lines: list[int], words: list[int], least: int = WORDS) -> dict[int, list[tuple[int, int]]]:
+def run_hash(lines: bytes) -> bytes:
+    """What documents meet by."""
+    return xxh3_128_digest(lines)
+
+
+def runs(lines: list[int], words: list[int], least: int = WORDS) -> dict[bytes, list[tuple[int, int]]]:
     """First and last positions of the shortest runs of so many words, by hash.
 
     They are those that no line more at an end is needed for, from each line
@@ -123,9 +130,9 @@ def runs(lines: list[int], words: list[int], least: int = WORDS) -> dict[int, li
             found.add((at[a], at[z]))
     found.update((i, j) for i, j in pairwise(at) if j > i + 1 and words[i] + words[j] >= least)
     data = array("q", lines).tobytes()
-    out: dict[int, list[tuple[int, int]]] = {}
+    out: dict[bytes, list[tuple[int, int]]] = {}
     for i, j in sorted(found):
-        out.setdefault(xxh64_intdigest(data[8 * i : 8 * j + 8]) - (1 << 63), []).append((i, j))
+        out.setdefault(run_hash(data[8 * i : 8 * j + 8]), []).append((i, j))
     return out
 
 
@@ -141,39 +148,65 @@ def _sequence(lines: dict[int, int], free: int) -> tuple[list[int], list[int]]:
     return places, held
 
 
-def _pass(left: list[tuple[int, int, list[int]]]) -> set[tuple[int, int]]:
+#: Where a run begins in the later and in the earlier document, and the lines of either there.
+Shared = tuple[int, int, list[int], list[int]]
+
+
+def _pass(left: list[Shared]) -> set[tuple[int, int]]:
     """Places (later, earlier) that a patience diff over the lines of some run occurrences matches."""
     mine, other = {}, {}
-    for i, at, held in left:
+    for i, at, held, theirs in left:
         mine.update(zip(range(i, i + len(held)), held, strict=True))
-        other.update(zip(range(at, at + len(held)), held, strict=True))
+        other.update(zip(range(at, at + len(theirs)), theirs, strict=True))
     # Line hashes are signed 64-bit numbers; fillers lie beyond them, apart for either side.
     (a, x), (b, y) = _sequence(mine, 1 << 64), _sequence(other, 1 << 65)
     return {(a[i], b[j]) for i, j in patience(x, y)}
 
 
-def aligned(shared: list[tuple[list[int], int, list[int]]]) -> set[int]:
+def _chains(left: list[Shared]) -> list[list[Shared]]:
+    """Run occurrences parted so that each part goes down both documents: every next one lies behind the last in both, or on its diagonal."""
+    ends: list[tuple[int, int]] = []  # of each open chain: where it ends in the earlier document, and its number
+    out: list[list[Shared]] = []
+    for one in sorted(left, key=lambda x: (x[0], x[1])):
+        i, at, held, theirs = one
+        p = bisect_left(ends, (at + len(theirs), -1)) - 1
+        while p >= 0:
+            j, there, mine, other = out[ends[p][1]][-1]
+            if i - j == at - there or (i >= j + len(mine) and at >= there + len(other)):
+                break
+            p = p - 1 if ends[p][0] > at else -1
+        if p >= 0:
+            k = ends.pop(p)[1]
+            out[k].append(one)
+        else:
+            k = len(out)
+            out.append([one])
+        end = (at + len(theirs), k)
+        ends.insert(bisect_left(ends, end), end)
+    return out
+
+
+def aligned(shared: list[tuple[list[int], int, list[int], list[int]]]) -> set[int]:
     """Lines of the later document in blocks aligned with the earlier one.
 
-    ``shared``: of each run that both hold, where it begins in the later
-    document, where it first begins in the earlier one, and its lines.
+    ``shared``: of each run by which both met, where it begins in the later
+    document, where it first begins in the earlier one, and the lines of each.
     """
     gone: set[int] = set()
-    left = [(i, at, held) for begins, at, held in shared for i in begins]
-    while left:
-        matched = _pass(left)
+    left: list[Shared] = [(i, at, held, theirs) for begins, at, held, theirs in shared for i in begins]
+    for parted in (lambda x: [x], _chains, lambda x: [[one] for one in x]):
         stay = []
-        for i, at, held in left:
-            if all((i + k, at + k) in matched for k in range(len(held))):
-                gone.update(range(i, i + len(held)))
-            else:
-                stay.append((i, at, held))
-        if len(stay) > len(left) // 2:
-            # Mostly moved or repeated blocks: each is aligned by itself, as further diffs would take few at a time.
-            for one in stay:
-                gone.update(i for i, _ in _pass([one]))
-            return gone
+        for part in parted(left):
+            matched = _pass(part)
+            for one in part:
+                i, at, held, theirs = one
+                if len(held) == len(theirs) and all((i + k, at + k) in matched for k in range(len(held))):
+                    gone.update(range(i, i + len(held)))
+                else:
+                    stay.append(one)
         left = [x for x in stay if not gone.issuperset(range(x[0], x[0] + len(x[2])))]
+        if not left:
+            break
     return gone
 
 
@@ -188,7 +221,7 @@ def _runs_of(batches):
                 i, j = places[0]
                 rows.append((d, k, run, [p for p, _ in places], hashes[i : j + 1]))
         if rows:
-            columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)
+            columns = zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["doc_id", "key", "run", "begins", "held"])
 
 
@@ -198,21 +231,21 @@ def _gone(batches):
         for shared in column(batch, "shared").to_pylist():
             out: set[int] = set()
             for _, of in groupby(sorted(shared, key=lambda x: (x["owner"], x["at"], x["begins"])), key=lambda x: x["owner"]):
-                out |= aligned([(x["begins"], x["at"], x["held"]) for x in of])
+                out |= aligned([(x["begins"], x["at"], x["held"], x["theirs"]) for x in of])
             gone.append(sorted(out))
         yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
 
 def deletions(own: DataFrame) -> DataFrame:
     """key and gone: positions of the lines to delete. ``own``: doc_id, key, text."""
-    found = cut(own.filter("doc_id IS NOT NULL").mapInArrow(_runs_of, "doc_id long, key long, run long, begins array<int>, held array<long>"), "runs")
-    first = F.min(F.struct("doc_id", "key", F.col("begins")[0].alias("at")))
+    found = cut(own.filter("doc_id IS NOT NULL").mapInArrow(_runs_of, "doc_id long, key binary, run binary, begins array<int>, held array<long>"), "runs")
+    first = F.min(F.struct("doc_id", "key", F.col("begins")[0].alias("at"), "held"))
     owned = cut(found.groupBy("run").agg(F.count("*").alias("df"), first.alias("owner")).filter("df > 1"), "owned")
     total = owned.agg(F.sum("df")).first()[0] or 0
     shared = hot_join(found, owned, "run", "df", total).filter("owner.doc_id < doc_id")
     # A set, so that a row repeated very often brings its runs once.
-    pairs = shared.select("key", F.struct(F.col("owner.key").alias("owner"), F.col("owner.at").alias("at"), "begins", "held").alias("one"))
-    return pairs.groupBy("key").agg(F.collect_set("one").alias("shared")).mapInArrow(_gone, "key long, gone array<int>")
+    pairs = shared.select("key", F.struct(F.col("owner.key").alias("owner"), F.col("owner.at").alias("at"), F.col("owner.held").alias("theirs"), "begins", "held").alias("one"))
+    return pairs.groupBy("key").agg(F.collect_set("one").alias("shared")).mapInArrow(_gone, "key binary, gone array<int>")
 
 
 def _applied(names: list[str], counts: bool):
@@ -239,8 +272,13 @@ def _applied(names: list[str], counts: bool):
     return run
 
 
+def _row_key() -> Column:
+    """Tells rows of other id or text apart; null without id."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"))))
+
+
 def _apply(docs: DataFrame, counts: bool) -> DataFrame:
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    key = F.when(F.col("doc_id").isNotNull(), _row_key())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
     gone = cut(deletions(own), "gone").select(F.col("key").alias(KEY), F.col("gone").alias(GONE))
     # One plan at every size: what is deleted grows with the documents.

@@ -117,11 +117,55 @@ def test_short_moved_and_repeated_lines(spark, seed):
 def test_reversed_and_repetitive_documents_end_soon():
     n = 20_000
     lines = [k + 1 for k in range(n)]
-    assert linedup.aligned([([n - 1 - k], k, [h]) for k, h in enumerate(lines)]) == set(range(n))
-    assert linedup.aligned([(list(range(n)), 0, [7, 7, 7])]) == set(range(n + 2))
+    assert linedup.aligned([([n - 1 - k], k, [h], [h]) for k, h in enumerate(lines)]) == set(range(n))
+    assert linedup.aligned([(list(range(n)), 0, [7, 7, 7], [7, 7, 7])]) == set(range(n + 2))
     assert linedup.aligned([]) == set()
 
 
+def test_runs_that_only_met_by_hash_are_not_aligned():
+    """Both documents' lines decide: a union of the runs that met would take all of these."""
+    assert linedup.aligned([([0], 4, [1, 2], [1, 3])]) == set()
+    assert linedup.aligned([([0], 4, [1, 2], [1, 2, 3]), ([5], 9, [8], [8])]) == {5}
+    rnd = random.Random(8)
+    for _ in range(300):
+        shared, want = [], set()
+        for k in range(rnd.randint(1, 8)):
+            held = [rnd.randint(1, 6) for _ in range(rnd.randint(1, 3))]
+            same = rnd.random() < 0.6
+            begin, at = 10 * k, 10 * rnd.randint(0, 8)
+            if any(x[1] == at for x in shared):
+                continue
+            shared.append(([begin], at, held, held if same else [h + 10 for h in held]))
+            want |= set(range(begin, begin + len(held))) if same else set()
+        assert linedup.aligned(shared) == want
+
+
+def test_chains_run_in_order_and_lose_nothing():
+    rnd = random.Random(9)
+    for _ in range(200):
+        left = [(rnd.randint(0, 30), rnd.randint(0, 30), [1] * n, [1] * n) for n in (rnd.randint(1, 3) for _ in range(rnd.randint(0, 20)))]
+        parts = linedup._chains(left)
+        assert sorted(x for p in parts for x in p) == sorted(left)
+        for p in parts:
+            for (i, at, a, b), (j, there, _, _) in zip(p, p[1:], strict=False):
+                assert j - i == there - at or (j >= i + len(a) and there >= at + len(b))
+
+
+def test_colliding_run_hashes_delete_nothing_unequal(monkeypatch):
+    """With a run hash of three values nearly all runs meet; only equal lines may go."""
+    real = linedup.run_hash
+    monkeypatch.setattr(linedup, "run_hash", lambda lines: bytes([real(lines)[0] % 3]))
+    texts = [(d, "\n".join(f"line {d} {k} of its own here" for k in range(4))) for d in range(30)]
+    docs = {d: linedup.runs([linedup.xxh64_intdigest(x) - (1 << 63) for x in t.split("\n")], [7] * 4) for d, t in texts}
+    assert set(docs[3]) & set(docs[4])
+    lines = {d: [linedup.xxh64_intdigest(x) - (1 << 63) for x in t.split("\n")] for d, t in texts}
+    for d in range(1, 30):
+        met = [([i for i, _ in places], docs[0][run][0][0], lines[d][places[0][0] : places[0][1] + 1], lines[0][docs[0][run][0][0] : docs[0][run][0][1] + 1]) for run, places in docs[d].items() if run in docs[0]]
+        assert linedup.aligned(met) == set()
+    met = [([i for i, _ in places], places[0][0], lines[5][places[0][0] : places[0][1] + 1], lines[5][places[0][0] : places[0][1] + 1]) for places in docs[5].values()]
+    assert linedup.aligned(met) <= {0, 1, 2, 3}
+
+
 def test_query_against_sql(spark, tmp_path):
     import duckdb
 
