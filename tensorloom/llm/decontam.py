@@ -1,23 +1,32 @@
-"""Benchmark decontamination: word n-grams seed local alignments.
-
-1. All word n-grams of the test items are seeds, whatever their frequency: a
-   passage that very many documents hold is found as well as any other.
-2. A pass over all whole texts joins texts to items on seeds. Hits of an item
-   near one another make a stretch; Smith-Waterman aligns it with the item,
-   word by word, in overlapping windows. A passage counts if its score reaches
-   SHARE of the item's perfect score, or ENOUGH words' worth of it; what is on
-   either side of it is aligned again, so each copy is reported.
+"""Benchmark decontamination: rare words and word n-grams seed local alignments.
+
+A passage is what Smith-Waterman aligns with a test item, word by word, at
+SHARE of the item's perfect score or more, or ENOUGH words' worth of it.
+
+1. Seeds. All word trigrams of the items, whatever their frequency. A passage
+   without any is edited so densely that its score asks for most of the item:
+   runs of at most two equal words with an edit between each leave all but few
+   of the item's words unmatched (``scattered``). So a bounded number more of
+   the item's rarest words than may be missing must occur near one another,
+   and these are its other seeds. Rarity is counted over all documents.
+2. A pass over all whole texts joins texts to items on seeds. What an
+   alignment through a seed can reach at most makes a stretch, which is taken
+   if it shares enough words with the item.
+3. Stretches are aligned from left to right, in pieces that overlap by as much
+   as an alignment can be long: of those that overlap the first one to reach
+   the score the best is reported, and what follows it is aligned anew. So each
+   copy is reported whole, and no stretch that reaches the score is left over.
 
 Items are held by each task; they are taken in blocks of at most BLOCK bytes
-of text, one run of the pass each, so that what is sent stays bounded.
+of text, one run of the passes each, so that what is sent stays bounded.
 Words are runs of letters, digits and marks of any script, whatever marks of
 punctuation part them; ideographs and kana are words each. Case is ignored
 where UTF-8 takes one or two bytes a character (Latin, Greek, Cyrillic).
 
 Cases: null or wordless texts and items match nothing. An item of fewer words
-than an n-gram must occur whole. Repeated rows and repeated items each have
-their results. A document without id is reported without one. Other columns
-are ignored.
+than an n-gram and two must occur whole. Repeated rows and repeated items each
+have their results. A document without id is reported without one. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import tokens
 from .common import column, slices, utf8
@@ -37,55 +47,141 @@ BLOCK = 16 << 20
 TABLE_BITS = 22
 #: Bytes of text whose words are held at once.
 SLICE = 1 << 20
+#: Pairs of seed hits and items that are held at once; more are taken item by item.
+PAIRS = 1 << 21
 
 
-class Items:
-    """Test items as word hashes, with all their n-grams (sorted) and where each occurs."""
+class Seeds:
+    """Hashes (sorted), the items that have each, and where in the item first and last."""
 
-    def __init__(self, rows: list[tuple]):
-        self.ids = [r[0] for r in rows]
-        self.words, codes, item, place = [], [], [], []
-        for k, (_, text) in enumerate(rows):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            h = tokens.words(data, np.array([0, len(data)]))[0]
-            self.words.append(h)
-            for n in {min(GRAM, len(h))} - {0}:
-                g = tokens.grams(h, n)
-                codes.append(g)
-                item.append(np.full(len(g), k))
-                place.append(np.arange(len(g)))
+    def __init__(self, codes: list, item: list, place: list):
         codes, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((codes, np.uint64), (item, np.int64), (place, np.int64)))
-        order = np.argsort(codes, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.codes, self.first = np.unique(codes[order], return_index=True)
-        self.first = np.r_[self.first, len(order)]
-        self.short = {len(h) for h in self.words if 0 < len(h) < GRAM}
+        order = np.lexsort((place, item, codes))
+        codes, item, place = codes[order], item[order], place[order]
+        fresh = np.r_[True, (codes[1:] != codes[:-1]) | (item[1:] != item[:-1])][: len(codes)]
+        begin = np.flatnonzero(fresh)
+        self.item, self.head = item[begin], place[begin]
+        self.tail = place[np.r_[begin[1:], len(place)] - 1] if len(place) else place
+        self.codes, first = np.unique(codes[begin], return_index=True)
+        self.first = np.r_[first, len(begin)]
 
     def flags(self) -> np.ndarray:
-        """A table by low bits that says of most other hashes that they are no code."""
+        """A table by low bits that says of most other hashes that they are no seed."""
         table = np.zeros(1 << TABLE_BITS, bool)
         table[self.codes & np.uint64((1 << TABLE_BITS) - 1)] = True
         return table
 
-    def hits(self, h: np.ndarray, doc: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word positions at which a code begins, within one text, and the code's index."""
-        where, which = [], []
-        for n in {GRAM} | self.short:
-            g = tokens.grams(h, n)
-            at = np.flatnonzero(flags[g & np.uint64((1 << TABLE_BITS) - 1)])
-            at = at[doc[at] == doc[at + n - 1]]
-            k = np.searchsorted(self.codes, g[at])
-            k[k == len(self.codes)] = 0
-            real = self.codes[k] == g[at] if len(self.codes) else np.zeros(len(at), bool)
-            where.append(at[real])
-            which.append(k[real])
-        at, k = np.concatenate(where), np.concatenate(which)
-        order = np.argsort(at, kind="stable")
-        return at[order], k[order]
+    def find(self, h: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``h`` is a seed, and the seed's index."""
+        at = np.flatnonzero(flags[h & np.uint64((1 << TABLE_BITS) - 1)])
+        if not len(self.codes):
+            return at[:0], at[:0]
+        k = np.searchsorted(self.codes, h[at])
+        k[k == len(self.codes)] = 0
+        real = self.codes[k] == h[at]
+        return at[real], k[real]
+
+    def pairs(self, at: np.ndarray, code: np.ndarray, items: int):
+        """Yield (position, item, first and last place), a range of items at a time, each with all its hits."""
+        total = int((self.first[code + 1] - self.first[code]).sum())
+        of = np.repeat(np.arange(len(self.codes)), np.diff(self.first)) * (items + 1) + self.item
+        edges = np.linspace(0, items, min(items, -(-total // PAIRS)) + 1).astype(np.int64)
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            a, z = (np.searchsorted(of, np.arange(len(self.codes)) * (items + 1) + x) for x in (low, high))
+            times = (z - a)[code]
+            ref = np.repeat(a[code], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            if len(ref):
+                yield np.repeat(at, times), self.item[ref], self.head[ref], self.tail[ref]
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman over words: best score, its begin and end in ``text``, and how many words are equal.
+class Items:
+    """Test items as word hashes, with their seeds."""
+
+    def __init__(self, rows: list[tuple], counts: tuple[np.ndarray, np.ndarray] | None = None):
+        """``counts``: word hashes (sorted) and how often the documents hold each."""
+        self.ids = [r[0] for r in rows]
+        grams: tuple[list, list, list] = ([], [], [])
+        rare: tuple[list, list, list] = ([], [], [])
+        self.words, self.sets, self.short = [], [], set()
+        known, often = counts if counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.joint = np.ones(len(rows), np.int64)
+        for k, (_, text) in enumerate(rows):
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            h = tokens.words(data, np.array([0, len(data)]))[0]
+            self.words.append(h)
+            self.sets.append(np.unique(h, return_counts=True))
+            if not len(h):
+                continue
+            n = min(GRAM, len(h))
+            self.short |= {n} - {GRAM}
+            places = np.arange(len(h) - n + 1)
+            for part, x in zip(grams, (tokens.grams(h, n), np.full(len(places), k), places), strict=True):
+                part.append(x)
+            if len(h) < GRAM + 2:
+                continue
+            may_miss = len(h) - scattered(len(h))
+            self.joint[k] = max(1, scattered(len(h)) // 4)
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            times = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
+            chosen = np.sort(np.lexsort((h, times))[: may_miss + self.joint[k]])
+            # A word that the item has twice is one seed; each text position of it counts once, as in any alignment.
+            for part, x in zip(rare, (h[chosen], np.full(len(chosen), k), chosen), strict=True):
+                part.append(x)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.grams, self.rare = Seeds(*grams), Seeds(*rare)
+
+    def flags(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.grams.flags(), self.rare.flags()
+
+    def stretches(self, h: np.ndarray, doc: np.ndarray, docs: int, flags: tuple[np.ndarray, np.ndarray]):
+        """Yield (text, item, first word, end word) of all that an alignment may lie in; those of a text and item are apart."""
+        begin = np.searchsorted(doc, np.arange(docs + 1))
+        found: list[tuple] = []
+        for n in {GRAM} | self.short:
+            g = tokens.grams(h, n)
+            at, code = self.grams.find(g, flags[0])
+            same = doc[at] == doc[at + n - 1]
+            for at, item, head, tail in self.grams.pairs(at[same], code[same], len(self.ids)):
+                # Each side of a seed in an alignment scores 0 at least, so it is three times as long as the item's words there, at most.
+                found.append((doc[at], item, at - 3 * tail, at + 3 * (self.size[item] - head)))
+        at, code = self.rare.find(h, flags[1])
+        for at, item, _, _ in self.rare.pairs(at, code, len(self.ids)):
+            order = np.lexsort((at, item, doc[at]))
+            at, item = at[order], item[order]
+            last = np.arange(len(at)) + self.joint[item] - 1
+            real = last < len(at)
+            end = np.minimum(last, len(at) - 1)
+            near = real & (item[end] == item) & (doc[at[end]] == doc[at]) & (at[end] - at < 3 * self.size[item])
+            at, end, item = at[near], at[end[near]], item[near]
+            found.append((doc[at], item, end - 3 * self.size[item], at + 3 * self.size[item] + 1))
+        if not found:
+            return
+        text, item, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(text):
+            return
+        low, high = np.maximum(low, begin[text]), np.minimum(high, begin[text + 1])
+        order = np.lexsort((low, item, text))
+        text, item, low, high = text[order], item[order], low[order], high[order]
+        fresh = np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1])]
+        # The furthest end so far of each text and item: groups are lifted apart so that one running maximum serves all.
+        lift = np.cumsum(fresh) * (len(h) + 1)
+        furthest = np.maximum.accumulate(high + lift) - lift
+        cut = np.r_[True, fresh[1:] | (low[1:] >= furthest[:-1])]
+        starts = np.flatnonzero(cut)
+        for a, z in zip(starts.tolist(), np.r_[starts[1:], len(cut)].tolist(), strict=True):
+            yield int(text[a]), int(item[a]), int(low[a]), int(furthest[z - 1])
+
+    def shares(self, k: int, text: np.ndarray, least: int) -> bool:
+        """Whether a text has so many words of item ``k``, none more often than the item does."""
+        own, times = self.sets[k]
+        at = np.searchsorted(own, text)
+        at[at == len(own)] = 0
+        at = at[own[at] == text]
+        return len(at) >= least and int(np.minimum(np.bincount(at, minlength=len(own)), times).sum()) >= least
+
+
+def ends(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smith-Waterman over words: of the best alignment that ends before each position of ``text``, the score, the begin and how many words are equal.
 
     A row at a time: each cell carries where its alignment began and how many
     words are equal, so no matrix is held and nothing is traced back.
@@ -93,7 +189,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     m = len(text)
     steps, at = np.arange(m + 1) * -GAP, np.arange(m + 1)
     row, start, equal = np.zeros(m + 1, np.int64), at.copy(), np.zeros(m + 1, np.int64)
-    best = (0, 0, 0, 0)
+    best, begin, count = row.copy(), at.copy(), equal.copy()
     for word in item:
         same = np.r_[False, text == word]
         up = row + GAP
@@ -107,10 +203,16 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
         top = np.maximum.accumulate(level)
         source = np.maximum.accumulate(np.where(level == top, at, 0))
         row, start, equal = top - steps, begun[source], kept[source]
-        k = int(row.argmax())
-        if row[k] > best[0]:
-            best = (int(row[k]), int(start[k]), k, int(equal[k]))
-    return best
+        more = row > best
+        best[more], begin[more], count[more] = row[more], start[more], equal[more]
+    return best, begin, count
+
+
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
+    """The best score, its begin and end in ``text``, and how many words are equal."""
+    best, begin, count = ends(item, text)
+    k = int(best.argmax())
+    return (int(best[k]), int(begin[k]), k, int(count[k])) if best[k] else (0, 0, 0, 0)
 
 
 def needed(words: int) -> int:
@@ -120,55 +222,62 @@ def needed(words: int) -> int:
     return MATCH * min(int(np.ceil(SHARE * words)), ENOUGH)
 
 
-def _windows(low: int, high: int, size: int):
-    """Overlapping windows over a stretch of words. No alignment is longer than 3 items: each match of at most ``size`` pays for at most MATCH words of gap."""
-    wide = 8 * size + 16
-    while True:
-        yield low, min(high, low + wide)
-        if low + wide >= high:
-            return
-        low += wide // 2
-
-
-def passages(items: Items, flags: np.ndarray, h: np.ndarray, doc: np.ndarray, docs: int):
-    """Yield (text, item, score, equal, first word, end word) of each contaminated passage; passages of an item do not overlap."""
-    at, code = items.hits(h, doc, flags)
-    if not len(at):
-        return
-    times = items.first[code + 1] - items.first[code]
-    ref = np.repeat(items.first[code], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    at = np.repeat(at, times)
-    item, place = items.item[ref], items.place[ref]
-    size = np.array([len(w) for w in items.words])
-    begin = np.searchsorted(doc, np.arange(docs + 1))
-    order = np.lexsort((at, item, doc[at]))
-    at, item, place = at[order], item[order], place[order]
-    d = doc[at]
-    # A gap longer than the item costs more than what is beyond it brings.
-    far = np.r_[True, (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (at[1:] - at[:-1] > size[item[1:]])]
-    edges = np.flatnonzero(np.r_[far, True])
+def scattered(words: int) -> int:
+    """Equal words that a passage of ``needed`` score has at least if no three of them follow one another in both.
+
+    With e equal words there are e / 2 runs or more and an edit between each two, so the score is at most 2 e - (e / 2 - 1).
+    """
+    return -(-(2 * needed(words) - 2) // 3)
+
+
+def copies(own: np.ndarray, text: np.ndarray, least: int):
+    """Yield (score, equal, first word, end word) of the passages of a text, from left to right, none overlapping.
+
+    What is between them reaches the score nowhere. No alignment is longer than
+    3 items: each match pays for at most MATCH words of gap.
+    """
+    reach = 3 * len(own)
+    low, piece = 0, 4 * reach
+    while low < len(text):
+        high = min(len(text), low + piece)
+        best, begin, count = ends(own, text[low:high])
+        over = np.flatnonzero(best >= least)
+        if not len(over):
+            if high == len(text):
+                return
+            low, piece = high - reach, 4 * reach
+            continue
+        first = int(over[0])
+        if low + first + reach > high and high < len(text):
+            # Its rivals may end beyond the piece; none ends before it, so the next piece begins where they can.
+            low += first - reach
+            continue
+        rivals = over[begin[over] < first]
+        k = int(rivals[best[rivals].argmax()])
+        yield int(best[k]), int(count[k]), low + int(begin[k]), low + k
+        low, piece = low + k, 2 * reach + 1
+
+
+def passages(items: Items, flags: tuple[np.ndarray, np.ndarray], h: np.ndarray, doc: np.ndarray, docs: int, once: bool = False):
+    """Yield (text, item, score, equal, first word, end word) of each contaminated passage; passages of an item do not overlap.
+
+    ``once``: a passage of each text is enough.
+    """
     known: dict = {}
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        k, t = int(item[a]), int(d[a])
-        slack = size[k] // 4 + 2
-        low = max(int(begin[t]), int((at[a:z] - place[a:z]).min()) - slack)
-        high = min(int(begin[t + 1]), int((at[a:z] - place[a:z]).max()) + int(size[k]) + slack)
-        own, least, done = items.words[k], needed(int(size[k])), low
-        for lo, hi in _windows(low, high, int(size[k])):
-            todo = [(max(lo, done), hi)]
-            while todo:
-                lo, hi = todo.pop()
-                text = h[lo:hi]
-                if hi <= lo or MATCH * int(np.isin(own, text).sum()) < least:
-                    continue
-                key = (k, text.tobytes())
-                if key not in known:
-                    known[key] = align(own, text)
-                score, s, e, equal = known[key]
-                if score >= least:
-                    yield t, k, score / (MATCH * len(own)), equal, lo + s, lo + e
-                    done = max(done, lo + e)
-                    todo += [(lo + e, hi), (lo, lo + s)]
+    bad = -1
+    for t, k, low, high in items.stretches(h, doc, docs, flags):
+        if once and t == bad:
+            continue
+        own, least = items.words[k], needed(int(items.size[k]))
+        text = h[low:high]
+        if not items.shares(k, text, least // MATCH):
+            continue
+        key = (k, xxh3_128_digest(text.tobytes()))
+        if key not in known:
+            known[key] = list(copies(own, text, least))
+        for score, equal, s, e in known[key]:
+            bad = t
+            yield t, k, score / (MATCH * len(own)), equal, low + s, low + e
 
 
 SCHEMA = "doc_id long, item_id long, score double, n_equal long, start long, end long"
@@ -184,7 +293,8 @@ def _found(items: Items):
             rows = []
             for t, k, score, equal, a, z in passages(items, flags, h, doc, batch.num_rows):
                 point = lambda byte, t=t: len(data[at[t] : byte].tobytes().decode())
-                rows.append((ids[t], items.ids[k], score, equal, point(begin[a]), point(end[z - 1])))
+                item_id, times = items.ids[k]
+                rows += [(ids[t], item_id, score, equal, point(begin[a]), point(end[z - 1]))] * times
             if rows:
                 arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "score", "n_equal", "start", "end"])
@@ -200,22 +310,54 @@ def _clean(items: Items, names: list[str]):
             data, at = utf8(batch.column(at_text))
             h, _, _, doc = tokens.words(data, at)
             bad = np.zeros(batch.num_rows, bool)
-            for t, *_ in passages(items, flags, h, doc, batch.num_rows):
+            for t, *_ in passages(items, flags, h, doc, batch.num_rows, once=True):
                 bad[t] = True
             yield batch.filter(pa.array(~bad))
 
     return run
 
 
-def _blocks(benchmark: DataFrame):
-    """Items with their seeds, a bounded block at a time."""
+def _counted(own: np.ndarray):
+    """How often the texts of a task hold each of some words (sorted)."""
+
+    def run(batches):
+        times = np.zeros(len(own), np.int64)
+        for batch in slices(batches, "text", SLICE):
+            h = tokens.words(*utf8(column(batch, "text")))[0]
+            at = np.searchsorted(own, h)
+            at[at == len(own)] = 0
+            times += np.bincount(at[own[at] == h], minlength=len(own))
+        held = np.flatnonzero(times)
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(own[held].view(np.int64)), pa.array(times[held])], ["word", "times"])
+
+    return run
+
+
+def _rarity(docs: DataFrame, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some items and how often all documents hold each; as many as the items have, which are bounded."""
+    data, at = utf8(pa.array([text for _, text in rows], pa.string()))
+    own = np.unique(tokens.words(data, at)[0])
+    if not len(own):
+        return own, np.zeros(0, np.int64)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    found = texts.mapInArrow(_counted(own), "word long, times long").groupBy("word").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(len(own), np.int64)
+    times[np.searchsorted(own, found["word"].to_numpy().view(np.uint64))] = found["times"].to_numpy()
+    return own, times
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame):
+    """Items with their seeds, a bounded block at a time. Equal items are one, with its rows' number."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    items = items.groupBy("item_id", "text").agg(F.count("*").alias("times"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // BLOCK))
     for k in range(count):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == k).collect()
-        own = Items(sorted((tuple(r) for r in rows), key=str))
-        if len(own.codes):
+        rows = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)) == k).collect()
+        rows = sorted(((r.item_id, r.times), r.text) for r in rows) if all(r.item_id is not None for r in rows) else sorted((((r.item_id, r.times), r.text) for r in rows), key=str)
+        own = Items(rows, _rarity(docs, rows))
+        if len(own.grams.codes):
             yield own
 
 
@@ -223,7 +365,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score (0 to 1), n_equal words, start and end (code points) of each copied passage."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for items in _blocks(benchmark):
+    for items in _blocks(docs, benchmark):
         out = out.unionByName(own.mapInArrow(_found(items), SCHEMA))
     return out
 
@@ -231,6 +373,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no copied passage, with all their columns."""
     out = docs
-    for items in _blocks(benchmark):
+    for items in _blocks(docs, benchmark):
         out = out.mapInArrow(_clean(items, docs.columns), docs.schema)
     return out

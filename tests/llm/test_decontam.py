@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,94 @@ def test_part_of_an_item_in_very_many_documents(spark):
     bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(d, 1 if d < 100 else 2) for d, _ in rows}
     assert decontam.keep_clean(docs, bench).count() == 0
+
+
+def own_words(text):
+    """A splitter of its own, for ASCII."""
+    return re.findall("[0-9a-z]+", text.lower())
+
+
+def slow_score(a, b):
+    """Best Smith-Waterman score, cell by cell over words."""
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (decontam.MATCH if x == y else decontam.MISS), row[j + 1] + decontam.GAP, new[j] + decontam.GAP))
+        row = new
+        best = max(best, max(row))
+    return best
+
+
+def edited(words, every, kind, rng):
+    """A copy with each ``every``-th word replaced, left out, or followed by another."""
+    out = []
+    for k, w in enumerate(words):
+        if k % every != every - 1:
+            out.append(w)
+        elif kind == "replace":
+            out.append(f"e{rng.integers(1000)}")
+        elif kind == "insert":
+            out += [w, f"e{rng.integers(1000)}"]
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_dense_edits_against_full_alignment(spark, seed):
+    """Every second to fifth word edited, frequent words among them: pairs as by full alignment, and no stretch left over that reaches the score."""
+    rng = np.random.default_rng(seed)
+    weights = 1 / np.arange(1, 401)
+    text = lambda n: [f"w{i}" for i in rng.choice(400, n, p=weights / weights.sum())]
+    items = [text(n) for n in (5, 6, 9, 14, 21, 30, 44, 60, 90, 130)]
+    docs, planted = [], set()
+    for k, item in enumerate(items):
+        for every in (2, 3, 4, 5):
+            for kind in ("replace", "insert", "drop"):
+                copy = edited(item, every, kind, rng)
+                docs.append(text(30) + copy + text(20))
+                if slow_score(item, copy) >= decontam.needed(len(item)):
+                    planted.add((len(docs) - 1, k))
+    docs += [text(150) for _ in range(10)]
+    assert {(d, k) for d, k in planted if d % 12 < 3}, "some with each second word edited"
+    found = decontam.contaminated(
+        spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string").repartition(2),
+        spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string"),
+    ).collect()
+    want = {(d, k) for d, t in enumerate(docs) for k, item in enumerate(items) if slow_score(item, t) >= decontam.needed(len(item))}
+    assert planted <= want and {(r.doc_id, r.item_id) for r in found} == want
+    spans: dict = {}
+    for r in found:
+        t = " ".join(docs[r.doc_id])
+        a, z = len(own_words(t[: r.start])), len(own_words(t[: r.end]))
+        spans.setdefault((r.doc_id, r.item_id), []).append((a, z))
+        item = items[r.item_id]
+        assert slow_score(item, docs[r.doc_id][a:z]) == round(r.score * decontam.MATCH * len(item))
+    for (d, k), of in spans.items():
+        edges = [0, *(x for span in sorted(of) for x in span), len(docs[d])]
+        assert edges == sorted(edges)
+        for a, z in zip(edges[::2], edges[1::2], strict=True):
+            assert slow_score(items[k], docs[d][a:z]) < decontam.needed(len(items[k]))
+
+
+@pytest.mark.parametrize("size,times", [(20, 50), (61, 50), (6, 300)])
+def test_copies_in_a_row_are_all_whole(spark, size, times):
+    item = " ".join(f"word{k}" for k in range(size))
+    rows = [(1, " ".join([item] * times)), (2, "start " + ", and ".join([item] * times))]
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (7, item), (8, None)], "item_id long, text string")).collect()
+    text = dict(rows)
+    assert len(found) == 4 * times  # the item has two rows
+    assert all(text[r.doc_id][r.start : r.end] == item and r.score == 1 and r.n_equal == size for r in found)
+
+
+def test_seeds_in_repetitive_items_and_in_ranges(monkeypatch):
+    """Hits taken a few at a time give the same stretches; a word repeated in text and item makes no product of the two."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{i}" for i in rng.integers(0, 60, 20))) for k in range(30)] + [(99, "same " * 400)]
+    items = decontam.Items(rows)
+    h = np.concatenate([items.words[k] for k in (3, 30, 7, 30)])
+    doc = np.repeat([0, 1], [len(h) // 2, len(h) - len(h) // 2])
+    whole = list(decontam.passages(items, items.flags(), h, doc, 2))
+    assert {(t, k) for t, k, *_ in whole} >= {(0, 3), (0, 30), (1, 7), (1, 30)}
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    assert sorted(decontam.passages(items, items.flags(), h, doc, 2)) == sorted(whole)
+    assert len(items.grams.item) < 30 * 20
