@@ -180,6 +180,21 @@ class Items:
         return len(at) >= least and int(np.minimum(np.bincount(at, minlength=len(own)), times).sum()) >= least
 
 
+def top_score(item: np.ndarray, text: np.ndarray) -> int:
+    """The best Smith-Waterman score alone."""
+    # Scores are held with what the gaps from the left edge on cost added, so that a running maximum spreads them.
+    steps = np.arange(len(text) + 1, dtype=np.int32) * -GAP
+    row, top = steps.copy(), steps.copy()
+    for word in item:
+        slant = row[:-1] + (text == word) * np.int32(MATCH - MISS) + np.int32(MISS - GAP)
+        row += GAP
+        np.maximum(row, steps, out=row)
+        np.maximum(row[1:], slant, out=row[1:])
+        np.maximum.accumulate(row, out=row)
+        np.maximum(top, row, out=top)
+    return int((top - steps).max())
+
+
 def ends(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman over words: of the best alignment that ends before each position of ``text``, the score, the begin and how many words are equal.
 
@@ -240,13 +255,13 @@ def copies(own: np.ndarray, text: np.ndarray, least: int):
     low, piece = 0, 4 * reach
     while low < len(text):
         high = min(len(text), low + piece)
-        best, begin, count = ends(own, text[low:high])
-        over = np.flatnonzero(best >= least)
-        if not len(over):
+        if top_score(own, text[low:high]) < least:
             if high == len(text):
                 return
             low, piece = high - reach, 4 * reach
             continue
+        best, begin, count = ends(own, text[low:high])
+        over = np.flatnonzero(best >= least)
         first = int(over[0])
         if low + first + reach > high and high < len(text):
             # Its rivals may end beyond the piece; none ends before it, so the next piece begins where they can.
