@@ -3,7 +3,8 @@
 The kernel is a blended spectrum of presence: how many n-grams (n = 1 to 3,
 over an alphabet of all letters of the training texts, everything else being
 a gap) two texts share, over the geometric mean of how many each
-has. Nyström landmarks are drawn from the training texts, the same number a
+has. Alphabets with more n-grams than SPACE_MOST have them hashed onto so many.
+Nyström landmarks are drawn from the training texts, the same number a
 language; a one-versus-rest kernel ridge regression is solved in the
 landmarks' space. A batch of texts is scored by products of its presence
 matrix: (P Z) W, where Z holds the landmarks' grams and W the regression's
@@ -11,7 +12,9 @@ weights; as Z W does not depend on the texts, it is multiplied once.
 
 Training takes a bounded sample: about ``per_language`` labelled documents of
 each language, those of least hash of the id. Whole texts are trained on and
-predicted. Only the sample's gram lists reach the driver.
+predicted. The driver holds the landmarks' grams, as lists, and passes over the
+other lists of the sample, summing the normal equations a few rows at a time:
+its memory is (landmarks x languages) squared and SPACE_MOST x languages at most.
 
 Cases: null text, or text without a letter, gives "und" and score 0; so does
 any text if nothing was learned. Null ids count as not held out and are
@@ -20,17 +23,26 @@ never trained on. Repeated rows stay. Other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import column, cut, slices
+from .tokens import mix
 
 ALPHABET = 63  # classes 1..63; 0 is a gap. Up to so many letters, flags find distinct n-grams; more are sorted
 SPACE = (ALPHABET + 1) ** 3
 OFFSETS = (0, 64, 64 + 64**2)
 GRAMS = 64 + 64**2 + 64**3
+#: Grams that are told apart; of larger alphabets they are hashed.
+SPACE_MOST = 3 << 19
+#: Columns of a presence matrix, and training rows, that are held at once.
+COLUMNS, ROWS = 1 << 16, 256
+#: So many labels' counts are broadcast; more are joined by a shuffle.
+LABELS = 10_000
 PER_LANGUAGE, LANDMARKS = 300, 48
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -52,7 +64,10 @@ def grams(text: str, table: np.ndarray, seen: np.ndarray | None, base: int = ALP
         c = np.concatenate([[0], c[keep], [0]]).astype(np.int64)
         two = c[:-1] * base + c[1:]
         found = np.unique(np.concatenate([c, two + base, two[:-1] * base + c[2:] + base + base**2]))
-        return found[~np.isin(found, [0, base, base + base**2])]
+        found = found[~np.isin(found, [0, base, base + base**2])]
+        if base + base**2 + base**3 > SPACE_MOST:
+            found = np.unique(mix(found.astype(np.uint64)) % np.uint64(SPACE_MOST)).astype(np.int64)
+        return found
     c = np.concatenate([[0], c[keep], [0]]).astype(np.int32)
     seen[c] = True
     two = c[:-1] * 64 + c[1:]
@@ -97,7 +112,7 @@ def _gram_lists(letters: str):
     def run(batches):
         table, (seen, base) = class_table(letters), flags_for(letters)
         for batch in slices(batches, "text"):
-            lists = [grams(t or "", table, seen, base).astype(np.int64) for t in column(batch, "text").to_pylist()]
+            lists = [grams(t or "", table, seen, base).astype(np.int32) for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", "lang", "grams"])
 
     return run
@@ -108,7 +123,9 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(F.broadcast(sizes), "lang").filter(chance * F.col("size") < per_language).select("doc_id", "text", "lang")
+    if sizes.limit(LABELS + 1).count() <= LABELS:
+        sizes = F.broadcast(sizes)
+    return labelled.join(sizes, "lang").filter(chance * F.col("size") < per_language).select("doc_id", "text", "lang")
 
 
 class Model:
@@ -123,21 +140,53 @@ class Model:
     def fit(cls, lists: list[tuple[str, np.ndarray]], letters: str, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
         """From (language, gram codes) in a fixed order."""
         lists = [(lang, g) for lang, g in lists if len(g)]
-        languages = sorted({lang for lang, _ in lists})
-        if not lists:
+        sizes: dict[str, int] = {}
+        marks = []
+        for lang, g in lists:
+            sizes[lang] = sizes.get(lang, 0) + 1
+            if sizes[lang] <= landmarks:
+                marks.append((lang, g))
+        return cls.solve(marks, lists, sizes, letters, ridge)
+
+    @classmethod
+    def solve(cls, marks: list[tuple[str, np.ndarray]], rows, sizes: dict[str, int], letters: str, ridge: float = RIDGE) -> Model:
+        """From the landmarks, all training rows (an iterable of language and gram codes, none empty) and how many each language has."""
+        if not sizes:
             return cls()
-        marks = [g for lang in languages for g in [g for k, g in lists if k == lang][:landmarks]]
-        vocabulary = np.unique(np.concatenate(marks))
-        z = np.zeros((len(vocabulary), len(marks)), np.float32)
+        languages, total = sorted(sizes), sum(sizes.values())
+        marks = [g for _, g in sorted(marks, key=lambda x: x[0])]
+        scale = 1 / np.sqrt([len(g) for g in marks])
+        codes = np.concatenate(marks)
+        owner = np.repeat(np.arange(len(marks), dtype=np.int32), [len(g) for g in marks])
+        order = np.argsort(codes, kind="stable")
+        vocabulary, first = np.unique(codes[order], return_index=True)
+        owner, first = owner[order], np.r_[first, len(order)]
+        del codes, order
+
+        def kernel(g: np.ndarray) -> np.ndarray:
+            """Of one text with each landmark."""
+            at = np.searchsorted(vocabulary, g)
+            at[at == len(vocabulary)] = 0
+            at = at[vocabulary[at] == g]
+            times = first[at + 1] - first[at]
+            ref = np.repeat(first[at] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            return np.bincount(owner[ref], minlength=len(marks)) * scale / np.sqrt(len(g))
+
+        left, right = np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(languages)))
+        rows = iter(rows)
+        while part := list(islice(rows, ROWS)):
+            k = np.stack([kernel(g) for _, g in part])
+            of = np.array([languages.index(lang) for lang, _ in part])
+            weighted = k * np.array([total / (sizes[lang] * len(languages)) for lang, _ in part])[:, None]  # languages count alike
+            left += k.T @ weighted
+            for x in range(len(languages)):
+                right[:, x] += weighted[of == x].sum(axis=0)
+        kmm = np.stack([kernel(g) for g in marks])
+        w = np.linalg.solve(left + ridge * total * (kmm / len(marks) + 1e-3 * np.eye(len(marks))), right)
+        weights = np.zeros((len(vocabulary), len(languages)), np.float32)
         for j, g in enumerate(marks):
-            z[np.searchsorted(vocabulary, g), j] = 1 / np.sqrt(len(g))
-        k = np.stack([cls._presence(g, vocabulary) @ z / np.sqrt(len(g)) for _, g in lists]).astype(np.float64)
-        kmm = (z.T @ z).astype(np.float64)
-        y = np.array([[float(lang == x) for x in languages] for lang, _ in lists])
-        share = y.sum(axis=0) / len(y)
-        weight = (y / (share * len(languages))).sum(axis=1)[:, None]  # languages count alike
-        w = np.linalg.solve(k.T @ (k * weight) + ridge * len(y) * (kmm / len(marks) + 1e-3 * np.eye(len(marks))), k.T @ (y * weight))
-        return cls(languages, letters, vocabulary, (z @ w).astype(np.float32))
+            weights[np.searchsorted(vocabulary, g)] += (w[j] * scale[j]).astype(np.float32)
+        return cls(languages, letters, vocabulary, weights)
 
     @staticmethod
     def _presence(g: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -153,39 +202,67 @@ class Model:
         if not self.languages:
             return labels, scores
         table, (seen, base) = class_table(self.letters), flags_for(self.letters)
-        if seen is not None:
-            where = np.full(GRAMS, -1, np.int32)
-            where[self.vocabulary] = np.arange(len(self.vocabulary))
+        where = np.full(SPACE_MOST, -1, np.int32)
+        where[self.vocabulary] = np.arange(len(self.vocabulary))
+        held, place = np.zeros(len(self.vocabulary), bool), np.zeros(len(self.vocabulary), np.int32)
         todo = [i for i, t in enumerate(texts) if t and has_letter(t)]
-        p = np.zeros((rows, len(self.vocabulary)), np.float32)
         for a in range(0, len(todo), rows):
             part = todo[a : a + rows]
-            norms = np.ones(len(part), np.float32)
-            p[:] = 0
+            norms, at = np.ones(len(part), np.float32), []
             for r, i in enumerate(part):
                 g = grams(texts[i], table, seen, base)
-                if seen is None:
-                    p[r] = self._presence(g, self.vocabulary)
-                else:
-                    at = where[g]
-                    p[r, at[at >= 0]] = 1
                 norms[r] = max(1, len(g))
-            f = p[: len(part)] @ self.weights / np.sqrt(norms)[:, None]
+                g = where[g]
+                at.append(g[g >= 0])
+                held[at[-1]] = True
+            # The columns that any of these texts has, some of them at a time.
+            used = np.flatnonzero(held)
+            held[used] = False
+            place[used] = np.arange(len(used))
+            f = np.zeros((len(part), len(self.languages)), np.float32)
+            for low in range(0, len(used), COLUMNS):
+                some = used[low : low + COLUMNS]
+                p = np.zeros((len(part), len(some)), np.float32)
+                for r, g in enumerate(at):
+                    col = place[g] - low
+                    p[r, col[(col >= 0) & (col < len(some))]] = 1
+                f += p @ self.weights[some]
+            f /= np.sqrt(norms)[:, None]
             best = f.argmax(axis=1)
             for r, i in enumerate(part):
                 labels[i], scores[i] = self.languages[best[r]], float(np.clip(f[r, best[r]], 0, 1))
         return labels, scores
 
 
+def _order(doc_id: int) -> int:
+    """By what landmarks are drawn."""
+    return doc_id * 0x9E3779B97F4A7C15 % (1 << 64)
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
-    """Fit on the labelled sample; its letter counts and gram lists are what the driver gets."""
+    """Fit on the labelled sample. Its letter counts, ids and landmarks are collected, its gram lists pass by."""
     chosen = sample(docs, per_language)
     counted = chosen.mapInArrow(_letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "letter").collect()  # as many as there are letters, at most
     letters = "".join(r.letter for r in top)
-    rows = chosen.mapInArrow(_gram_lists(letters), "doc_id long, lang string, grams binary").collect()
-    lists = sorted(((r.lang, r.doc_id, bytes(r.grams)) for r in rows), key=lambda x: (x[0], x[1] * 0x9E3779B97F4A7C15 % (1 << 64), x[2]))
-    return Model.fit([(lang, np.frombuffer(g, np.int64)) for lang, _, g in lists], letters, landmarks)
+    lists = cut(chosen.mapInArrow(_gram_lists(letters), "doc_id long, lang string, grams binary").filter(F.octet_length("grams") > 0), "grams")
+    ids: dict[str, list[int]] = {}
+    for r in lists.select("lang", "doc_id").collect():  # of the sample
+        ids.setdefault(r.lang, []).append(r.doc_id)
+    drawn = {(lang, d) for lang, of in ids.items() for d in sorted(of, key=_order)[:landmarks]}
+    if not drawn:
+        return Model()
+    spark = docs.sparkSession
+    # Rows of one id are told apart by their grams; equal ones stand for each other.
+    rows = lists.join(F.broadcast(spark.createDataFrame(sorted(drawn), "lang string, doc_id long")), ["lang", "doc_id"])
+    near: dict[str, list] = {}
+    for r in rows.select("lang", "doc_id", "grams").toLocalIterator():
+        near.setdefault(r.lang, []).append((_order(r.doc_id), bytes(r.grams)))
+        if len(near[r.lang]) > 2 * landmarks:
+            near[r.lang] = sorted(near[r.lang])[:landmarks]
+    marks = [(lang, np.frombuffer(g, np.int32)) for lang in sorted(near) for _, g in sorted(near[lang])[:landmarks]]
+    passing = ((r.lang, np.frombuffer(bytes(r.grams), np.int32)) for r in lists.select("lang", "grams").toLocalIterator())
+    return Model.solve(marks, passing, {lang: len(of) for lang, of in ids.items()}, letters)
 
 
 def _predicted(parts: tuple):

@@ -114,3 +114,31 @@ def test_predictions_against_a_plain_kernel(wide):
         f = np.array([kernel(g, m) for m in marks]) @ w
         assert score == pytest.approx(float(np.clip(f.max(), 0, 1)), abs=1e-3)
         assert label == languages[int(f.argmax())] or sorted(f)[-1] - sorted(f)[-2] < 1e-3
+
+
+def test_many_labels_and_wide_alphabets_in_bounded_memory():
+    """50 labels, six of them ideographic: what fitting and predicting hold is far below the product of grams and landmarks."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    letters = "".join(chr(0x4E00 + k) for k in range(20_000)) + "abcdefghijklmnopqrstuvwxyz"
+    table, (seen, base) = langid.class_table(letters), langid.flags_for(letters)
+    assert seen is None
+
+    def text(k):
+        if k < 6:
+            return "".join(chr(0x4E00 + 3000 * k + int(c)) for c in rng.integers(0, 3000, 4000))
+        own = rng.permutation(26)[:3] if k < 0 else [(5 * k + j * (k % 7 + 1)) % 26 for j in range(4)]
+        return " ".join("".join(chr(0x61 + own[int(c)]) for c in rng.integers(0, 4, 5)) for _ in range(60))
+
+    lists = [(f"l{k:02}", langid.grams(text(k), table, seen, base).astype(np.int32)) for k in range(50) for _ in range(24)]
+    assert max(int(g.max()) for _, g in lists) < langid.SPACE_MOST
+    asked = [text(k) for k in range(6)]
+    tracemalloc.start()
+    model = langid.Model.fit(lists, letters, landmarks=24)
+    labels, scores = model.predict(asked * 12)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    dense = len(model.vocabulary) * 24 * 50 * 4
+    assert len(model.vocabulary) > 500_000 and top < 500 << 20 < dense
+    assert labels == [f"l{k:02}" for k in range(6)] * 12 and min(scores) > 0.02
