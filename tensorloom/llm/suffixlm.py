@@ -4,12 +4,8 @@ Symbols are the words of a text (A-Z lower-cased) and one end a text. The tree
 has a state for each context, of up to DEPTH words, that its own next-symbol
 distribution tells apart from that of its suffix, the context one word shorter.
 
-1. Words are counted over all training texts, as are, order by order, the
-   n-grams whose two (n-1)-grams are both frequent. Frequent: at least MIN_COUNT
-   times and at least P_MIN of all tokens. So each order has fewer than
-   1 / P_MIN frequent n-grams, a bound that no corpus exceeds; they are all
-   that the driver and each worker hold. An n-gram is numbered by its prefix
-   and suffix among the frequent (n-1)-grams: no hash beyond that of a word.
+1. Words are counted over all training texts. An n-gram is frequent if it occurs
+   MIN_COUNT times there, whatever the size of the corpus.
 2. Smoothing: a context gives each frequent continuation its count less
    DISCOUNT over the context's count, and what is left, in the proportions of
    its suffix, to every symbol; the root is add-ALPHA over all words and one
@@ -19,8 +15,19 @@ distribution tells apart from that of its suffix, the context one word shorter.
    at least half the log of all tokens for each continuation it lists and one
    more. Suffixes of states are states.
 4. Scoring: each token is given by the longest state that ends before it.
-   Words that are not frequent, whose counts no task holds, are looked up in
-   the table of all words by a salted join, once a document and word.
+
+Contexts that end in the same word are a branch of the tree. Each token goes, with
+the three words before it, to the bucket of the word before it; a bucket counts,
+tests and smooths its branches and scores its tokens. Buckets are of about
+POSITIONS tokens. Branches larger than that are dealt over several buckets by the
+word one further back; the pairs at their root are counted apart and sent to each.
+Whether that root is a state may hang on any of them: where a bucket can't tell,
+it gives what the tokens gain if so, and the others' answer decides.
+
+Words that make up P_MIN of all tokens are held by each task: fewer than
+1 / P_MIN, a bound that no corpus exceeds. The others' counts are looked up in the
+table of all words by a salted join, once a document and word. Which words are
+held decides where a count is found, never a score.
 
 Words are known by 64-bit hashes; two words of one hash would count as one
 (with ten million words, odds of one in 370,000 that there is any such pair).
@@ -33,21 +40,25 @@ texts every token is unknown and of probability one. Other columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 from itertools import count
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, salted_join, slices, utf8
+from .common import column, cut, parts_for, salted_join, slices
 
 DEPTH = 3
-MIN_COUNT, P_MIN = 3, 2e-7
+MIN_COUNT = 3
 DISCOUNT, ALPHA = 0.5, 0.1
 FOLDS = 10
+#: Share of all tokens from which a word is held by each task, and tokens a bucket.
+P_MIN, POSITIONS = 2e-7, 3_000_000
 #: Bytes of text, or of word numbers, worked on at once.
 SLICE = 8 << 20
 #: No word holds a blank.
@@ -71,7 +82,7 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class Index:
-    """Place of values among sorted distinct keys: open addressing, a quarter full, looked up for whole arrays."""
+    """Place of values among distinct keys: open addressing, a quarter full, looked up for whole arrays."""
 
     def __init__(self, keys: np.ndarray):
         bits = max(4, (4 * len(keys)).bit_length())
@@ -105,78 +116,6 @@ class Index:
         return out
 
 
-def joined(shorter: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Keys of the n-grams at each place, from the numbers of the (n-1)-grams; -1 where one of these is rare or an end is passed."""
-    a, b = shorter[:-1], shorter[1:]
-    return np.where((a >= 0) & (b >= 0) & ~last, a.astype(np.int64) << 32 | b, -1)
-
-
-def gram_ids(indices: list[Index], words: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Numbers of the frequent n-grams that begin at each place, an array for each order, from those of the words."""
-    ids = [words]
-    for n, index in enumerate(indices, 2):
-        found = np.full(max(0, len(words) - n + 1), -1, np.int32)
-        if len(found):
-            keys = joined(ids[-1], ends[n - 2 : len(words) - 1])
-            at = np.flatnonzero(keys >= 0)
-            found[at] = index.of(keys[at])
-        ids.append(found)
-    return ids
-
-
-class Tree:
-    """Frequent n-grams of each order (sorted keys and counts) and, once fitted, their probabilities and states."""
-
-    def __init__(self, tokens: int = 0, words: int = 0, keys=(), counts=()):
-        self.tokens, self.words, self.keys, self.counts = tokens, words, list(keys), list(counts)
-
-    @property
-    def norm(self) -> float:
-        return self.tokens + ALPHA * (self.words + 1)
-
-    def fit(self) -> Tree:
-        """log10 probabilities of the frequent n-grams, and of each context its weight for its suffix and whether it is a state."""
-        self.logs = [np.log((self.counts[0] + ALPHA) / self.norm)]
-        self.weights, self.states = [], []
-        for n in range(1, len(self.keys)):
-            key, times = self.keys[n], self.counts[n].astype(float)
-            context, suffix = key >> 32, key & 0xFFFFFFFF
-            total, size = self.counts[n - 1].astype(float), len(self.keys[n - 1])
-            listed = np.bincount(context, minlength=size)
-            left = total - np.bincount(context, times - DISCOUNT, size)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                weight = np.where(listed > 0, left / total, 1.0)
-                log = np.log((times - DISCOUNT) / total[context] + weight[context] * np.exp(self.logs[n - 1][suffix]))
-                rest = total - np.bincount(context, times, size)
-                gain = np.bincount(context, times * (log - self.logs[n - 1][suffix]), size) + np.where(rest > 0, rest * np.log(weight), 0.0)
-            self.logs.append(log)
-            self.weights.append(np.log(weight))
-            self.states.append((listed > 0) & (gain >= 0.5 * (listed + 1) * np.log(max(self.tokens, 2))))
-        for n in range(len(self.states) - 1, 0, -1):
-            self.states[n - 1][self.keys[n][self.states[n]] & 0xFFFFFFFF] = True
-        self.logs = [x / np.log(10) for x in self.logs]
-        self.weights = [x / np.log(10) for x in self.weights]
-        return self
-
-    def score(self, words: np.ndarray, ends: np.ndarray, indices: list[Index]) -> tuple[np.ndarray, np.ndarray]:
-        """Base and model log10 probability of each symbol, the root's part left out for rare words."""
-        ids = gram_ids(indices, words, ends)
-        base = np.where(words < 0, 0.0, self.logs[0][words]) if len(self.logs[0]) else np.zeros(len(words))
-        out = base.copy()
-        for n, (weight, state) in enumerate(zip(self.weights, self.states, strict=True), 1):
-            if len(words) <= n:
-                break
-            context, gram, tail = ids[n - 1][: len(words) - n], ids[n], out[n:]
-            at = np.flatnonzero(context >= 0)
-            at = at[state[context[at]]]
-            tail[at] = np.where(gram[at] >= 0, self.logs[n][gram[at]], tail[at] + weight[context[at]])
-        return base, out
-
-    @property
-    def contexts(self) -> int:
-        return int(sum(s.sum() for s in self.states))
-
-
 def _word_counts(batches):
     for batch in slices(batches, "text", SLICE):
         seq, at, hashes = symbols(column(batch, "text").to_pylist())
@@ -185,11 +124,11 @@ def _word_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n), pa.array(every)], ["h", "n", "every"])
 
 
-ENCODED = "doc_id long, held_out boolean, row long, words binary, rare array<struct<h: long, times: long>>"
+ENCODED = "doc_id long, held_out boolean, row long, words binary, others array<struct<h: long, times: long>>"
 
 
 def _encoded(keys):
-    """Documents as the numbers of their frequent words (-1: another), and their other words with the times of each."""
+    """Documents as the numbers of held words (-1 - k: the k-th of the document's others), and the others with the times of each."""
 
     def run(batches):
         index = Index(keys.value)
@@ -198,122 +137,385 @@ def _encoded(keys):
             words = index.of(hashes)[seq]
             where = np.flatnonzero(words < 0)
             doc = np.searchsorted(at, where, "right") - 1
-            pair, times = np.unique(doc * len(hashes) + seq[where], return_counts=True)
+            pair, kind, times = np.unique(doc * len(hashes) + seq[where], return_inverse=True, return_counts=True)
             offsets = np.searchsorted(pair, np.arange(batch.num_rows + 1) * len(hashes)).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(hashes[pair % len(hashes)]), pa.array(times)], ["h", "times"]))
-            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(words)])
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "held_out", "row")), packed, rare], ["doc_id", "held_out", "row", "words", "rare"])
+            words[where] = -1 - (kind - offsets[doc])
+            others = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(hashes[pair % len(hashes)]), pa.array(times)], ["h", "times"]))
+            numbers = pa.array([packed([words[i:j]]) for i, j in zip(at, at[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "held_out", "row")), numbers, others], ["doc_id", "held_out", "row", "words", "others"])
 
     return run
 
 
-def _decoded(batches):
-    """Batch, word numbers, ends and offsets, a bounded slice at a time."""
-    for batch in slices(batches, "words", SLICE):
-        data, at = utf8(column(batch, "words"))
-        words, at = data.view(np.int32), at // 4
-        ends = np.zeros(len(words), bool)
-        ends[at[1:] - 1] = True
-        yield batch, words, ends, at
+def _decoded(batches, others: str):
+    """Batch, word numbers, offsets of documents and how many others (a list column) those before hold, a bounded slice at a time; number -1 - k is the k-th other of the slice."""
+    for whole in batches:
+        data = column(whole, "words").to_pylist()
+        before, i = np.r_[0, np.cumsum([int.from_bytes(x[:8], "little") for x in data], dtype=np.int64)], 0
+        while i < len(data):
+            j = max(i + 1, int(np.searchsorted(before, before[i] + SLICE // 4, "right")) - 1)
+            batch = whole.slice(i, j - i)
+            words = np.concatenate([unpacked(x, [np.int32])[0] for x in data[i:j]])
+            sizes = pc.fill_null(pc.list_value_length(column(batch, others)), 0).to_numpy(zero_copy_only=False)
+            yield batch, words, before[i : j + 1] - before[i], np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+            i = j
+
+
+@dataclass
+class Plan:
+    """What each task holds: held words, by falling count, with their counts; corpus totals; the words whose branches are dealt over several buckets."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    tokens: int
+    distinct: int
+    buckets: int
+    wide: np.ndarray
+    parts: np.ndarray
 
+    @property
+    def norm(self) -> float:
+        return self.tokens + ALPHA * (self.distinct + 1)
 
-def _gram_counts(keys):
-    def run(batches):
-        indices = [Index(k) for k in keys.value]
-        order = len(indices) + 2
-        for _, words, ends, _ in _decoded(batches):
-            if len(words) < order:
-                continue
-            found = joined(gram_ids(indices, words, ends)[-1], ends[order - 2 : len(words) - 1])
-            key, n = np.unique(found[found >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64)
 
-    return run
+    def parts_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Buckets over which the branch of each word is dealt."""
+        at = Index(self.wide).of(hashes)
+        return np.where(at >= 0, self.parts[at], 1) if len(self.wide) else np.ones(len(hashes), np.int64)
 
 
-def frequent(counted: DataFrame, key: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of those counted ``least`` times or more: fewer than 1 / P_MIN, whatever the corpus."""
-    table = counted.filter(F.col("n") >= least).select(key, "n").toArrow()
-    keys, n = (table.column(c).to_numpy() for c in (key, "n"))
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays by planes of bytes, compressed."""
+    planes = b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
-def _typed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
+def unpacked(data: bytes, kinds: list) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, np.int64, len(kinds))
+    planes = pa.Codec("zstd").decompress(data[8 * len(kinds) :], int(sum(n * np.dtype(k).itemsize for n, k in zip(sizes, kinds, strict=True))), asbytes=True)
+    out, at = [], 0
+    for n, k in zip(sizes, kinds, strict=True):
+        width = np.dtype(k).itemsize
+        out.append(np.frombuffer(planes, np.uint8, n * width, at).reshape(width, n).T.copy().view(k).ravel())
+        at += n * width
+    return out
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """h, n training occurrences and every occurrence of each word of all documents."""
-    counted = _typed(docs).select("text", "held_out").mapInArrow(_word_counts, "h long, n long, every long")
-    return cut(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "words")
+#: A block: symbols and the two words before the one before; that one, as a place in a list, by falling times, that follows; where documents begin, rows and folds of these, ids and counts of words that are not held.
+BLOCK = [np.int32, np.int32, np.int32, np.int8, np.int64, np.int8, np.int64, np.int64]
+SENT = "bucket int, doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, block binary, h1 long, h2 long, id long, n long, n2 long"
 
 
-class Corpus:
-    """Word counts of all documents and the documents as numbers of frequent words: what training and scoring share."""
+def _blocks(plan):
+    """Each document's own figures, and its tokens in blocks, one a bucket. Word numbers: 0 in no frequent n-gram, then held words, then others."""
+
+    def run(batches):
+        p = plan.value
+        held = len(p.keys)
+        logs, places, parts = np.log10((p.counts + ALPHA) / p.norm), p.place(p.keys), p.parts_of(p.keys)
+        for batch, words, at, first in _decoded(batches, "kept"):
+            kept = column(batch, "kept").flatten()
+            k, other, n = (kept.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "id", "n"))
+            known, one, kind = np.unique(other, return_index=True, return_inverse=True)
+            times = n[one]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            code = words + np.int32(1)
+            low = np.flatnonzero(words < 0)
+            # The place of a document's k-th other word among those that were kept.
+            most = int(-words[low].min(initial=0)) + 1
+            asked, there = doc[low] * most - 1 - words[low], np.repeat(np.arange(batch.num_rows), np.diff(first)) * most + k
+            found = Index(there).of(asked)
+            code[low] = np.where(found >= 0, kind[found] + held + 1, 0) if len(kind) else 0
+            value = np.zeros(len(words))
+            high = np.flatnonzero(words >= 0)
+            value[high] = logs[words[high]]
+            ids = column(batch, "row").to_numpy()
+            n_known = np.add.reduceat((words >= 0).astype(np.int64), at[:-1]) + column(batch, "known").to_numpy()
+            base = np.add.reduceat(value, at[:-1]) + column(batch, "root").to_numpy()
+            own = {"bucket": ids % p.buckets, "doc_id": column(batch, "doc_id"), "held_out": column(batch, "held_out"), "row": ids, "n_tokens": np.diff(at), "n_known": n_known, "base": base}
+            yield sent(own)
+
+            since = np.arange(len(words)) - at[:-1][doc]
+            where = np.flatnonzero(since > 0)
+            where = where[code[where - 1] > 0]
+            near = [code[where], code[where - 1]]
+            for back in (2, 3):
+                near.append(np.where((since[where] >= back) & (near[-1] > 0), code[where - back], np.int32(0)))
+            place, part = np.r_[0, places, p.place(known)], np.r_[1, parts, np.ones(len(known), np.int64)]
+            bucket = ((place[near[1]] + place[near[2]] % part[near[1]]) % p.buckets).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(p.buckets + 1))
+            learn = (~np.array(column(batch, "held_out"))).astype(np.int8)
+            near, doc = np.stack(near)[:, order], doc[where][order]
+            full = np.flatnonzero(np.diff(cuts))
+            made = []
+            for b in full:
+                x, d = near[:, cuts[b] : cuts[b + 1]].ravel(), doc[cuts[b] : cuts[b + 1]]
+                size = len(d)
+                low = np.flatnonzero(x > held)
+                some, kind = np.unique(x[low], return_inverse=True)
+                x[low] = kind + held + 1
+                some = some - held - 1
+                new = np.r_[True, d[1:] != d[:-1]]
+                docs = d[new]
+                list_, kind, n = np.unique(x[size : 2 * size], return_inverse=True, return_counts=True)
+                falling = np.argsort(-n, kind="stable")
+                kind = np.argsort(falling).astype(np.int32)[kind]
+                made.append(packed([np.r_[x[:size], x[2 * size :]], kind, list_[falling], new.astype(np.int8), np.diff(ids[docs], prepend=0), learn[docs], np.diff(known[some], prepend=0), times[some]]))
+            yield sent({"bucket": full, "block": pa.array(made, pa.binary())})
+
+    return run
 
-    def __init__(self, docs: DataFrame, min_count: int = MIN_COUNT, p_min: float = P_MIN):
-        self.spark = docs.sparkSession
-        self.words = words_of(docs)
-        self.tokens, self.distinct, self.every = self.words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", (F.col("n") > 0).cast("long"), "every")]).first()
-        self.least = max(min_count, ceil(self.tokens * p_min))
-        self.keys, self.counts = frequent(self.words, "h", self.least)
-        asked = _typed(docs).withColumn("row", F.monotonically_increasing_id())
-        self.rows = cut(asked.mapInArrow(_encoded(self.spark.sparkContext.broadcast(self.keys)), ENCODED), "symbols")
 
+def sent(columns: dict, schema: str = SENT) -> pa.RecordBatch:
+    """Record batch of these columns, the schema's others null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    n = len(next(iter(columns.values())))
+    out = {}
+    for name, kind in (x.split() for x in schema.split(", ")):
+        c = columns.get(name)
+        out[name] = pa.nulls(n, kinds[kind]) if c is None else c if isinstance(c, pa.Array) else pa.array(c, kinds[kind])
+    return pa.RecordBatch.from_pydict(out)
 
-def train(corpus: Corpus, depth: int = DEPTH) -> Tree:
-    """The tree of the documents that are not held out."""
-    keys, counts = [corpus.keys], [corpus.counts]
-    own = corpus.rows.filter("NOT held_out").select("words")
-    for _ in range(depth):
-        held = corpus.spark.sparkContext.broadcast(keys[1:])
-        counted = own.mapInArrow(_gram_counts(held), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        key, n = frequent(counted, "key", corpus.least)
-        held.unpersist()
-        if not len(key):
-            break
-        keys, counts = [*keys, key], [*counts, n]
-    return Tree(corpus.tokens, corpus.distinct, keys, counts).fit()
 
+def _wide_pairs(plan):
+    """Pairs of words whose first has its branch dealt over several buckets, and their times in training."""
 
-SCORED = "doc_id long, held_out boolean, row long, n_tokens long, n_frequent long, base double, part double"
+    def run(batches):
+        p = plan.value
+        wide = Index(p.wide).of(p.keys)
+        for batch, words, at, first in _decoded(batches, "others"):
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            number = np.where(words >= 0, words, len(wide) - 1 - words + first[doc])
+            place = np.where(words >= 0, wide[np.maximum(words, 0)], -1) if len(wide) else np.full(len(words), -1)
+            place[at[1:] - 1] = -1
+            where = np.flatnonzero(place >= 0)
+            key, n = np.unique(place[where].astype(np.int64) << 32 | number[where + 1], return_counts=True)
+            hashes = np.r_[p.keys, column(batch, "others").flatten().field("h").to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(p.wide[key >> 32]), pa.array(hashes[key & LOW]), pa.array(n)], ["h1", "h2", "n"])
+
+    return run
 
 
-def _scored(tree):
+LOW = 0xFFFFFFFF
+#: Gains of a document in a bucket are sent as whole billionths.
+UNIT = 1e9
+TURNS = 6
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, part long, wide long, state boolean"
+
+
+class Level:
+    """Contexts of one length and their frequent continuations: log probabilities, weights of the suffix, states by their own test."""
+
+    def __init__(self, keys: np.ndarray, times: np.ndarray, total: np.ndarray, suffix: np.ndarray, tokens: int):
+        self.keys, context, size = keys, keys >> 32, len(total)
+        times, total = times.astype(float), total.astype(float)
+        self.listed = np.bincount(context, minlength=size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(self.listed > 0, (total - np.bincount(context, times - DISCOUNT, size)) / total, 1.0)
+            self.logs = np.log((times - DISCOUNT) / total[context] + weight[context] * np.exp(suffix))
+            rest = total - np.bincount(context, times, size)
+            gain = np.bincount(context, times * (self.logs - suffix), size) + np.where(rest > 0, rest * np.log(weight), 0.0)
+        self.weights = np.log(weight)
+        self.states = (self.listed > 0) & (gain >= 0.5 * (self.listed + 1) * np.log(max(tokens, 2)))
+
+
+def frequent(key: np.ndarray, learn: np.ndarray, usable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys that occur MIN_COUNT times in training, their counts, and the place of each row's key among them or -1."""
+    keys, kind = np.unique(key, return_inverse=True)
+    n = np.bincount(kind[learn], minlength=len(keys))
+    good = (n >= MIN_COUNT) & usable(keys)
+    return keys[good], n[good], np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)[kind]
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64) << 32 | b
+
+
+def gains(p: Plan, count: np.ndarray, near: np.ndarray, learn: np.ndarray, wide: np.ndarray, pairs: np.ndarray, pair_times: np.ndarray, depth: int):
+    """What each token's log probability gains over the root's; the tokens that gain only if their word before is a state, by other buckets' contexts; such words that are states by this bucket's."""
+    root = np.log((count + ALPHA) / p.norm)
+    root[0] = 0.0  # of words in no frequent n-gram only the weights count
+    there = np.zeros(len(count), bool)
+    there[near[1]] = there[pairs >> 32] = True
+    dense, word = np.cumsum(there, dtype=np.int32) - 1, np.flatnonzero(there)
+    x, split = dense[near[1]], wide[word]
+    keys, times, e = frequent(pair(x, near[0]), learn, lambda k: (k & LOW > 0) & ~split[k >> 32])
+    if len(pairs):  # those of dealt branches, counted
+        pairs = pair(dense[pairs >> 32], pairs & LOW)
+        sorts = np.argsort(keys := np.r_[keys, pairs])
+        e = np.where(e >= 0, np.argsort(sorts).astype(np.int32)[e], np.int32(-1))
+        keys, times = keys[sorts], np.r_[times, pair_times][sorts]
+        own = np.flatnonzero(split[x])
+        k = pair(x[own], near[0][own])
+        j = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        e[own] = np.where(keys[j] == k, j, -1)
+    levels, rows = [Level(keys, times, count[word], root[keys & LOW], p.tokens)], [(np.arange(near.shape[1], dtype=np.int32), x, e)]
+    parents = []
+    for n in range(2, depth + 1):
+        at, x, e = rows[-1]
+        go = np.flatnonzero((levels[-1].listed[x] > 0) & (near[n][at] > 0))
+        at, before = at[go].astype(np.int32), e[go]
+        contexts, x = np.unique(pair(x[go], near[n][at]), return_inverse=True)
+        x = x.astype(np.int32)
+        total = np.bincount(x[learn[at]], minlength=len(contexts))
+        some = np.flatnonzero(before >= 0)
+        keys, times, found = frequent(pair(x[some], before[some]), learn[at[some]], lambda k: True)
+        e = np.full(len(at), -1, np.int32)
+        e[some] = found
+        levels.append(Level(keys, times, total, levels[-1].logs[keys & LOW], p.tokens))
+        rows.append((at, x, e))
+        parents.append(contexts >> 32)
+    own = levels[0].states.copy()
+    for n in range(len(parents) - 1, -1, -1):
+        levels[n].states[parents[n][levels[n + 1].states]] = True
+    first = out = root[near[0]]
+    for k, (level, (at, x, e)) in enumerate(zip(levels, rows, strict=True)):
+        last = level.logs[e] if len(level.logs) else np.zeros(len(e))
+        given = np.where(e >= 0, last, out[at] + level.weights[x])
+        if not k:
+            open_ = split[x] & ~level.states[x] & (level.listed[x] > 0)
+            maybe = np.where(open_, given - first, 0.0)
+        out = out.copy()
+        hit = level.states[x]
+        out[at[hit]] = given[hit]
+    told = word[split & levels[0].states & ~own]
+    return (out - first) / np.log(10), maybe / np.log(10), open_, told
+
+
+def _branches(plan, depth: int):
+    """Gains of a bucket's tokens, summed by document."""
+
     def run(batches):
-        model = tree.value
-        indices = [Index(k) for k in model.keys[1:]]
-        for batch, words, ends, at in _decoded(batches):
-            sums = [np.add.reduceat(x, at[:-1]) for x in ((words >= 0).astype(np.int64), *model.score(words, ends, indices))]
-            known = [column(batch, c) for c in ("doc_id", "held_out", "row")]
-            yield pa.RecordBatch.from_arrays([*known, pa.array(np.diff(at)), *map(pa.array, sums)], [x.split()[0] for x in SCORED.split(", ")])
+        p = plan.value
+        blocks, pairs = [], []
+        for batch in batches:
+            own = batch.filter(pc.is_valid(column(batch, "row")))
+            if own.num_rows:
+                yield sent({c: column(own, c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base")}, SCORED)
+            blocks += [unpacked(x.as_py(), BLOCK) for x in column(batch, "block").drop_null()]
+            pairs.append(np.stack([column(batch, c).drop_null().to_numpy() for c in ("h1", "h2", "id", "n", "n2")]))
+        if not blocks:
+            return
+        held = len(p.keys)
+        near = [np.insert(b[0].reshape(3, -1), 1, b[2][b[1]], axis=0) for b in blocks]
+        ids = np.concatenate([np.cumsum(b[4]) for b in blocks])
+        doc = np.cumsum(np.concatenate([b[3] for b in blocks]), dtype=np.int32) - 1
+        learn = np.concatenate([b[5] for b in blocks]).astype(bool)[doc]
+        others, times = np.concatenate([np.cumsum(b[6]) for b in blocks]), np.concatenate([b[7] for b in blocks])
+        sizes = [len(b[6]) for b in blocks]
+        del blocks
+        h1, h2, other, n, n2 = np.concatenate(pairs, 1)
+        a, b = ((Index(p.keys).of(h) if len(h) else np.zeros(0, np.int32)).astype(np.int64) + 1 for h in (h1, h2))
+        # Words that are not held have a block's own numbers: numbered anew by id.
+        new = b == 0
+        known, first, kind = np.unique(np.r_[others, other[new]], return_index=True, return_inverse=True)
+        count = np.r_[0, p.counts, np.r_[times, n2[new]][first]]
+        at = 0
+        for x, size in zip(near, sizes, strict=True):
+            low = x > held
+            x[low] = kind[at + x[low] - held - 1] + held + 1
+            at += size
+        near = np.concatenate(near, 1)
+        b[new] = kind[at:] + held + 1
+        keys, once = np.unique(a << 32 | b, return_index=True)
+        wide = np.r_[False, p.parts_of(p.keys) > 1, np.zeros(len(known), bool)]
+        n, sums = n[once], np.zeros(len(ids))
+        # Branches in turns, so that a task works on a part of its bucket at once.
+        for turn in range(TURNS):
+            at, own = np.flatnonzero(near[1] % TURNS == turn), (keys >> 32) % TURNS == turn
+            docs = doc[at]
+            gain, maybe, undecided, told = gains(p, count, near[:, at], learn[at], wide, keys[own], n[own], depth)
+            sums += np.bincount(docs, gain, len(ids))
+            k = np.flatnonzero(undecided)
+            key, kind = np.unique(pair(near[1][at[k]], docs[k]), return_inverse=True)
+            yield sent({"row": ids[key & LOW], "wide": p.keys[(key >> 32) - 1], "part": np.rint(np.bincount(kind, maybe[k], len(key)) * UNIT).astype(np.int64)}, SCORED)
+            yield sent({"wide": p.keys[told - 1], "state": np.ones(len(told), bool)}, SCORED)
+        part = np.rint(sums * UNIT).astype(np.int64)
+        some = np.flatnonzero(part)
+        yield sent({"row": ids[some], "part": part[some]}, SCORED)
 
     return run
 
 
-def score(corpus: Corpus, tree: Tree) -> DataFrame:
+def _typed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """h, n training occurrences, every occurrence and an id of each word of all documents."""
+    counted = _typed(docs).select("text", "held_out").mapInArrow(_word_counts, "h long, n long, every long")
+    return cut(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("every").alias("every")).withColumn("id", F.monotonically_increasing_id()), "words")
+
+
+class Corpus:
+    """Word counts of all documents, and the documents as numbers of words."""
+
+    def __init__(self, docs: DataFrame, p_min: float = P_MIN, positions: int = POSITIONS):
+        self.spark = docs.sparkSession
+        self.words = words_of(docs)
+        self.tokens, self.distinct, self.every = self.words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", (F.col("n") > 0).cast("long"), "every")]).first()
+        self.least = max(MIN_COUNT, ceil(self.tokens * p_min))
+        buckets = parts_for(self.spark, self.every, positions)
+        # Words with branches larger than a bucket, fewer than there are buckets, are held as well.
+        end = int(np.uint64(END).astype(np.int64))
+        wide = (F.col("n") >= MIN_COUNT) & (F.col("every") * buckets > self.every) & (F.col("h") != end)
+        self.held = wide | (F.col("n") >= self.least)
+        table = self.words.filter(self.held).select("h", "n", "every", wide.alias("wide")).toArrow()
+        keys, counts, every, wide = (table.column(c).to_numpy() for c in ("h", "n", "every", "wide"))
+        order = np.lexsort((keys, -counts))
+        self.plan = Plan(keys[order], counts[order], self.tokens, self.distinct, buckets, keys[wide], -(-every[wide] * buckets // max(1, self.every)))
+        self.sent = self.spark.sparkContext.broadcast(self.plan)
+        asked = _typed(docs).withColumn("row", F.monotonically_increasing_id())
+        self.rows = cut(asked.mapInArrow(_encoded(self.spark.sparkContext.broadcast(self.plan.keys)), ENCODED), "symbols")
+
+    def looked_up(self) -> DataFrame:
+        """The documents with the root's part of their words that no task holds, and the counts of those that n-grams may hold."""
+        # A word that very many documents hold may still be rare in training.
+        others = self.words.filter(~self.held)
+        asked = self.rows.select("row", F.posexplode("others").alias("k", "other")).select("row", "k", "other.*")
+        found = salted_join(asked, others.select("h", "n", "id"), "h", others.select("h", F.col("every").alias("count")), self.every, "row")
+        value = F.log10((F.col("n") + ALPHA) / self.plan.norm)
+        sums = found.groupBy("row").agg(
+            F.sum(F.col("times") * value).alias("root"),
+            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
+            F.collect_list(F.when(F.col("n") >= MIN_COUNT, F.struct("k", "id", "n"))).alias("kept"),
+        )
+        return self.rows.drop("others").join(sums, "row", "left").fillna(0, ["root", "known"])
+
+    def wide_pairs(self) -> DataFrame:
+        """The frequent pairs at the roots of dealt branches, for each bucket of these, with the second word's count."""
+        p = self.plan
+        to = [(int(h), [int((a + k) % p.buckets) for k in range(n)]) for h, a, n in zip(p.wide, p.place(p.wide), p.parts, strict=True)]
+        to = self.spark.createDataFrame(to, "h1 long, buckets array<int>").select("h1", F.explode("buckets").alias("bucket"))
+        counted = self.rows.filter("NOT held_out").select("words", "others").mapInArrow(_wide_pairs(self.sent), "h1 long, h2 long, n long")
+        pairs = counted.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+        return pairs.join(self.words.select(F.col("h").alias("h2"), "id", F.col("n").alias("n2")), "h2").join(F.broadcast(to), "h1")
+
+
+def score(corpus: Corpus, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
-    scored = corpus.rows.select("doc_id", "held_out", "row", "words").mapInArrow(_scored(corpus.spark.sparkContext.broadcast(tree)), SCORED)
-    # The words that no task holds; a word that very many documents hold may still be rare in training.
-    others = corpus.words.filter(F.col("n") < corpus.least)
-    asked = corpus.rows.select("row", F.inline("rare"))
-    found = salted_join(asked, others.select("h", "n"), "h", others.select("h", F.col("every").alias("count")), corpus.every, "row")
-    value = F.log10((F.col("n") + ALPHA) / tree.norm)
-    sums = found.groupBy("row").agg(F.sum(F.col("times") * value).alias("root"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = scored.join(sums, "row", "left").fillna(0, ["root", "known"])
+    sent_ = corpus.looked_up().mapInArrow(_blocks(corpus.sent), SENT)
+    if len(corpus.plan.wide):
+        sent_ = sent_.unionByName(corpus.wide_pairs(), allowMissingColumns=True)
+    found = cut(sent_.repartitionById(corpus.plan.buckets, F.col("bucket")).mapInArrow(_branches(corpus.sent, depth), SCORED), "gains")
+    states = found.filter("state").select("wide").distinct()
+    maybe = found.filter("wide IS NOT NULL AND state IS NULL").join(F.broadcast(states), "wide", "left_semi")
+    parts = found.filter("part IS NOT NULL AND wide IS NULL").select("row", "part").unionByName(maybe.select("row", "part")).groupBy("row").agg(F.sum("part").alias("part"))
+    out = found.filter("n_tokens IS NOT NULL").drop("part", "wide", "state").join(parts, "row", "left").fillna(0, "part")
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_frequent") + F.col("known")).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("root")).alias("base_score"),
-        (F.col("part") + F.col("root")).alias("score"),
+        "n_known",
+        F.lit(corpus.tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        (F.col("base") + F.col("part") / UNIT).alias("score"),
     )
 
 
 def learn_and_score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Scores of all documents by a tree of those not held out."""
-    corpus = Corpus(docs)
-    return score(corpus, train(corpus, depth))
+    return score(Corpus(docs), depth)

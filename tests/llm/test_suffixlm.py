@@ -71,6 +71,50 @@ def test_scores_against_plain_dictionaries(spark, seed, n):
     assert sorted(map(key, found.collect())) == sorted(map(key, plain.rows()))
 
 
+def rounded(rows):
+    return sorted(tuple(round(x, 6) if isinstance(x, float) else x if x is not None else -1 for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("p_min,positions,seed", [(0.01, 1 << 20, 0), (1.0, 150, 1), (2e-7, 60, 3)])
+def test_scores_whatever_the_tasks_hold_and_the_buckets(spark, p_min, positions, seed):
+    docs = corpus(seed, 250)
+    held = suffixlm.Corpus(spark.createDataFrame(docs, "doc_id long, text string"), p_min, positions)
+    assert (held.least > 3) == (p_min > 2e-7) and (len(held.plan.wide) > 5) == (positions < 1000)
+    assert rounded(suffixlm.score(held).collect()) == rounded(Plain(docs).rows())
+
+
+def test_dealt_word_that_is_a_state_by_its_extensions_alone(spark):
+    rng = random.Random(7)
+    docs = []
+    for i in range(300):
+        words = []
+        while len(words) < 40:
+            words.append("z" if words[-2:] == ["q", "the"] else rng.choice(["q", "the", "z", *(f"v{k}" for k in range(17))]))
+        docs.append((i, " ".join(words)))
+    held = suffixlm.Corpus(spark.createDataFrame(docs, "doc_id long, text string"), positions=200)
+    assert int(suffixlm.symbols(["the"])[2][1]) in held.plan.wide
+    plain = Plain(docs)
+    assert ("the",) in plain.states and len(plain.states) < 20
+    assert rounded(suffixlm.score(held).collect()) == rounded(plain.rows())
+
+
+def test_phrases_count_however_large_the_corpus(spark):
+    """Three times of each of 20 phrases, beside sixteen million other words."""
+    ids = [i for i in range(10**6, 10**6 + 400) if crc32(str(i).encode()) % 10]
+    phrases = [" ".join(f"p{k}x{j}" for j in range(8)) for k in range(20)]
+    small = [(ids[3 * k + j], phrases[k]) for k in range(20) for j in range(3)]
+    filler = spark.range(0, 1800, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("f "), 10000).alias("text"))
+    found = suffixlm.learn_and_score(filler.unionByName(spark.createDataFrame(small, "doc_id long, text string"))).filter(F.col("doc_id") >= 10**6).collect()
+    assert len(found) == 60 and found[0].train_tokens > 15_500_000
+    assert all(r.score > r.base_score + 20 for r in found)
+
+
+def test_blocks_come_back():
+    arrays = [np.arange(-5, 40, dtype=np.int32), np.zeros(0, np.int64), np.array([-1, 1 << 60]), np.array([1, 0, 1], np.int8)]
+    back = suffixlm.unpacked(suffixlm.packed(arrays), [a.dtype for a in arrays])
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, back, strict=True))
+
+
 def test_distributions_sum_to_one():
     plain = Plain(corpus(2, 300))
     words = [w for (w,) in plain.c[0]]
