@@ -22,12 +22,15 @@ tests and smooths its branches and scores its tokens. Buckets are of about
 POSITIONS tokens. Branches larger than that are dealt over several buckets by the
 word one further back; the pairs at their root are counted apart and sent to each.
 Whether that root is a state may hang on any of them: where a bucket can't tell,
-it gives what the tokens gain if so, and the others' answer decides.
+it gives what the tokens gain if so, and the others' answer decides. Gains are sent
+packed by groups of documents, not a row for each document and bucket.
 
-Words that make up P_MIN of all tokens are held by each task: fewer than
-1 / P_MIN, a bound that no corpus exceeds. The others' counts are looked up in the
-table of all words by a salted join, once a document and word. Which words are
-held decides where a count is found, never a score.
+The most frequent words, HELD at most, are held by each task. The others go by
+their hashes: what the root gives them is looked up in the table of all words by a
+salted join, once a document and word, and summed by document; a bucket counts
+them itself where they end a context, and is sent their counts with the pairs that
+end in them. So documents stay where they are. Which words are held decides where
+a count is found, never a score.
 
 Words are known by 64-bit hashes; two words of one hash would count as one
 (with ten million words, odds of one in 370,000 that there is any such pair).
@@ -57,10 +60,10 @@ DEPTH = 3
 MIN_COUNT = 3
 DISCOUNT, ALPHA = 0.5, 0.1
 FOLDS = 10
-#: Share of all tokens from which a word is held by each task, and tokens a bucket.
-P_MIN, POSITIONS = 2e-7, 3_000_000
-#: Bytes of text, or of word numbers, worked on at once.
-SLICE = 8 << 20
+#: Words that each task holds at most, and tokens a bucket.
+HELD, POSITIONS = 2_000_000, 2_000_000
+#: Bytes of text worked on at once.
+SLICE = 4 << 20
 #: No word holds a blank.
 END = xxhash.xxh3_64_intdigest(b" ")
 
@@ -82,37 +85,32 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class Index:
-    """Place of values among distinct keys: open addressing, a quarter full, looked up for whole arrays."""
+    """Place of values among distinct keys: open addressing, half full at most, looked up for whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, (4 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.slots, self.held = np.full(1 << bits, -1, np.int32), np.full(1 << bits, -1, np.int64)
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
         todo, at = np.arange(len(keys), dtype=np.int32), self.first(keys)
         while len(todo):
             free = self.slots[at] < 0
             self.slots[at[free]] = todo[free]
             left = self.slots[at] != todo
             todo, at = todo[left], (at[left] + 1) & self.mask
-        self.held[self.slots >= 0] = keys[self.slots[self.slots >= 0]]
 
     def first(self, x: np.ndarray) -> np.ndarray:
         return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def of(self, wanted: np.ndarray) -> np.ndarray:
         """Place of each wanted value, or -1."""
-        at = self.first(wanted)
-        held = self.held[at]
-        out = np.where(held == wanted, self.slots[at], np.int32(-1))
-        todo = np.flatnonzero((held != wanted) & (held != -1))
-        at = at[todo]
+        out, todo, at = np.full(len(wanted), -1, np.int32), np.arange(len(wanted)), self.first(wanted)
         while len(todo):
-            at = (at + 1) & self.mask
-            held = self.held[at]
-            hit = held == wanted[todo]
-            out[todo[hit]] = self.slots[at[hit]]
-            go = ~hit & (held != -1)
-            todo, at = todo[go], at[go]
+            found = self.slots[at]
+            there = found >= 0
+            todo, at, found = todo[there], at[there], found[there]
+            hit = self.keys[found] == wanted[todo]
+            out[todo[hit]] = found[hit]
+            todo, at = todo[~hit], (at[~hit] + 1) & self.mask
         return out
 
 
@@ -124,46 +122,49 @@ def _word_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n), pa.array(every)], ["h", "n", "every"])
 
 
-ENCODED = "doc_id long, held_out boolean, row long, words binary, others array<struct<h: long, times: long>>"
+#: A slice of documents: word numbers (-1 - k: the k-th of the slice's others), tokens, ids, lack of an id, folds and rows of documents, others by rising hashes.
+TEXTS = [np.int32, np.int64, np.int64, np.int8, np.int8, np.int64, np.int64]
 
 
-def _encoded(keys):
-    """Documents as the numbers of held words (-1 - k: the k-th of the document's others), and the others with the times of each."""
+def _encoded(plan):
+    """Documents as the numbers of held words, and the hashes of the others, a row for each slice."""
 
     def run(batches):
-        index = Index(keys.value)
+        index = Index(plan.value.keys)
         for batch in slices(batches, "text", SLICE):
             seq, at, hashes = symbols(column(batch, "text").to_pylist())
-            words = index.of(hashes)[seq]
-            where = np.flatnonzero(words < 0)
-            doc = np.searchsorted(at, where, "right") - 1
-            pair, kind, times = np.unique(doc * len(hashes) + seq[where], return_inverse=True, return_counts=True)
-            offsets = np.searchsorted(pair, np.arange(batch.num_rows + 1) * len(hashes)).astype(np.int32)
-            words[where] = -1 - (kind - offsets[doc])
-            others = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(hashes[pair % len(hashes)]), pa.array(times)], ["h", "times"]))
-            numbers = pa.array([packed([words[i:j]]) for i, j in zip(at, at[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "held_out", "row")), numbers, others], ["doc_id", "held_out", "row", "words", "others"])
+            number = index.of(hashes)
+            low = np.flatnonzero(number < 0)
+            low = low[np.argsort(hashes[low])]
+            number[low] = -1 - np.arange(len(low), dtype=np.int32)
+            ids = column(batch, "doc_id")
+            none, held = (np.array(x, np.int8) for x in (pc.is_null(ids), column(batch, "held_out")))
+            data = packed([number[seq], np.diff(at), pc.fill_null(ids, 0).to_numpy(), none, held, column(batch, "row").to_numpy(), np.diff(hashes[low], prepend=0)])
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
     return run
 
 
-def _decoded(batches, others: str):
-    """Batch, word numbers, offsets of documents and how many others (a list column) those before hold, a bounded slice at a time; number -1 - k is the k-th other of the slice."""
-    for whole in batches:
-        data = column(whole, "words").to_pylist()
-        before, i = np.r_[0, np.cumsum([int.from_bytes(x[:8], "little") for x in data], dtype=np.int64)], 0
-        while i < len(data):
-            j = max(i + 1, int(np.searchsorted(before, before[i] + SLICE // 4, "right")) - 1)
-            batch = whole.slice(i, j - i)
-            words = np.concatenate([unpacked(x, [np.int32])[0] for x in data[i:j]])
-            sizes = pc.fill_null(pc.list_value_length(column(batch, others)), 0).to_numpy(zero_copy_only=False)
-            yield batch, words, before[i : j + 1] - before[i], np.r_[0, np.cumsum(sizes, dtype=np.int64)]
-            i = j
+def _decoded(batches):
+    """Word numbers, offsets, ids, folds and rows of a slice's documents, and the hashes of its others."""
+    for batch in batches:
+        for data in column(batch, "data"):
+            words, sizes, ids, none, held, row, others = unpacked(data.as_py(), TEXTS)
+            yield words, np.r_[0, np.cumsum(sizes)], pa.array(ids, mask=none.astype(bool)), held.astype(bool), row, np.cumsum(others)
+
+
+def _others(batches):
+    """The words of each document that no task holds, and the times of each."""
+    for words, at, _, _, row, others in _decoded(batches):
+        where = np.flatnonzero(words < 0)
+        doc = np.searchsorted(at, where, "right") - 1
+        key, n = np.unique(pair(doc, -1 - words[where]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(row[key >> 32]), pa.array(others[key & LOW]), pa.array(n)], ["row", "h", "times"])
 
 
 @dataclass
 class Plan:
-    """What each task holds: held words, by falling count, with their counts; corpus totals; the words whose branches are dealt over several buckets."""
+    """What each task holds: held words, by falling count, with their counts; corpus totals; the words whose branches are dealt over several buckets; whether all words of frequent n-grams are held."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -172,6 +173,7 @@ class Plan:
     buckets: int
     wide: np.ndarray
     parts: np.ndarray
+    whole: bool
 
     @property
     def norm(self) -> float:
@@ -203,9 +205,9 @@ def unpacked(data: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-#: A block: symbols and the two words before the one before; that one, as a place in a list, by falling times, that follows; where documents begin, rows and folds of these, ids and counts of words that are not held.
-BLOCK = [np.int32, np.int32, np.int32, np.int8, np.int64, np.int8, np.int64, np.int64]
-SENT = "bucket int, doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, block binary, h1 long, h2 long, id long, n long, n2 long"
+#: A block: symbols and the two words before the one before; that one, as a place in a list, by falling times, that follows; where documents begin, rows and folds of these, hashes of words that are not held.
+BLOCK = [np.int32, np.int32, np.int32, np.int8, np.int64, np.int8, np.int64]
+SENT = "bucket int, doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, block binary, h1 long, h2 long, n long, n2 long"
 
 
 def _blocks(plan):
@@ -215,44 +217,37 @@ def _blocks(plan):
         p = plan.value
         held = len(p.keys)
         logs, places, parts = np.log10((p.counts + ALPHA) / p.norm), p.place(p.keys), p.parts_of(p.keys)
-        for batch, words, at, first in _decoded(batches, "kept"):
-            kept = column(batch, "kept").flatten()
-            k, other, n = (kept.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "id", "n"))
-            known, one, kind = np.unique(other, return_index=True, return_inverse=True)
-            times = n[one]
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            code = words + np.int32(1)
-            low = np.flatnonzero(words < 0)
-            # The place of a document's k-th other word among those that were kept.
-            most = int(-words[low].min(initial=0)) + 1
-            asked, there = doc[low] * most - 1 - words[low], np.repeat(np.arange(batch.num_rows), np.diff(first)) * most + k
-            found = Index(there).of(asked)
-            code[low] = np.where(found >= 0, kind[found] + held + 1, 0) if len(kind) else 0
+        for words, at, doc_id, held_out, ids, others in _decoded(batches):
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at))
+            high = words >= 0
+            code = np.where(high, words + np.int32(1), np.int32(0) if p.whole else np.int32(held) - words)
             value = np.zeros(len(words))
-            high = np.flatnonzero(words >= 0)
             value[high] = logs[words[high]]
-            ids = column(batch, "row").to_numpy()
-            n_known = np.add.reduceat((words >= 0).astype(np.int64), at[:-1]) + column(batch, "known").to_numpy()
-            base = np.add.reduceat(value, at[:-1]) + column(batch, "root").to_numpy()
-            own = {"bucket": ids % p.buckets, "doc_id": column(batch, "doc_id"), "held_out": column(batch, "held_out"), "row": ids, "n_tokens": np.diff(at), "n_known": n_known, "base": base}
-            yield sent(own)
-
-            since = np.arange(len(words)) - at[:-1][doc]
-            where = np.flatnonzero(since > 0)
+            n_known, base = np.add.reduceat(high.astype(np.int64), at[:-1]), np.add.reduceat(value, at[:-1])
+            yield sent({"bucket": ids % p.buckets, "doc_id": doc_id, "held_out": held_out, "row": ids, "n_tokens": np.diff(at), "n_known": n_known, "base": base})
+            del high, value
+
+            since = (np.arange(len(words)) - at[:-1][doc]).astype(np.int32)
+            where = np.flatnonzero(since > 0).astype(np.int32)
             where = where[code[where - 1] > 0]
             near = [code[where], code[where - 1]]
             for back in (2, 3):
                 near.append(np.where((since[where] >= back) & (near[-1] > 0), code[where - back], np.int32(0)))
-            place, part = np.r_[0, places, p.place(known)], np.r_[1, parts, np.ones(len(known), np.int64)]
-            bucket = ((place[near[1]] + place[near[2]] % part[near[1]]) % p.buckets).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            place, part = np.r_[0, places, p.place(others)], np.r_[1, parts, np.ones(len(others), np.int64)]
+            bucket = (place % p.buckets).astype(np.int32)[near[1]]
+            far = np.flatnonzero(part[near[1]] > 1)
+            bucket[far] = (place[near[1][far]] + place[near[2][far]] % part[near[1][far]]) % p.buckets
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
             cuts = np.searchsorted(bucket[order], np.arange(p.buckets + 1))
-            learn = (~np.array(column(batch, "held_out"))).astype(np.int8)
-            near, doc = np.stack(near)[:, order], doc[where][order]
+            del since, code, bucket, far
+            learn = (~held_out).astype(np.int8)
+            doc = doc[where[order]]
+            for k in range(4):
+                near[k] = near[k][order]
             full = np.flatnonzero(np.diff(cuts))
             made = []
             for b in full:
-                x, d = near[:, cuts[b] : cuts[b + 1]].ravel(), doc[cuts[b] : cuts[b + 1]]
+                x, d = np.concatenate([x[cuts[b] : cuts[b + 1]] for x in near]), doc[cuts[b] : cuts[b + 1]]
                 size = len(d)
                 low = np.flatnonzero(x > held)
                 some, kind = np.unique(x[low], return_inverse=True)
@@ -263,7 +258,7 @@ def _blocks(plan):
                 list_, kind, n = np.unique(x[size : 2 * size], return_inverse=True, return_counts=True)
                 falling = np.argsort(-n, kind="stable")
                 kind = np.argsort(falling).astype(np.int32)[kind]
-                made.append(packed([np.r_[x[:size], x[2 * size :]], kind, list_[falling], new.astype(np.int8), np.diff(ids[docs], prepend=0), learn[docs], np.diff(known[some], prepend=0), times[some]]))
+                made.append(packed([np.r_[x[:size], x[2 * size :]], kind, list_[falling], new.astype(np.int8), np.diff(ids[docs], prepend=0), learn[docs], np.diff(others[some], prepend=0)]))
             yield sent({"bucket": full, "block": pa.array(made, pa.binary())})
 
     return run
@@ -280,21 +275,39 @@ def sent(columns: dict, schema: str = SENT) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out)
 
 
-def _wide_pairs(plan):
-    """Pairs of words whose first has its branch dealt over several buckets, and their times in training."""
+def _pairs(plan):
+    """Pairs of words that their bucket can't tell all about, and their times in training: the first has its branch dealt over several, or no task holds the second."""
+
+    def run(batches):
+        p = plan.value
+        held = len(p.keys)
+        wide = p.parts_of(p.keys) > 1
+        for words, at, _, held_out, _, others in _decoded(batches):
+            asked = np.append(words[1:] < 0, False) if not p.whole else np.zeros(len(words), bool)
+            high = np.flatnonzero(words >= 0)
+            asked[high] |= wide[words[high]]
+            asked &= np.repeat(~held_out, np.diff(at))
+            asked[at[1:] - 1] = False
+            where = np.flatnonzero(asked)
+            number = np.where(words < 0, held - 1 - words, words)
+            key, n = np.unique(pair(number[where], number[where + 1]), return_counts=True)
+            hashes = np.r_[p.keys, others]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[key >> 32]), pa.array(hashes[key & LOW]), pa.array(n)], ["h1", "h2", "n"])
+
+    return run
+
+
+def _to_buckets(plan):
+    """Pairs, for each bucket of the first word's branch."""
 
     def run(batches):
         p = plan.value
-        wide = Index(p.wide).of(p.keys)
-        for batch, words, at, first in _decoded(batches, "others"):
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            number = np.where(words >= 0, words, len(wide) - 1 - words + first[doc])
-            place = np.where(words >= 0, wide[np.maximum(words, 0)], -1) if len(wide) else np.full(len(words), -1)
-            place[at[1:] - 1] = -1
-            where = np.flatnonzero(place >= 0)
-            key, n = np.unique(place[where].astype(np.int64) << 32 | number[where + 1], return_counts=True)
-            hashes = np.r_[p.keys, column(batch, "others").flatten().field("h").to_numpy()]
-            yield pa.RecordBatch.from_arrays([pa.array(p.wide[key >> 32]), pa.array(hashes[key & LOW]), pa.array(n)], ["h1", "h2", "n"])
+        for batch in batches:
+            h1 = column(batch, "h1").to_numpy()
+            parts = p.parts_of(h1)
+            row = np.repeat(np.arange(len(h1)), parts)
+            bucket = (p.place(h1)[row] + np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) % p.buckets
+            yield sent({"bucket": bucket.astype(np.int32), **{c: column(batch, c).take(pa.array(row)) for c in ("h1", "h2", "n", "n2")}})
 
     return run
 
@@ -303,7 +316,7 @@ LOW = 0xFFFFFFFF
 #: Gains of a document in a bucket are sent as whole billionths.
 UNIT = 1e9
 TURNS = 6
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, part long, wide long, state boolean"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, group int, sums binary, wide long, state boolean"
 
 
 class Level:
@@ -385,6 +398,28 @@ def gains(p: Plan, count: np.ndarray, near: np.ndarray, learn: np.ndarray, wide:
     return (out - first) / np.log(10), maybe / np.log(10), open_, told
 
 
+def dealt(p: Plan, ids: np.ndarray, gain: np.ndarray, wide: int | None = None) -> pa.RecordBatch:
+    """What documents gain, packed for each group of them; on the condition that word ``wide`` is a state, if one is given."""
+    part = np.rint(gain * UNIT).astype(np.int64)
+    some = np.flatnonzero(part)
+    some = some[np.lexsort((ids[some], ids[some] % p.buckets))]
+    ids, part = ids[some], part[some]
+    cuts = np.searchsorted(ids % p.buckets, np.arange(p.buckets + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    sums = [packed([np.diff(ids[cuts[g] : cuts[g + 1]], prepend=0), part[cuts[g] : cuts[g + 1]]]) for g in full]
+    return sent({"group": full, "sums": pa.array(sums, pa.binary()), **({} if wide is None else {"wide": np.full(len(full), wide)})}, SCORED)
+
+
+def _sums(batches):
+    """What each document of a group gains in all buckets."""
+    found = [unpacked(x.as_py(), [np.int64, np.int64]) for batch in batches for x in column(batch, "sums")]
+    if found:
+        row, kind = np.unique(np.concatenate([np.cumsum(ids) for ids, _ in found]), return_inverse=True)
+        part = np.zeros(len(row), np.int64)
+        np.add.at(part, kind, np.concatenate([x for _, x in found]))
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(part)], ["row", "part"])
+
+
 def _branches(plan, depth: int):
     """Gains of a bucket's tokens, summed by document."""
 
@@ -396,7 +431,7 @@ def _branches(plan, depth: int):
             if own.num_rows:
                 yield sent({c: column(own, c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base")}, SCORED)
             blocks += [unpacked(x.as_py(), BLOCK) for x in column(batch, "block").drop_null()]
-            pairs.append(np.stack([column(batch, c).drop_null().to_numpy() for c in ("h1", "h2", "id", "n", "n2")]))
+            pairs.append(np.stack([column(batch, c).drop_null().to_numpy() for c in ("h1", "h2", "n", "n2")]))
         if not blocks:
             return
         held = len(p.keys)
@@ -404,24 +439,28 @@ def _branches(plan, depth: int):
         ids = np.concatenate([np.cumsum(b[4]) for b in blocks])
         doc = np.cumsum(np.concatenate([b[3] for b in blocks]), dtype=np.int32) - 1
         learn = np.concatenate([b[5] for b in blocks]).astype(bool)[doc]
-        others, times = np.concatenate([np.cumsum(b[6]) for b in blocks]), np.concatenate([b[7] for b in blocks])
+        others = np.concatenate([np.cumsum(b[6]) for b in blocks])
         sizes = [len(b[6]) for b in blocks]
         del blocks
-        h1, h2, other, n, n2 = np.concatenate(pairs, 1)
-        a, b = ((Index(p.keys).of(h) if len(h) else np.zeros(0, np.int32)).astype(np.int64) + 1 for h in (h1, h2))
-        # Words that are not held have a block's own numbers: numbered anew by id.
-        new = b == 0
-        known, first, kind = np.unique(np.r_[others, other[new]], return_index=True, return_inverse=True)
-        count = np.r_[0, p.counts, np.r_[times, n2[new]][first]]
+        h1, h2, n, n2 = np.concatenate(pairs, 1)
+        a, b = np.split(Index(p.keys).of(np.r_[h1, h2]).astype(np.int64) + 1 if len(h1) else np.zeros(0, np.int64), 2)
+        # Words that are not held have a block's own numbers: numbered anew by hash.
+        first, new = a == 0, b == 0
+        known, kind = np.unique(np.r_[others, h1[first], h2[new]], return_inverse=True)
         at = 0
         for x, size in zip(near, sizes, strict=True):
             low = x > held
             x[low] = kind[at + x[low] - held - 1] + held + 1
             at += size
         near = np.concatenate(near, 1)
-        b[new] = kind[at:] + held + 1
-        keys, once = np.unique(a << 32 | b, return_index=True)
+        a[first], b[new] = np.split(kind[at:] + held + 1, [first.sum()])
+        # All that follow such a word are here; where one ends a frequent pair, its count came with the pair.
+        low = near[1][learn & (near[1] > held)] - held - 1
+        count = np.r_[0, p.counts, np.bincount(low, minlength=len(known))]
+        count[b[new]] = n2[new]
         wide = np.r_[False, p.parts_of(p.keys) > 1, np.zeros(len(known), bool)]
+        a, b, n = (x[wide[a]] for x in (a, b, n))
+        keys, once = np.unique(a << 32 | b, return_index=True)
         n, sums = n[once], np.zeros(len(ids))
         # Branches in turns, so that a task works on a part of its bucket at once.
         for turn in range(TURNS):
@@ -430,12 +469,13 @@ def _branches(plan, depth: int):
             gain, maybe, undecided, told = gains(p, count, near[:, at], learn[at], wide, keys[own], n[own], depth)
             sums += np.bincount(docs, gain, len(ids))
             k = np.flatnonzero(undecided)
-            key, kind = np.unique(pair(near[1][at[k]], docs[k]), return_inverse=True)
-            yield sent({"row": ids[key & LOW], "wide": p.keys[(key >> 32) - 1], "part": np.rint(np.bincount(kind, maybe[k], len(key)) * UNIT).astype(np.int64)}, SCORED)
+            first = near[1][at[k]]
+            for word in np.unique(first):
+                own = k[first == word]
+                of, kind = np.unique(docs[own], return_inverse=True)
+                yield dealt(p, ids[of], np.bincount(kind, maybe[own], len(of)), p.keys[word - 1])
             yield sent({"wide": p.keys[told - 1], "state": np.ones(len(told), bool)}, SCORED)
-        part = np.rint(sums * UNIT).astype(np.int64)
-        some = np.flatnonzero(part)
-        yield sent({"row": ids[some], "part": part[some]}, SCORED)
+        yield dealt(p, ids, sums)
 
     return run
 
@@ -445,19 +485,19 @@ def _typed(docs: DataFrame) -> DataFrame:
 
 
 def words_of(docs: DataFrame) -> DataFrame:
-    """h, n training occurrences, every occurrence and an id of each word of all documents."""
+    """h, n training occurrences and every occurrence of each word of all documents."""
     counted = _typed(docs).select("text", "held_out").mapInArrow(_word_counts, "h long, n long, every long")
-    return cut(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("every").alias("every")).withColumn("id", F.monotonically_increasing_id()), "words")
+    return cut(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "words")
 
 
 class Corpus:
     """Word counts of all documents, and the documents as numbers of words."""
 
-    def __init__(self, docs: DataFrame, p_min: float = P_MIN, positions: int = POSITIONS):
+    def __init__(self, docs: DataFrame, p_min: float = 0.0, positions: int = POSITIONS, most: int = HELD):
         self.spark = docs.sparkSession
         self.words = words_of(docs)
         self.tokens, self.distinct, self.every = self.words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", (F.col("n") > 0).cast("long"), "every")]).first()
-        self.least = max(MIN_COUNT, ceil(self.tokens * p_min))
+        self.least = max(MIN_COUNT, ceil(self.tokens * p_min), self._least(most))
         buckets = parts_for(self.spark, self.every, positions)
         # Words with branches larger than a bucket, fewer than there are buckets, are held as well.
         end = int(np.uint64(END).astype(np.int64))
@@ -466,53 +506,65 @@ class Corpus:
         table = self.words.filter(self.held).select("h", "n", "every", wide.alias("wide")).toArrow()
         keys, counts, every, wide = (table.column(c).to_numpy() for c in ("h", "n", "every", "wide"))
         order = np.lexsort((keys, -counts))
-        self.plan = Plan(keys[order], counts[order], self.tokens, self.distinct, buckets, keys[wide], -(-every[wide] * buckets // max(1, self.every)))
+        self.plan = Plan(keys[order], counts[order], self.tokens, self.distinct, buckets, keys[wide], -(-every[wide] * buckets // max(1, self.every)), self.least == MIN_COUNT)
         self.sent = self.spark.sparkContext.broadcast(self.plan)
         asked = _typed(docs).withColumn("row", F.monotonically_increasing_id())
-        self.rows = cut(asked.mapInArrow(_encoded(self.spark.sparkContext.broadcast(self.plan.keys)), ENCODED), "symbols")
-
-    def looked_up(self) -> DataFrame:
-        """The documents with the root's part of their words that no task holds, and the counts of those that n-grams may hold."""
+        self.rows = cut(asked.mapInArrow(_encoded(self.sent), "data binary"), "symbols")
+
+    def _least(self, most: int) -> int:
+        """Least count of which, and above, there are no more than so many words."""
+        top = max(100_000, self.tokens // most + 1)  # fewer words than that are as frequent, and so are the rows here
+        n = F.least("n", F.lit(top))
+        words, least = 0, top + 1
+        for r in self.words.filter(F.col("n") >= MIN_COUNT).groupBy(n.alias("n")).count().orderBy(F.desc("n")).collect():
+            words += r["count"]
+            if words > most:
+                return least
+            least = r["n"]
+        return 0
+
+    def rest(self) -> DataFrame:
+        """The root's part of the words that no task holds, and how many of them are known, by document."""
         # A word that very many documents hold may still be rare in training.
         others = self.words.filter(~self.held)
-        asked = self.rows.select("row", F.posexplode("others").alias("k", "other")).select("row", "k", "other.*")
-        found = salted_join(asked, others.select("h", "n", "id"), "h", others.select("h", F.col("every").alias("count")), self.every, "row")
+        asked = self.rows.mapInArrow(_others, "row long, h long, times long")
+        found = salted_join(asked, others.select("h", "n"), "h", others.select("h", F.col("every").alias("count")), self.every, "row")
         value = F.log10((F.col("n") + ALPHA) / self.plan.norm)
-        sums = found.groupBy("row").agg(
-            F.sum(F.col("times") * value).alias("root"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-            F.collect_list(F.when(F.col("n") >= MIN_COUNT, F.struct("k", "id", "n"))).alias("kept"),
-        )
-        return self.rows.drop("others").join(sums, "row", "left").fillna(0, ["root", "known"])
-
-    def wide_pairs(self) -> DataFrame:
-        """The frequent pairs at the roots of dealt branches, for each bucket of these, with the second word's count."""
-        p = self.plan
-        to = [(int(h), [int((a + k) % p.buckets) for k in range(n)]) for h, a, n in zip(p.wide, p.place(p.wide), p.parts, strict=True)]
-        to = self.spark.createDataFrame(to, "h1 long, buckets array<int>").select("h1", F.explode("buckets").alias("bucket"))
-        counted = self.rows.filter("NOT held_out").select("words", "others").mapInArrow(_wide_pairs(self.sent), "h1 long, h2 long, n long")
+        return found.groupBy("row").agg(F.sum(F.col("times") * value).alias("root"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
+
+    def pairs(self) -> DataFrame:
+        """The frequent pairs of _pairs with the second word's count, for each bucket that needs them."""
+        counted = self.rows.mapInArrow(_pairs(self.sent), "h1 long, h2 long, n long")
         pairs = counted.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
-        return pairs.join(self.words.select(F.col("h").alias("h2"), "id", F.col("n").alias("n2")), "h2").join(F.broadcast(to), "h1")
+        seconds = self.words.filter(F.col("n") >= MIN_COUNT).select(F.col("h").alias("h2"), F.col("n").alias("n2"))
+        return pairs.join(seconds, "h2").mapInArrow(_to_buckets(self.sent), SENT)
+
+
+def gained(corpus: Corpus, depth: int) -> DataFrame:
+    """What the buckets give: the documents' own figures, gains by groups of documents, and words that are states."""
+    sent_ = corpus.rows.mapInArrow(_blocks(corpus.sent), SENT)
+    if len(corpus.plan.wide) or not corpus.plan.whole:
+        sent_ = sent_.unionByName(corpus.pairs())
+    return cut(sent_.repartitionById(corpus.plan.buckets, F.col("bucket")).mapInArrow(_branches(corpus.sent, depth), SCORED), "gains")
 
 
 def score(corpus: Corpus, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
-    sent_ = corpus.looked_up().mapInArrow(_blocks(corpus.sent), SENT)
-    if len(corpus.plan.wide):
-        sent_ = sent_.unionByName(corpus.wide_pairs(), allowMissingColumns=True)
-    found = cut(sent_.repartitionById(corpus.plan.buckets, F.col("bucket")).mapInArrow(_branches(corpus.sent, depth), SCORED), "gains")
+    found = gained(corpus, depth)
     states = found.filter("state").select("wide").distinct()
-    maybe = found.filter("wide IS NOT NULL AND state IS NULL").join(F.broadcast(states), "wide", "left_semi")
-    parts = found.filter("part IS NOT NULL AND wide IS NULL").select("row", "part").unionByName(maybe.select("row", "part")).groupBy("row").agg(F.sum("part").alias("part"))
-    out = found.filter("n_tokens IS NOT NULL").drop("part", "wide", "state").join(parts, "row", "left").fillna(0, "part")
+    gains_ = found.filter("sums IS NOT NULL").select("group", "sums", "wide")
+    gains_ = gains_.filter("wide IS NULL").unionByName(gains_.join(F.broadcast(states), "wide", "left_semi").select("group", "sums", "wide"))
+    parts = gains_.select("group", "sums").repartitionById(corpus.plan.buckets, F.col("group")).mapInArrow(_sums, "row long, part long")
+    sums = parts.unionByName(corpus.rest(), allowMissingColumns=True).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("part", "root", "known")])
+    out = found.filter("n_tokens IS NOT NULL").drop("group", "sums", "wide", "state").join(sums, "row", "left").fillna(0, ["part", "root", "known"])
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        "n_known",
+        (F.col("n_known") + F.col("known")).alias("n_known"),
         F.lit(corpus.tokens).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        (F.col("base") + F.col("part") / UNIT).alias("score"),
+        (F.col("base") + F.col("root")).alias("base_score"),
+        (F.col("base") + F.col("root") + F.col("part") / UNIT).alias("score"),
     )
 
 

@@ -83,6 +83,23 @@ def test_scores_whatever_the_tasks_hold_and_the_buckets(spark, p_min, positions,
     assert rounded(suffixlm.score(held).collect()) == rounded(Plain(docs).rows())
 
 
+@pytest.mark.parametrize("most,positions,seed", [(1, 1 << 20, 4), (15, 60, 5), (10**6, 60, 6)])
+def test_scores_however_few_words_are_held(spark, most, positions, seed):
+    docs = corpus(seed, 250)
+    held = suffixlm.Corpus(spark.createDataFrame(docs, "doc_id long, text string"), positions=positions, most=most)
+    assert held.plan.whole == (held.least == 3) == (most > 15) and len(held.plan.keys) <= most + len(held.plan.wide)
+    assert rounded(suffixlm.score(held).collect()) == rounded(Plain(docs).rows())
+
+
+def test_rows_between_stages_are_not_documents_times_buckets(spark):
+    docs = [(i, " ".join(f"a{(i + k) % 97} b{k % 7}" for k in range(100))) for i in range(3000)]
+    held = suffixlm.Corpus(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), positions=30_000)
+    assert held.plan.buckets >= 12 and held.rows.count() <= 4  # documents lie in slices and aren't joined
+    made = suffixlm.gained(held, 3)
+    assert made.filter("n_tokens IS NOT NULL").count() == 3000 and made.count() < 2 * 3000
+    assert all(r.score > r.base_score for r in suffixlm.score(held).collect())
+
+
 def test_dealt_word_that_is_a_state_by_its_extensions_alone(spark):
     rng = random.Random(7)
     docs = []
