@@ -69,8 +69,10 @@ def z_keys(x: SparseTensor) -> DataFrame:
     return x.df.select("*", *[w.alias(f"z{k}") for k, w in enumerate(words)])
 
 
-def sort_morton(x: SparseTensor) -> SparseTensor:
-    return x.with_df(x.df.orderBy(*B.morton_words([F.col(c) for c in x.modes], z_bits(x))))
+def sort_morton(x: SparseTensor, bits: int | None = None) -> SparseTensor:
+    """By the Z-order key of whole coordinates, or of their low ``bits``: what these leave equal is in order of the modes."""
+    words = B.morton_words([F.col(c) for c in x.modes], z_bits(x) if bits is None else bits)
+    return x.with_df(x.df.orderBy(*words, *([] if bits is None else x.modes)))
 
 
 def sort_morton_except_mode(x: SparseTensor, order: Sequence[int], sb_bits: int) -> SparseTensor:
