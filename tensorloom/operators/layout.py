@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,22 +25,55 @@ from tensorloom.types import (
 )
 
 
+def _stored(x: SparseTensor, mode: int) -> DataFrame:
+    """The other modes' coordinates and ``cells`` (k, val) of their fiber, ascending; x has no duplicates."""
+    own = F.col(f"i{mode}").alias("k"), F.coalesce("val", F.lit(0.0)).alias("val")
+    cells = F.sort_array(F.collect_list(F.struct(*own)))
+    inside = F.filter(cells, lambda e: (e["k"] >= 0) & (e["k"] < x.dims[mode]))
+    return x.df.groupBy(*[c for c in x.modes if c != f"i{mode}"]).agg(inside.alias("cells"))
+
+
+def _fiber(width: int) -> Column:
+    """Column ``cells`` with the zeros between: each value follows its gap, so time is in proportion to the width."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    after = lambda e: F.coalesce(e["k"] + 1, F.lit(0))
+    pieces = F.transform("cells", lambda e, n: F.concat(zeros(e["k"] - after(F.get("cells", n - 1))), F.array(e["val"])))
+    return F.concat(F.flatten(pieces), zeros(F.lit(width) - after(F.try_element_at("cells", F.lit(-1)))))
+
+
+def _of_stored(cells: DataFrame, dims: tuple[int, ...], mode: int) -> SemiSparseTensor:
+    others = [c for m, c in enumerate(coords(len(dims))) if m != mode]
+    return SemiSparseTensor(cells.select(*others, _fiber(dims[mode]).alias("fiber")), dims, mode, cells)
+
+
 def to_semi_sparse(x: SparseTensor, mode: int) -> SemiSparseTensor:
     """One dense fiber for each coordinate of the other modes that has an entry; duplicates are summed."""
     check_mode(mode, x.nmodes)
     if x.nmodes < 2:
         raise ShapeMismatchError("a semi-sparse tensor has two modes or more")
-    own = f"i{mode}"
-    others = [c for c in x.modes if c != own]
-    cells = x.coalesce().df.groupBy(*others).agg(F.map_from_entries(F.collect_list(F.struct(own, "val"))).alias("cells"))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(x.dims[mode] - 1).cast("long")) if x.dims[mode] else F.array().cast("array<bigint>")
-    fiber = F.transform(every, lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0.0)))
-    return SemiSparseTensor(cells.select(*others, fiber.alias("fiber")), x.dims, mode)
+    return _of_stored(_stored(x.coalesce(), mode), x.dims, mode)
 
 
 def set_mode(y: SemiSparseTensor, mode: int, epsilon: float = 0.0) -> SemiSparseTensor:
     """Another dense mode."""
-    return to_semi_sparse(to_coo(y, epsilon), mode)
+    x = to_coo(y, epsilon)
+    if y.stored is None:
+        return to_semi_sparse(x, mode)
+    check_mode(mode, x.nmodes)
+    return _of_stored(_stored(x, mode), x.dims, mode)
+
+
+def fiber_sums(y: SemiSparseTensor, weight: Callable[[Column], Column]) -> DataFrame:
+    """The other modes' coordinates, ``n`` (length of a fiber) and ``total``: the sum of each fiber's values times the finite weight of their place.
+
+    Zeros add nothing: where the cells are stored, fibers are not formed.
+    """
+    n = F.lit(y.dims[y.mode]).cast("long").alias("n")
+    if y.stored is None:
+        total = F.aggregate(F.transform("fiber", lambda v, k: v * weight(k)), F.lit(0.0), lambda s, v: s + v)
+        return y.df.select(*y.others, n, total.alias("total"))
+    total = F.aggregate("cells", F.lit(0.0), lambda s, e: s + e["val"] * weight(e["k"]))
+    return y.stored.select(*y.others, n, total.alias("total"))
 
 
 def append_element(y: SemiSparseTensor, at: tuple[int, ...], value: float) -> SemiSparseTensor:
@@ -80,6 +116,9 @@ def to_hicoo(x: SparseTensor, sb_bits: int, sk_bits: int, sc_bits: int | None =
 
 def to_coo(y: SemiSparseTensor | HiCOOTensor, epsilon: float = 1e-9) -> SparseTensor:
     """Coordinates of a semi-sparse tensor (values of at least ``epsilon``, NaN and infinities) or of a blocked one (all)."""
+    if isinstance(y, SemiSparseTensor) and y.stored is not None:
+        cells = y.stored.select(*y.others, F.explode("cells").alias("e")).select(*y.others, F.col("e.k").alias(f"i{y.mode}"), F.col("e.val").alias("val"))
+        return SparseTensor(cells.filter(significant(F.col("val"), epsilon)).select(*coords(len(y.dims)), "val"), y.dims)
     if isinstance(y, SemiSparseTensor):
         cells = y.df.select(*y.others, F.posexplode("fiber").alias("pos", "val"))
         cells = cells.filter(significant(F.col("val"), epsilon)).withColumn(f"i{y.mode}", F.col("pos").cast("long"))

@@ -195,11 +195,17 @@ class SparseTensor(_Methods):
 
 @dataclass(frozen=True)
 class SemiSparseTensor(_Methods):
-    """One dense mode: rows of the other modes' coordinates and ``fiber array<double>``."""
+    """One dense mode: rows of the other modes' coordinates and ``fiber array<double>``.
+
+    ``stored``, where known: the same rows with the fibers' ``cells`` (k, val),
+    ascending, without the zeros between them. What needs no zeros reads
+    these; fibers are formed for whoever reads ``fiber``.
+    """
 
     df: DataFrame
     dims: tuple[int, ...]
     mode: int
+    stored: DataFrame | None = None
     _modules = ("layout", "products", "stats", "sorting")
 
     def __post_init__(self):

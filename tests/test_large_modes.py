@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tensorloom.types import SemiSparseTensor, SparseTensor
 
 PARTS, SUPPLIERS = 300_000, 3_000
 
@@ -32,3 +33,22 @@ def same_as_sql(spark, path, name):
 
 def test_morton_order_has_the_keys_of_its_sql(spark, wide):
     same_as_sql(spark, wide, "sort_morton")
+
+
+@pytest.mark.parametrize("name", ["semisparse_other_mode"])
+def test_fibers_of_a_wide_mode_are_not_formed_for_their_cells(spark, wide, name):
+    plan = same_as_sql(spark, wide, name)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in plan and "sequence" not in plan
+
+
+def test_fibers_by_cells_are_the_whole_fibers(spark):
+    rows = [(0, 0, 5, 2.0), (0, 0, 2, 3.0), (0, 0, 2, -1.0), (0, 1, 0, 4.0), (1, 1, 3, float("nan")), (1, 0, 4, 1.0), (1, 0, 4, -1.0)]
+    x = SparseTensor.from_rows(spark, rows, (2, 2, 6), coalesce=False)
+    y = x.to_semi_sparse(2)
+    assert str(y.collect()) == str([(0, 0, (0.0, 0.0, 2.0, 0.0, 0.0, 2.0)), (0, 1, (4.0, 0.0, 0.0, 0.0, 0.0, 0.0)), (1, 0, (0.0,) * 6), (1, 1, (0.0, 0.0, 0.0, float("nan"), 0.0, 0.0))])
+    plain = SemiSparseTensor(y.df, y.dims, y.mode)
+    for a in (y, plain):
+        assert str(a.to_coo(0.0).collect()) == str([(0, 0, 2, 2.0), (0, 0, 5, 2.0), (0, 1, 0, 4.0), (1, 1, 3, float("nan"))])
+        assert str(a.set_mode(0).collect()) == str(plain.set_mode(0).collect())
+        sums = {(r.i0, r.i1): (r.n, str(r.total)) for r in a.fiber_sums(lambda k: k + 1).collect()}
+        assert sums == {(0, 0): (6, "18.0"), (0, 1): (6, "4.0"), (1, 0): (6, "0.0"), (1, 1): (6, "nan")}
