@@ -35,7 +35,7 @@ def test_morton_order_has_the_keys_of_its_sql(spark, wide):
     same_as_sql(spark, wide, "sort_morton")
 
 
-@pytest.mark.parametrize("name", ["semisparse_other_mode"])
+@pytest.mark.parametrize("name", ["semisparse_other_mode", "semisparse_set_mode"])
 def test_fibers_of_a_wide_mode_are_not_formed_for_their_cells(spark, wide, name):
     plan = same_as_sql(spark, wide, name)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_repeat" not in plan and "sequence" not in plan
