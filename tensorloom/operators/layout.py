@@ -130,13 +130,14 @@ def to_coo(y: SemiSparseTensor | HiCOOTensor, epsilon: float = 1e-9) -> SparseTe
 
 
 def to_dense(x: SparseTensor) -> DenseMatrix:
-    """A two-mode tensor as a dense matrix."""
+    """A two-mode tensor as a dense matrix. Rows are formed one by one after the join with all indices, which moves and sorts cells only."""
     if x.nmodes != 2:
         raise ShapeMismatchError(f"{x.nmodes} modes")
-    rows = to_semi_sparse(x, 1).df.select(F.col("i0").alias("i"), F.col("fiber").alias("row"))
-    zero = F.array_repeat(F.lit(0.0), x.dims[1])
-    full = x.spark.range(x.dims[0]).select(F.col("id").alias("i")).join(rows, "i", "left")
-    return DenseMatrix(full.select("i", F.coalesce("row", zero).alias("row")), *x.dims)
+    cells = _stored(x.coalesce(), 1).withColumnRenamed("i0", "i")
+    full = x.spark.range(x.dims[0]).select(F.col("id").alias("i")).join(cells, "i", "left")
+    none = F.array().cast("array<struct<k: bigint, val: double>>")
+    full = full.select("i", F.coalesce("cells", none).alias("cells"))
+    return DenseMatrix(full.select("i", _fiber(x.dims[1]).alias("row")), *x.dims)
 
 
 def semi_sparse_to_csr(y: SemiSparseTensor) -> CSRMatrix:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tensorloom.types import SemiSparseTensor, SparseTensor
+from tensorloom.types import SemiSparseTensor, SparseMatrix, SparseTensor
 
 PARTS, SUPPLIERS = 300_000, 3_000
 
@@ -52,3 +52,11 @@ def test_fibers_by_cells_are_the_whole_fibers(spark):
         assert str(a.set_mode(0).collect()) == str(plain.set_mode(0).collect())
         sums = {(r.i0, r.i1): (r.n, str(r.total)) for r in a.fiber_sums(lambda k: k + 1).collect()}
         assert sums == {(0, 0): (6, "18.0"), (0, 1): (6, "4.0"), (1, 0): (6, "0.0"), (1, 1): (6, "nan")}
+
+
+def test_dense_rows_are_formed_after_the_join(spark):
+    a = SparseMatrix.from_rows(spark, [(1, 4, 2.0), (1, 0, 3.0), (3, 2, 1.0), (3, 2, 1.5)], 5, 5).to_dense()
+    assert a.collect() == [[0.0] * 5, [3.0, 0.0, 0.0, 0.0, 2.0], [0.0] * 5, [0.0, 0.0, 2.5, 0.0, 0.0], [0.0] * 5]
+    assert SparseMatrix.empty(spark, 2, 0).to_dense().collect() == [[], []]
+    above, join, below = a.df._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+    assert join and "flatten" in above and not any(f in below for f in ("array_repeat", "sequence"))
