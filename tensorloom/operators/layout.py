@@ -102,11 +102,13 @@ def to_hicoo(x: SparseTensor, sb_bits: int, sk_bits: int, sc_bits: int | None =
     n = x.nmodes
     offsets = [B.offset(F.col(c), sb_bits) for c in x.modes]
     entry = F.struct(*B.morton_words(offsets, sb_bits), *[o.cast("short").alias(f"e{m}") for m, o in enumerate(offsets)], F.col("val").alias("val"))
-    keys = [B.block(F.col(c), sk_bits).alias(f"k{m}") for m, c in enumerate(x.modes)] + [B.block(F.col(c), sb_bits).alias(f"b{m}") for m, c in enumerate(x.modes)]
-    names = [f"k{m}" for m in range(n)] + [f"b{m}" for m in range(n)]
-    blocks = x.df.select(*keys, entry.alias("entry")).groupBy(*names).agg(F.array_sort(F.collect_list("entry")).alias("sorted"))
+    blocked = [B.block(F.col(c), sb_bits).alias(f"b{m}") for m, c in enumerate(x.modes)]
+    names = [f"b{m}" for m in range(n)]
+    dealt = x.df.repartition(*blocked)  # plain rows move, not lists of entries
+    blocks = dealt.groupBy(*blocked).agg(F.array_sort(F.collect_list(entry)).alias("sorted"))
     plain = F.transform("sorted", lambda e: F.struct(*[e[f"e{m}"].alias(f"e{m}") for m in range(n)], e["val"].alias("val")))
-    blocks = blocks.select(*names, plain.alias("entries"))
+    kernels = [B.block(F.col(b), sk_bits - sb_bits).alias(f"k{m}") for m, b in enumerate(names)]
+    blocks = blocks.select(*kernels, *names, plain.alias("entries"))
     levels = max(1, sk_bits - sb_bits)
     inside = [B.offset(F.col(f"b{m}"), levels) for m in range(n)]
     order = Window.partitionBy(*[f"k{m}" for m in range(n)]).orderBy(*B.morton_words(inside, levels)).rowsBetween(Window.unboundedPreceding, -1)

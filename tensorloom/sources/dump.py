@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tensorloom.functions import bits as B
-from tensorloom.functions.lineage import settle
+from tensorloom.functions.lineage import Tables, own_shuffles
 from tensorloom.functions.ranks import row_numbers, running_totals
 from tensorloom.types import CSRMatrix, DenseMatrix, HiCOOMatrix, HiCOOTensor, KruskalTensor, SparseTensor, Vector
 
@@ -59,41 +62,52 @@ def write_vector(v: Vector, path: str) -> None:
     _write(v.df, path, str(v.size), ["i"], F.concat_ws("\t", F.col("i").cast("string"), F.col("val").cast("string")))
 
 
-def hicoo_pointers(x: HiCOOTensor) -> DataFrame:
+def hicoo_pointers(x: HiCOOTensor, tables: Tables | None = None) -> DataFrame:
     """level, n and place of a blocked tensor's pointers: first block of each kernel (0) and chunk (1), first entry of each block (2).
 
     Kernels follow one another by their coordinates, blocks of a kernel in
     Z-order. Each level ends with what comes after its last: numbers of blocks,
-    blocks and entries.
+    blocks and entries. The result reads ``tables``, which its owner drops.
     """
     m = range(x.nmodes)
     levels = max(1, x.sk_bits - x.sb_bits)
     inside = B.morton_words([B.offset(F.col(f"b{k}"), levels) for k in m], levels)
     kernel = [f"k{k}" for k in m]
     blocks = x.df.select(*kernel, *[z.alias(f"z{k}") for k, z in enumerate(inside)], "chunk", F.size("entries").cast("long").alias("nnz"))
-    placed = settle(row_numbers(blocks, [F.col(c) for c in blocks.columns[: -2]], "block").select(*kernel, "chunk", "nnz", "block"), "blocks")
-    entries = running_totals(placed, [F.col("block")], "nnz", "upto").select(F.lit(2).alias("level"), F.col("block").alias("n"), (F.col("upto") - F.col("nnz")).alias("place"))
-
-    def firsts(keys: list[str], level: int) -> DataFrame:
-        own = placed.groupBy(*keys).agg(F.min("block").alias("place"))
-        return row_numbers(own, [F.col("place")], "n").select(F.lit(level).alias("level"), "n", "place")
-
-    rows = firsts(kernel, 0).unionByName(firsts([*kernel, "chunk"], 1)).unionByName(entries)
-    whole = placed.agg(F.count("*"), F.coalesce(F.sum("nnz"), F.lit(0))).first()
-    counts = {r.level: r.n for r in rows.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    ends = [(level, counts.get(level, 0), whole[1] if level == 2 else whole[0]) for level in range(3)]
+    tables = Tables(x.df.sparkSession, "pointers") if tables is None else tables
+    placed = row_numbers(blocks, [F.col(c) for c in blocks.columns[:-2]], "block", tables, [*kernel, "chunk", "nnz"])
+    step = 4096  # running sums are taken by runs of blocks, then the runs' totals are added
+    runs = placed.select("block", "nnz", F.floor(F.col("block") / step).alias("run"))
+    totals = tables.write(running_totals(runs.groupBy("run").agg(F.sum("nnz").alias("total")), [F.col("run")], "total", "upto"))
+    own = F.sum("nnz").over(Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    entries = runs.withColumn("own", F.coalesce(own, F.lit(0))).join(totals, "run")
+    entries = entries.select(F.lit(2).alias("level"), F.col("block").alias("n"), (F.col("upto") - F.col("total") + F.col("own")).alias("place"))
+    # A kernel begins with its first chunk.
+    chunks = tables.write(placed.groupBy(*kernel, "chunk").agg(F.min("block").alias("place")).select((F.col("chunk") == 0).alias("first"), "place"))
+    firsts = [row_numbers(own, [F.col("place")], "n", tables) for own in (chunks.filter("first").select("place"), chunks.select("place"))]
+    rows = entries
+    for level, own in enumerate(firsts):
+        rows = rows.unionByName(own.select(F.lit(level).alias("level"), "n", "place"))
+    nblocks, nnz = placed.agg(F.count("*"), F.coalesce(F.sum("nnz"), F.lit(0))).first()
+    ends = [*((level, own.count(), nblocks) for level, own in enumerate(firsts)), (2, nblocks, nnz)]
     return rows.unionByName(x.df.sparkSession.createDataFrame(ends, "level int, n long, place long"))
 
 
 def write_hicoo(x: HiCOOTensor, path: str) -> None:
-    """A folder: shape and bits, pointers as lines of level, number and place, and blocks as JSON lines in the pointers' order, each in parts."""
+    """A folder: shape and bits, pointers as lines of level, number and place, and blocks as JSON lines in the pointers' order, each in parts; the blocks' parts are compressed."""
     spark = x.df.sparkSession
     spark.createDataFrame([(" ".join(map(str, x.dims)),), (f"{x.sb_bits} {x.sk_bits} {x.sc_bits}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
-    hicoo_pointers(x).orderBy("level", "n").select(F.concat_ws(" ", "level", "n", "place").alias("value")).write.mode("overwrite").text(f"{path}/pointers")
+    tables, own = Tables(spark, "pointers"), Tables(spark, "blocks")
+    x = replace(x, df=own.write(x.df))
     m = range(x.nmodes)
     levels = max(1, x.sk_bits - x.sb_bits)
     order = [*[F.col(f"k{k}") for k in m], *B.morton_words([B.offset(F.col(f"b{k}"), levels) for k in m], levels)]
-    x.df.orderBy(*order).select(F.to_json(F.struct(*x.df.columns)).alias("value")).write.mode("overwrite").text(f"{path}/blocks")
+    pointers = hicoo_pointers(x, tables).orderBy("level", "n").select(F.concat_ws(" ", "level", "n", "place").alias("value"))
+    with own_shuffles(spark):
+        pointers.write.mode("overwrite").text(f"{path}/pointers")
+        tables.drop(0)
+        x.df.orderBy(*order).select(F.to_json(F.struct(*x.df.columns)).alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{path}/blocks")
+    own.drop(0)
 
 
 def kruskal_text(k: KruskalTensor) -> str:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tensorloom.sources import dump
 from tensorloom.types import SemiSparseTensor, SparseMatrix, SparseTensor
 
 PARTS, SUPPLIERS = 300_000, 3_000
@@ -60,3 +61,27 @@ def test_dense_rows_are_formed_after_the_join(spark):
     assert SparseMatrix.empty(spark, 2, 0).to_dense().collect() == [[], []]
     above, join, below = a.df._jdf.queryExecution().optimizedPlan().toString().partition("Join")
     assert join and "flatten" in above and not any(f in below for f in ("array_repeat", "sequence"))
+
+
+def held(spark):
+    """Persisted data, and tables in the session's folder but for those of maps and files."""
+    import os
+
+    from tensorloom.functions.lineage import shared_dir
+
+    return spark.sparkContext._jsc.getPersistentRDDs().size(), {n for n in os.listdir(shared_dir(spark)) if n.startswith(("pointers", "blocks", "lexi", "lists", "totals"))}
+
+
+def test_pointers_and_blocks_leave_only_their_files(spark, tmp_path):
+    x = SparseTensor.from_rows(spark, [(i % 40, i * 7 % 50, i * 3 % 30, float(i % 5 + 1)) for i in range(400)], (40, 50, 30))
+    h = x.to_hicoo(2, 3, 3)
+    before, old = held(spark)
+    dump.write_hicoo(h, str(tmp_path / "h"))
+    after, new = held(spark)
+    assert after == before and {n.split("-")[0] for n in new - old} <= {"totals"}
+    blocks = spark.read.text(str(tmp_path / "h/blocks")).count()
+    places = [tuple(map(int, r.value.split())) for r in spark.read.text(str(tmp_path / "h/pointers")).collect()]
+    assert blocks == h.df.count() and max(p for level, _, p in places if level == 2) == x.nnz() and max(p for level, _, p in places if level < 2) == blocks
+    for level in range(3):
+        own = sorted((n, p) for k, n, p in places if k == level)
+        assert [n for n, _ in own] == list(range(len(own))) and [p for _, p in own] == sorted({p for _, p in own})
