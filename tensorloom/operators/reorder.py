@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +55,9 @@ def inverse_maps(maps: Sequence[DataFrame]) -> list[DataFrame]:
 CHUNK = 1024
 
 
-def _ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _ranked(df: DataFrame, keys: list[str], name: str, tables: Tables) -> DataFrame:
     """With the rank of the keys among the distinct ones."""
-    return df.join(row_numbers(df.select(*keys).distinct(), [F.col(k) for k in keys], name), keys)
+    return df.join(row_numbers(df.select(*keys).distinct(), [F.col(k) for k in keys], name, tables), keys)
 
 
 def _list_ranks(numbered: DataFrame) -> DataFrame:
@@ -66,49 +67,75 @@ def _list_ranks(numbered: DataFrame) -> DataFrame:
     of 1, 2, 4 … arrays are pairs of the ranks before, until no two indices
     share a rank or all arrays are compared. A row is never longer than CHUNK.
     """
-    tables = Tables(numbered.sparkSession, "lists")
-    placed = row_numbers(numbered, [F.col("old"), F.col("rid")], "at")
+    tables, own = Tables(numbered.sparkSession, "lists"), Tables(numbered.sparkSession, "lists")
+    placed = row_numbers(numbered, [F.col("old"), F.col("rid")], "at", own)
     spans = placed.groupBy("old").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     part = F.floor((F.col("at") - F.col("first")) / CHUNK).alias("part")
     arrays = placed.join(spans, "old").select("old", part, "rid", "n").groupBy("old", "part").agg(F.sort_array(F.collect_list("rid")).alias("rids"), F.first("n").alias("n"))
     last = (F.col("part") + 1) * CHUNK >= F.col("n")
     keyed = arrays.select("old", "part", F.when(last, F.concat("rids", F.array(F.lit(LONG_MAX)))).otherwise(F.col("rids")).alias("key"))
-    ranks = tables.write(_ranked(tables.write(keyed), ["key"], "rank").select("old", "part", "rank"))
+    keyed = tables.write(keyed)
+    own.drop(0)
+    ranks = tables.write(_ranked(keyed, ["key"], "rank", own).select("old", "part", "rank"))
     span = 1
     while True:
+        tables.drop(1)
+        own.drop(0)
         heads = ranks.filter("part = 0").select("old", "rank")
         parts, indices, told = (*ranks.agg(F.max("part") + 1).first(), *heads.agg(F.count("*"), F.countDistinct("rank")).first())
         if span >= (parts or 0) or told == indices:
             return heads
         onward = ranks.select("old", (F.col("part") - span).alias("part"), F.col("rank").alias("onward"))
         pairs = ranks.join(onward, ["old", "part"], "left").withColumn("onward", F.coalesce("onward", F.lit(-1)))
-        ranks = tables.write(_ranked(tables.write(pairs.withColumnRenamed("rank", "own")), ["own", "onward"], "rank").select("old", "part", "rank"))
+        pairs = tables.write(pairs.withColumnRenamed("rank", "own"))
+        ranks = tables.write(_ranked(pairs, ["own", "onward"], "rank", own).select("old", "part", "rank"))
         span *= 2
-        tables.drop(1)
 
 
-def lexi_map(x: SparseTensor, mode: int) -> DataFrame:
+def _numbered(x: SparseTensor, mode: int, ranges: list[tuple[int, int]], tables: Tables) -> DataFrame:
+    """(old, rid): each entry's index and a number of its row that is in the order of the rows.
+
+    ``ranges``: least and greatest index of each other mode. Rows are numbers
+    of mixed base where these fit a long, else numbered among the distinct ones.
+    """
+    others = [c for c in x.modes if c != f"i{mode}"]
+    old = F.col(f"i{mode}").alias("old")
+    widths = [high - low + 1 for low, high in ranges]
+    if prod(widths) > LONG_MAX:
+        rows = row_numbers(x.df.select(*others).distinct(), [F.col(c) for c in others], "rid", tables)
+        return x.df.join(rows, others).select(old, "rid")
+    rid = F.lit(0).cast("long")
+    for c, (low, _), width in zip(others, ranges, widths, strict=True):
+        rid = rid * width + (F.col(c) - low)
+    return x.df.select(old, rid.alias("rid"))
+
+
+def lexi_map(x: SparseTensor, mode: int, tables: Tables | None = None) -> DataFrame:
     """Doubly lexical order of one mode: indices by their ascending lists of row numbers.
 
     Rows are the distinct coordinates of the other modes, in order. A list
     ends with a number above all, so longer lists precede their prefixes, and
     indices without an entry come last; ties keep the old order. Where an
-    index has more than CHUNK entries, lists are ranked piece by piece.
+    index has more than CHUNK entries, lists are ranked piece by piece. The
+    result reads ``tables``, which its owner drops.
     """
     check_mode(mode, x.nmodes)
+    tables = Tables(x.spark, "lexi") if tables is None else tables
     others = [c for c in x.modes if c != f"i{mode}"]
-    rows = row_numbers(x.df.select(*others).distinct(), [F.col(c) for c in others], "rid")
-    numbered = x.df.join(rows, others).select(F.col(f"i{mode}").alias("old"), "rid").distinct()
+    ends = [f(c) for c in others for f in (F.min, F.max)]
+    own = x.df.groupBy(f"i{mode}").agg(F.count("*"), *ends).toDF("i", "n", *[f"e{k}" for k in range(len(ends))])
+    longest, *found = own.agg(F.max("n"), *[(F.max if k % 2 else F.min)(f"e{k}") for k in range(len(ends))]).first()
+    ranges = list(zip(found[::2], found[1::2], strict=True)) if longest else [(0, 0)] * len(others)
+    numbered = _numbered(x, mode, ranges, tables)
     every = x.spark.range(x.dims[mode]).select(F.col("id").alias("old"))
-    longest = x.df.groupBy(f"i{mode}").count().agg(F.max("count")).first()[0] or 0
-    if longest > CHUNK:
-        ranks = _list_ranks(settle(numbered, "numbered"))
+    if (longest or 0) > CHUNK:
+        ranks = _list_ranks(tables.write(numbered.distinct()))
         keyed = every.join(ranks, "old", "left").withColumn("key", F.coalesce("rank", F.lit(LONG_MAX)))
     else:
-        lists = numbered.groupBy("old").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
+        lists = numbered.repartition("old").distinct().groupBy("old").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
         end = F.array(F.lit(LONG_MAX))
         keyed = every.join(lists, "old", "left").withColumn("key", F.when(F.col("rids").isNull(), end).otherwise(F.concat("rids", end)))
-    return row_numbers(keyed.select("old", "key"), [F.col("key"), F.col("old")], "new").select("old", "new")
+    return row_numbers(keyed.select("old", "key"), [F.col("key"), F.col("old")], "new", tables, ["old"])
 
 
 def settle_map(own: DataFrame, dim: int) -> DataFrame:
@@ -122,14 +149,23 @@ def settle_map(own: DataFrame, dim: int) -> DataFrame:
 def lexi_order(x: SparseTensor, iterations: int = 1) -> list[DataFrame]:
     """Maps after rounds of doubly lexical ordering, mode after mode.
 
-    Each step starts from x under the maps so far, so plans do not grow.
+    Coordinates under the maps so far are a table that each step writes anew
+    with its own mode relabelled, so plans and disk do not grow.
     """
     maps = [identity_map(x.spark, d) for d in x.dims]
-    for _ in range(iterations):
+    cells, own = Tables(x.spark, "lexi"), Tables(x.spark, "lexi")
+    now = cells.write(x.df.select(*x.modes).distinct()) if iterations > 0 else None
+    for left in reversed(range(iterations)):
         for mode, dim in enumerate(x.dims):
-            step = lexi_map(relabel(x, maps), mode)
-            step = step.select(F.col("old").alias("new"), F.col("new").alias("_to"))
-            maps[mode] = settle_map(maps[mode].join(step, "new").select("old", F.col("_to").alias("new")), dim)
+            step = settle_map(lexi_map(SparseTensor(now.withColumn("val", F.lit(1.0)), x.dims), mode, own), dim)
+            own.drop(0)
+            moved = step.select(F.col("old").alias("new"), F.col("new").alias("_to"))
+            maps[mode] = settle_map(maps[mode].join(moved, "new").select("old", F.col("_to").alias("new")), dim)
+            if left or mode < x.nmodes - 1:
+                right = maybe_broadcast(step.select(F.col("old").alias(f"i{mode}"), F.col("new").alias("_new")), dim, 40)
+                now = cells.write(now.join(right, f"i{mode}").drop(f"i{mode}").withColumnRenamed("_new", f"i{mode}"))
+                cells.drop(1)
+    cells.drop(0)
     return maps
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tensorloom.operators import reorder
 from tensorloom.sources import dump
 from tensorloom.types import SemiSparseTensor, SparseMatrix, SparseTensor
 
@@ -85,3 +86,28 @@ def test_pointers_and_blocks_leave_only_their_files(spark, tmp_path):
     for level in range(3):
         own = sorted((n, p) for k, n, p in places if k == level)
         assert [n for n, _ in own] == list(range(len(own))) and [p for _, p in own] == sorted({p for _, p in own})
+
+
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_orders_leave_no_sorted_rows_behind(spark, monkeypatch, chunk):
+    monkeypatch.setattr(reorder, "CHUNK", chunk)
+    rows = [(i * 3 % 12, i * 5 % 9, i % 4, 1.0) for i in range(60)]
+    x = SparseTensor.from_rows(spark, rows, (14, 9, 4))
+    before, old = held(spark)
+    got = [{r.old: r.new for r in m.collect()} for m in reorder.lexi_order(x, 2)]
+    after, new = held(spark)
+    assert after == before and {n.split("-")[0] for n in new - old} <= {"lists"}
+    cells, maps = {r[:3] for r in x.collect()}, [{i: i for i in range(d)} for d in x.dims]
+    for _ in range(2):
+        for mode in range(3):
+            moved = {tuple(maps[m][i] for m, i in enumerate(c)) for c in cells}
+            lists = {i: sorted((c[:mode] + c[mode + 1 :] for c in moved if c[mode] == i)) + [(99,)] for i in range(x.dims[mode])}
+            step = {i: k for k, i in enumerate(sorted(lists, key=lambda i: (lists[i], i)))}
+            maps[mode] = {a: step[b] for a, b in maps[mode].items()}
+    assert got == maps
+
+
+def test_rows_beyond_a_long_are_numbered(spark):
+    wide = 1 << 40
+    x = SparseTensor.from_rows(spark, [(0, wide - 1, 0, 1.0), (1, 0, wide - 1, 1.0), (2, 0, 0, 1.0), (2, wide - 1, wide - 1, 1.0)], (4, wide, wide))
+    assert {r.old: r.new for r in x.lexi_map(0).collect()} == {2: 0, 1: 1, 0: 2, 3: 3}
